@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, chat_format, packing, quality_rules, secret_scan
 
 
 def queries():
     return {
         "op1_packing": packing.query,
         "op3_byte_bpe": bpe.query,
+        "op4_chat_format": chat_format.query,
+        "op5_quality_rules": quality_rules.query,
+        "op8_secret_scan": secret_scan.query,
     }
 
 
