@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, packing, quality_rules, secret_scan
+from . import bpe, chat_format, packing, quality_model, quality_rules, secret_scan
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_byte_bpe": bpe.query,
         "op4_chat_format": chat_format.query,
         "op5_quality_rules": quality_rules.query,
+        "op7_quality_model": quality_model.query,
         "op8_secret_scan": secret_scan.query,
     }
 
