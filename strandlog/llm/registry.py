@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, packing, quality_model, quality_rules, secret_scan
+from . import bpe, chat_format, near_dedup, packing, quality_model, quality_rules, secret_scan
 
 
 def queries():
     return {
         "op1_packing": packing.query,
+        "op2_near_dedup": near_dedup.query,
         "op3_byte_bpe": bpe.query,
         "op4_chat_format": chat_format.query,
         "op5_quality_rules": quality_rules.query,
