@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, line_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan
+from . import bpe, chat_format, line_dedup, near_dedup, nearest, packing, quality_model, quality_rules, secret_scan
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_quality_rules": quality_rules.query,
         "op7_quality_model": quality_model.query,
         "op8_secret_scan": secret_scan.query,
+        "op9_nearest": nearest.query,
         "op10_line_dedup": line_dedup.query,
     }
 
