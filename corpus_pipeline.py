@@ -1,23 +1,56 @@
-"""A corpus pipeline of five stages over `documents`; each stage's rows are written and read again as the next one's documents."""
+"""A corpus pipeline of five stages over `documents`; each stage's rows are written and read again as the next one's documents.
+
+1. quality rules: documents outside the compression bands, or failing the base rule, go;
+2. line dedup: lines that an earlier similar line stands for go, and documents that lose all their lines;
+3. near-dedup: of each group of near-duplicates (five words, 0.8) the document of the smallest id stays;
+4. secret scans: spans of secrets are replaced;
+5. packing: what is left, cut into pieces and packed into sequences of 2048 tokens.
+
+The first four return the columns of `documents`; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strandlog.llm import line_dedup, near_dedup, packing, quality_rules, secret_scan
 from strandlog.llm.common import table, written
-from strandlog.llm.packing import packed
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.accepted(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return counted(line_dedup.cleaned(docs).where(F.col("text").rlike(r"\S")))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.kept_documents(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return counted(secret_scan.redacted(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 2048 tokens."""
-    return packed(docs)
+    return packing.packed(docs)
 
 
 STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near-dedup", near_stage),
+    ("secret scans", secret_stage),
     ("packing", packing_stage),
 ]
 
-#: Tokenisation and packing have no SQL form; tests hold each stage against a brute-force version.
+#: zstandard, MinHash, digests of spans and tokenisation have no SQL form; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, line_dedup, near_dedup, nearest, packing, quality_model, quality_rules, secret_scan
+from . import bpe, chat_format, language_model, line_dedup, near_dedup, nearest, packing, quality_model, quality_rules, secret_scan
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_byte_bpe": bpe.query,
         "op4_chat_format": chat_format.query,
         "op5_quality_rules": quality_rules.query,
+        "op6_language_model": language_model.query,
         "op7_quality_model": quality_model.query,
         "op8_secret_scan": secret_scan.query,
         "op9_nearest": nearest.query,
