@@ -16,6 +16,7 @@ import re
 import uuid
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,8 +125,10 @@ def redacted(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     found = scanned(docs.withColumnsRenamed(own), ledger, rules)
 
     @F.pandas_udf("string")
-    def cleaned(texts, spans):
+    def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
         def clean(text, ss):
+            if text is None or ss is None:
+                return text
             out, at = [], 0
             for s in ss:
                 if s["end"] <= at:
@@ -135,10 +138,9 @@ def redacted(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
                 at = s["end"]
             return "".join([*out, text[at:]])
 
-        return texts.combine(spans, clean)
+        return pd.Series([clean(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    text = F.when(F.size("found") > 0, cleaned("text", "found")).otherwise(F.col("text").cast("string"))
-    return found.withColumn("text", text).drop("found").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+    return found.withColumn("text", cleaned(F.col("text").cast("string"), "found")).drop("found").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
