@@ -1,11 +1,77 @@
-"""Names of the reference-side queries, with their Spark builders and DuckDB twins."""
+"""Names of the trace and coverage queries, with their Spark builders and DuckDB twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from strandlog.operators import flat, mining, observations
+from strandlog.plans import oracle
+from strandlog.sources.events import Trace
+
+
+def on_trace(build):
+    return lambda spark, sf_dir: build(Trace(spark, sf_dir))
+
+
+def mined(db, length: int = 0):
+    combos = mining.combinations(observations.txn_members_locks(db))
+    return mining.support(mining.hypotheses(combos, length), mining.member_totals(combos))
+
+
+def winners(strategy: str):
+    def build(db):
+        seen = observations.txn_members_locks(db)
+        combos = mining.combinations(seen)
+        return mining.winners(mining.hypotheses(combos), mining.member_totals(combos), mining.lock_numbers(seen), mining.Mining(strategy))
+
+    return build
+
+
+TRACE = {
+    "flagship_top_rules": lambda db: mining.top_rules(mined(db)),
+    "acquisitions": lambda db: db.acquisitions,
+    "accesses": lambda db: db.accesses.select("id", "alloc_id", "txn_id", "type", "address", "stacktrace_id"),
+    "locks_held": lambda db: db.locks_held,
+    "transactions": lambda db: db.txns,
+    "layout_flat": lambda db: db.layout_flat.select("data_type_id", "member_name_id", "byte_offset", "helper_offset"),
+    "accesses_flat": lambda db: db.accesses_flat,
+    "locks_embedded_flat": lambda db: db.locks_embedded_flat,
+    "broken_accesses": flat.broken_accesses,
+    "without_atomics": lambda db: flat.without_atomics(db).select("id", "alloc_id", "txn_id", "type"),
+    "ignored_accesses": flat.ignored_accesses,
+    "txn_members_locks": observations.txn_members_locks,
+    "txn_members_locks_wor": lambda db: observations.txn_members_locks(db, write_over_read=True),
+    "txn_members_locks_subclasses": lambda db: observations.txn_members_locks(db, subclasses=True),
+    "txn_members_locks_one_type": lambda db: observations.txn_members_locks(db, data_type="node"),
+    "txn_members_locks_one_member": lambda db: observations.txn_members_locks(db, member="m1"),
+    "stack_members_locks": observations.stack_members_locks,
+    "most_accessed_types": observations.most_accessed_types,
+    "txn_members": observations.txn_members,
+    "lock_free_accesses": observations.lock_free_accesses,
+    "lock_distribution": observations.lock_distribution,
+    "type_members": observations.type_members,
+    "blacklisted_members": observations.blacklisted_members,
+    "atomic_members": observations.atomic_members,
+    "callgraph_traces": observations.callgraph_traces,
+    "call_edges": observations.call_edges,
+    "lock_addresses": observations.lock_addresses,
+    "totals": observations.totals,
+    "event_histogram": observations.event_histogram,
+    "context_distribution": observations.context_distribution,
+    "lock_combinations": lambda db: mining.combinations(observations.txn_members_locks(db)).withColumn("locks", F.array_join("locks", ",")),
+    "member_totals": lambda db: mining.member_totals(mining.combinations(observations.txn_members_locks(db))),
+    "hypotheses": mined,
+    "hypotheses_over_cutoff": lambda db: mining.reported(mined(db)),
+    "hypotheses_to_two_locks": lambda db: mined(db, 2).select("type_name", "access", "member", "lock_set", "locks", "occurrences"),
+    "hypothesis_lattice": lambda db: mining.lattice(mining.hypotheses(mining.combinations(observations.txn_members_locks(db)))),
+    "lock_numbers": lambda db: mining.lock_numbers(observations.txn_members_locks(db)),
+    **{f"winners_{s}": winners(s) for s in mining.STRATEGIES},
+}
+
 
 def queries():
-    return {}
+    return {name: on_trace(build) for name, build in TRACE.items()}
 
 
 def oracle_sql():
-    return {}
+    return dict(oracle.SQL)
