@@ -180,3 +180,164 @@ FROM flat f JOIN ev e ON e.seq = f.ac_id LEFT JOIN (SELECT txn_id, arg_max(l.loc
         observed(),
     ),
 }
+
+
+def examples(data_type: str, member: str, access: str, locks: list[str], counter: bool, subclass: str | None = None, other: str = "EMB") -> str:
+    """`locks` are pieces `JOIN ...` that narrow accesses f to those that hold the rule."""
+    elsewhere = "'EMBOTHER' || lk.place" if other == "EMBOTHER" else "'EMB:' || lk.lock_id || lk.place"
+    where = f"d.name = '{data_type}' AND m.name = '{member}' AND f.ac_type = '{access}'" + (f" AND s.name = '{subclass}'" if subclass else "")
+    name = f"{data_type}:{subclass}" if subclass else data_type
+    return f"""{described(True)},
+f AS (SELECT f.* FROM flat f JOIN data_types d ON d.id = f.data_type_id JOIN member_names m ON m.id = f.member_name_id JOIN subclasses s ON s.id = f.subclass_id WHERE {where}),
+good AS (SELECT DISTINCT f.ac_id FROM f {' '.join(locks)}),
+chosen AS (SELECT * FROM f WHERE ac_id {'NOT IN' if counter else 'IN'} (SELECT ac_id FROM good)),
+site AS (
+  SELECT g.ac_id, g.stacktrace_id, coalesce(string_agg(CASE WHEN lk.embedded_in IS NULL THEN lk.own WHEN lk.embedded_in = g.alloc_id THEN 'EMBSAME' || lk.place ELSE {elsewhere} END || '@' || lh.last_file || ':' || lh.last_line, ',' ORDER BY lh.start, lh.lock_id), 'nolocks') AS locks
+  FROM chosen g LEFT JOIN locks_held lh ON lh.txn_id = g.txn_id LEFT JOIN lk ON lk.lock_id = lh.lock_id GROUP BY g.ac_id, g.stacktrace_id),
+cnt AS (SELECT stacktrace_id, locks, count(*) AS n FROM site GROUP BY ALL),
+tr AS (SELECT id, string_agg('0x' || hex(instruction_ptr) || '@' || function || '@' || file || ':' || line, ',' ORDER BY sequence) AS stacktrace FROM stacktraces GROUP BY id),
+ex AS (
+  SELECT '{name}' AS data_type, '{member}' AS member, '{access}' AS accesstype, c.stacktrace_id, tr.stacktrace, string_agg(locks || '#' || n, '+' ORDER BY n DESC, locks DESC) AS locks_held
+  FROM cnt c JOIN tr ON tr.id = c.stacktrace_id GROUP BY c.stacktrace_id, tr.stacktrace)"""
+
+
+def same(k: int, member: str, data_type: str, sides: str = "'w'", subclass: str = "") -> str:
+    return f"JOIN locks_held h{k} ON h{k}.txn_id = f.txn_id JOIN emb e{k} ON e{k}.lock_id = h{k}.lock_id AND e{k}.alloc_id = f.alloc_id AND e{k}.sub_lock IN ({sides}) JOIN data_types d{k} ON d{k}.id = e{k}.data_type_id AND d{k}.name = '{data_type}' JOIN subclasses s{k} ON s{k}.id = e{k}.subclass_id{subclass} JOIN member_names m{k} ON m{k}.id = e{k}.member_name_id AND m{k}.name = '{member}'"
+
+
+def elsewhere(k: int, member: str, data_type: str, more: str = "") -> str:
+    return same(k, member, data_type).replace(f"e{k}.alloc_id = f.alloc_id", f"e{k}.alloc_id <> f.alloc_id") + more
+
+
+def by_id(k: int, ids: str) -> str:
+    return f"JOIN locks_held h{k} ON h{k}.txn_id = f.txn_id AND h{k}.lock_id IN ({ids})"
+
+
+EX = "SELECT * FROM ex"
+CEX_ONE = examples("node", "m0", "r", [same(1, "m_lock", "node")], True)
+CEX_TWO = examples("node", "m1", "w", [by_id(1, "1")], True)
+
+SQL |= {
+    "counterexamples": base(EX, CEX_ONE),
+    "examples": base(EX, examples("node", "m0", "r", [same(1, "m_lock", "node")], False)),
+    "counterexamples_subclass": base(EX, examples("node", "m1", "w", [same(1, "m_lock", "node", subclass=" AND s1.name = 'ext'")], True, "ext", "EMBOTHER")),
+    "counterexamples_by_id": base(EX, examples("node", "m1", "w", [by_id(1, "SELECT b.id FROM locks a JOIN locks b ON a.address = b.address WHERE a.id = 2")], True)),
+    "counterexamples_in_order": base(EX, examples("node", "m1", "r", [by_id(1, "1"), elsewhere(2, "m_lock", "node", " AND h2.start > h1.start")], True)),
+    "examples_any_order": base(EX, examples("node", "m1", "r", [by_id(1, "1"), elsewhere(2, "m_lock", "node")], False)),
+    "violation_stats": base(
+        """SELECT name AS type_name, coalesce(v, 0)::BIGINT AS violations, coalesce(m, 0)::BIGINT AS members, coalesce(l, 0)::BIGINT AS locations FROM data_types LEFT JOIN (
+  SELECT data_type, sum(n) AS v, count(DISTINCT member) AS m, count(DISTINCT stacktrace) AS l FROM (
+    SELECT 'node' AS data_type, f.ac_id, 1 AS n, m.name AS member, f.stacktrace_id AS stacktrace FROM flat f JOIN member_names m ON m.id = f.member_name_id
+    WHERE f.data_type_id = 1 AND ((m.name = 'm0' AND f.ac_type = 'r' AND f.ac_id NOT IN (SELECT f.ac_id FROM flat f """
+        + same(1, "m_lock", "node")
+        + """)) OR (m.name = 'm1' AND f.ac_type = 'w' AND f.ac_id NOT IN (SELECT f.ac_id FROM flat f """
+        + by_id(2, "1")
+        + """)))) GROUP BY 1) ON data_type = name"""
+    ),
+    "accesses_by_lock_member_function": base(
+        f"""SELECT dt_name, sl_member, ac_type, stacktrace, locks_held, count(*) AS total, bool_or(hidden) AS hidden_access, bool_or(flatten) AS flatten_accesses FROM (
+  SELECT g.ac_id, g.dt_name, g.sl_member, g.ac_type, t.stacktrace, h.hidden, h.flatten,
+    coalesce(string_agg(replace({LABEL}, '?[', '[') || '@' || lh.last_file || ':' || lh.last_line, ' -> ' ORDER BY lh.start, lh.lock_id), 'nolocks') AS locks_held
+  FROM g JOIN t ON t.ac_id = g.ac_id JOIN h ON h.ac_id = g.ac_id LEFT JOIN locks_held lh ON lh.txn_id = g.txn_id LEFT JOIN lk ON lk.lock_id = lh.lock_id
+  GROUP BY g.ac_id, g.dt_name, g.sl_member, g.ac_type, t.stacktrace, h.hidden, h.flatten) GROUP BY dt_name, sl_member, ac_type, stacktrace, locks_held""",
+        f"""{described(True)},
+g AS (
+  SELECT m.*, mn.name AS sl_member, CASE WHEN sc.name IS NULL THEN dt.name ELSE dt.name || ':' || sc.name END AS dt_name
+  FROM mapped m LEFT JOIN member_names mn ON mn.id = m.member_name_id JOIN subclasses sc ON sc.id = m.subclass_id JOIN data_types dt ON dt.id = sc.data_type_id),
+t AS (
+  SELECT g.ac_id, string_agg(lower(hex(s.instruction_ptr)) || '@' || s.function || '@' || s.file || ':' || s.line || '@m_bl:' || CASE WHEN b.subclass_id IS NULL THEN 0 ELSE 1 END || '@fn_bl:' || CASE WHEN f.id IS NULL THEN 0 ELSE 1 END, ',' ORDER BY s.sequence) AS stacktrace
+  FROM g JOIN stacktraces s ON s.id = g.stacktrace_id LEFT JOIN member_blacklist b ON b.subclass_id = g.subclass_id AND b.member_name_id = g.member_name_id
+  LEFT JOIN function_blacklist f ON f.fn = s.function AND (f.sequence IS NULL OR f.sequence = s.sequence)
+    AND ((f.subclass_id IS NULL AND f.member_name_id IS NULL) OR (f.subclass_id = g.subclass_id AND (f.member_name_id IS NULL OR f.member_name_id = g.member_name_id))) GROUP BY g.ac_id),
+h AS (
+  SELECT g.ac_id, coalesce(bool_or(p.ac_type = 'w' AND g.ac_type = 'r'), false) AS hidden, coalesce(bool_or(p.ac_type = g.ac_type), false) AS flatten
+  FROM g LEFT JOIN flat p ON p.ac_id <> g.ac_id AND p.txn_id = g.txn_id AND p.alloc_id = g.alloc_id GROUP BY g.ac_id)""",
+    ),
+    "validation": base(
+        """SELECT * FROM (
+SELECT 'accesses: repeated key' AS "constraint", count(*) AS n FROM (SELECT id FROM accesses GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'locks_held: repeated key', count(*) FROM (SELECT txn_id, lock_id FROM locks_held GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'structs_layout: repeated key', count(*) FROM (SELECT data_type_id, byte_offset FROM structs_layout GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'member_blacklist: repeated key', count(*) FROM (SELECT subclass_id, member_name_id FROM member_blacklist GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'allocations: size > 0', count(*) FROM allocations WHERE NOT size > 0
+UNION ALL SELECT 'accesses: type in (''r'', ''w'')', count(*) FROM accesses WHERE type NOT IN ('r', 'w')
+UNION ALL SELECT 'locks: sub_lock in (''r'', ''w'')', count(*) FROM locks WHERE sub_lock NOT IN ('r', 'w')
+UNION ALL SELECT 'accesses.alloc_id: no parent', count(*) FROM accesses WHERE alloc_id NOT IN (SELECT id FROM allocations)
+UNION ALL SELECT 'accesses.txn_id: no parent', count(*) FROM accesses WHERE txn_id IS NOT NULL AND txn_id NOT IN (SELECT txn_id FROM locks_held)
+UNION ALL SELECT 'locks_held.lock_id: no parent', count(*) FROM locks_held WHERE lock_id NOT IN (SELECT id FROM locks)
+UNION ALL SELECT 'locks.embedded_in: no parent', count(*) FROM locks WHERE embedded_in IS NOT NULL AND embedded_in NOT IN (SELECT id FROM allocations)
+UNION ALL SELECT 'allocations.subclass_id: no parent', count(*) FROM allocations WHERE subclass_id NOT IN (SELECT id FROM subclasses))"""
+    ),
+}
+
+
+def documented_rules() -> str:
+    from strandlog.sources.documented import RULES
+
+    return ",\nrules AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in RULES) + ") t(type_name, access, member, rule))"
+
+
+CHECKED = MINED + documented_rules() + """,
+chk AS (
+  SELECT *, CASE WHEN hypotheses = 0 THEN 'none' WHEN percentage IS NULL THEN 'red' WHEN percentage = 1 THEN 'green' ELSE 'yellow' END AS colour FROM (
+    SELECT r.type_name, r.access, r.member, r.rule, count(s.locks) AS hypotheses, max(CASE WHEN regexp_full_match(s.locks, r.rule) THEN s.percentage END) AS percentage
+    FROM rules r LEFT JOIN sup s ON s.type_name = r.type_name AND s.access = r.access AND s.member = r.member GROUP BY ALL))"""
+TOP = MINED + """,
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type_name, access, member ORDER BY occurrences DESC, n_locks DESC, locks) AS k FROM sup WHERE n_locks > 0) WHERE k = 1)"""
+
+SQL |= {
+    "rule_check": base("SELECT * FROM chk", CHECKED),
+    "rule_check_summary": base("SELECT type_name, count(*) AS rules, count(*) FILTER (colour = 'none') AS no_observations, count(*) FILTER (colour <> 'none') AS observed, count(*) FILTER (colour = 'green') AS \"full\", count(*) FILTER (colour = 'yellow') AS found, count(*) FILTER (colour = 'red') AS not_found FROM chk GROUP BY 1", CHECKED),
+    "support_distribution": base("SELECT access, avg(percentage) AS mean, count(*) AS members, count(*) FILTER (percentage < 0.9) AS below FROM top GROUP BY 1", TOP),
+    "accepted_share": base("SELECT t AS threshold, count(*) FILTER (100 * percentage >= t) AS accepted, count(*) AS members FROM top, range(0, 101, 5) r(t) GROUP BY 1", TOP),
+    "no_lock_ratio": base("SELECT t AS threshold, count(DISTINCT CASE WHEN 100 * percentage >= 50 THEN (type_name, access, member) END) AS members, count(DISTINCT CASE WHEN n_locks > 0 AND 100 * percentage >= t THEN (type_name, access, member) END) AS locked FROM sup, range(50, 101, 5) r(t) GROUP BY 1", MINED),
+    "support_histogram": base("SELECT CAST(floor(100 * percentage) AS BIGINT) AS bin, count(*) AS n FROM sup WHERE n_locks > 0 AND access = 'w' AND 100 * percentage >= 10 GROUP BY 1", MINED),
+    "confidence_quartiles": base("SELECT access, min(confidence) AS least, quantile_cont(confidence, 0.25) AS q1, quantile_cont(confidence, 0.5) AS median, quantile_cont(confidence, 0.75) AS q3, max(confidence) AS most FROM sup GROUP BY 1", MINED),
+}
+
+#: Coverage inputs.
+INPUTS = r"""
+ev AS (SELECT event_id + 1 AS seq, user_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events),
+maps AS (SELECT user_id AS map, (7 * k + user_id) % 211 AS number, lpad(lower(hex((7 * k + user_id) % 211)), 16, '0') AS bb, seq AS t FROM ev),
+ins AS (SELECT user_id % 4 AS part, seq AS addr, event_type = 'signup' AS is_call, event_type = 'error' AS is_stop, '/f' || (user_id % 10) || '.c' AS file, k AS line, k % 10 = 0 AS is_pc FROM ev),
+src AS (SELECT p_partkey, '/fs/' || p_type || '/' || p_brand || '.c' AS file, p_size AS line, p_partkey IN (SELECT l_partkey FROM lineitem) AS covered FROM part)"""
+WALKS = """,
+isl AS (SELECT *, coalesce(min(CASE WHEN is_stop THEN addr END) OVER (PARTITION BY part ORDER BY addr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), -1) AS island FROM ins),
+walk AS (SELECT DISTINCT i.file, i.line FROM isl i JOIN (SELECT part, island, min(addr) AS first FROM isl WHERE is_pc GROUP BY ALL) p ON p.part = i.part AND p.island = i.island AND i.addr >= p.first)"""
+
+
+def inputs(select: str, more: str = "") -> str:
+    return f"WITH {INPUTS.strip()}{more}\n{select}"
+
+
+SQL |= {
+    "coverage_unique": inputs("SELECT DISTINCT map, bb FROM maps"),
+    "coverage_shifted": inputs("SELECT DISTINCT map, lpad(lower(hex(number + 5)), 16, '0') AS bb FROM maps"),
+    "coverage_union": inputs("SELECT DISTINCT bb FROM maps WHERE map IN (0, 1, 2)"),
+    "coverage_intersection": inputs("SELECT bb FROM maps WHERE map = 0 INTERSECT SELECT bb FROM maps WHERE map = 1"),
+    "coverage_minus": inputs("SELECT bb FROM maps WHERE map = 0 EXCEPT SELECT bb FROM maps WHERE map = 1"),
+    "coverage_subsystem": inputs("SELECT DISTINCT bb FROM maps WHERE number % 5 IN (1, 2)"),
+    "coverage_pairs": inputs("SELECT a.map AS map_a, b.map AS map_b, count(*) AS n FROM (SELECT DISTINCT map, bb FROM maps WHERE map < 20) a JOIN (SELECT DISTINCT map, bb FROM maps WHERE map < 20) b ON a.bb = b.bb AND a.map <> b.map GROUP BY ALL"),
+    "coverage_suite_overlaps": inputs(
+        """SELECT array_to_string(list_filter(s, lambda x, i: (mask >> (i - 1)) & 1 = 1), '&') AS suites, count(*) AS n
+FROM (SELECT s, unnest(range(1, CAST(pow(2, len(s)) AS BIGINT))) AS mask FROM (SELECT bb, list_sort(list(DISTINCT 's' || (map % 4))) AS s FROM maps WHERE number % 4 <> map % 4 GROUP BY bb)) GROUP BY 1"""
+    ),
+    "coverage_series": inputs(
+        """SELECT p.map, p.t - min(p.t) OVER () AS t, p.current, p.current_subset, sum(coalesce(n.new, 0)) OVER w AS aggregate, sum(coalesce(n.new_subset, 0)) OVER w AS aggregate_subset
+FROM p LEFT JOIN n ON n.map = p.map WINDOW w AS (ORDER BY p.t, p.map ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+        """,
+u AS (SELECT map, bb, min(t) AS t, (number < 100)::INT AS inside FROM maps GROUP BY map, bb, number),
+p AS (SELECT map, min(t) AS t, count(*) AS current, sum(inside) AS current_subset FROM u GROUP BY map),
+f AS (SELECT u.bb, u.inside, first(u.map ORDER BY p.t, p.map) AS map FROM u JOIN p ON p.map = u.map GROUP BY ALL),
+n AS (SELECT map, count(*) AS new, sum(inside) AS new_subset FROM f GROUP BY map)""",
+    ),
+    "coverage_bitmap": inputs("SELECT user_id AS map, 4096 + seq * 64 + j AS bb FROM ev, range(0, 64) r(j) WHERE (k::BIGINT >> j::INT) & 1 = 1"),
+    "coverage_after_calls": inputs("SELECT part, addr FROM (SELECT *, lag(is_call) OVER (PARTITION BY part ORDER BY addr) AS after FROM ins) WHERE after"),
+    "coverage_walks": inputs("SELECT * FROM walk", WALKS),
+    "coverage_share": inputs("SELECT c.file, count(*) AS coverable, count(w.file) AS covered, 100.0 * count(w.file) / count(*) AS percentage FROM (SELECT DISTINCT file, line FROM ins) c LEFT JOIN walk w ON w.file = c.file AND w.line = c.line GROUP BY 1", WALKS),
+    "coverage_block_of_line": inputs("SELECT h.file, h.line, (SELECT max(b.line) FROM src b WHERE b.p_partkey % 3 = 0 AND b.file = h.file AND b.line <= h.line) AS start FROM src h WHERE h.covered"),
+    "coverage_by_file": inputs("SELECT file AS name, count(*) AS lines, sum(covered) AS covered, 100.0 * sum(covered) / count(*) AS percentage FROM (SELECT file, line, max(covered::INT) AS covered FROM src GROUP BY ALL) GROUP BY 1"),
+    "coverage_by_directory": inputs("SELECT regexp_replace(file, '/[^/]*$', '') AS name, count(*) AS lines, sum(covered) AS covered, 100.0 * sum(covered) / count(*) AS percentage FROM (SELECT file, line, max(covered::INT) AS covered FROM src GROUP BY ALL) GROUP BY 1"),
+    "coverage_compose": inputs("SELECT DISTINCT map, 'run ' || map AS command FROM maps WHERE map NOT IN (SELECT map FROM maps WHERE number < 3)"),
+    "coverage_curve_lines": inputs("SELECT DISTINCT number AS i, number % 16 AS x, number // 16 AS y FROM maps"),
+}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandlog.operators import flat, mining, observations
+from strandlog.operators import coverage, evaluation, flat, mining, observations, validation, violations
 from strandlog.plans import oracle
+from strandlog.sources import documented
+from strandlog.sources.coverage import Coverage
 from strandlog.sources.events import Trace
 
 
@@ -68,9 +70,66 @@ TRACE = {
     **{f"winners_{s}": winners(s) for s in mining.STRATEGIES},
 }
 
+#: The rule that the example queries ask about: reads of node.m0 under the lock of the same object.
+RULE = ("node", "m0", "r", [r"EMBSAME(node.m_lock[w])"])
+
+
+def two_rules(db):
+    return violations.all_counterexamples(db, [("node", "m0", "r", ["EMBSAME(node.m_lock[w])"]), ("node", "m1", "w", ["glock0:1(mutex[w])"])])
+
+
+TRACE |= {
+    "counterexamples": lambda db: violations.examples(db, *RULE),
+    "examples": lambda db: violations.examples(db, *RULE, counter=False),
+    "counterexamples_subclass": lambda db: violations.examples(db, "node", "m1", "w", ["EMBSAME(node:ext.m_lock[w])"], subclass="ext", other="EMBOTHER"),
+    "counterexamples_by_id": lambda db: violations.examples(db, "node", "m1", "w", ["2(rcu[r])"]),
+    "counterexamples_in_order": lambda db: violations.examples(db, "node", "m1", "r", ["glock0:1(mutex[w])", "EMBOTHER(node.m_lock[w])"]),
+    "examples_any_order": lambda db: violations.examples(db, "node", "m1", "r", ["glock0:1(mutex[w])", "EMBOTHER(node.m_lock[w])"], in_order=False, counter=False),
+    "accesses_by_lock_member_function": violations.by_lock_member_function,
+    "violation_stats": lambda db: evaluation.violation_stats(two_rules(db), db.data_types.withColumnRenamed("name", "type_name")),
+    "rule_check": lambda db: evaluation.rule_check(documented.rules(db.spark), mined(db)),
+    "rule_check_summary": lambda db: evaluation.rule_check_summary(evaluation.rule_check(documented.rules(db.spark), mined(db))),
+    "winner_check_sharpen": lambda db: evaluation.winner_check(documented.rules(db.spark), winners("sharpen")(db), mined(db)),
+    "mining_stats": lambda db: evaluation.mining_stats(db, winners("sharpen")(db)),
+    "protected_members": lambda db: mining.protected_members(winners("sharpen")(db)),
+    "atomic_evaluation": lambda db: evaluation.atomic_evaluation(db, winners("topdown")(db)),
+    "support_distribution": lambda db: evaluation.support_distribution(mining.top_rules(mined(db))),
+    "accepted_share": lambda db: evaluation.accepted_share(mining.top_rules(mined(db))),
+    "no_lock_ratio": lambda db: evaluation.no_lock_ratio(mined(db)),
+    "support_histogram": lambda db: evaluation.support_histogram(mined(db), 10),
+    "confidence_quartiles": lambda db: evaluation.confidence_quartiles(mined(db)),
+    "validation": validation.violated,
+}
+
+COVERAGE = {
+    "coverage_unique": lambda c: coverage.unique_blocks(c.maps),
+    "coverage_shifted": lambda c: coverage.shifted(coverage.unique_blocks(coverage.well_formed(c.maps))),
+    "coverage_union": lambda c: coverage.union(c.maps, [0, 1, 2]),
+    "coverage_intersection": lambda c: coverage.intersection(c.maps, [0, 1]),
+    "coverage_minus": lambda c: coverage.minus(c.maps, 0, 1),
+    "coverage_subsystem": lambda c: coverage.of_subsystem(c.maps, c.maps.select("bb", F.concat(F.lit("/d"), (F.col("number") % 5).cast("string")).alias("file")), "^/d[12]"),
+    "coverage_pairs": lambda c: coverage.pairwise_intersections(c.maps.where("map < 20")),
+    "coverage_suite_overlaps": lambda c: coverage.suite_overlaps(c.suites),
+    "coverage_series": lambda c: coverage.cumulative(c.maps, F.col("bb") < "0000000000000064"),
+    "coverage_set_cover": lambda c: coverage.set_cover(c.maps),
+    "coverage_bitmap": lambda c: coverage.bitmap_decoded(c.events.select(F.col("user_id").alias("map"), F.col("seq").alias("i"), F.col("k").cast("long").alias("word")), 4096),
+    "coverage_after_calls": lambda c: coverage.blocks_after_calls(c.instructions),
+    "coverage_walks": lambda c: coverage.covered_by_walks(c.instructions, c.instructions.where("is_pc")),
+    "coverage_share": lambda c: coverage.share_covered(coverage.covered_by_walks(c.instructions, c.instructions.where("is_pc")), c.instructions),
+    "coverage_block_of_line": lambda c: coverage.block_of_line(c.lines.where("covered").select("file", "line"), c.lines.where("p_partkey % 3 = 0").select("file", F.col("line").alias("start"))),
+    "coverage_by_file": lambda c: coverage.line_coverage(c.lines, F.col("file")),
+    "coverage_by_directory": lambda c: coverage.line_coverage(c.lines, coverage.directory(F.col("file"))),
+    "coverage_compose": lambda c: coverage.composed_suite(c.maps.select("map").distinct().withColumn("command", F.concat(F.lit("run "), F.col("map").cast("string"))), c.maps.where("number < 3").select("map").distinct()),
+    "coverage_curve_lines": lambda c: coverage.curve_points(c.maps.select(F.col("number").alias("i")).distinct(), 16, "lines"),
+    "coverage_curve_hilbert": lambda c: coverage.curve_points(c.maps.select(F.col("number").alias("i")).distinct(), 16),
+    "coverage_curve_spiral": lambda c: coverage.curve_points(c.maps.select(F.col("number").alias("i")).distinct(), 16, "spiral"),
+}
+
 
 def queries():
-    return {name: on_trace(build) for name, build in TRACE.items()}
+    found = {name: on_trace(build) for name, build in TRACE.items()}
+    found |= {name: lambda spark, sf_dir, build=build: build(Coverage(spark, sf_dir)) for name, build in COVERAGE.items()}
+    return found
 
 
 def oracle_sql():
