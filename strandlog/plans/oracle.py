@@ -341,3 +341,5 @@ n AS (SELECT map, count(*) AS new, sum(inside) AS new_subset FROM f GROUP BY map
     "coverage_compose": inputs("SELECT DISTINCT map, 'run ' || map AS command FROM maps WHERE map NOT IN (SELECT map FROM maps WHERE number < 3)"),
     "coverage_curve_lines": inputs("SELECT DISTINCT number AS i, number % 16 AS x, number // 16 AS y FROM maps"),
 }
+
+SQL["machine_locks"] = base("SELECT raw.id AS seq, coalesce(string_agg(held.lock_id, ',' ORDER BY held.a), '') AS locks FROM raw LEFT JOIN held ON held.id = raw.id GROUP BY raw.id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandlog.operators import coverage, evaluation, flat, mining, observations, validation, violations
+from strandlog.operators import coverage, evaluation, flat, machine, mining, observations, transactions, validation, violations
 from strandlog.plans import oracle
 from strandlog.sources import documented
 from strandlog.sources.coverage import Coverage
@@ -78,6 +78,13 @@ def two_rules(db):
     return violations.all_counterexamples(db, [("node", "m0", "r", ["EMBSAME(node.m_lock[w])"]), ("node", "m1", "w", ["glock0:1(mutex[w])"])])
 
 
+def machine_events(db):
+    """The well-formed lock events and the accesses of the derived trace, as one trace of the exact machine."""
+    locks = transactions.well_formed(db.events.where("kind in ('P', 'V')"))
+    both = locks.select("seq", "ctx", "kind", F.col("lock_id").alias("lock")).unionByName(db.raw_accesses.select("seq", "ctx", F.col("type").alias("kind"), F.lit(None).cast("int").alias("lock")))
+    return both.select(F.lit(0).cast("long").alias("trace"), "seq", "ctx", "kind", "lock", F.lit("w").alias("side"), F.lit(False).alias("recursive"))
+
+
 TRACE |= {
     "counterexamples": lambda db: violations.examples(db, *RULE),
     "examples": lambda db: violations.examples(db, *RULE, counter=False),
@@ -99,6 +106,7 @@ TRACE |= {
     "support_histogram": lambda db: evaluation.support_histogram(mined(db), 10),
     "confidence_quartiles": lambda db: evaluation.confidence_quartiles(mined(db)),
     "validation": validation.violated,
+    "machine_locks": lambda db: machine.run_machine(machine_events(db)).select("seq", "locks"),
 }
 
 COVERAGE = {
