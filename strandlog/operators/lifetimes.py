@@ -24,20 +24,24 @@ def in_live_allocation(points: DataFrame, allocations: DataFrame, page: int = 40
 
     Allocations are laid on the pages that they cover, so that the join has an equal key; a lock's epoch is its allocation's start.
     """
-    laid = allocations.withColumn("page", F.explode(F.sequence(F.floor(F.col("base") / page), F.floor((F.col("base") + F.greatest("alloc_size", F.lit(1)) - 1) / page)))).select("source", "page", F.col("base").alias("a_base"), "alloc_size", "start_seq", "end_seq")
-    found = points.withColumn("page", F.floor(F.col("address") / page)).join(laid, ["source", "page"]).where("address >= a_base and address < a_base + alloc_size and seq > start_seq and (end_seq is null or seq < end_seq)")
+    on_page = lambda c: F.floor(c / page).cast("long")
+    laid = allocations.withColumn("page", F.explode(F.sequence(on_page(F.col("base")), on_page(F.col("base") + F.greatest("alloc_size", F.lit(1)) - 1)))).select("source", "page", F.col("base").alias("a_base"), "alloc_size", "start_seq", "end_seq")
+    found = points.withColumn("page", on_page(F.col("address"))).join(laid, ["source", "page"]).where("address >= a_base and address < a_base + alloc_size and seq > start_seq and (end_seq is null or seq < end_seq)")
     return points.join(found.select("source", "seq", F.col("a_base").alias("base"), "start_seq"), ["source", "seq"], "left")
 
 
+#: The sides that a lock of each type has.
+LOCK_SIDES = {
+    "w": ("raw_spinlock_t", "mutex", "softirq", "hardirq", "semaphore", "bit_spin_lock", "sleep mutex", "spin mutex", "kmutex_t"),
+    "r": ("rcu",),
+    "rw": ("rwlock_t", "rw_semaphore", "sx", "rw", "sleepable rm", "rm", "lockmgr", "krwlock_t"),
+}
+
+
 def lock_kinds(lock_events: DataFrame, skip_sequence_locks: bool = True) -> DataFrame:
-    """Lock events with `sides`: the sides that a lock of its type has; types that are not known have none, sequence locks are skipped unless asked for."""
-    kinds = {
-        "w": ("mutex", "raw_spinlock_t", "spinlock_t", "preempt", "softirq", "hardirq"),
-        "r": ("rcu", "srcu"),
-        "rw": ("rw_semaphore", "rwlock_t", "seqlock_t", "seqcount_t", "sleeplock_t"),
-    }
+    """Lock events with `sides`, null for types that aren't known; sequence locks are skipped unless asked for."""
     found = lock_events if not skip_sequence_locks else lock_events.where(~F.col("type").isin("seqlock_t", "seqcount_t"))
-    sides = F.create_map(*[F.lit(x) for s, ts in kinds.items() for t in ts for x in (t, s)])
+    sides = F.create_map(*[F.lit(x) for s, ts in LOCK_SIDES.items() for t in ts for x in (t, s)])
     return found.withColumn("sides", sides[F.col("type")])
 
 
