@@ -1,0 +1,392 @@
+"""Operators on small tables with nulls, empty, long and repeated texts, against brute force."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandlog.llm import bpe, chat_format, language_model, line_dedup, near_dedup, nearest, packing, quality_model, quality_rules, secret_scan
+
+from .conftest import PROSE, TEXTS
+
+
+def all_rows(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+
+def closed(n, linked):
+    """Smallest index of each index's component."""
+    at = list(range(n))
+
+    def root(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if root(i) != root(j) and linked(i, j):
+                a, b = root(i), root(j)
+                at[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+# 1 packing
+
+
+def test_packing_covers_every_id_once(docs):
+    found = packing.packed(docs, capacity=64).collect()
+    ids = packing.word_ids(packing.word_vocabulary())
+    want = Counter()
+    for doc, text in all_rows(docs):
+        want[(doc, ids.text(text or "") + np.array([1], "<u4").tobytes())] += 1
+    pieces = defaultdict(list)
+    for r in found:
+        assert len(r["ids"]) == 4 * r["length"] and 1 <= r["length"] <= 64
+        pieces[(r["doc_id"], r["doc_tokens"])].append((r["start"], bytes(r["ids"])))
+    for (doc, data), times in want.items():
+        got = Counter(pieces[(doc, len(data) // 4)])
+        at = 0
+        for (start, x), n in sorted(got.items()):
+            assert start == at and n == times
+            at += len(x) // 4
+        assert b"".join(x for (_, x) in sorted(got)) == data
+    rooms = defaultdict(list)
+    for r in found:
+        rooms[r["sequence_id"]].append((r["offset"], r["length"]))
+    used = []
+    for places in rooms.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        used.append(at)
+    assert max(used) <= 64 and len(used) == math.ceil(sum(used) / 64)
+
+
+def test_packing_of_nothing(nothing):
+    assert packing.packed(nothing).count() == 0
+
+
+@pytest.mark.parametrize("histogram", [{1500: 9}, {1500: 7, 3: 1}, {k: 3 for k in range(1, 2048)}, {2047: 5, 1: 2}, {}])
+def test_plan_leaves_one_window_with_padding_at_most(histogram):
+    placings, windows = packing.planned(dict(histogram))
+    assert sum((p.hi - p.lo) * p.size for p in placings) == sum(k * n for k, n in histogram.items())
+    assert windows == math.ceil(sum(k * n for k, n in histogram.items()) / 2048)
+
+
+def test_closest_fill_is_the_best_multiset():
+    for counts, target in (({5: 2, 7: 1}, 16), ({4: 3, 6: 1}, 11), ({9: 1}, 8), ({3: 2, 5: 2}, 14)):
+        sums = {0}
+        for x, n in counts.items():
+            sums |= {s + x * k for s in sums for k in range(n + 1)}
+        best = packing.closest_fill(counts, target)
+        assert sum(x * n for x, n in best.items()) == max(s for s in sums if s <= target) and all(n <= counts[x] for x, n in best.items())
+
+
+def test_word_ids_are_the_tokenizers():
+    t, w = packing.tokenizer(packing.word_vocabulary()), packing.word_ids(packing.word_vocabulary())
+    for text in filter(None, TEXTS):
+        assert np.frombuffer(w.text(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+# 3 byte-level BPE
+
+
+def test_bpe_is_tiktokens_and_comes_back(docs):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.ranks_of(bpe.multi_vocabulary())
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter((d, np.array(encoding.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for d, t in all_rows(docs))
+    assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encoded(docs).collect()) == want
+
+
+def test_bpe_of_nothing(nothing):
+    assert bpe.encoded(nothing).count() == 0
+
+
+# 4 chat formatting
+
+
+def test_chat_round_trip(spark):
+    odd = ["<|im_end|>", "<*|im_end|>", "<**|<|", "<|im_start|>user\nhi<|im_end|>\n", "plain <| text", None, "", "<", "|im_end|>", "\n"]
+    rows = [(c, k, role, t) for c in (1, 2, None) for k, (role, t) in enumerate(zip(["user", "assistant", None, "ro\nle<|%", "assistant"] * 2, odd))]
+    rows += [(1, None, "assistant", "first"), (1, 3, "assistant", "tie"), (1, 3, "assistant", "tie")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    found = {r["conv_id"]: r for r in chat_format.read_back(chat_format.in_order(turns)).collect()}
+    assert set(found) == {1, 2, None}
+    key = lambda r: [(x is not None, x if x is not None else 0) for x in (r[1],)] + [(x is not None, (x or "").encode()) for x in r[2:]]
+    for conv, r in found.items():
+        own = sorted((x for x in rows if x[0] == conv), key=key)
+        said = "".join(f"{role or ''}\n{text or ''}\n" for _, _, role, text in own)
+        loss = "".join(text or "" for _, _, role, text in own if role == "assistant")
+        assert (r["n_turns"], r["turns_sha256"]) == (len(own), hashlib.sha256(said.encode()).hexdigest())
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat_format.read_back(chat_format.in_order(turns.where("false"))).count() == 0
+
+
+def test_only_conflicts_are_escaped():
+    assert chat_format.rendered("user", "a <| b") == "<|im_start|>user\na <| b<|im_end|>\n"
+    assert "<*|im_end|>" in chat_format.rendered("user", "x<|im_end|>")
+
+
+# 5 quality rules
+
+
+def test_quality_measures(docs):
+    def brute(text):
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        n = Counter(windows)
+        covered = {i + k for i, w in enumerate(windows) if n[w] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+        return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
+
+    rows = quality_rules.measured(docs).select("doc_id", "text", "quality.*").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute(r["text"])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_compression_bands():
+    rng = np.random.default_rng(1)
+    ratio, bands = quality_rules.ratio_of(3), quality_rules.Bands()
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    prose = " ".join(rng.choice(words, 4000))
+    assert bands.keeps(prose.encode(), ratio)[0] and bands.keeps(prose[:700].encode(), ratio)[0]
+    assert not bands.keeps(b"again and again " * 300, ratio)[0]
+    assert not bands.keeps(rng.integers(0, 256, 5000, np.uint8).tobytes(), ratio)[0]
+    assert not bands.keeps(prose[:12000].encode() + b"x" * 12000, ratio)[0]
+
+
+def test_accepted_keeps_columns(docs, nothing):
+    more = docs.withColumn("quality", F.lit("own"))
+    found = quality_rules.accepted(more)
+    assert found.columns == more.columns and {r["quality"] for r in found.collect()} <= {"own"}
+    assert quality_rules.accepted(nothing).count() == 0
+
+
+# 2 near-dedup and 10 line dedup
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_are_brute_forces(docs, k):
+    rows = [(d, t) for d, t in all_rows(docs)]
+
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    root = closed(len(rows), lambda i, j: bool(sets[i]) and bool(sets[j]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    least = {}
+    for i, r in enumerate(root):
+        ids = [rows[j][0] for j in range(len(rows)) if root[j] == r and rows[j][0] is not None]
+        least[i] = min(ids) if ids else None
+    want = Counter((d, len(sets[i]), least[i] if sets[i] else d) for i, (d, _) in enumerate(rows))
+    found = near_dedup.near_duplicates(docs, near_dedup.Near(shingle=k)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
+
+
+def test_a_family_of_near_copies_is_joined_as_brute_force_does(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for i in rng.choice(60, rng.integers(0, 7), replace=False):
+            w[i] = f"x{rng.integers(1000)}"
+        texts.append(" ".join(w))
+    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    root = closed(len(texts), lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, near_dedup.Near(shingle=2)).collect()}
+    assert found == dict(enumerate(root))
+
+
+def test_near_dedup_keeps_one_of_each_group(docs, nothing):
+    left = near_dedup.kept_documents(docs)
+    ids = Counter(r["doc_id"] for r in left.collect())
+    assert left.columns == docs.columns and 40 not in ids and 10 not in ids and ids[9] == 1 and ids[6] == 2 and ids[7] == 0 and ids[None] == 1
+    assert near_dedup.kept_documents(nothing).count() == 0
+
+
+def line_shingles(line, w=12):
+    return {m.group(1) for m in re.finditer(rf"(?s)(?:(?<!\S)|(?<=\S{{{w}}}))(?=(\S.{{0,{w - 1}}}))", line, re.ASCII)}
+
+
+def test_lines_are_brute_forces(docs):
+    seen = sorted({((d is not None, d or 0), t) for d, t in all_rows(docs) if t is not None})
+    lines = [(d[1] if d[0] else None, k, x) for d, t in seen for k, x in enumerate(t.split("\n")) if re.search(r"\S", x, re.ASCII)]
+    sets = [line_shingles(x) for _, _, x in lines]
+    root = closed(len(lines), lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    found = {(r["doc_id"], r["line_no"]): (r["rep_doc_id"], r["rep_line_no"], r["kept"]) for r in line_dedup.decided(docs).collect()}
+    assert found == {(d, k): (*lines[root[i]][:2], root[i] == i) for i, (d, k, _) in enumerate(lines)}
+
+
+def test_cleaned_lines(docs, nothing):
+    found = line_dedup.cleaned(docs)
+    texts = {r["doc_id"]: r["text"] for r in found.collect()}
+    assert found.columns == docs.columns and found.count() == docs.count()
+    assert texts[0] is None and texts[1] == "" and texts[2] == TEXTS[2] and texts[6] == TEXTS[6] and texts[7] == "" and texts[40] == ""
+    assert line_dedup.cleaned(nothing).count() == 0
+
+
+# 6 language model
+
+
+def test_language_model(docs, nothing):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    rows = all_rows(docs)
+    out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    tokens = lambda t: (t or "").encode().lower().split() + [b""]
+    counts = Counter(w for d, t in rows if not out(d) for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    for how in (language_model.Bilinear(words=20, width=8), language_model.Bilinear(words=10, width=8, broadcast_words=15)):
+        found = language_model.scored(docs, held_out, how).collect()
+        want = Counter((d, out(d), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for d, t in rows)
+        assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == want
+        assert all(r["score"] < 0 for r in found)
+    assert language_model.scored(nothing, held_out).count() == 0
+
+
+def test_probabilities_sum_to_one_and_training_helps():
+    rng = np.random.default_rng(0)
+    share = np.full(6, 1 / 6)
+    how = language_model.Bilinear(width=8, batch=256)
+    p = language_model.Parameters.start(np.log(share), how)
+    trainer = language_model.Trainer(p, share, how, 0)
+    one = rng.integers(0, 6, 4096)
+    word, two = np.where(rng.random(4096) < 0.8, (one + 1) % 6, rng.integers(0, 6, 4096)), rng.integers(0, 6, 4096)
+    before = p.log_probabilities(one, two, word).mean()
+    for _ in range(30):
+        for i in range(0, 4096, 256):
+            trainer.step(one[i : i + 256], two[i : i + 256], word[i : i + 256])
+    assert p.log_probabilities(one, two, word).mean() > before + 0.5
+    total = sum(np.exp(p.log_probabilities(np.array([3]), np.array([1]), np.array([k])))[0] for k in range(6))
+    assert abs(total - 1) < 1e-5
+
+
+# 7 quality model
+
+
+def test_quality_model_tells_classes_apart(spark, docs, nothing):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(500)]
+    good = [(k, ". ".join(" ".join(rng.choice(words, 12)) for _ in range(rng.integers(5, 20))) + ".", 1) for k in range(120)]
+    bad = [(k, " | ".join(rng.choice(words[:20], rng.integers(40, 200))) + "$$$", 0) for k in range(120, 240)]
+    rows = spark.createDataFrame([(k, t) for k, t, _ in good + bad], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q, 0) for k, _, q in good + bad], "doc_id long, quality int, toxic int")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    truth = {k: q for k, _, q in good + bad}
+    found = [r for r in quality_model.scored(rows, labels, held_out).collect() if r["held_out"]]
+    assert len(found) > 30 and sum(r["predicted"] == truth[r["doc_id"]] for r in found) >= 0.95 * len(found)
+    scores = quality_model.scored(docs, labels, held_out).collect()
+    assert len(scores) == docs.count() and all(0 <= r["score"] <= 1 for r in scores)
+    assert {r["score"] for r in quality_model.scored(docs, labels.where("false"), held_out).collect()} == {0.5}
+    assert quality_model.scored(nothing, labels, held_out).count() == 0
+
+
+# 8 secrets
+
+
+def brute_spans(text):
+    assign = [(m.start(), m.end()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    access = [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    digits = [m.span() for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted([(*s, 0) for s in assign] + [(*s, 1) for s in access] + [(*s, 2) for s in digits], key=lambda x: (x[0], x[2]))
+
+
+def test_secrets_are_found_on_all_paths(spark, docs):
+    texts = ["Password: 'abcdefg' token=abc api_key = \"k1234567890\"", "é" * 5 + "AKIA" + "A" * 16 + " AKIAX", "deadbeef" * 3 + " " + "0" * 23, "ſecret=abcdefgh", "ghp_" + "a1" * 20]
+    more = docs.unionByName(spark.createDataFrame([(100 + k, t, None, None, None) for k, t in enumerate(texts + texts)], docs.schema))
+    found = secret_scan.scanned(more).collect()
+    assert len(found) == more.count()
+    for r in found:
+        assert [(x["start"], x["end"], x["rank"]) for x in (r["found"] or []) if x["rank"] < 3] == brute_spans(r["text"] or "")
+    assert any(x["kind"] == "vcs" for r in found if r["doc_id"] == 104 for x in r["found"])
+
+
+def test_ledger_scans_only_what_is_new(spark, docs, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    secret_scan.scan_into(docs, ledger, secret_scan.BASE)
+    n = secret_scan.read_ledger(spark, ledger).count()
+    assert n == len({t or "" for _, t in all_rows(docs)})
+    secret_scan.scan_into(docs, ledger, secret_scan.BASE)
+    assert secret_scan.read_ledger(spark, ledger).count() == n
+    secret_scan.scan_into(docs, ledger, secret_scan.RULES)
+    rows = secret_scan.read_ledger(spark, ledger).collect()
+    assert len(rows) == 2 * n and Counter(len(r["versions"]) for r in rows) == {3: n, 5: n}
+
+
+def test_redaction(spark, docs, nothing):
+    found = secret_scan.redacted(docs)
+    texts = {r["doc_id"]: r["text"] for r in found.collect()}
+    assert found.columns == docs.columns and texts[0] is None and texts[6] == TEXTS[6]
+    assert texts[12] == "[secret] and [secret] then [secret]"
+    assert secret_scan.redacted(nothing).count() == 0
+
+
+# 9 nearest neighbours
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 12)).astype(np.float32)
+    v[7] = v[3]
+    v[100:140] = v[50]
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    odd = [(400, None), (450, [0.0] * 12), (500, [1.0, None] * 6), (550, [float("nan")] * 12), (600, [1.0]), (None, [1.0] * 12), (650, [])]
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+    found = defaultdict(list)
+    for r in nearest.searched(table, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    assert set(found) == set(range(0, 400, 50))
+    hits = 0
+    for q, got in found.items():
+        s = np.round(unit @ unit[q], 12)
+        s[q] = -9
+        want = sorted(range(400), key=lambda i: (-s[i], i))[:5]
+        hits += len({i for i, _ in got} & set(want))
+        assert len(got) == 5 and all(abs(s[i] - x) < 1e-9 for i, x in got)
+    assert hits >= 0.9 * 5 * len(found)
+    assert [i for i, _ in found[50]] == [100, 101, 102, 103, 104]
+
+
+def test_few_and_no_vectors(spark):
+    table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 4.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    rows = nearest.searched(table, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], round(r["score"], 12)) for r in rows] == [(1, 1.0), (2, round(-1 / 5**0.5, 12))]
+    assert nearest.searched(table.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# The pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs, kept = source, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert docs.columns == source.columns
+        kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+    assert kept[0] >= kept[1] >= kept[2] == kept[3] == kept[4]
+    verdict = {r["doc_id"] for r in quality_rules.measured(source).where("quality.kept").collect()}
+    assert kept[0] == verdict
