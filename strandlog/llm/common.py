@@ -23,12 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark drops an execution's shuffle files at its end where this is set.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: later jobs start from files, whatever executors are lost."""
+    """`df` written as Parquet to the shared folder and read again: later jobs start from files, whatever executors are lost.
+
+    The shuffle files of the job go with its end: nothing that follows reads them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_path = path
+    return found
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that `written` gave; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parallelism(spark: SparkSession) -> int:
