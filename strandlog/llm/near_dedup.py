@@ -6,8 +6,8 @@ bucket, links are looked for in three steps, so that a bucket of n classes never
 
 1. every class is compared with one hub, the least class of the bucket that it shares the most bands with;
 2. classes that are still in different components are compared with the least and the largest class of each shared bucket;
-3. classes of a bucket that are still in different components are compared by signature, in blocks within a task, and
-   the pairs that pass the signature test go on. Pairs within a component need no test: they are connected already.
+3. classes of a bucket that are still in different components are compared in blocks within a task, by signature and then on the
+   full sets; only links leave it. Pairs within a component need no test: they are connected already.
 
 All links are confirmed on the full sets. The components of the links are found by large-star and small-star.
 
@@ -118,10 +118,10 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
 
 
 def bucketed(classes: DataFrame, near: Near) -> DataFrame:
-    """bucket, class: a row for each class and band, of buckets with two classes or more."""
+    """band, bucket, class: a row for each class and band."""
     size = 4 * near.rows
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * size + 1, size)) for i in range(near.bands)])
-    return classes.select("class", F.explode(keys).alias("bucket"))
+    return classes.select("class", F.posexplode(keys).alias("band", "bucket"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
@@ -131,14 +131,7 @@ def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
         for batch in slices(batches, "set_a"):
             keep = []
             for x, y in zip(pylist(batch, "set_a"), pylist(batch, "set_b")):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < near.percent * len(large):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * both >= near.percent * (len(x) + len(y) - both))
+                keep.append(similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), near.percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias(f"set_{x}"))
@@ -167,35 +160,57 @@ def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
 
 
-#: Members of a bucket that a task compares at a time.
-BLOCK = 1000
+#: Classes of a bucket that a task compares at a time.
+BLOCK = 512
 
 
-def cross_pairs(mixed_buckets: DataFrame, near: Near) -> DataFrame:
-    """Of buckets with more than one label, the pairs of classes with different labels whose signatures agree.
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches the percentage."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-    The members of a bucket are dealt to blocks. Those that don't have the bucket's commonest label go to every block,
-    so that each pair with different labels meets in some block; a task holds a block and compares it with them in parts.
-    """
-    blocks = mixed_buckets.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = blocks.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("odd", F.lit(False))
-    odd = blocks.where("label != usual").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("odd", F.lit(True))
 
-    def run(pdf):
+def cross_links(mixed_buckets: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) between classes of a bucket that have different labels, one at most for a class and a label in a block.
+
+    Classes that don't have the bucket's commonest label are its odd ones. They are compared with all classes of the bucket: both are
+    dealt to blocks, every block of the bucket meets every block of odd ones, and a task compares the two in memory, by signature
+    and then on the full sets. No pair leaves a task but a link. A pair that shares several bands is compared in the first of them.
+    """
+    odd_of = F.col("label") != F.col("usual")
+    sized = mixed_buckets.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("odd_blocks", F.ceil(F.col("n_odd") / BLOCK).cast("int"))
+    deal = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = sized.withColumn("block", deal("blocks")).withColumn("odd_block", every("odd_blocks")).withColumn("odd", F.lit(False))
+    odd = sized.where(odd_of).withColumn("odd_block", deal("odd_blocks")).withColumn("block", every("blocks")).withColumn("odd", F.lit(True))
+
+    def run(key, pdf):
         import pandas as pd
 
         own, odd = pdf[~pdf["odd"]], pdf[pdf["odd"]]
         out = []
         if len(own) and len(odd):
-            sig = np.frombuffer(b"".join(own["signature"]), "<u4").reshape(len(own), -1)
-            classes, labels = own["class"].to_numpy(), own["label"].to_numpy()
-            for c, label, s in zip(odd["class"], odd["label"], odd["signature"]):
-                near_by = (sig == np.frombuffer(s, "<u4")).mean(1) >= near.least_agreement
-                out += [(c, d) for d, other in zip(classes[near_by], labels[near_by]) if other != label]
+            sig = np.frombuffer(b"".join(own["signature"]), "<u4").reshape(len(own), near.bands, near.rows)
+            classes, labels = own["class"].to_list(), own["label"].to_list()
+            sets = [np.frombuffer(x, "<u8") for x in own["shingles"]]
+            for c, label, s, data in zip(odd["class"], odd["label"], odd["signature"], odd["shingles"]):
+                same = sig == np.frombuffer(s, "<u4").reshape(near.bands, near.rows)
+                agreement = same.mean((1, 2))
+                here = (agreement >= near.least_agreement) & (same.all(2).argmax(1) == key[1])
+                mine, done = np.frombuffer(data, "<u8"), {label}
+                at = np.flatnonzero(here)
+                for i in at[np.argsort(-agreement[at], kind="stable")]:
+                    if labels[i] not in done and similar(mine, sets[i], near.percent):
+                        done.add(labels[i])
+                        out.append((c, classes[i]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    both = own.unionByName(odd).select("bucket", "block", "odd", "class", "label", "signature")
-    return both.groupBy("bucket", "block").applyInPandas(run, "a binary, b binary")
+    both = own.unionByName(odd).select("bucket", "band", "block", "odd_block", "odd", "class", "label", "signature", "shingles")
+    return both.groupBy("bucket", "band", "block", "odd_block").applyInPandas(run, "a binary, b binary")
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -237,10 +252,10 @@ def linked(docs: DataFrame, near: Near = Near()) -> tuple[DataFrame, DataFrame,
     roots = joined(roots, written(verified(second, sets, near), "near-links"))
 
     known = labelled(shared, roots)
-    usual = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    mixed_buckets = known.join(usual.select("bucket", F.col("top.label").alias("usual")), "bucket").join(classes.select("class", "signature"), "class")
-    third = written(ordered(cross_pairs(mixed_buckets, near)).join(tried.union(second), ["a", "b"], "left_anti"), "near-pairs")
-    return rows, classes, joined(roots, written(verified(third, sets, near), "near-links"))
+    usual = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("all")).where("labels > 1")
+    usual = usual.select("bucket", F.col("top.label").alias("usual"), (F.col("all") - F.col("top.k")).alias("n_odd"))
+    mixed_buckets = known.join(usual, "bucket").join(classes.select("class", "signature"), "class").join(sets, "class")
+    return rows, classes, joined(roots, written(ordered(cross_links(mixed_buckets, near)), "near-links"))
 
 
 def decided(docs: DataFrame, near: Near) -> DataFrame:
