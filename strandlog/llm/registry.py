@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, language_model, line_dedup, near_dedup, nearest, packing, quality_model, quality_rules, secret_scan
+from . import bpe, chat_format, language_model, line_dedup, near_dedup, nearest, oracle, packing, quality_model, quality_rules, secret_scan
 
 
 def queries():
@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op2_near_dedup": oracle.NEAR, "op4_chat_format": oracle.CHAT}

@@ -390,3 +390,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[0] >= kept[1] >= kept[2] == kept[3] == kept[4]
     verdict = {r["doc_id"] for r in quality_rules.measured(source).where("quality.kept").collect()}
     assert kept[0] == verdict
+
+
+# Queries with SQL twins, on whole tables
+
+
+@pytest.mark.parametrize("name", ["op2_near_dedup", "op4_chat_format"])
+def test_query_equals_its_twin(spark, name):
+    from strandlog.llm import registry
+    from tests.compare import connection, duck_rows, spark_rows
+
+    sf_dir = "/root/testdata/sf0.001"
+    df = registry.queries()[name](spark, sf_dir)
+    names, rows = duck_rows(connection(sf_dir), registry.oracle_sql()[name])
+    assert sorted(df.columns) == names and spark_rows(df) == rows
