@@ -96,3 +96,26 @@ def atomic_evaluation(db, winners: DataFrame) -> DataFrame:
     rows = atomic_members(db).select("type_name", "member").join(best, ["type_name", "member"], "left")
     n = lambda c: F.count(F.when(c, 1))
     return rows.groupBy("type_name").agg(F.countDistinct("member").alias("atomics"), n(F.col("locks").isNotNull()).alias("found"), n(F.col("locks") != "").alias("locked"), n(F.col("locks") == "").alias("not_locked"))
+
+
+def strategy_sweep(rules: DataFrame, swept: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """By setting: documented rules with observations, and those that a winner or one of its equals matches."""
+    observed = rules.select(*MEMBER, "rule").join(hypotheses.select(*MEMBER).distinct(), MEMBER, "left_semi")
+    hit = observed.join(swept.select("setting", *MEMBER, "locks"), MEMBER).where(matches(F.col("rule"), F.col("locks"))).select("setting", *MEMBER, "rule").distinct()
+    matched = hit.groupBy("setting").agg(F.count(F.lit(1)).alias("matched"))
+    every = swept.select("setting").distinct().crossJoin(F.broadcast(observed.agg(F.count(F.lit(1)).alias("observed"))))  # one row
+    return every.join(matched, "setting", "left").fillna(0, ["matched"]).withColumn("percentage", percent(F.col("matched"), F.col("observed")))
+
+
+def prefix_hits(rules: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """By type: rules that the best hypothesis matches from its start (positive), that it doesn't (negative), and without observations."""
+    best = hypotheses.groupBy(*MEMBER).agg(F.max(F.struct("occurrences", F.negative("n_locks"), "locks")).alias("b")).select(*MEMBER, F.col("b.locks").alias("locks"))
+    rows = rules.select(*MEMBER, "rule").join(best, MEMBER, "left").withColumn("hit", F.regexp_like("locks", F.concat(F.lit("^(?:"), "rule", F.lit(")"))))
+    n = lambda c: F.count(F.when(c, 1))
+    return rows.groupBy("type_name").agg(n(F.col("hit")).alias("positive"), n(~F.col("hit")).alias("negative"), n(F.col("locks").isNull()).alias("not_found"))
+
+
+def read_only_ratio(rules: DataFrame, winners: DataFrame) -> DataFrame:
+    """By type: reads of members whose documentation calls them read-only, and those of them mined without a lock."""
+    rows = rules.where("comment = 'ro-member' and access = 'r'").select(*MEMBER).join(winners.where("accepted = 1").select(*MEMBER, "locks"), MEMBER, "left")
+    return rows.groupBy("type_name").agg(F.count(F.lit(1)).alias("read_only"), F.count(F.when(F.col("locks") == "", 1)).alias("no_lock"))

@@ -158,11 +158,14 @@ def searched(orders: dict[tuple[int, ...], dict[tuple[int, ...], int]], total: i
     return found
 
 
-def winners(found: DataFrame, totals: DataFrame, numbers: DataFrame, how: Mining = Mining()) -> DataFrame:
-    """type_name, access, member, locks, accepted (1 winner, 2 equal to it), conflicts (the others, joined by commas)."""
+def swept(found: DataFrame, totals: DataFrame, numbers: DataFrame, grid: list[Mining]) -> DataFrame:
+    """setting (place in the grid), type_name, access, member, locks, accepted (1 winner, 2 equal to it), conflicts (the others, joined by commas).
+
+    All settings of a member are searched in one pass over its hypotheses.
+    """
     import pandas as pd
 
-    schema = "type_name string, access string, member string, locks string, accepted int, conflicts string"
+    schema = "setting int, type_name string, access string, member string, locks string, accepted int, conflicts string"
     # The numbers of all locks: a dimension as small as the set of labels, joined by each hypothesis's locks.
     flat = found.select(*MEMBER, "locks", "occurrences", F.posexplode_outer("locks").alias("pos", "lock")).join(numbers, "lock", "left")
     numbered = flat.groupBy(*MEMBER, "locks", "occurrences").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "number"))), lambda x: x["number"]).alias("order"))
@@ -174,14 +177,26 @@ def winners(found: DataFrame, totals: DataFrame, numbers: DataFrame, how: Mining
             o = tuple(int(x) for x in order if x == x and x is not None)
             orders.setdefault(tuple(sorted(o)), {})[o] = int(n)
             text[o] = " -> ".join(locks)
-        first = pdf.iloc[0]
-        best = searched(orders, int(first["total"]), int(first["with_locks"]), how)
-        rows = [(*first[MEMBER], text.get(o, ""), 1 if k == 0 else 2, ",".join(text.get(x, "") for x in best if x != o)) for k, o in enumerate(best)]
+        first, rows = pdf.iloc[0], []
+        for setting, how in enumerate(grid):
+            best = searched(orders, int(first["total"]), int(first["with_locks"]), how)
+            rows += [(setting, *first[MEMBER], text.get(o, ""), 1 if k == 0 else 2, ",".join(text.get(x, "") for x in best if x != o)) for k, o in enumerate(best)]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     return full.groupBy(*MEMBER).applyInPandas(search, schema)
 
 
+def winners(found: DataFrame, totals: DataFrame, numbers: DataFrame, how: Mining = Mining()) -> DataFrame:
+    """type_name, access, member, locks, accepted, conflicts under one setting."""
+    return swept(found, totals, numbers, [how]).drop("setting")
+
+
+def strategy_grid() -> list[Mining]:
+    """sharpen with a reduction of 10 down to 0 %, bottomup and topdown accepting 100 down to 90 % in half steps, lockset once."""
+    steps = [100 - k / 2 for k in range(21)]
+    return [*[Mining("sharpen", reduction=k / 100) for k in range(10, -1, -1)], *[Mining(s, accept=x / 100) for s in ("bottomup", "topdown") for x in steps], Mining("lockset")]
+
+
 def protected_members(won: DataFrame) -> DataFrame:
     """For documentation: the members that each winning rule of a type protects."""
     return won.where("accepted = 1").groupBy("type_name", "locks").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "access", "member"))), ",").alias("members"))

@@ -343,3 +343,9 @@ n AS (SELECT map, count(*) AS new, sum(inside) AS new_subset FROM f GROUP BY map
 }
 
 SQL["machine_locks"] = base("SELECT raw.id AS seq, coalesce(string_agg(held.lock_id, ',' ORDER BY held.a), '') AS locks FROM raw LEFT JOIN held ON held.id = raw.id GROUP BY raw.id")
+SQL["prefix_hits"] = base(
+    """SELECT r.type_name, count(*) FILTER (regexp_matches(b.locks, '^(?:' || r.rule || ')')) AS positive, count(*) FILTER (NOT regexp_matches(b.locks, '^(?:' || r.rule || ')')) AS negative, count(*) FILTER (b.locks IS NULL) AS not_found
+FROM rules r LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type_name, access, member ORDER BY occurrences DESC, n_locks, locks DESC) AS k FROM sup) WHERE k = 1) b
+  ON b.type_name = r.type_name AND b.access = r.access AND b.member = r.member GROUP BY 1""",
+    CHECKED,
+)

@@ -29,6 +29,12 @@ def winners(strategy: str):
     return build
 
 
+def sweep(db):
+    seen = observations.txn_members_locks(db)
+    combos = mining.combinations(seen)
+    return mining.swept(mining.hypotheses(combos), mining.member_totals(combos), mining.lock_numbers(seen), mining.strategy_grid())
+
+
 TRACE = {
     "flagship_top_rules": lambda db: mining.top_rules(mined(db)),
     "acquisitions": lambda db: db.acquisitions,
@@ -97,6 +103,8 @@ TRACE |= {
     "rule_check": lambda db: evaluation.rule_check(documented.rules(db.spark), mined(db)),
     "rule_check_summary": lambda db: evaluation.rule_check_summary(evaluation.rule_check(documented.rules(db.spark), mined(db))),
     "winner_check_sharpen": lambda db: evaluation.winner_check(documented.rules(db.spark), winners("sharpen")(db), mined(db)),
+    "strategy_sweep": lambda db: evaluation.strategy_sweep(documented.rules(db.spark), sweep(db), mined(db)),
+    "prefix_hits": lambda db: evaluation.prefix_hits(documented.rules(db.spark), mined(db)),
     "mining_stats": lambda db: evaluation.mining_stats(db, winners("sharpen")(db)),
     "protected_members": lambda db: mining.protected_members(winners("sharpen")(db)),
     "atomic_evaluation": lambda db: evaluation.atomic_evaluation(db, winners("topdown")(db)),
