@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -26,17 +26,24 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def marked(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The distinct edges, written, and their number and the exclusive or of their hashes, observed as they are written."""
+    seen = Observation()
+    found = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")), "components")
+    return found, (seen.get["n"], seen.get["x"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: of each node with an edge, but for the roots themselves, the least node of its component.
 
     `edges` has columns a and b of one orderable type, in any direction, without nulls. Every round is written to the shared folder;
-    the rounds end when two in a row have the same edges, by number and sum of hashes.
+    the rounds end when two in a row have the same edges, by number and hashes.
     """
-    now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    mark = None
-    while True:
-        found = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if found == mark or not found["n"]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = found
-        now = written(small_star(large_star(now)), "components")
+    now, mark = marked(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while mark[0]:
+        after, new = marked(small_star(large_star(now)))
+        dropped(now)
+        now, mark, before = after, new, mark
+        if mark == before:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
