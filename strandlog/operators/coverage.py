@@ -62,10 +62,10 @@ def set_cover(maps: DataFrame, restrict: DataFrame | None = None, most: int | No
     """
     spark = maps.sparkSession
     left = unique_blocks(maps) if restrict is None else unique_blocks(maps).join(restrict.select("bb"), "bb", "left_semi")
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     steps, total = [], 0
     left = left.checkpoint()
     while most is None or len(steps) < most:
