@@ -235,6 +235,25 @@ def test_lines_are_brute_forces(docs):
     assert found == {(d, k): (*lines[root[i]][:2], root[i] == i) for i, (d, k, _) in enumerate(lines)}
 
 
+def test_lines_are_compared_by_the_shingles_at_every_character(spark):
+    rng = np.random.default_rng(5)
+    lines = []
+    for _ in range(40):
+        base = " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(1, 10))) for _ in range(24))
+        lines.append(base)
+        for _ in range(3):
+            at, n = rng.integers(0, len(base)), rng.integers(1, 9)
+            lines.append(base[:at] + "x" * n + base[at + n :])
+    lines += ["short", "short x", "日本語" * 3, "日本語" * 3 + "x"]
+    every = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for x in lines]
+    linked = lambda sets: closed(len(lines), lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    root = linked(every)
+    by_words = linked([line_shingles(x) for x in lines])
+    assert any(r != i and by_words[i] == i for i, r in enumerate(root)) and any(r == i and by_words[i] != i for i, r in enumerate(root))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r["doc_id"]: r["rep_doc_id"] for r in line_dedup.decided(docs).collect()} == dict(enumerate(root))
+
+
 def test_cleaned_lines(docs, nothing):
     found = line_dedup.cleaned(docs)
     texts = {r["doc_id"]: r["text"] for r in found.collect()}
