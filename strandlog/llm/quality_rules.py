@@ -2,7 +2,8 @@
 
 A ratio is compressed bytes over UTF-8 bytes. Repetitive text compresses too well, noise hardly at all; what is usual
 depends on the length, so that the limits do as well. A document is rejected by the method where its
-own ratio is outside the band of its length, or where more than a given share of its chunks lies outside the chunks' band.
+own ratio is outside the band of its length, or where more than a given share of its chunks lies outside the chunks' band. Chunks are judged in every text that has a full
+one; the last ends with the text, and overlaps the one before where the length is no multiple.
 The limits are general ones for written prose in any language with an alphabet, not fitted to a corpus.
 
 Defined results: null counts as empty; an empty text has no words, so the base rule fails. Repeated rows give repeated
@@ -43,9 +44,11 @@ class Bands:
         least, most = next((a, b) for n, a, b in self.whole if len(data) <= n)
         if not least <= whole <= most:
             return False, whole
-        if len(data) < 2 * self.chunk_bytes:
+        last = len(data) - self.chunk_bytes
+        if last < 0:
             return True, whole
-        chunks = [data[i : i + self.chunk_bytes] for i in range(0, len(data) - self.chunk_bytes + 1, self.chunk_bytes)]
+        starts = [*range(0, last, self.chunk_bytes), last]
+        chunks = [data[i : i + self.chunk_bytes] for i in starts]
         odd = sum(not self.chunk[0] <= ratio(x) <= self.chunk[1] for x in chunks)
         return odd <= self.chunk_share * len(chunks), whole
 

@@ -169,6 +169,21 @@ def test_compression_bands():
     assert not bands.keeps(prose[:12000].encode() + b"x" * 12000, ratio)[0]
 
 
+def test_every_chunk_and_the_tail_are_judged():
+    seen = []
+    bands = quality_rules.Bands(whole=((float("inf"), 0.0, 9.0),), chunk_bytes=4, chunk=(0.5, 1.0), chunk_share=0.25)
+
+    def kept(data):
+        seen.clear()
+        return bands.keeps(data, lambda x: seen.append(x) or (0.0 if b"x" in x else 0.7))[0]
+
+    assert kept(b"abc") and seen == [b"abc"]
+    assert kept(b"abcd") and seen[1:] == [b"abcd"]
+    assert not kept(b"xbcd") and not kept(b"abcdex")
+    assert kept(b"abcdefgh") and seen[1:] == [b"abcd", b"efgh"]
+    assert not kept(b"abcdefghix") and seen[1:] == [b"abcd", b"efgh", b"ghix"]
+
+
 def test_accepted_keeps_columns(docs, nothing):
     more = docs.withColumn("quality", F.lit("own"))
     found = quality_rules.accepted(more)
