@@ -42,10 +42,21 @@ def of_subsystem(maps: DataFrame, lines: DataFrame, pattern: str) -> DataFrame:
     return maps.select("bb").distinct().join(lines.where(F.col("file").rlike(pattern)), "bb", "left_semi")
 
 
+#: Maps that one row pairs with all maps of their block.
+PART = 64
+
+
 def pairwise_intersections(maps: DataFrame) -> DataFrame:
-    """Sizes of the intersections of all ordered pairs of maps that share a block."""
-    u = unique_blocks(maps)
-    return u.select("bb", F.col("map").alias("map_a")).join(u.select("bb", F.col("map").alias("map_b")), "bb").where("map_a <> map_b").groupBy("map_a", "map_b").agg(F.count(F.lit(1)).alias("n"))
+    """Sizes of the intersections of all ordered pairs of maps that share a block. Blocks with the same set of maps are one, with their count as weight."""
+    sets = unique_blocks(maps).where("bb is not null").groupBy("bb").agg(F.array_sort(F.collect_set("map")).alias("maps"))
+    weighted = sets.groupBy("maps").agg(F.count(F.lit(1)).alias("weight"))
+    # A part of a set's maps against all of them is a row: the pairs of a block that many maps share are made by many tasks.
+    parts = F.transform(F.sequence(F.lit(1), F.size("maps"), F.lit(PART)), lambda i: F.slice("maps", i, PART))
+    session = maps.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    dealt = weighted.select("maps", "weight", F.explode(parts).alias("part")).repartition(n, "maps", "part")
+    pairs = dealt.select("maps", "weight", F.explode("part").alias("map_a")).select("map_a", F.explode("maps").alias("map_b"), "weight")
+    return pairs.where("map_a <> map_b").groupBy("map_a", "map_b").agg(F.sum("weight").alias("n"))
 
 
 def suite_overlaps(suites: DataFrame) -> DataFrame:

@@ -23,6 +23,27 @@ def test_equals_its_twin(spark, duck, name):
     assert spark_rows(df) == rows
 
 
+def test_pairs_of_all_maps_are_brute_forces(spark):
+    from strandlog.sources.coverage import Coverage
+
+    sf = "/root/testdata/sf0.01"
+    blocks = {}
+    for r in Coverage(spark, sf).maps.select("map", "bb").collect():
+        blocks.setdefault(r["map"], set()).add(r["bb"])
+    want = {(a, b): len(blocks[a] & blocks[b]) for a in blocks for b in blocks if a != b and blocks[a] & blocks[b]}
+    assert any(a >= 20 for a, _ in want)
+    rows = registry.queries()["coverage_pairs_all"](spark, sf).collect()
+    assert len(rows) == len(want) and {(r["map_a"], r["map_b"]): r["n"] for r in rows} == want
+
+
+def test_pairs_of_a_block_that_many_maps_share(spark):
+    from strandlog.operators.coverage import pairwise_intersections
+
+    maps = spark.createDataFrame([(m, bb) for m in range(150) for bb in ("a", "b")] + [(0, "c"), (149, "c"), (7, None), (8, None)], "map long, bb string")
+    found = {(r["map_a"], r["map_b"]): r["n"] for r in pairwise_intersections(maps).collect()}
+    assert found == {(a, b): 3 if {a, b} == {0, 149} else 2 for a in range(150) for b in range(150) if a != b}
+
+
 def test_set_cover_takes_all_blocks(spark):
     rows = registry.queries()["coverage_set_cover"](spark, SF).orderBy("step").collect()
     gains = [r["gain"] for r in rows]
