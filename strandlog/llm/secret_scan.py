@@ -51,7 +51,8 @@ BASE = (
     Rule("hex", "[0-9a-f]{24,}"),
 )
 ADDED = (
-    Rule("pem", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
+    # From BEGIN to the END line of the same label; where that is missing, or another BEGIN comes first, to the end of the headers and base64 that follow.
+    Rule("pem", r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1-----|(?:(?:\s|\\[rn])*(?:(?:Proc-Type|DEK-Info):[^\n]*|[A-Za-z0-9+/]{16,}={0,2}))*(?:\s*\n[A-Za-z0-9+/]{1,15}={0,2}(?=\s*(?:\n|\Z)))?)"),
     Rule("vcs", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

@@ -372,6 +372,19 @@ def test_redaction(spark, docs, nothing):
     assert secret_scan.redacted(nothing).count() == 0
 
 
+def test_a_private_key_goes_with_its_body(spark, nothing):
+    begin, end, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MIIEowIBAAKCAQEA" * 4
+    texts = {
+        f"a {begin}\n{body}\n{body}\nab==\n{end} z": "a [secret] z",
+        f"a {begin}\nProc-Type: 4,ENCRYPTED\n\n{body}\nAbc\nplain words follow": "a [secret]\nplain words follow",
+        f"{begin}\n{body}\n{begin}\n{body}\n{end} z": "[secret]\n[secret] z",
+        f"{begin}\\n{body}\\n{end} z": "[secret] z",
+        f"{begin} and words": "[secret] and words",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()} == dict(enumerate(texts.values()))
+
+
 # 9 nearest neighbours
 
 
