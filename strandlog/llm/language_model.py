@@ -7,7 +7,8 @@ tokens. Scores are normalised: the logits of each distinct context of a batch co
 softmax is taken over all classes. A word of the class of others has that class's probability times its share of it by counts plus
 one, where unseen words are one more word; so that probabilities sum to one over all words.
 
-Counts of the `broadcast_words` most frequent words go to all tasks; those of the others are joined.
+Counts of about the `broadcast_words` most frequent words, and of the end, go to all tasks; those of the others are joined. The result doesn't depend on how many there are,
+as long as the model's own words are among them.
 
 Defined results: null counts as empty; an empty text is its end token. A null id is not held out. Repeated rows are
 texts like any other. An empty table gives an empty result; where nothing is left to train on, counts are zero and the model is uniform. Other
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pylist, slices, table, written
+from .common import parallelism, pylist, slices, table, written
 
 #: The end of a text, counted as a token; no word is empty.
 END = b""
@@ -70,6 +71,30 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of `counts` (word, n) with the largest n, `most` at the most and about as many where there are more; rows of about equal n are chosen by their hashes.
+
+    Histograms find the limits, so that no partition sends its own `most` rows to the driver.
+    """
+    level, place = F.floor(16 * F.log2("n")), F.pmod(F.xxhash64("word"), F.lit(4096))
+    sizes = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)  # some hundred rows
+    room, least = most, None
+    for at, size in sizes:
+        if size > room:
+            break
+        room, least = room - size, at
+    else:
+        return counts
+    places = sorted((r["place"], r["count"]) for r in counts.where(level == at).groupBy(place.alias("place")).count().collect())
+    end = 0
+    for k, size in places:
+        if size > room:
+            break
+        room, end = room - size, k + 1
+    above = F.lit(False) if least is None else level >= least
+    return counts.where(above | ((level == at) & (place < end)))
+
+
 @dataclass
 class Parameters:
     """Vectors of context words, scales of the two places, vectors and biases of predicted words."""
@@ -193,7 +218,18 @@ def trained(docs: DataFrame, number: dict[bytes, int], share: np.ndarray, how: B
             yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([trainer.p.flat().astype(float) * tokens], pa.list_(pa.float64()))], names=["tokens", "p"])
 
     start_like = Parameters(*(np.empty_like(x) for x in (start.context, start.scale, start.target, start.bias)))
-    sums = docs.select("text").mapInArrow(run, "tokens double, p array<double>").select("tokens", F.posexplode("p")).groupBy("pos").agg((F.sum("col") / F.sum("tokens")).alias("v"))
+    def added_up(batches):
+        tokens, total = 0.0, 0.0
+        for batch in batches:
+            for n, p in zip(pylist(batch, "tokens"), batch.column(1)):
+                tokens, total = tokens + n, total + p.values.to_numpy()
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([total], pa.list_(pa.float64()))], names=["tokens", "p"])
+
+    each = docs.select("text").mapInArrow(run, "tokens double, p array<double>")
+    # A vector for each task: about the root of their number are added in each of as many tasks, and these sums meet as rows.
+    groups = max(1, math.isqrt(parallelism(spark)))
+    sums = each.repartition(groups).mapInArrow(added_up, "tokens double, p array<double>").select("tokens", F.posexplode("p")).groupBy("pos").agg((F.sum("col") / F.sum("tokens")).alias("v"))
     flat = start.flat().astype(float)
     for r in sums.collect():  # as many rows as the model has parameters
         flat[r["pos"]] = r["v"]
@@ -208,7 +244,8 @@ def scored(docs: DataFrame, held_out, how: Bilinear = Bilinear()) -> DataFrame:
     counts = written(counted(training), "language-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = total["n"], total["v"]
-    top = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(how.broadcast_words).collect()}
+    kept = commonest(counts, how.broadcast_words).union(counts.where(F.col("word") == F.lit(END)))
+    top = dict(sorted(((bytes(r["word"]), r["n"]) for r in kept.collect()), key=lambda x: (-x[1], x[0])))
     known = list(top)[: how.words]
     if END not in known:
         known = [END, *known[: how.words - 1]]

@@ -13,6 +13,7 @@ several vectors is a candidate with each. Ties go to the smaller id. An empty ta
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -166,7 +167,10 @@ def searched(vectors: DataFrame, is_query, how: IVFPQ = IVFPQ()) -> DataFrame:
     n = entries.count()
     if not n:
         return spark.createDataFrame([], schema)
-    drawn = entries.orderBy(F.xxhash64("entry"), "entry").limit(how.sample).select("vector").collect()
+    # Of the entries with small hashes, a little more than the sample, the smallest are taken: no partition sends a sample of its own to the driver.
+    place, space = F.pmod(F.xxhash64("entry"), F.lit(1 << 40)), 1 << 40
+    drawn = entries.where(place < min(space, math.ceil(1.05 * how.sample / n * space))).select(place.alias("place"), "entry", "vector").collect()
+    drawn = sorted(drawn, key=lambda r: (r["place"], bytes(r["entry"])))[: how.sample]
     x = unit(np.frombuffer(b"".join(r["vector"] for r in drawn), "<f8").reshape(len(drawn), -1))
     lists = max(1, min(how.most_lists, round(n**0.5), len(x) // 16))
     index = spark.sparkContext.broadcast(fitted(x, lists, how))

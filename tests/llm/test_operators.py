@@ -295,6 +295,28 @@ def test_language_model(docs, nothing):
     assert language_model.scored(nothing, held_out).count() == 0
 
 
+@pytest.mark.parametrize("most", [3, 4, 1000])
+def test_the_end_counts_in_few_long_texts(spark, most):
+    texts = ["a a a b b b c c c d d", "a a b b c c d d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter(w for t in texts for w in [*t.split(), ""])
+    n, v = sum(counts.values()), len(counts)
+    how = language_model.Bilinear(words=3, width=4, broadcast_words=most)
+    for r in language_model.scored(docs, F.lit(False), how).collect():
+        words = [*texts[r["doc_id"]].split(), ""]
+        assert r["n_known"] == r["n_tokens"] == len(words)
+        assert abs(r["base_score"] - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)) < 1e-9
+
+
+def test_commonest_words(spark):
+    rows = [(f"w{k}".encode(), n) for k, n in enumerate([900, 500, 500, 40, *[7] * 300, *[1] * 500])]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    for most in (0, 1, 2, 3, 4, 100, 304, 500, 804, 9999):
+        found = [r["n"] for r in language_model.commonest(counts, most).collect()]
+        assert len(found) <= most and sorted(found, reverse=True) == sorted((n for _, n in rows), reverse=True)[: len(found)]
+        assert len(found) == most or most in (2, 100, 500) and len(found) > 0.9 * min(most, 804) - 2 or most == 9999
+
+
 def test_probabilities_sum_to_one_and_training_helps():
     rng = np.random.default_rng(0)
     share = np.full(6, 1 / 6)
