@@ -6,7 +6,7 @@ they found. A scan takes the distinct blobs of its input, leaves out the pairs o
 that the ledger has, runs the others, appends them, and joins findings back to all paths.
 
 Defined results: null counts as empty. Rows are paths, so repeated rows and null ids each get their findings. An empty
-table gives an empty result and appends nothing. Other columns are carried by `redacted`, ignored by `scanned`. Findings of different rules may overlap.
+table gives an empty result and appends nothing. Other columns are carried along. Findings of different rules may overlap.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def scan_into(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) ->
 
 
 def found_in(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of `docs`, and `found`: array<struct<start, rank, kind, end>> in order of start and rule, from the ledger."""
+    """All columns of `docs`, and `found`: array<struct<start, rank, kind, end>> in order of start and rule, from the ledger. A column `found` of `docs` is named `found own`."""
     spark = docs.sparkSession
     order = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.version, k)])
     kinds = F.array(*[F.lit(r.kind) for r in rules])
@@ -105,12 +105,9 @@ def found_in(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
         .groupBy("blob")
         .agg(F.sort_array(F.collect_list(F.struct("f.start", "rank", F.element_at(kinds, F.col("rank") + 1).alias("kind"), "f.end"))).alias("found"))
     )
-    clash = [c for c in docs.columns if c.lower() in ("blob", "found")]
-    if clash:
-        raise ValueError(f"rename {clash} before the scan")
-    paths = docs.withColumn("blob", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    paths = docs.withColumnsRenamed({c: f"{c} own" for c in docs.columns if c.lower() == "found"}).withColumn("blob of text", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     # Nothing above this join needs a blob's paths together, so that adaptive execution can split a blob with many paths.
-    return paths.join(findings, "blob", "left").drop("blob")
+    return paths.join(findings.withColumnRenamed("blob", "blob of text"), "blob of text", "left").drop("blob of text")
 
 
 def scanned(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -122,8 +119,8 @@ def scanned(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
 
 def redacted(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`docs` with every found span, overlapping ones as one, replaced by [secret]; texts without findings stay as they are, null included."""
-    own = {c: f"{c} own" for c in docs.columns if c.lower() in ("blob", "found")}
-    found = scanned(docs.withColumnsRenamed(own), ledger, rules)
+    own = {c: f"{c} own" for c in docs.columns if c.lower() == "found"}
+    found = scanned(docs, ledger, rules)
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
