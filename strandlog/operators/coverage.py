@@ -76,7 +76,10 @@ def set_cover(maps: DataFrame, restrict: DataFrame | None = None, most: int | No
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp())
     steps, total = [], 0
     left = left.checkpoint()
     while most is None or len(steps) < most:
@@ -138,8 +141,9 @@ def covered_by_walks(instructions: DataFrame, pcs: DataFrame) -> DataFrame:
     """Distinct (file, line) of the instructions that a walk from some pc meets before the next stop, the stop's included.
 
     `instructions` has part, addr, file, line, is_stop. Each one belongs to the island that the next stop ends; a pc covers its island from itself on.
+    The next stop is the running minimum from the end, one step a row. A part is one task; a binary has as many parts as functions.
     """
-    ahead = F.min(F.when(F.col("is_stop"), F.col("addr"))).over(Window.partitionBy("part").orderBy("addr").rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.min(F.when(F.col("is_stop"), F.col("addr"))).over(Window.partitionBy("part").orderBy(F.desc("addr")).rowsBetween(Window.unboundedPreceding, 0))
     islands = instructions.withColumn("island", F.coalesce(ahead, F.lit(-1)))
     from_ = islands.join(pcs.select("part", "addr"), ["part", "addr"], "left_semi").groupBy("part", "island").agg(F.min("addr").alias("first"))
     return islands.join(from_, ["part", "island"]).where("addr >= first").select("file", "line").distinct()

@@ -317,7 +317,7 @@ SQL |= {
     "coverage_intersection": inputs("SELECT bb FROM maps WHERE map = 0 INTERSECT SELECT bb FROM maps WHERE map = 1"),
     "coverage_minus": inputs("SELECT bb FROM maps WHERE map = 0 EXCEPT SELECT bb FROM maps WHERE map = 1"),
     "coverage_subsystem": inputs("SELECT DISTINCT bb FROM maps WHERE number % 5 IN (1, 2)"),
-    "coverage_pairs": inputs("SELECT a.map AS map_a, b.map AS map_b, count(*) AS n FROM (SELECT DISTINCT map, bb FROM maps WHERE map < 20) a JOIN (SELECT DISTINCT map, bb FROM maps WHERE map < 20) b ON a.bb = b.bb AND a.map <> b.map GROUP BY ALL"),
+    **dict.fromkeys(("coverage_pairs", "coverage_pairs_all"), inputs("SELECT a.map AS map_a, b.map AS map_b, count(*) AS n FROM (SELECT DISTINCT map, bb FROM maps) a JOIN (SELECT DISTINCT map, bb FROM maps) b ON a.bb = b.bb AND a.map <> b.map GROUP BY ALL")),
     "coverage_suite_overlaps": inputs(
         """SELECT array_to_string(list_filter(s, lambda x, i: (mask >> (i - 1)) & 1 = 1), '&') AS suites, count(*) AS n
 FROM (SELECT s, unnest(range(1, CAST(pow(2, len(s)) AS BIGINT))) AS mask FROM (SELECT bb, list_sort(list(DISTINCT 's' || (map % 4))) AS s FROM maps WHERE number % 4 <> map % 4 GROUP BY bb)) GROUP BY 1"""
@@ -342,6 +342,54 @@ n AS (SELECT map, count(*) AS new, sum(inside) AS new_subset FROM f GROUP BY map
     "coverage_curve_lines": inputs("SELECT DISTINCT number AS i, number % 16 AS x, number // 16 AS y FROM maps"),
 }
 
+# The quadrants of a Hilbert curve, from the last two bits of a cell's number on; a spiral as a walk whose k-th step has the direction of its leg.
+SQL["coverage_curve_hilbert"] = inputs(
+    """SELECT i, x, y FROM hil WHERE s = 16""",
+    """,
+hil AS (
+  SELECT DISTINCT number AS i, number::BIGINT AS d, 0::BIGINT AS x, 0::BIGINT AS y, 1::BIGINT AS s FROM maps
+  UNION ALL
+  SELECT i, d // 4, CASE WHEN ry = 1 THEN x WHEN rx = 1 THEN s - 1 - y ELSE y END + s * rx, CASE WHEN ry = 1 THEN y WHEN rx = 1 THEN s - 1 - x ELSE x END + s * ry, s * 2
+  FROM (SELECT *, (d // 2) % 2 AS rx, xor(d % 2, (d // 2) % 2) AS ry FROM hil) WHERE s < 16)""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+SQL["coverage_curve_spiral"] = inputs(
+    """SELECT k AS i, 8 + x AS x, 8 + y AS y FROM way WHERE k IN (SELECT number FROM maps)""",
+    """,
+leg AS (SELECT k, CASE WHEN k = 0 THEN -1 ELSE (floor(sqrt(4 * k - 3))::BIGINT - 1) % 4 END AS turn FROM (SELECT unnest(range(0, 256)) AS k)),
+way AS (SELECT k, sum(CASE turn WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END) OVER (ORDER BY k)::BIGINT AS x, sum(CASE turn WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END) OVER (ORDER BY k)::BIGINT AS y FROM leg)""",
+)
+# Each step's map has the most blocks that are not taken; the taken ones are a list.
+SQL["coverage_set_cover"] = inputs(
+    "SELECT step, map, gain, total FROM cov WHERE step > 0",
+    """,
+u AS (SELECT map, list(DISTINCT bb) AS bbs FROM maps GROUP BY map),
+cov AS (
+  SELECT 0 AS step, 0::BIGINT AS map, 0::BIGINT AS gain, 0::BIGINT AS total, [''] AS taken
+  UNION ALL
+  SELECT step, map, gain, total, taken FROM (
+    SELECT c.step + 1 AS step, u.map::BIGINT AS map, len(list_filter(u.bbs, lambda b: NOT list_contains(c.taken, b)))::BIGINT AS gain, c.total + len(list_filter(u.bbs, lambda b: NOT list_contains(c.taken, b)))::BIGINT AS total,
+      list_concat(c.taken, u.bbs) AS taken, row_number() OVER (ORDER BY len(list_filter(u.bbs, lambda b: NOT list_contains(c.taken, b))) DESC, u.map) AS k
+    FROM cov c CROSS JOIN u) WHERE k = 1 AND gain > 0)""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+# Of the orders of locks that every observation has, the longest; equal ones by their locks' numbers.
+SQL["winners_lockset"] = base(
+    """SELECT w.type_name, w.access, w.member, array_to_string(w.locks, ' -> ') AS locks, CASE WHEN w.k = 1 THEN 1 ELSE 2 END AS accepted,
+  coalesce((SELECT string_agg(array_to_string(o.locks, ' -> '), ',' ORDER BY o.k) FROM longest o WHERE o.type_name = w.type_name AND o.access = w.access AND o.member = w.member AND o.k <> w.k), '') AS conflicts
+FROM longest w""",
+    MINED
+    + """,
+num AS (SELECT lock, row_number() OVER (ORDER BY seen) AS number FROM (
+  SELECT lock, min({'a': type_id, 'b': occurrences, 'c': members_accessed, 'd': locks_held, 'e': pos}) AS seen
+  FROM (SELECT *, unnest(string_split(locks_held, ',')) AS lock, generate_subscripts(string_split(locks_held, ','), 1) AS pos FROM obs WHERE locks_held <> '') GROUP BY lock)),
+always AS (SELECT h.type_name, h.access, h.member, h.locks FROM hyp h JOIN tot t USING (type_name, access, member) WHERE h.occurrences = t.total),
+placed AS (
+  SELECT a.type_name, a.access, a.member, a.locks, coalesce(list_sort(list(n.number) FILTER (n.number IS NOT NULL)), []) AS numbers
+  FROM (SELECT *, unnest(CASE WHEN len(locks) = 0 THEN [''] ELSE locks END) AS lock FROM always) a LEFT JOIN num n ON n.lock = a.lock GROUP BY ALL),
+longest AS (
+  SELECT *, row_number() OVER (PARTITION BY type_name, access, member ORDER BY numbers) AS k
+  FROM (SELECT *, max(len(locks)) OVER (PARTITION BY type_name, access, member) AS most FROM placed) WHERE len(locks) = most)""",
+)
+
 SQL["machine_locks"] = base("SELECT raw.id AS seq, coalesce(string_agg(held.lock_id, ',' ORDER BY held.a), '') AS locks FROM raw LEFT JOIN held ON held.id = raw.id GROUP BY raw.id")
 SQL["prefix_hits"] = base(
     """SELECT r.type_name, count(*) FILTER (regexp_matches(b.locks, '^(?:' || r.rule || ')')) AS positive, count(*) FILTER (NOT regexp_matches(b.locks, '^(?:' || r.rule || ')')) AS negative, count(*) FILTER (b.locks IS NULL) AS not_found

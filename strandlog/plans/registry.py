@@ -124,7 +124,7 @@ COVERAGE = {
     "coverage_intersection": lambda c: coverage.intersection(c.maps, [0, 1]),
     "coverage_minus": lambda c: coverage.minus(c.maps, 0, 1),
     "coverage_subsystem": lambda c: coverage.of_subsystem(c.maps, c.maps.select("bb", F.concat(F.lit("/d"), (F.col("number") % 5).cast("string")).alias("file")), "^/d[12]"),
-    "coverage_pairs": lambda c: coverage.pairwise_intersections(c.maps.where("map < 20")),
+    "coverage_pairs": lambda c: coverage.pairwise_intersections(c.maps),
     "coverage_pairs_all": lambda c: coverage.pairwise_intersections(c.maps),
     "coverage_suite_overlaps": lambda c: coverage.suite_overlaps(c.suites),
     "coverage_series": lambda c: coverage.cumulative(c.maps, F.col("bb") < "0000000000000064"),
