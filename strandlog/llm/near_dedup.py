@@ -262,8 +262,11 @@ def decided(docs: DataFrame, near: Near) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for each row of `docs`."""
     rows, classes, roots = linked(docs, near)
     members = labelled(classes.select("class", "first_id"), roots)
-    smallest = members.groupBy("label").agg(F.min("first_id").alias("component"))
-    component = members.join(smallest, "label").select("class", "component")
+    # A table of its own, so that the join isn't tied to the grouping and a large component can be split.
+    smallest = written(members.groupBy("label").agg(F.min("first_id").alias("component"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "near-smallest")
+    # `component` may be null where no member has an id; a class alone has no row here.
+    joined_up = members.join(smallest.withColumn("several", F.lit(True)), "label", "left")
+    component = joined_up.select("class", F.when(F.col("several"), F.col("component")).otherwise(F.col("first_id")).alias("component"))
     found = rows.select("doc_id", "text_hash", "n", "class").join(component, "class", "left")
     label = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return found.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), label.alias("component_id"), F.col("doc_id").eqNullSafe(label).alias("kept"))
