@@ -7,6 +7,13 @@
 5. packing: what is left, cut into pieces and packed into sequences of 2048 tokens.
 
 The first four return the columns of `documents`; n_chars follows the text.
+
+Near-dedup takes the setting of pipelines, shingles of five words; the query of that operator takes two. Copies that differ in few words have often lost their
+common lines in stage 2 already, so that stage 3 finds fewer of them than the query does.
+
+Defined results: null, empty and blank texts, and those under 50 words, fail the base rule of stage 1 and go. Documents that stage 2 leaves without a word go.
+Rows with one id and one text are one document in stages 2 and 3; a null id takes part, and comes first in stage 2. Texts of any length are taken whole. Other columns
+are carried up to packing, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -38,7 +38,7 @@ def txn_members_locks(db, subclasses: bool = False, write_over_read: bool = Fals
     else:
         folded = inside.select(*keys, "byte_offset", "member", "ac_type").distinct()
     groups = folded.groupBy(*keys).agg(joined_in_order(["byte_offset", "ac_type", "member"], F.concat_ws(":", "ac_type", "member"), ",").alias("members_accessed"))
-    held = groups.join(db.locks_held.select("txn_id", "lock_id", "start"), "txn_id").join(F.broadcast(described_locks(db, subclasses)), "lock_id")
+    held = groups.join(db.locks_held.select("txn_id", "lock_id", "start"), "txn_id").join(described_locks(db, subclasses), "lock_id")
     locked = held.groupBy(*keys, "members_accessed").agg(joined_in_order(["start", "lock_id"], label(F.col("alloc_id")), ",").alias("locks_held")).select("type_id", "members_accessed", "locks_held")
     free = flat.where("txn_id is null").select("type_id", F.concat_ws(":", "ac_type", "member").alias("members_accessed"), F.lit("").alias("locks_held"))
     return locked.unionAll(free).groupBy("type_id", "members_accessed", "locks_held").agg(F.count(F.lit(1)).alias("occurrences")).join(type_names(db, subclasses), "type_id").select("type_id", "type_name", "members_accessed", "locks_held", "occurrences")
@@ -48,7 +48,7 @@ def stack_members_locks(db, subclasses: bool = False, data_type: str | None = No
     """type_name, member, locks_held, occurrences: distinct stack traces for each member, access type and sequence of locks."""
     flat = chosen(db, subclasses, data_type, member)
     keys = ["type_id", "member", "ac_type", "stacktrace_id"]
-    held = flat.where("txn_id is not null").join(db.locks_held.select("txn_id", "lock_id", "start"), "txn_id").join(F.broadcast(described_locks(db, subclasses)), "lock_id")
+    held = flat.where("txn_id is not null").join(db.locks_held.select("txn_id", "lock_id", "start"), "txn_id").join(described_locks(db, subclasses), "lock_id")
     locked = held.groupBy("ac_id", *keys).agg(joined_in_order(["start", "lock_id"], label(F.col("alloc_id")), ",").alias("locks_held"))
     every = locked.select(*keys, "locks_held").unionAll(flat.where("txn_id is null").select(*keys, F.lit("").alias("locks_held")))
     counted = every.groupBy("type_id", "member", "ac_type", "locks_held").agg(F.countDistinct("stacktrace_id").alias("occurrences"))
@@ -73,7 +73,7 @@ def lock_free_accesses(db) -> DataFrame:
 
 def lock_distribution(db) -> DataFrame:
     """Accesses for each allocation, member and set of lock types held."""
-    types = db.locks_held.join(F.broadcast(db.locks.select(F.col("id").alias("lock_id"), "lock_type_name", "sub_lock")), "lock_id").groupBy("txn_id").agg(joined_in_order(["start", "lock_id"], F.concat("lock_type_name", F.lit("["), "sub_lock", F.lit("]")), "+").alias("locks"))
+    types = db.locks_held.join(db.locks.select(F.col("id").alias("lock_id"), "lock_type_name", "sub_lock"), "lock_id").groupBy("txn_id").agg(joined_in_order(["start", "lock_id"], F.concat("lock_type_name", F.lit("["), "sub_lock", F.lit("]")), "+").alias("locks"))
     return db.accesses_flat.join(types, "txn_id", "left").groupBy("alloc_id", "member_name_id", "ac_type", F.coalesce("locks", F.lit("")).alias("locks")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -126,7 +126,7 @@ def event_histogram(db) -> DataFrame:
 
 def context_distribution(db) -> DataFrame:
     """Accesses by type, member, top lock's type and kind of context, which bit masks on the event's k tell apart."""
-    top = db.locks_held.join(F.broadcast(db.locks.select(F.col("id").alias("lock_id"), "lock_type_name")), "lock_id").groupBy("txn_id").agg(F.max(F.struct("start", "lock_id", "lock_type_name")).alias("t"))
+    top = db.locks_held.join(db.locks.select(F.col("id").alias("lock_id"), "lock_type_name"), "lock_id").groupBy("txn_id").agg(F.max(F.struct("start", "lock_id", "lock_type_name")).alias("t"))
     flags = db.events.select(F.col("seq").alias("ac_id"), F.col("k").alias("flags"))
     where = F.when(F.col("flags").bitwiseAND(0x40) != 0, "hardirq").when(F.col("flags").bitwiseAND(0x20) != 0, "softirq").otherwise("task")
     return db.accesses_flat.join(flags, "ac_id").join(top, "txn_id", "left").groupBy("ac_type", "member_name_id", F.coalesce("t.lock_type_name", F.lit("none")).alias("lock"), where.alias("irq")).agg(F.count(F.lit(1)).alias("n"))

@@ -42,7 +42,7 @@ def confirming(db, accesses: DataFrame, rule: list[str], in_order: bool) -> Data
     good = accesses.where("txn_id is not null").select("ac_id", "txn_id", "alloc_id")
     last_other = None
     for k, ref in enumerate(refs):
-        held = db.locks_held.select("txn_id", "lock_id", F.col("start").alias(f"start_{k}")).join(F.broadcast(candidates(db, ref)), "lock_id").withColumnsRenamed({"owner": f"owner_{k}"}).drop("lock_id")
+        held = db.locks_held.select("txn_id", "lock_id", F.col("start").alias(f"start_{k}")).join(candidates(db, ref), "lock_id").withColumnsRenamed({"owner": f"owner_{k}"}).drop("lock_id")
         good = good.join(held, "txn_id")
         if ref.kind == "same":
             good = good.where(F.col(f"owner_{k}") == F.col("alloc_id"))
@@ -71,7 +71,7 @@ def examples(db, data_type: str, member: str, access: str, rule: list[str], in_o
     good = confirming(db, accesses, rule, in_order)
     chosen = accesses.join(good, "ac_id", "left_anti" if counter else "left_semi")
     site = F.concat_ws("", label(F.col("alloc_id"), other), F.lit("@"), "last_file", F.lit(":"), F.col("last_line").cast("string"))
-    held = chosen.select("ac_id", "alloc_id", "txn_id").join(db.locks_held, "txn_id").join(F.broadcast(described_locks(db, True)), "lock_id").groupBy("ac_id").agg(joined_in_order(["start", "lock_id"], site, ",").alias("locks"))
+    held = chosen.select("ac_id", "alloc_id", "txn_id").join(db.locks_held, "txn_id").join(described_locks(db, True), "lock_id").groupBy("ac_id").agg(joined_in_order(["start", "lock_id"], site, ",").alias("locks"))
     with_locks = chosen.select("ac_id", "stacktrace_id").join(held, "ac_id", "left").select("stacktrace_id", F.coalesce("locks", F.lit("nolocks")).alias("locks"))
     counts = with_locks.groupBy("stacktrace_id", "locks").agg(F.count(F.lit(1)).alias("n"))
     # Most frequent first, then the larger text: sorted upwards and reversed.
@@ -121,7 +121,7 @@ def by_lock_member_function(db, data_type: str | None = None, member: str | None
     flagged = flagged.withColumn("hidden", (F.col("ac_type") == "r") & (other_writes > 0)).withColumn("flatten", F.when(F.col("ac_type") == "r", other_reads > 0).otherwise(other_writes > 0))
     plain = described_locks(db, True).withColumn("place", F.regexp_replace("place", r"\?\[", "["))
     site = F.concat_ws("", label(F.col("alloc_id")), F.lit("@"), "last_file", F.lit(":"), F.col("last_line").cast("string"))
-    held = found.select("ac_id", "alloc_id", "txn_id").where("txn_id is not null").join(db.locks_held, "txn_id").join(F.broadcast(plain), "lock_id").groupBy("ac_id").agg(joined_in_order(["start", "lock_id"], site, " -> ").alias("locks"))
+    held = found.select("ac_id", "alloc_id", "txn_id").where("txn_id is not null").join(db.locks_held, "txn_id").join(plain, "lock_id").groupBy("ac_id").agg(joined_in_order(["start", "lock_id"], site, " -> ").alias("locks"))
     same_member = (F.col("f.member_name_id").eqNullSafe(F.col("t.member_name_id"))) & (F.col("f.stacktrace_id") == F.col("t.stacktrace_id")) & (F.col("f.subclass_id") == F.col("t.subclass_id"))
     full = flagged.alias("f").join(trace.alias("t"), same_member).select("ac_id", "dt_name", "sl_member", "ac_type", "stacktrace", "hidden", "flatten").join(held, "ac_id", "left")
     return full.groupBy("dt_name", "sl_member", "ac_type", "stacktrace", F.coalesce("locks", F.lit("nolocks")).alias("locks_held")).agg(F.count(F.lit(1)).alias("total"), F.bool_or("hidden").alias("hidden_access"), F.bool_or("flatten").alias("flatten_accesses"))
