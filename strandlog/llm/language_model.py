@@ -1,11 +1,13 @@
 """Language-model scores: a log-bilinear model trained in numpy with noise-contrastive estimation.
 
-Words are counted over all training texts. The model knows the most frequent ones and one class for all others. It predicts a
-word's vector from those of the two words before, each scaled by a vector of its place, and scores a word by inner product and
-bias. Every task trains on its own texts, all of them, from one common start; parameters are averaged in Spark, weighted by
-tokens. Scores are normalised: the logits of each distinct context of a batch come from one matrix product, and their
-softmax is taken over all classes. A word of the class of others has that class's probability times its share of it by counts plus
-one, where unseen words are one more word; so that probabilities sum to one over all words.
+Words are counted over all training texts. The vocabulary follows the counts: all words seen `least` times or more, the most frequent
+`words` of them where there are more (a bound on memory), and one entry for all others. The model predicts a word's vector from those of
+the two words before, each scaled by a vector of its place, and scores in two levels, by inner products and biases: first the word's
+class, a run of words of about equal frequency, then the word within its class. There are about as many classes as the root of the
+vocabulary. Every training text is learned from once, in `rounds` rounds of texts: in each, every task trains on its own texts from one
+common start, and parameters are averaged in Spark, weighted by tokens. Scores are normalised: softmax over the classes, for each
+distinct context once, times softmax over the words of the class, both from matrix products. Another word has the entry of others'
+probability times its share of it by counts plus one, where unseen words are one more word; so that probabilities sum to one over all words.
 
 Counts of about the `broadcast_words` most frequent words, and of the end, go to all tasks; those of the others are joined. The result doesn't depend on how many there are,
 as long as the model's own words are among them.
@@ -35,13 +37,18 @@ END = b""
 
 @dataclass(frozen=True)
 class Bilinear:
-    #: Words that the model knows, the end included; all others are one class.
-    words: int = 1000
+    #: The most words that the model knows, the end included; all others are one entry.
+    words: int = 1 << 15
+    #: Words seen less often in training are others.
+    least: int = 8
     #: Words whose counts are broadcast.
     broadcast_words: int = 100_000
     width: int = 32
-    noise: int = 48
+    #: Noise classes of a batch, and noise words of a position within the class of its word.
+    noise: int = 32
+    noise_words: int = 2
     batch: int = 2048
+    rounds: int = 2
     rate: float = 0.05
     seed: int = 11
 
@@ -95,91 +102,165 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(above | ((level == at) & (place < end)))
 
 
+def classes(share: np.ndarray) -> np.ndarray:
+    """First entries of the classes, and the end: the others alone, then runs of equal sums of the roots of shares."""
+    n = len(share)
+    mass = np.cumsum(np.sqrt(share[1:]))
+    if n == 1:
+        return np.array([0, 1])
+    cuts = np.searchsorted(mass, mass[-1] * np.arange(1, math.isqrt(n - 1) + 1) / math.isqrt(n - 1))
+    return np.unique(np.concatenate([[0, 1], np.minimum(cuts + 2, n), [n]]))
+
+
 @dataclass
 class Parameters:
-    """Vectors of context words, scales of the two places, vectors and biases of predicted words."""
+    """Vectors of context words, scales of the two places, vectors and biases of predicted classes and of predicted words."""
 
     context: np.ndarray
     scale: np.ndarray
+    klass: np.ndarray
+    klass_bias: np.ndarray
     target: np.ndarray
     bias: np.ndarray
+    #: First entries of the classes, and the class of each entry; these aren't trained.
+    starts: np.ndarray
+    class_of: np.ndarray
 
     @staticmethod
     def start(log_share: np.ndarray, how: Bilinear) -> "Parameters":
         """Near the shares of the words themselves, whatever the context."""
         rng = np.random.default_rng(how.seed)
-        draw = lambda: rng.normal(0, 0.1, (len(log_share), how.width)).astype(np.float32)
-        return Parameters(draw(), np.ones((2, how.width), np.float32), draw(), log_share.astype(np.float32))
+        share = np.exp(log_share)
+        starts = classes(share)
+        class_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        klass_bias = np.log(np.add.reduceat(share, starts[:-1]))
+        draw = lambda n: rng.normal(0, 0.1, (n, how.width)).astype(np.float32)
+        bias = log_share - klass_bias[class_of]
+        return Parameters(draw(len(share)), np.ones((2, how.width), np.float32), draw(len(klass_bias)), klass_bias.astype(np.float32), draw(len(share)), bias.astype(np.float32), starts, class_of)
+
+    @property
+    def trained(self) -> tuple[np.ndarray, ...]:
+        return self.context, self.scale, self.klass, self.klass_bias, self.target, self.bias
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.scale, self.target, self.bias)])
+        return np.concatenate([x.ravel() for x in self.trained])
 
     def filled(self, flat: np.ndarray) -> "Parameters":
         out, at = [], 0
-        for x in (self.context, self.scale, self.target, self.bias):
+        for x in self.trained:
             out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
-        return Parameters(*out)
+        return Parameters(*out, self.starts, self.class_of)
 
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context[one] * self.scale[0] + self.context[two] * self.scale[1]
 
-    def log_probabilities(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Normalised natural log probability of each word after its two words; each distinct context's softmax is taken once."""
+    def log_probabilities(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+        """Normalised natural log probability of each word after its two words; each distinct context of a block has its classes' softmax once."""
+        out = np.empty(len(word))
+        for i in range(0, len(word), block):
+            out[i : i + block] = self._of_block(one[i : i + block], two[i : i + block], word[i : i + block])
+        return out
+
+    def _of_block(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
         k = len(self.bias)
         contexts, at = np.unique(one.astype(np.int64) * k + two, return_inverse=True)
+        q, group = self.predicted(contexts // k, contexts % k), self.class_of[word]
         out = np.empty(len(word))
         order = np.argsort(at, kind="stable")
-        bounds = np.searchsorted(at[order], np.arange(0, len(contexts) + 2048, 2048))
-        for i in range(0, len(contexts), 2048):
-            c = contexts[i : i + 2048]
-            logits = self.predicted(c // k, c % k) @ self.target.T + self.bias
-            top = logits.max(1, keepdims=True)
-            norm = np.log(np.exp(logits - top).sum(1, dtype=np.float64)) + top[:, 0]
-            own = order[bounds[i // 2048] : bounds[i // 2048 + 1]]
-            out[own] = logits[at[own] - i, word[own]] - norm[at[own] - i]
+        bounds = np.searchsorted(at[order], np.arange(0, len(contexts) + 8192, 8192))
+        for n, i in enumerate(range(0, len(contexts), 8192)):
+            own = order[bounds[n] : bounds[n + 1]]
+            out[own] = normalised(q[i : i + 8192] @ self.klass.T + self.klass_bias, at[own] - i, group[own])
+        order = np.argsort(group, kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(len(self.starts)))
+        for c in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(self.starts) > 1)):
+            first, end = self.starts[c], self.starts[c + 1]
+            for i in range(bounds[c], bounds[c + 1], 8192):
+                own = order[i : min(i + 8192, bounds[c + 1])]
+                out[own] += normalised(q[at[own]] @ self.target[first:end].T + self.bias[first:end], np.arange(len(own)), word[own] - first)
         return out
 
 
-def added(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """out[rows] += values, with repeated rows."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    out[rows[first]] += np.add.reduceat(values[order], first)
+def normalised(logits: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Cells of the logarithm of the softmax of each row."""
+    top = logits.max(1, keepdims=True)
+    norm = np.log(np.exp(logits - top).sum(1, dtype=np.float64)) + top[:, 0]
+    return logits[rows, columns] - norm[rows]
 
 
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad; the noise words of a batch are drawn by the words' shares and shared by its positions."""
+    """Noise-contrastive estimation by AdaGrad, of classes and of words within their class.
+
+    The noise classes of a batch are drawn by their shares and shared by its positions; each position draws its own noise words by their shares in the class.
+    """
 
     def __init__(self, p: Parameters, share: np.ndarray, how: Bilinear, seed: int):
         self.p, self.how = p, how
         self.rng = np.random.default_rng([how.seed, seed])
-        self.cumulated = np.cumsum(share)
-        self.log_noise = np.log(how.noise * share).astype(np.float32)
-        self.squares = [np.full_like(x, 1e-2) for x in (p.context, p.scale, p.target, p.bias)]
+        self.cumulated = np.concatenate([[0.0], np.cumsum(share)])
+        of_class = np.add.reduceat(share, p.starts[:-1])
+        self.class_cumulated = np.cumsum(of_class)
+        self.log_class = np.log(how.noise * of_class).astype(np.float32)
+        self.log_word = np.log(how.noise_words * share / of_class[p.class_of]).astype(np.float32)
+        self.squares = [np.full_like(x, 1e-5) for x in p.trained]
+
+    def update(self, which: int, rows: np.ndarray | None, values: np.ndarray, n: int) -> None:
+        """A step of AdaGrad with the summed values of each row; all rows where none are named."""
+        x, s = self.p.trained[which], self.squares[which]
+        if rows is not None:
+            order = np.argsort(rows.astype(np.uint16) if len(x) <= 1 << 16 else rows, kind="stable")  # 16 bits are sorted by radix
+            rows = rows[order]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            rows, values = rows[first], np.add.reduceat(values[order], first)
+        else:
+            rows = slice(None)
+        g = values / np.float32(n**0.5)
+        s[rows] += g * g
+        x[rows] -= np.float32(self.how.rate) * g / np.sqrt(s[rows])
 
     def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
-        p, n = self.p, len(word)
-        noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(self.how.noise) * self.cumulated[-1]), len(p.bias) - 1)
+        p, n, draw = self.p, len(word), self.how.noise_words
         a, b = p.context[one], p.context[two]
         q = a * p.scale[0] + b * p.scale[1]
-        t, m = p.target[word], p.target[noise]
-        real = (q * t).sum(1) + p.bias[word] - self.log_noise[word]
-        fake = q @ m.T + p.bias[noise] - self.log_noise[noise]
-        # Derivatives of the loss by the scores.
-        d_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-        d_fake = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
+        # Classes.
+        group = p.class_of[word]
+        noise = np.minimum(np.searchsorted(self.class_cumulated, self.rng.random(self.how.noise) * self.class_cumulated[-1]), len(p.klass_bias) - 1)
+        t, m = p.klass[group], p.klass[noise]
+        d_real = falling((q * t).sum(1) + p.klass_bias[group] - self.log_class[group])
+        d_fake = rising(q @ m.T + p.klass_bias[noise] - self.log_class[noise])
         d_q = d_real[:, None] * t + d_fake @ m
-        grads = [np.zeros_like(x) for x in (p.context, p.scale, p.target, p.bias)]
-        added(grads[0], np.concatenate([one, two]), np.concatenate([d_q * p.scale[0], d_q * p.scale[1]]))
-        grads[1][:] = (d_q * a).sum(0), (d_q * b).sum(0)
-        added(grads[2], np.concatenate([word, noise]), np.concatenate([d_real[:, None] * q, d_fake.T @ q]))
-        added(grads[3], np.concatenate([word, noise]), np.concatenate([d_real, d_fake.sum(0)]))
-        for x, g, s in zip((p.context, p.scale, p.target, p.bias), grads, self.squares):
-            g /= n**0.5
-            s += g * g
-            x -= self.how.rate * g / np.sqrt(s)
+        class_rows = np.concatenate([group, noise])
+        class_values = np.concatenate([d_real[:, None] * q, d_fake.T @ q]), np.concatenate([d_real, d_fake.sum(0)])
+        # Words within their class, where it has several.
+        of = np.flatnonzero(p.starts[group + 1] - p.starts[group] > 1)
+        w, qw = word[of], q[of]
+        first, end = p.starts[group[of]], p.starts[group[of] + 1]
+        low, high = self.cumulated[first], self.cumulated[end]
+        noise = np.searchsorted(self.cumulated, low[:, None] + self.rng.random((len(of), draw)) * (high - low)[:, None], "right") - 1
+        noise = np.clip(noise, first[:, None], end[:, None] - 1)
+        t, m = p.target[w], p.target[noise]
+        e_real = falling((qw * t).sum(1) + p.bias[w] - self.log_word[w])
+        e_fake = rising(np.matmul(m, qw[:, :, None])[:, :, 0] + p.bias[noise] - self.log_word[noise])
+        d_q[of] += e_real[:, None] * t + np.matmul(e_fake[:, None, :], m)[:, 0]
+        self.update(2, class_rows, class_values[0], n)
+        self.update(3, class_rows, class_values[1], n)
+        if len(of):
+            rows = np.concatenate([w, noise.ravel()])
+            self.update(4, rows, np.concatenate([e_real[:, None] * qw, (e_fake[:, :, None] * qw[:, None, :]).reshape(-1, q.shape[1])]), n)
+            self.update(5, rows, np.concatenate([e_real, e_fake.ravel()]), n)
+        self.update(0, np.concatenate([one, two]), np.concatenate([d_q * p.scale[0], d_q * p.scale[1]]), n)
+        self.update(1, None, np.stack([(d_q * a).sum(0), (d_q * b).sum(0)]), n)
+
+
+def falling(score: np.ndarray) -> np.ndarray:
+    """Derivative of the loss by the score of a real word."""
+    return -1 / (1 + np.exp(np.clip(score, -30, 30)))
+
+
+def rising(score: np.ndarray) -> np.ndarray:
+    """Derivative of the loss by the score of a noise word."""
+    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
 def positions(texts: list[str | None], number: dict[bytes, int], end: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
@@ -199,14 +280,32 @@ def positions(texts: list[str | None], number: dict[bytes, int], end: int) -> tu
     return words, run[at], one, two
 
 
+#: Parameters of one row of the vectors that tasks send.
+PIECE = 8192
+
+
 def trained(docs: DataFrame, number: dict[bytes, int], share: np.ndarray, how: Bilinear) -> Parameters:
-    spark = docs.sparkSession
     start = Parameters.start(np.log(share), how)
-    shared = spark.sparkContext.broadcast((number, start.flat()))
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(how.rounds))
+    for k in range(how.rounds):
+        start = averaged(docs.where(turn == k), number, share, start, how, k)
+    return start
+
+
+def averaged(docs: DataFrame, number: dict[bytes, int], share: np.ndarray, start: Parameters, how: Bilinear, turn: int) -> Parameters:
+    """Every task trains on its texts from one start; the mean of their parameters, weighted by tokens, or the start where there are no texts."""
+    import pandas as pd
+
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((number, start))
+    groups = max(1, math.isqrt(parallelism(spark)))
+    names = ["piece", "part", "tokens", "p"]
+    schema = "piece int, part int, tokens double, p array<float>"
 
     def run(batches):
-        number, flat = shared.value
-        trainer, tokens = Trainer(start_like.filled(flat), share, how, TaskContext.get().partitionId()), 0
+        number, start = shared.value
+        part = TaskContext.get().partitionId()
+        trainer, tokens = Trainer(start.filled(start.flat()), share, how, turn << 32 | part), 0
         for batch in slices(batches, "text"):
             _, word, one, two = positions(pylist(batch, "text"), number, number[END])
             order = trainer.rng.permutation(len(word))
@@ -214,25 +313,24 @@ def trained(docs: DataFrame, number: dict[bytes, int], share: np.ndarray, how: B
                 at = order[i : i + how.batch]
                 trainer.step(one[at], two[at], word[at])
             tokens += len(word)
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([trainer.p.flat().astype(float) * tokens], pa.list_(pa.float64()))], names=["tokens", "p"])
-
-    start_like = Parameters(*(np.empty_like(x) for x in (start.context, start.scale, start.target, start.bias)))
-    def added_up(batches):
-        tokens, total = 0.0, 0.0
-        for batch in batches:
-            for n, p in zip(pylist(batch, "tokens"), batch.column(1)):
-                tokens, total = tokens + n, total + p.values.to_numpy()
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([total], pa.list_(pa.float64()))], names=["tokens", "p"])
-
-    each = docs.select("text").mapInArrow(run, "tokens double, p array<double>")
-    # A vector for each task: about the root of their number are added in each of as many tasks, and these sums meet as rows.
-    groups = max(1, math.isqrt(parallelism(spark)))
-    sums = each.repartition(groups).mapInArrow(added_up, "tokens double, p array<double>").select("tokens", F.posexplode("p")).groupBy("pos").agg((F.sum("col") / F.sum("tokens")).alias("v"))
-    flat = start.flat().astype(float)
-    for r in sums.collect():  # as many rows as the model has parameters
-        flat[r["pos"]] = r["v"]
+        flat = trainer.p.flat()
+        for i in range(0, len(flat) if tokens else 0, PIECE):
+            columns = [pa.array([i // PIECE], pa.int32()), pa.array([part % groups], pa.int32()), pa.array([float(tokens)]), pa.array([flat[i : i + PIECE]], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens = pdf["tokens"].to_numpy()
+        total = np.zeros(len(pdf["p"].iloc[0]))
+        for n, p in zip(tokens, pdf["p"]):
+            total += n * np.asarray(p, float)
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "part": 0, "tokens": tokens.sum(), "p": [(total / tokens.sum()).astype(np.float32)]})
+
+    # Pieces of about the root of all tasks meet in one group, and their means in another.
+    each = docs.select("text").mapInArrow(run, schema).groupBy("piece", "part").applyInPandas(mean, schema)
+    flat = start.flat()
+    for r in each.groupBy("piece").applyInPandas(mean, schema).select("piece", "p").collect():  # the model's parameters
+        flat[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = r["p"]
+    shared.unpersist()
     return start.filled(flat)
 
 
@@ -246,7 +344,7 @@ def scored(docs: DataFrame, held_out, how: Bilinear = Bilinear()) -> DataFrame:
     n_all, v_all = total["n"], total["v"]
     kept = commonest(counts, how.broadcast_words).union(counts.where(F.col("word") == F.lit(END)))
     top = dict(sorted(((bytes(r["word"]), r["n"]) for r in kept.collect()), key=lambda x: (-x[1], x[0])))
-    known = list(top)[: how.words]
+    known = [w for w, n in top.items() if n >= how.least][: how.words]
     if END not in known:
         known = [END, *known[: how.words - 1]]
     number = {w: k + 1 for k, w in enumerate(known)}

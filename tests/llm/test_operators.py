@@ -334,6 +334,59 @@ def test_probabilities_sum_to_one_and_training_helps():
     assert abs(total - 1) < 1e-5
 
 
+def naive_log_probability(p, one, two, word):
+    """One cell of the two softmaxes, entry by entry."""
+    q = p.context[one] * p.scale[0] + p.context[two] * p.scale[1]
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
+    group = next(c for c in range(len(p.starts) - 1) if p.starts[c] <= word < p.starts[c + 1])
+    words = range(p.starts[group], p.starts[group + 1])
+    of_class = softmax(np.array([q @ v + b for v, b in zip(p.klass, p.klass_bias)], float))[group]
+    return math.log(of_class) + math.log(softmax(np.array([q @ p.target[w] + p.bias[w] for w in words], float))[word - p.starts[group]])
+
+
+@pytest.mark.parametrize("entries", [1, 2, 3, 40, 700])
+def test_two_levels_equal_the_naive_model_and_sum_to_one(entries):
+    rng = np.random.default_rng(entries)
+    share = rng.dirichlet(np.ones(entries))
+    how = language_model.Bilinear(width=8, batch=64)
+    p = language_model.Parameters.start(np.log(share), how)
+    assert p.starts[0] == 0 and p.starts[-1] == entries and (np.diff(p.starts) > 0).all()
+    trainer = language_model.Trainer(p, share, how, 0)
+    for _ in range(20):
+        trainer.step(*(rng.integers(0, entries, 64) for _ in range(3)))
+    one, two, word = (rng.integers(0, entries, 200) for _ in range(3))
+    found = p.log_probabilities(one, two, word, block=64)
+    assert np.allclose(found, [naive_log_probability(p, *x) for x in zip(one, two, word)], atol=1e-4)
+    every = np.arange(entries)
+    assert abs(np.exp(p.log_probabilities(np.full(entries, one[0]), np.full(entries, two[0]), every)).sum() - 1) < 1e-4
+
+
+def test_score_is_brute_forces(spark):
+    """The sum over tokens of the model's probability, and of others' shares, for the model before training."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(k, 60)}" for k in rng.geometric(0.06, n)) for n in rng.integers(0, 80, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter(w.encode() for t in texts for w in [*t.split(), ""])
+    how = language_model.Bilinear(width=8, rounds=0, least=20, broadcast_words=50)
+    known = [b"", *sorted((w for w, n in counts.items() if n >= 20 and w), key=lambda w: (-counts[w], w))]
+    known.sort(key=lambda w: (-counts[w], w))
+    assert 3 < len(known) < len(counts)
+    others = sum(n for w, n in counts.items() if w not in known)
+    unknown = len(counts) - len(known)
+    share = np.array([others + unknown + 1, *[counts[w] + 1 for w in known]], float)
+    p = language_model.Parameters.start(np.log(share / share.sum()), how)
+    number = {w: k + 1 for k, w in enumerate(known)}
+    end = number[b""]
+    for r in language_model.scored(docs, F.lit(False), how).collect():
+        words, want, before = [w.encode() for w in [*texts[r["doc_id"]].split(), ""]], 0.0, [end, end]
+        for w in words:
+            k = number.get(w, 0)
+            want += naive_log_probability(p, before[-1], before[-2], k) / math.log(10)
+            want += 0 if k else math.log10((counts[w] + 1) / (others + unknown + 1))
+            before.append(k)
+        assert abs(r["score"] - want) < 1e-3
+
+
 # 7 quality model
 
 
