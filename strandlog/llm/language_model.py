@@ -46,7 +46,7 @@ class Bilinear:
     width: int = 32
     #: Noise classes of a batch, and noise words of a position within the class of its word.
     noise: int = 32
-    noise_words: int = 2
+    noise_words: int = 1
     batch: int = 2048
     rounds: int = 2
     rate: float = 0.05
@@ -185,14 +185,14 @@ class Parameters:
 def normalised(logits: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Cells of the logarithm of the softmax of each row."""
     top = logits.max(1, keepdims=True)
-    norm = np.log(np.exp(logits - top).sum(1, dtype=np.float64)) + top[:, 0]
+    norm = np.log(np.exp(logits - top).sum(1)).astype(np.float64) + top[:, 0]
     return logits[rows, columns] - norm[rows]
 
 
 class Trainer:
     """Noise-contrastive estimation by AdaGrad, of classes and of words within their class.
 
-    The noise classes of a batch are drawn by their shares and shared by its positions; each position draws its own noise words by their shares in the class.
+    The noise classes of a batch are drawn by their shares and shared by its positions; each position draws its own noise words by their shares in the class, one by default, for CPU.
     """
 
     def __init__(self, p: Parameters, share: np.ndarray, how: Bilinear, seed: int):
