@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.functions import checkpoints
+
 
 def unique_blocks(maps: DataFrame) -> DataFrame:
     return maps.select("map", "bb").distinct()
@@ -73,13 +75,7 @@ def set_cover(maps: DataFrame, restrict: DataFrame | None = None, most: int | No
     """
     spark = maps.sparkSession
     left = unique_blocks(maps) if restrict is None else unique_blocks(maps).join(restrict.select("bb"), "bb", "left_semi")
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp())
+    checkpoints.prepared(spark)
     steps, total = [], 0
     left = left.checkpoint()
     while most is None or len(steps) < most:

@@ -2,7 +2,11 @@
 
 An acquisition opens a transaction on top of its context's stack. A release closes transactions down to the matching one and reopens
 those above it under new identities; one without a match in its own context takes the acquisition from any context that holds it,
-and one without any restarts its context's whole stack. State is shared by all contexts of a trace, so a trace is one group.
+and one without any restarts its context's whole stack.
+
+State is shared by contexts that use a common lock, and is empty where none of their locks is held. So a trace is cut into the groups of
+contexts that locks connect, and a group's events where the count of its open acquisitions is zero; each segment is a machine of its own. A
+lock that is never released keeps its group's later events in one segment.
 """
 
 from __future__ import annotations
@@ -10,6 +14,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandlog.functions import checkpoints
+from strandlog.functions.running import running
 
 STEPS = "trace long, seq long, txn_id long, locks string"
 
@@ -18,13 +26,15 @@ STEPS = "trace long, seq long, txn_id long, locks string"
 class Machine:
     """Feed events in order; an access gets its transaction and the locks held, oldest first."""
 
-    next_txn: int = 1
+    #: Transactions are numbered by the event that opens them and their place in it, so that numbers don't depend on earlier events.
+    seq: int = 0
+    opened_here: int = 0
     #: For each context, [lock, side, transaction, time of acquisition], the newest last.
     stacks: dict[int, list[list]] = field(default_factory=dict)
 
     def opened(self) -> int:
-        self.next_txn += 1
-        return self.next_txn - 1
+        self.opened_here += 1
+        return (self.seq << 20) + self.opened_here
 
     def acquire(self, ctx: int, lock: int, side: str, seq: int, recursive: bool = False) -> None:
         stack = self.stacks.setdefault(ctx, [])
@@ -65,6 +75,8 @@ class Machine:
         return (stack[-1][2] if stack else None), ",".join(str(k) for k in sorted(latest, key=lambda k: (latest[k], k)))
 
     def step(self, seq: int, ctx: int, kind: str, lock: int | None, side: str | None, recursive: bool = False) -> tuple[int | None, str] | None:
+        if seq != self.seq:
+            self.seq, self.opened_here = seq, 0
         if kind == "P":
             self.acquire(ctx, lock, side, seq, recursive)
         elif kind == "V":
@@ -74,8 +86,41 @@ class Machine:
         return None
 
 
+def connected_contexts(events: DataFrame) -> DataFrame:
+    """trace, ctx, component: the least context that is reachable over common locks. Links are between contexts, far fewer than events; each round of them is checkpointed."""
+    checkpoints.prepared(events.sparkSession)
+    users = events.where("lock is not null").select("trace", "ctx", "lock").distinct()
+    pairs = users.join(users.groupBy("trace", "lock").agg(F.min("ctx").alias("other")), ["trace", "lock"]).where("ctx <> other").select("trace", "ctx", "other").distinct()
+    links = pairs.unionByName(pairs.select("trace", F.col("other").alias("ctx"), F.col("ctx").alias("other"))).checkpoint()
+    labels, before = events.select("trace", "ctx").distinct().withColumn("component", F.col("ctx")).checkpoint(), None
+    while (now := labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]) != before:
+        before = now
+        offered = links.join(labels.withColumnRenamed("ctx", "other"), ["trace", "other"]).select("trace", "ctx", "component")
+        labels = labels.unionByName(offered).groupBy("trace", "ctx").agg(F.min("component").alias("component")).checkpoint()
+    return labels
+
+
+def segmented(events: DataFrame) -> DataFrame:
+    """`events` with component and segment: the number of the acquisition before which nothing was held in the component, -1 before the first."""
+    events = events.join(connected_contexts(events), ["trace", "ctx"])
+    lock = ["trace", "lock", "side"]
+    ops = events.where("kind in ('P', 'V')").select(*lock, "seq", "kind")
+    again = events.where("kind in ('P', 'V')").groupBy(*lock).agg(F.max("recursive").alias("again"))
+    ops = running(ops, lock, "seq", F.expr("if(kind = 'P', 1, -1)"), "sum", "balance")
+    ops = running(ops, lock, "seq", F.col("balance"), "min", "least").join(again, lock)
+    # The most acquisitions that may be open: one for a writer that ends the one before it, else those that no release has taken.
+    ops = ops.withColumn("open", F.expr("if(side = 'w' and not again, if(kind = 'P', 1, 0), balance - least(least, 0))"))
+    ops = running(ops, lock, "seq", F.struct("seq", "open"), "max", "last", before=True)
+    change = ops.select("trace", "seq", (F.col("open") - F.coalesce("last.open", F.lit(0))).alias("change"))
+    found = events.join(change, ["trace", "seq"], "left").fillna(0, ["change"])
+    group = ["trace", "component"]
+    found = running(found, group, "seq", F.col("change"), "sum", "held")
+    start = F.when((F.col("kind") == "P") & (F.col("held") == F.col("change")), F.col("seq"))
+    return running(found, group, "seq", start, "max", "segment").fillna(-1, ["segment"]).drop("change", "held")
+
+
 def run_machine(events: DataFrame) -> DataFrame:
-    """trace, seq, txn_id, locks of each access. `events` has trace, seq, ctx, kind (P, V or an access), lock, side, recursive."""
+    """trace, seq, txn_id, locks of each access. `events` has trace, seq, ctx, kind (P, V or an access), lock, side, recursive; a seq is one event of its trace."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -86,4 +131,4 @@ def run_machine(events: DataFrame) -> DataFrame:
                 out.append((trace, seq, *found))
         return pd.DataFrame(out, columns=["trace", "seq", "txn_id", "locks"]).astype({"txn_id": "Int64"})
 
-    return events.groupBy("trace").applyInPandas(run, STEPS)
+    return segmented(events).groupBy("trace", "component", "segment").applyInPandas(run, STEPS)

@@ -91,6 +91,13 @@ def machine_events(db):
     return both.select(F.lit(0).cast("long").alias("trace"), "seq", "ctx", "kind", "lock", F.lit("w").alias("side"), F.lit(False).alias("recursive"))
 
 
+def raw_machine_events(db):
+    """All lock events, malformed ones too, with the sides of their locks; read-side locks may be acquired again."""
+    locks = db.events.where("kind in ('P', 'V')").select("seq", "ctx", "kind", F.col("lock_id").alias("lock"), F.when(F.col("slot") % 2 == 1, "r").otherwise("w").alias("side"))
+    accesses = db.raw_accesses.select("seq", "ctx", F.col("type").alias("kind"), F.lit(None).cast("int").alias("lock"), F.lit(None).cast("string").alias("side"))
+    return locks.unionByName(accesses).select(F.lit(0).cast("long").alias("trace"), "seq", "ctx", "kind", "lock", "side", F.coalesce(F.col("side") == "r", F.lit(False)).alias("recursive"))
+
+
 TRACE |= {
     "counterexamples": lambda db: violations.examples(db, *RULE),
     "examples": lambda db: violations.examples(db, *RULE, counter=False),
@@ -115,6 +122,7 @@ TRACE |= {
     "confidence_quartiles": lambda db: evaluation.confidence_quartiles(mined(db)),
     "validation": validation.violated,
     "machine_locks": lambda db: machine.run_machine(machine_events(db)).select("seq", "locks"),
+    "machine_raw": lambda db: machine.run_machine(raw_machine_events(db)).select("seq", "txn_id", "locks"),
 }
 
 COVERAGE = {

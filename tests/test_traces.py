@@ -114,3 +114,43 @@ def test_lcov(spark):
     text = ["SF:/a/b.c", "FN:1,f", "FNDA:3,f", "DA:1,3", "DA:2,0", "end_of_record", "SF:/a/c.c", "DA:1,1"]
     rows = {r["file"]: r for r in lcov_summary(spark.createDataFrame([("t", k, v) for k, v in enumerate(text)], "source string, n int, value string")).collect()}
     assert (rows["/a/b.c"]["lines"], rows["/a/b.c"]["covered"], rows["/a/b.c"]["covered_functions"]) == (2, 1, 1) and rows["/a/c.c"]["functions"] == 0
+
+
+def whole(events):
+    """seq, txn_id, locks of the accesses by one machine over all events."""
+    machine, out = Machine(), []
+    for r in events.orderBy("seq").collect():
+        if found := machine.step(r["seq"], r["ctx"], r["kind"], r["lock"], r["side"], r["recursive"]):
+            out.append((r["seq"], *found))
+    return out
+
+
+def same_but_for_numbers(found, want):
+    """Equal locks, and transactions that part the accesses alike."""
+    assert [(s, l) for s, _, l in found] == [(s, l) for s, _, l in want]
+    assert len({(a[1], b[1]) for a, b in zip(found, want)}) == len({a[1] for a in found}) == len({b[1] for b in want})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_segments_equal_one_machine_on_malformed_traces(spark, seed):
+    import random
+
+    rng, rows = random.Random(seed), []
+    for seq in range(1, 1500):
+        kind, group = rng.choice("PPVVVrw"), rng.randrange(3)
+        op = kind in "PV"
+        # Contexts of a group share its locks; some locks are acquired by one context and released by another, or never.
+        rows.append((0, 90_000 * (seq // 700) + seq, 2 * group + rng.randrange(2), kind, 10 * group + rng.randrange(2) if op else None, rng.choice("rw") if op else None, op and group == 1 and rng.random() < 0.5))
+    events = spark.createDataFrame(rows, "trace long, seq long, ctx int, kind string, lock long, side string, recursive boolean")
+    same_but_for_numbers(sorted(map(tuple, run_machine(events).select("seq", "txn_id", "locks").collect())), whole(events))
+
+
+def test_raw_machine_equals_one_machine(spark):
+    from strandlog.operators.machine import segmented
+    from strandlog.plans import registry
+    from strandlog.sources.events import Trace
+
+    sf = "/root/testdata/sf0.001"
+    events = registry.raw_machine_events(Trace(spark, sf))
+    same_but_for_numbers(sorted(map(tuple, registry.queries()["machine_raw"](spark, sf).collect())), whole(events))
+    assert segmented(events).select("component").distinct().count() == 4
