@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlog.operators import coverage, evaluation, flat, machine, mining, observations, transactions, validation, violations
-from strandlog.plans import oracle
+from strandlog.plans import oracle, oracle_lines
 from strandlog.sources import documented
+from strandlog.sources import lines as trace_lines
 from strandlog.sources.coverage import Coverage
 from strandlog.sources.events import Trace
 
@@ -150,12 +151,24 @@ COVERAGE = {
     "coverage_curve_spiral": lambda c: coverage.curve_points(c.maps.select(F.col("number").alias("i")).distinct(), 16, "spiral"),
 }
 
+LINES = {
+    "lines_subclasses": lambda c: c.subclasses.drop("source"),
+    "lines_allocations": lambda c: c.allocations.select("id", "subclass_id", F.col("base_address").cast("long").alias("base_address"), "size", F.col("start").alias("start_ts"), F.col("end").alias("end_ts")),
+    "lines_accesses": lambda c: c.accesses.select("id", "alloc_id", "ts", "type", "size", F.col("address").cast("long").alias("address"), "context"),
+    "lines_locks": lambda c: c.locks.drop("source").withColumn("address", F.col("address").cast("long")),
+    "lines_lock_operations": lambda c: c.lock_operations.drop("source"),
+    "lines_stacktraces": lambda c: c.stacktraces.select("id", F.col("instruction_ptr").cast("long").alias("instruction_ptr"), "stacktrace"),
+    "lines_rejected": lambda c: c.rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
+    "lines_transactions": lambda c: machine.run_machine(c.machine_events).select("seq", "txn_id", "locks"),
+}
+
 
 def queries():
     found = {name: on_trace(build) for name, build in TRACE.items()}
     found |= {name: lambda spark, sf_dir, build=build: build(Coverage(spark, sf_dir)) for name, build in COVERAGE.items()}
+    found |= {name: lambda spark, sf_dir, build=build: build(trace_lines.converted(spark, sf_dir)) for name, build in LINES.items()}
     return found
 
 
 def oracle_sql():
-    return dict(oracle.SQL)
+    return oracle.SQL | oracle_lines.SQL

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlog.functions.running import running
+
 COLUMNS = ("ts", "action", "lock_op", "address", "size", "base", "type", "lock_member", "file", "line", "instruction_ptr", "stacktrace", "flags", "ctx")
 LOCK_OPS = {"0": ("P", "r"), "1": ("P", "w"), "2": ("V", "r"), "3": ("V", "w")}
 
@@ -71,8 +73,9 @@ def ground_truth(spark: SparkSession, path: str, types: list[str] | None = None)
 
 
 def first_seen(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """key and id: numbers in the order of first appearance."""
-    return rows.groupBy(*key).agg(F.min(order).alias("first")).withColumn("id", F.row_number().over(Window.orderBy("first"))).drop("first")
+    """key and id: numbers in the order of first appearance, a number without ties; counted by blocks of the order."""
+    first = rows.groupBy(*key).agg(F.min(order).alias("first")).withColumn("all", F.lit(0))
+    return running(first, ["all"], "first", F.lit(1).cast("long"), "sum", "id").drop("first", "all")
 
 
 def hypotheses_csv(spark: SparkSession, path: str) -> DataFrame:
