@@ -1,8 +1,9 @@
 """The folder of checkpoints."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepared(spark: SparkSession) -> None:
@@ -12,3 +13,12 @@ def prepared(spark: SparkSession) -> None:
         if not shared and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp())
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet in the folder of checkpoints and read again: its lineage ends there, and later reads take the columns they need."""
+    spark = df.sparkSession
+    prepared(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

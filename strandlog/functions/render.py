@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import struct
+import zlib
 from collections.abc import Iterable
 
 
@@ -35,3 +37,18 @@ def counterexample_page(title: str, rows: Iterable[tuple[str, str]]) -> str:
 def table_page(names: list[str], rows: Iterable[tuple]) -> str:
     row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{html.escape(str(c))}</{tag}>" for c in cells) + "</tr>"
     return "<table>" + row(names, "th") + "".join(row(r, "td") for r in rows) + "</table>"
+
+
+def euler_input(overlaps: Iterable[tuple[str, int]]) -> str:
+    """(suites joined by &, size of their overlap) as the named numbers that an Euler diagram is fitted to."""
+    return "c(\n" + ",\n".join(f"'{name}' = {n}" for name, n in sorted(overlaps, key=lambda x: (x[0].count("&"), x[0]))) + "\n)\n"
+
+
+def png_image(side: int, cells: Iterable[tuple[int, int, tuple[int, int, int]]]) -> bytes:
+    """A square image of coloured cells (x, y, red green blue) on white."""
+    rows = [bytearray(b"\xff" * (3 * side)) for _ in range(side)]
+    for x, y, colour in cells:
+        rows[y][3 * x : 3 * x + 3] = bytes(colour)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    body = zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", side, side, 8, 2, 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b"")

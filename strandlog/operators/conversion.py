@@ -1,7 +1,7 @@
 """From decoded trace events to the tables of a trace: subclasses, allocations, locks, lock operations, accesses, stack traces, and what was rejected.
 
 Numbers follow the order of first appearance within a source; they are counted by blocks of the order, so that no source is one task. Events have source and
-seq (no ties). What can't be placed is in `rejected` with its reason. Two departures from a reader that goes line by line: a lock that is first seen outside
+seq (no ties). The events and what several tables build on are written once in the folder of checkpoints, so that no plan parses the lines twice. What can't be placed is in `rejected` with its reason. Two departures from a reader that goes line by line: a lock that is first seen outside
 all allocations, and later inside one, is two locks; and a subclass name counts as shown even where its first allocation was at an address in use.
 """
 
@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.functions.checkpoints import kept as written
 from strandlog.functions.intervals import points_in_intervals
 from strandlog.functions.running import running
 from strandlog.operators.lifetimes import in_live_allocation, lock_kinds, paired_allocations
@@ -61,9 +62,13 @@ class Converted:
     """
 
     def __init__(self, events: DataFrame, types: DataFrame, sections: list[tuple[int, int]], variables: DataFrame, symbols: DataFrame, base_dir: str, all_locks: bool = False, sequence_locks: bool = False, drop_noise: bool = False):
-        self.events, self.types, self.sections, self.variables, self.symbols, self.base_dir = events, types, sections, variables, symbols, base_dir
+        self.decoded, self.types, self.sections, self.variables, self.symbols, self.base_dir = events, types, sections, variables, symbols, base_dir
         self.all_locks, self.sequence_locks, self.drop_noise = all_locks, sequence_locks, drop_noise
 
+    @cached_property
+    def events(self) -> DataFrame:
+        return written(self.decoded, "trace-events")
+
     @cached_property
     def _shown(self) -> DataFrame:
         """Subclass names at their first allocation with a known type; a type without subclasses stands for itself."""
@@ -72,7 +77,7 @@ class Converted:
         first = named.groupBy("source", "key").agg(F.min_by(F.struct("seq", "type", "subclass"), "seq").alias("x"))
         # One row for each struct type and subclass of the traced program.
         number = F.row_number().over(Window.partitionBy("source").orderBy("x.seq"))
-        return first.select("source", number.alias("id"), "key", F.col("x.type").alias("type_name"), F.col("x.subclass").alias("name"), F.col("x.seq").alias("shown"))
+        return written(first.select("source", number.alias("id"), "key", F.col("x.type").alias("type_name"), F.col("x.subclass").alias("name"), F.col("x.seq").alias("shown")), "trace-subclasses")
 
     @cached_property
     def subclasses(self) -> DataFrame:
@@ -95,7 +100,7 @@ class Converted:
     def _lives(self) -> DataFrame:
         known = self._named.where("action = 'f' or subclass_id is not null")
         paired = paired_allocations(known)
-        return numbered(paired.join(known.select("source", F.col("seq").alias("start_seq"), "subclass_id"), ["source", "start_seq"]), "start_seq")
+        return written(numbered(paired.join(known.select("source", F.col("seq").alias("start_seq"), "subclass_id"), ["source", "start_seq"]), "start_seq"), "trace-lives")
 
     @cached_property
     def allocations(self) -> DataFrame:
@@ -109,7 +114,7 @@ class Converted:
         lives = keyed(self._lives).select("place", F.col("id").alias("alloc_id"), "start_seq", "end_seq", "alloc_size", F.col("base").alias("low"))
         found = points_in_intervals(keyed(accesses).select("source", "seq", "place"), "seq", lives, "start_seq", "end_seq", "place", BUCKET).select("source", "seq", "alloc_id", "alloc_size", "low")
         inside = (F.col("address") >= F.col("low")) & (F.col("address") + F.col("size") <= F.col("low") + F.col("alloc_size"))
-        return accesses.join(found, ["source", "seq"], "left").withColumn("inside", inside)
+        return written(accesses.join(found, ["source", "seq"], "left").withColumn("inside", inside), "trace-accesses")
 
     @cached_property
     def accesses(self) -> DataFrame:
@@ -132,14 +137,14 @@ class Converted:
         placed = events.join(at, ["source", "seq"]).withColumn("static", F.col("epoch").isNull() & F.coalesce(is_static, F.lit(False))).withColumn("usable", F.col("epoch").isNotNull() | F.col("static") | F.lit(self.all_locks))
         # A place counts from its first acquisition that may be a lock; with the epoch as part of the key a lock dies with its allocation.
         first = placed.where("usable and kind = 'P' and sides is not null").groupBy("source", "address", F.coalesce("epoch", F.lit(-1)).alias("life")).agg(F.min_by(F.struct("seq", "type", "sides", "static", "flags"), "seq").alias("first"))
-        return placed.withColumn("life", F.coalesce("epoch", F.lit(-1))).join(first, ["source", "address", "life"], "left")
+        return written(placed.withColumn("life", F.coalesce("epoch", F.lit(-1))).join(first, ["source", "address", "life"], "left"), "trace-operations")
 
     @cached_property
     def _found(self) -> DataFrame:
         """One row for each lock, in the order of first acquisition, with the number of its first side."""
         first = self._operations.where("seq = first.seq").select("source", "address", "life", F.col("first.seq").alias("seen"), "first.type", "first.sides", "first.static", "first.flags")
         last = numbered(first, "seen", "last", F.length("sides").cast("long"))
-        return last.withColumn("id", F.col("last") - F.length("sides") + 1).drop("last")
+        return written(last.withColumn("id", F.col("last") - F.length("sides") + 1).drop("last"), "trace-locks")
 
     @cached_property
     def _sides(self) -> DataFrame:

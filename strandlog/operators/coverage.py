@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions import checkpoints
+from strandlog.functions.running import running
 
 
 def unique_blocks(maps: DataFrame) -> DataFrame:
@@ -187,3 +188,31 @@ def curve_points(cells: DataFrame, side: int, curve: str = "hilbert") -> DataFra
         out = out.withColumn("x", F.col("p.x") + s * F.col("rx")).withColumn("y", F.col("p.y") + s * F.col("ry")).withColumn("d", F.shiftright("d", 2)).drop("p", "rx", "ry")
         s *= 2
     return out.drop("d")
+
+
+def lines_of_blocks(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """basic_block, file, line of every input block that has source lines; a block that comes twice is converted twice. `blocks` has bb (hexadecimal), `lines` bb, file, line."""
+    shown = F.concat(F.lit("0x"), F.regexp_replace(F.lower("bb"), "^(?:0x)?0*(?=.)", ""))
+    return blocks.select("bb").join(lines, "bb").select(shown.alias("basic_block"), "file", "line")
+
+
+def preprocessed(maps: DataFrame) -> DataFrame:
+    """path, map (the file's name without folders), bb: the blocks of each map once. `maps` has path and bb."""
+    return maps.select("path", F.substring_index("path", "/", -1).alias("map"), "bb").distinct()
+
+
+#: Mnemonics of jumps, and the letters of operand sizes that may stand before or after a mnemonic.
+JUMPS = ("jmp", "je", "jne", "jg", "jge", "ja", "jae", "jl", "jle", "jb", "jbe", "jo", "jno", "jz", "jnz", "js", "jns", "call", "loop", "loopcc", "loope", "loopne", "loopnz", "loopz", "ret", "iret")
+SIZES = "bwlq"
+
+
+def disassembled(lines: DataFrame) -> DataFrame:
+    """source, address, number (from 0), is_jump of the instructions in the text of a disassembler, without those that do nothing.
+
+    An instruction's line has its address in the first eight columns, a colon after it, and the mnemonic from column 33 on. `lines` has source, seq and value.
+    """
+    sized = lambda names: f"^[{SIZES}]?(?:{'|'.join(names)})[{SIZES}]?$"
+    word = F.regexp_extract(F.substr("value", F.lit(33)), r"^ *([^ ]*)", 1)
+    found = lines.where((F.length("value") > 32) & (F.substring("value", 9, 1) == ":")).withColumn("word", word).where(~F.col("word").rlike(sized(["nop"])))
+    kept = found.select("source", "seq", F.substring("value", 1, 8).alias("address"), F.col("word").rlike(sized(JUMPS)).alias("is_jump"))
+    return running(kept, ["source"], "seq", F.lit(1).cast("long"), "sum", "number", width=1 << 22).select("source", "address", (F.col("number") - 1).alias("number"), "is_jump")

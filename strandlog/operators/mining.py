@@ -200,3 +200,30 @@ def strategy_grid() -> list[Mining]:
 def protected_members(won: DataFrame) -> DataFrame:
     """For documentation: the members that each winning rule of a type protects."""
     return won.where("accepted = 1").groupBy("type_name", "locks").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "access", "member"))), ",").alias("members"))
+
+
+NO_LOCKS = "(no locks held)"
+
+
+def report_rows(supported: DataFrame, won: DataFrame, winners_only: bool = False) -> DataFrame:
+    """Rule tables: type, member, accesstype, locks, conflictlist, occurrences, total, percentage, accepted (1 winner, 2 its equal, else 0), confidence, parameters.
+
+    The winner's row lists its equals; `parameters` are what a search for counterexamples of the rule takes, empty where there are none.
+    """
+    both = supported.join(won, [*MEMBER, "locks"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
+    quoted = F.array_join(F.transform(F.split("locks", " -> "), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), " ")
+    asked = F.concat_ws(" ", "type_name", F.concat_ws(":", "access", "member"), F.lit("CEX SEQ"), F.when(F.col("locks") == "", F.lit(NO_LOCKS)).otherwise(quoted))
+    rows = both.select(
+        F.col("type_name").alias("type"),
+        "member",
+        F.col("access").alias("accesstype"),
+        F.when(F.col("locks") == "", NO_LOCKS).otherwise(F.col("locks")).alias("locks"),
+        F.when(F.col("accepted") == 1, F.col("conflicts")).otherwise("").alias("conflictlist"),
+        "occurrences",
+        "total",
+        (100 * F.col("percentage")).alias("percentage"),
+        "accepted",
+        "confidence",
+        F.when(F.col("occurrences") < F.col("total"), asked).otherwise("").alias("parameters"),
+    )
+    return rows.where("accepted = 1") if winners_only else rows

@@ -125,3 +125,21 @@ def by_lock_member_function(db, data_type: str | None = None, member: str | None
     same_member = (F.col("f.member_name_id").eqNullSafe(F.col("t.member_name_id"))) & (F.col("f.stacktrace_id") == F.col("t.stacktrace_id")) & (F.col("f.subclass_id") == F.col("t.subclass_id"))
     full = flagged.alias("f").join(trace.alias("t"), same_member).select("ac_id", "dt_name", "sl_member", "ac_type", "stacktrace", "hidden", "flatten").join(held, "ac_id", "left")
     return full.groupBy("dt_name", "sl_member", "ac_type", "stacktrace", F.coalesce("locks", F.lit("nolocks")).alias("locks_held")).agg(F.count(F.lit(1)).alias("total"), F.bool_or("hidden").alias("hidden_access"), F.bool_or("flatten").alias("flatten_accesses"))
+
+
+def sliced(found: DataFrame, prefix: str) -> DataFrame:
+    """Counterexamples of the types that a pattern matches from their start."""
+    return found.where(F.col("data_type").rlike(f"^(?:{prefix})"))
+
+
+def call_tree(found: DataFrame) -> DataFrame:
+    """path (frames from the outermost on), parent (empty below the root), depth, locks, n: the locks held at the accesses that end in a node, null and 0 on the way there.
+
+    `found` are examples or counterexamples: stacktrace with the innermost frame first, locks_held as texts with their counts.
+    """
+    way = lambda n: F.array_join(F.slice("frames", 1, n), " > ")
+    rows = found.select(F.reverse(F.split("stacktrace", ",")).alias("frames"), F.explode(F.split("locks_held", r"\+")).alias("held"))
+    steps = rows.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("frames"))))
+    ends = F.col("depth") == F.size("frames")
+    nodes = steps.select(way(F.col("depth")).alias("path"), way(F.col("depth") - 1).alias("parent"), "depth", F.when(ends, F.regexp_replace("held", "#[0-9]+$", "")).alias("locks"), F.when(ends, F.regexp_extract("held", "#([0-9]+)$", 1).cast("long")).otherwise(0).alias("k"))
+    return nodes.groupBy("path", "parent", "depth", "locks").agg(F.sum("k").alias("n"))

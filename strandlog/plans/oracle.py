@@ -397,3 +397,24 @@ FROM rules r LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
   ON b.type_name = r.type_name AND b.access = r.access AND b.member = r.member GROUP BY 1""",
     CHECKED,
 )
+
+RULES = """SELECT s.type_name AS type, s.member, s.access AS accesstype, CASE WHEN s.locks = '' THEN '(no locks held)' ELSE s.locks END AS locks, CASE WHEN w.accepted = 1 THEN w.conflicts ELSE '' END AS conflictlist, s.occurrences, s.total,
+  100 * s.percentage AS percentage, coalesce(w.accepted, 0) AS accepted, s.confidence,
+  CASE WHEN s.occurrences = s.total THEN '' ELSE s.type_name || ' ' || s.access || ':' || s.member || ' CEX SEQ ' || CASE WHEN s.locks = '' THEN '(no locks held)' ELSE chr(39) || replace(s.locks, ' -> ', chr(39) || ' ' || chr(39)) || chr(39) END END AS parameters
+FROM sup s LEFT JOIN won w ON w.type_name = s.type_name AND w.access = s.access AND w.member = s.member AND w.locks = s.locks WHERE s.set_occurrences / s.total >= 0.1"""
+SQL |= {
+    "rule_rows": base(RULES, MINED + f", won AS ({SQL['winners_lockset']})"),
+    "rule_rows_of_winners": base(RULES + " AND w.accepted = 1", MINED + f", won AS ({SQL['winners_lockset']})"),
+    "member_blacklist_added": base("SELECT * FROM (SELECT subclass_id, member_name_id FROM member_blacklist UNION SELECT 2, id FROM member_names WHERE name IN ('m2', 'm4'))"),
+    "function_blacklist_added": base("SELECT subclass_id, member_name_id, fn, sequence FROM function_blacklist UNION ALL SELECT 3, NULL, 'fn2', NULL"),
+    "function_blacklist_for_any": base("SELECT subclass_id, member_name_id, fn, sequence FROM function_blacklist UNION ALL SELECT NULL, NULL, f, NULL FROM (VALUES ('fn2'), ('fn4')) t(f)"),
+    "counterexamples_of_types": f"SELECT * FROM ({base(EX, CEX_ONE)}) UNION ALL SELECT * FROM ({base(EX, CEX_TWO)})",
+    "counterexample_tree": base(
+        """SELECT array_to_string(fr[1:i], ' > ') AS path, array_to_string(fr[1:i-1], ' > ') AS parent, CAST(i AS INT) AS depth, CASE WHEN i = len(fr) THEN regexp_replace(h, '#[0-9]+$', '') END AS locks,
+  sum(CASE WHEN i = len(fr) THEN CAST(regexp_extract(h, '#([0-9]+)$', 1) AS BIGINT) ELSE 0 END)::BIGINT AS n
+FROM (SELECT *, unnest(range(1, len(fr) + 1)) AS i FROM (SELECT list_reverse(string_split(stacktrace, ',')) AS fr, unnest(string_split(locks_held, '+')) AS h FROM ex)) GROUP BY ALL""",
+        CEX_ONE,
+    ),
+    "coverage_convert": inputs("SELECT '0x' || lower(hex(m.number)) AS basic_block, s.file, s.line FROM maps m JOIN src s ON s.p_partkey = m.number"),
+    "coverage_preprocess": inputs("SELECT DISTINCT 'runs/' || (map % 3) || '/' || map || '.map' AS path, map || '.map' AS map, bb FROM maps"),
+}

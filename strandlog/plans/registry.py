@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandlog.operators import coverage, evaluation, flat, machine, mining, observations, transactions, validation, violations
+from strandlog.operators import blacklists, coverage, evaluation, flat, machine, mining, observations, transactions, validation, violations
 from strandlog.plans import oracle, oracle_lines
 from strandlog.sources import documented
 from strandlog.sources import lines as trace_lines
@@ -30,6 +30,11 @@ def winners(strategy: str):
     return build
 
 
+def rules(db, winners_only: bool = False):
+    supported = mining.reported(mined(db))
+    return mining.report_rows(supported, winners("lockset")(db), winners_only)
+
+
 def sweep(db):
     seen = observations.txn_members_locks(db)
     combos = mining.combinations(seen)
@@ -122,6 +127,13 @@ TRACE |= {
     "support_histogram": lambda db: evaluation.support_histogram(mined(db), 10),
     "confidence_quartiles": lambda db: evaluation.confidence_quartiles(mined(db)),
     "validation": validation.violated,
+    "rule_rows": rules,
+    "rule_rows_of_winners": lambda db: rules(db, winners_only=True),
+    "member_blacklist_added": lambda db: blacklists.with_members(db, "node", "proc", ["m2", "m4", "none"]),
+    "function_blacklist_added": lambda db: blacklists.with_functions(db, "buf", None, ["fn2"]),
+    "function_blacklist_for_any": lambda db: blacklists.with_functions(db, "any", None, ["fn2", "fn4"]),
+    "counterexamples_of_types": lambda db: violations.sliced(two_rules(db), "no"),
+    "counterexample_tree": lambda db: violations.call_tree(violations.examples(db, *RULE)),
     "machine_locks": lambda db: machine.run_machine(machine_events(db)).select("seq", "locks"),
     "machine_raw": lambda db: machine.run_machine(raw_machine_events(db)).select("seq", "txn_id", "locks"),
 }
@@ -146,6 +158,8 @@ COVERAGE = {
     "coverage_by_file": lambda c: coverage.line_coverage(c.lines, F.col("file")),
     "coverage_by_directory": lambda c: coverage.line_coverage(c.lines, coverage.directory(F.col("file"))),
     "coverage_compose": lambda c: coverage.composed_suite(c.maps.select("map").distinct().withColumn("command", F.concat(F.lit("run "), F.col("map").cast("string"))), c.maps.where("number < 3").select("map").distinct()),
+    "coverage_convert": lambda c: coverage.lines_of_blocks(c.maps, c.lines.select(F.lpad(F.lower(F.hex("p_partkey")), 16, "0").alias("bb"), "file", "line")),
+    "coverage_preprocess": lambda c: coverage.preprocessed(c.maps.select(F.concat_ws("/", F.lit("runs"), (F.col("map") % 3).cast("string"), F.concat(F.col("map").cast("string"), F.lit(".map"))).alias("path"), "bb")),
     "coverage_curve_lines": lambda c: coverage.curve_points(c.maps.select(F.col("number").alias("i")).distinct(), 16, "lines"),
     "coverage_curve_hilbert": lambda c: coverage.curve_points(c.maps.select(F.col("number").alias("i")).distinct(), 16),
     "coverage_curve_spiral": lambda c: coverage.curve_points(c.maps.select(F.col("number").alias("i")).distinct(), 16, "spiral"),

@@ -79,9 +79,13 @@ def first_seen(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def hypotheses_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Report rows; of repeated (type, member, access, locks) one stays."""
+    """Report rows; of repeated (type, member, access, locks) the first of a file stays."""
     found = spark.read.csv(path, sep=";", header=True, schema="type string, member string, accesstype string, locks string, conflictlist string, occurrences long, total long, percentage double, accepted int, confidence double, parameters string")
-    return found.dropDuplicates(["type", "member", "accesstype", "locks"])
+    key = ["type", "member", "accesstype", "locks"]
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    rows = found.select(*key, at.alias("at"), F.struct(*[c for c in found.columns if c not in key]).alias("row"))
+    first = rows.groupBy(*key).agg(F.min_by("row", "at").alias("row"))
+    return first.select(*[c if c in key else F.col(f"row.{c}").alias(c) for c in found.columns])
 
 
 def coverage_maps(spark: SparkSession, path: str) -> DataFrame:
@@ -95,3 +99,15 @@ def write_table(df: DataFrame, path: str, separator: str | None = None) -> None:
         df.write.mode("overwrite").parquet(path)
     else:
         df.write.mode("overwrite").csv(path, sep=separator, header=True, nullValue=r"\N")
+
+
+def type_list(spark: SparkSession, path: str) -> DataFrame:
+    """id and type_name: one name a line, numbered in the order of the lines."""
+    lines = numbered_lines(spark, path).where("value <> ''").withColumn("all", F.lit(0))
+    return running(lines, ["all"], "seq", F.lit(1).cast("long"), "sum", "id").select("id", F.col("value").alias("type_name"))
+
+
+def observations_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """type_name, members_accessed, locks_held, occurrences of a tab-separated table; lines with another number of columns, and the header, are left out."""
+    parts = spark.read.text(path).withColumn("x", F.split("value", "\t", -1)).where((F.size("x") == 4) & F.col("value").rlike("[0-9]$"))
+    return parts.select(F.col("x")[0].alias("type_name"), F.col("x")[1].alias("members_accessed"), F.col("x")[2].alias("locks_held"), F.col("x")[3].cast("long").alias("occurrences"))
