@@ -1,16 +1,17 @@
 """Phrase collocations: phrases whose words meet more often than their parts' counts tell, by language.
 
-First pass: each task adds its words and phrases of up to three words to a count-min sketch, by language; the sketches are merged cell by
-cell. A sketch never counts less than there is, so that cells below the least count rule phrases out without loss, and so do those of
-their parts. Second pass: what is left is counted exactly, within tasks first. Scores and subsumption are joins of the exact counts.
+Texts are cut into blocks, written once. First pass: a block's words and phrases of up to three words are a count-min sketch of its
+own, sparse, by language: sorted cells and their counts, in slices. The blocks' sketches are merged slice by slice. A sketch never counts less than there is, so that cells below the least
+count rule phrases out without loss, and so do those of their parts. The merge answers each block with a bit for each cell that the block has.
+Second pass: blocks meet their bits, and what is left is counted exactly, within tasks first. Scores and subsumption are joins of the exact counts.
 
-Counters stop at the least count: all that is asked of a merged cell is whether it reaches that, one bit, and two rows of 2^24 cells are 4 MB for all tasks, however large the
-corpus is. That is the only thing that passes the driver; a task holds 32 MB of counters. With more than some ten different phrases a cell (about 10 GB of text at this width) the bits rule out less and the
-second pass sends more; the results stay the same, as it counts exactly. `width` is for larger corpora.
+The sketch's width follows the corpus (a cell for every four bytes of text), so that it rules out as much at any size, and no task or driver ever holds the whole of it: a slice is
+one group of 2^22 counters and the cells that blocks have there, some four for each counter, as hashes spread them; a cell of a block takes 1.5 to 2 bytes in the shuffle, its answer a bit.
+The driver learns the number of bytes, nothing else.
 
 Defined results: null texts are empty, null languages `und`. A row is a document; repeated rows count each. Phrases don't pass the marks
 that split pieces. Empty and blank texts give nothing. Texts of any length are taken whole: they are cut into blocks between words, with the two words that
-follow. A language's phrases of one score and count are ranked by their UTF-8 bytes. An empty table gives no rows. Other columns, whatever their names, are not read.
+follow; a single word longer than a block is a block. A language's phrases of one score and count are ranked by their UTF-8 bytes. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import parallelism, pylist, slices, table, written
+from .common import pylist, slices, table, written
 
 #: Lower case, white space to spaces, marks that split pieces to line ends.
 FOLD = bytes(32 if c == 9 else 10 if c in b".,;:!?" or 10 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 TWO_MORE = re.compile(rb"(?: [^ \n]+){0,2}")
 BLOCK = 1 << 21
-CELLS = 1 << 16
+#: Cells of a slice.
+CELLS = 1 << 22
 ROWS = 2
 MOST = 3
 
@@ -113,104 +116,135 @@ def phrases(hashes: Hashes, lang: str, block: bytes, own: int) -> Iterator[tuple
 
 
 def places(h: np.ndarray, row: int, width: int) -> np.ndarray:
-    """Cells of a row: other bits of the hash for each row. Widths are powers of two, from CELLS to 2^32."""
-    return (h >> np.uint64(32 * row) & np.uint64(width - 1)).astype(np.int64)
+    """Cells of a row; each row mixes the hash anew. Widths are powers of two."""
+    return (mixed(h + np.uint64(row * 0x632BE59BD9B4E019)) & np.uint64(width - 1)).astype(np.int64)
 
 
-def sketched(least: int, width: int):
-    """Partial sketches of a task: slices of CELLS counters that stop at `least`, compressed."""
+def cut_texts(most: int):
+    """Blocks of a task's texts: block (a number of its own), lang, own (the end of its words), data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, cells = Hashes(), np.zeros((ROWS, width), np.uint8)
+        number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             for lang, data in pieces(batch):
-                for block, own in blocks(data):
-                    found = np.concatenate([np.zeros(0, np.uint64), *(h for *_, h in phrases(hashes, lang, block, own))])
-                    for row in range(ROWS):
-                        at, n = np.unique(places(found, row, width), return_counts=True)
-                        cells[row, at] = np.minimum(cells[row, at] + n, least)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        flat = cells.reshape(-1, CELLS)
-        some = np.flatnonzero(flat.any(axis=1))
-        for k in range(0, len(some), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 64], pa.int32()), pa.array([pack(flat[s].tobytes()) for s in some[k : k + 64]], pa.binary())], ["slice", "cells"])
+                for block, own in blocks(data, most):
+                    yield pa.RecordBatch.from_pydict({"block": [number], "lang": [lang], "own": [own], "data": [block]}, schema=pa.schema([("block", pa.int64()), ("lang", pa.string()), ("own", pa.int32()), ("data", pa.binary())]))
+                    number += 1
 
     return run
 
 
-def merged(least: int):
-    """The sums of a partition's slices, as bits of the cells that reach `least`; it holds each slice once, however many tasks sent it."""
+def packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising cells as gaps, and counts of a byte, compressed by places of bytes."""
+    gaps = np.diff(cells, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return zstandard.ZstdCompressor(level=1).compress(gaps.T.tobytes() + counts.astype(np.uint8).tobytes())
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(5, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), dtype=np.int64), planes[4]
+
+
+def found_phrases(hashes: Hashes, lang: str, block: bytes, own: int) -> list[tuple]:
+    return list(phrases(hashes, lang, block, own)) or [(n, *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64)) for n in range(1, MOST + 1)]
+
+
+def sliced(found: list[tuple], row: int, width: int, cells: int):
+    """Distinct cells of a block's phrases in a row, where each phrase's is among them, how often each is met, and where slices begin."""
+    at, where, n = np.unique(places(np.concatenate([h for *_, h in found]), row, width), return_inverse=True, return_counts=True)
+    return at, where, n, np.searchsorted(at, np.arange(0, width + 1, cells))
+
+
+def sketched(least: int, width: int, cells: int):
+    """Sketches of blocks: slice, block, cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor().decompress
+        hashes = Hashes()
         for batch in batches:
-            for s, packed in zip(pylist(batch, "slice"), pylist(batch, "cells")):
-                more = np.frombuffer(unpack(packed, max_output_size=CELLS), np.uint8)
-                sums[s] = np.minimum(sums[s] + more, least) if s in sums else more.copy()
-        for s, cells in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(cells >= least).tobytes()], pa.binary())], ["slice", "bits"])
+            for block, lang, own, data in zip(*(pylist(batch, c) for c in ("block", "lang", "own", "data"))):
+                found, numbers, parts = found_phrases(hashes, lang, data, own), [], []
+                for row in range(ROWS):
+                    at, _, n, ends = sliced(found, row, width, cells)
+                    for k in np.flatnonzero(np.diff(ends)).tolist():
+                        a, b = ends[k], ends[k + 1]
+                        numbers.append(row * (width // cells) + k)
+                        parts.append(packed(at[a:b] - k * cells, np.minimum(n[a:b], least)))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["slice", "block", "cells"])
 
     return run
 
 
-def frequent_cells(docs: DataFrame, least: int, width: int) -> np.ndarray:
-    """A bit for each cell of the merged sketch, in rows of bytes."""
-    parts = docs.mapInArrow(sketched(least, width), "slice int, cells binary").repartition(parallelism(docs.sparkSession), "slice")
-    bits = np.zeros((ROWS * width // CELLS, CELLS // 8), np.uint8)
-    for r in parts.mapInArrow(merged(least), "slice int, bits binary").collect():
-        bits[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    return bits.reshape(ROWS, -1)
+ANSWER = pa.schema([("block", pa.int64()), ("slice", pa.int64()), ("bits", pa.binary())])
 
 
-def counted(bits, width: int, most: int = 200_000):
-    """Exact counts, within a task, of the phrases that the sketch leaves; the words of a language are counted under the empty phrase."""
+def merged(least: int, cells: int):
+    """For a slice's sketches of all blocks: block, slice, a bit for each of the block's cells, set where all blocks together reach `least`."""
 
-    def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, found in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([p.decode() for p in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "phrase", "n"])
+    def run(group: pa.Table) -> pa.Table:
+        sums, parts = np.zeros(cells, np.uint8), [unpacked(x) for x in group["cells"].to_pylist()]
+        for at, n in parts:
+            sums[at] = np.minimum(sums[at] + n, least)
+        enough = sums >= least
+        return pa.table([group["block"].combine_chunks(), group["slice"].combine_chunks(), pa.array([np.packbits(enough[at]).tobytes() for at, _ in parts], pa.binary())], schema=ANSWER)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, cells = Hashes(), {}, bits.value
-        for batch in slices(batches, "text"):
-            for lang, data in pieces(batch):
-                mine = counts.setdefault(lang, Counter())
-                for block, own in blocks(data):
-                    # the last block's words that belong to the next one have no verdict of their own: they pass
-                    passed = np.ones(len(block) + 2, bool)
-                    for n, at, starts, ends, h in phrases(hashes, lang, block, own):
-                        if n == 1:
-                            mine[b""] += len(at)
-                        ok = passed[at] & passed[at + 1] if n > 1 else np.ones(len(at), bool)
-                        for row in range(ROWS):
-                            cell = places(h, row, width)
-                            ok &= (cells[row, cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-                        passed = np.ones(len(passed), bool)
-                        passed[at] = ok
-                        mine.update([block[a:b] for a, b in zip(starts[ok].tolist(), ends[ok].tolist())])
-                    if sum(map(len, counts.values())) > most:
-                        yield from rows(counts)
-                        counts = {}
-                        mine = counts.setdefault(lang, Counter())
-        yield from rows(counts)
+    return run
+
+
+COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+
+
+def counted(width: int, cells: int):
+    """Exact counts, within a block, of the phrases that the answers leave; a block's words are counted under the empty phrase."""
+    hashes: list[Hashes] = []
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        if not hashes:
+            hashes.append(Hashes())
+        if not block.num_rows:
+            return COUNTED.empty_table()
+        lang, own, data = (block[c][0].as_py() for c in ("lang", "own", "data"))
+        bits = dict(zip(answers["slice"].to_pylist(), answers["bits"].to_pylist()))
+        found = found_phrases(hashes[0], lang, data, own)
+        left = np.ones(sum(len(x[1]) for x in found), bool)
+        for row in range(ROWS):
+            at, where, _, ends = sliced(found, row, width, cells)
+            some = np.flatnonzero(np.diff(ends)).tolist()
+            ok = [np.unpackbits(np.frombuffer(bits[row * (width // cells) + k], np.uint8), count=int(ends[k + 1] - ends[k])) for k in some]
+            left &= np.concatenate([np.zeros(0, np.uint8), *ok])[where].astype(bool)
+        counts, passed, begun = Counter(), np.ones(len(data) + 2, bool), 0
+        for n, at, starts, ends, _ in found:
+            ok = left[begun : begun + len(at)]
+            begun += len(at)
+            if n == 1:
+                counts[b""] = len(at)
+            else:
+                # words of the next block have no verdict here: they pass
+                ok = ok & passed[at] & passed[at + 1]
+            passed = np.ones(len(passed), bool)
+            passed[at] = ok
+            counts.update([data[a:b] for a, b in zip(starts[ok].tolist(), ends[ok].tolist())])
+        return pa.table([pa.array([lang] * len(counts), pa.string()), pa.array([p.decode() for p in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], schema=COUNTED)
 
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int, width: int) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int, block: int, cells: int) -> DataFrame:
     """lang, phrase, words, n: all phrases of up to three words found at least `least` times, and the number of words of each language, as the phrase of no words."""
     if not 1 <= least <= 127:
         raise ValueError("counters of a byte are added: the least count is 127 at most")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    bits = docs.sparkSession.sparkContext.broadcast(frequent_cells(texts, least, width))
-    found = texts.mapInArrow(counted(bits, width), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    cut = written(texts.mapInArrow(cut_texts(block), "block long, lang string, own int, data binary"), "collocation-blocks")
+    width = max(cells, 1 << ((cut.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0] // 4).bit_length()))
+    answers = cut.mapInArrow(sketched(least, width, cells), "slice long, block long, cells binary").groupBy("slice").applyInArrow(merged(least, cells), "block long, slice long, bits binary")
+    found = cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(counted(width, cells), "lang string, phrase string, n long")
+    found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
     return written(found.withColumn("words", words).where((F.col("words") == 0) | (F.col("n") >= least)), "collocations")
 
 
-def collocations(docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50, width: int = 1 << 24) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50, block: int = BLOCK, cells: int = CELLS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of two and three words that no longer one holds in `share` percent of their places."""
-    counts = phrase_counts(docs, least, width)
+    counts = phrase_counts(docs, least, block, cells)
     part = counts.where("words between 1 and 2").select("lang", "phrase", "n")
     some = counts.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"))
     cuts = some.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,16 +130,16 @@ def ranked(rows, least, top, share):
 def test_collocations_equal_brute_force(docs, least, top, share):
     docs = groups(docs)
     want = ranked([(r["text"], r["lang"]) for r in docs.select("text", "lang").collect()], least, top, share)
-    got = collocations.collocations(docs, least, top, share, width=1 << 16).collect()
+    got = collocations.collocations(docs, least, top, share, block=1000, cells=1 << 10).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-def test_collocations_of_random_words_with_a_full_sketch(spark):
-    """Far more phrases than cells: the sketch rules little out, and the result is the same."""
+@pytest.mark.parametrize("block,cells", [(1 << 21, 1 << 22), (5000, 1 << 8)])
+def test_collocations_of_random_words(spark, block, cells):
     words = random.Random(5)
     texts = [" ".join(f"w{int(words.paretovariate(0.3)) % 5000}" + words.choice(["", "", "", ".", "\t", "  x"]) for _ in range(4000)) for _ in range(12)]
     docs = spark.createDataFrame([(t, "en" if k else None) for k, t in enumerate(texts)], "text string, lang string").repartition(4)
-    got = collocations.collocations(docs, 4, 300, 50, width=1 << 16).collect()
+    got = collocations.collocations(docs, 4, 300, 50, block, cells).collect()
     assert {tuple(r) for r in got} == ranked([(t, "en" if k else None) for k, t in enumerate(texts)], 4, 300, 50)
 
 
@@ -159,16 +160,23 @@ def test_hashes_of_ranges_do_not_depend_on_their_place():
     assert len(found) == 1 and found.isdisjoint(other)
 
 
-def test_sketch_bits_never_miss_a_frequent_phrase():
+def test_answers_never_miss_a_frequent_phrase():
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 3, "text": ["a b c a b c", "a b\na b c", "z"]})
-    parts = [b for part in (batch, batch.slice(0, 2)) for b in collocations.sketched(3, 1 << 16)(iter([part]))]
-    bits = {s: np.frombuffer(x, np.uint8) for b in collocations.merged(3)(iter(parts)) for s, x in zip(b["slice"].to_pylist(), b["bits"].to_pylist())}
-    for n, at, starts, ends, h in collocations.phrases(collocations.Hashes(), "en", b"a b c", 5):
-        for row in range(collocations.ROWS):
-            for cell in collocations.places(h, row, 1 << 16):
-                assert bits[row][cell >> 3] >> (7 - (cell & 7)) & 1
+    width = 1 << 12
+    texts = pa.RecordBatch.from_pydict({"block": [0, 1], "lang": ["en"] * 2, "own": [11, 11], "data": [b"a b c a b c", b"a b\na b c z"]})
+    sketches = pa.Table.from_batches(list(collocations.sketched(3, width, 1 << 8)(iter([texts]))))
+    answers = [collocations.merged(3, 1 << 8)(sketches.filter(pa.compute.equal(sketches["slice"], s))) for s in sorted(set(sketches["slice"].to_pylist()))]
+    answers = pa.concat_tables(answers)
+    for k, want in enumerate([{"": 6, "a": 2, "b": 2, "c": 2, "a b": 2, "b c": 2, "a b c": 2}, {"": 6, "a": 2, "b": 2, "c": 1, "a b": 2, "b c": 1, "a b c": 1}]):
+        got = collocations.counted(width, 1 << 8)(pa.Table.from_batches([texts.slice(k, 1)]), answers.filter(pa.compute.equal(answers["block"], k)))
+        assert dict(zip(got["phrase"].to_pylist(), got["n"].to_pylist())).items() >= want.items()
+
+
+def test_packed_cells_come_back():
+    cells = np.array([0, 1, 7, 70_000, 4_000_000])
+    at, n = collocations.unpacked(collocations.packed(cells, np.array([1, 2, 3, 10, 127])))
+    assert at.tolist() == cells.tolist() and n.tolist() == [1, 2, 3, 10, 127]
 
 
 def test_collocations_without_rows(nothing):
