@@ -5,8 +5,8 @@ own, sparse, by language: sorted cells and their counts, in slices. The blocks'
 count rule phrases out without loss, and so do those of their parts. The merge answers each block with a bit for each cell that the block has.
 Second pass: blocks meet their bits, and what is left is counted exactly, within tasks first. Scores and subsumption are joins of the exact counts.
 
-The sketch's width follows the corpus (a cell for every four bytes of text), so that it rules out as much at any size, and no task or driver ever holds the whole of it: a slice is
-one group of 2^22 counters and the cells that blocks have there, some four for each counter, as hashes spread them; a cell of a block takes 1.5 to 2 bytes in the shuffle, its answer a bit.
+The sketch's width follows the corpus (a cell for every sixteen bytes of text), so that it rules out as much at any size, and no task or driver ever holds the whole of it: a slice is
+one group of 2^20 counters and the cells that blocks have there, some eight for each counter, as hashes spread them; a cell of a block takes 1 to 2 bytes in the shuffle, its answer a bit.
 The driver learns the number of bytes, nothing else.
 
 Defined results: null texts are empty, null languages `und`. A row is a document; repeated rows count each. Phrases don't pass the marks
@@ -35,7 +35,7 @@ FOLD = bytes(32 if c == 9 else 10 if c in b".,;:!?" or 10 <= c <= 13 else c + 32
 TWO_MORE = re.compile(rb"(?: [^ \n]+){0,2}")
 BLOCK = 1 << 21
 #: Cells of a slice.
-CELLS = 1 << 22
+CELLS = 1 << 20
 ROWS = 2
 MOST = 3
 
@@ -121,14 +121,14 @@ def places(h: np.ndarray, row: int, width: int) -> np.ndarray:
 
 
 def cut_texts(most: int):
-    """Blocks of a task's texts: block (a number of its own), lang, own (the end of its words), data."""
+    """Blocks of a task's texts: block (a number of its own), lang, own (the end of its words), data (compressed: a task of the second pass takes more of them, and sends a phrase once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             for lang, data in pieces(batch):
                 for block, own in blocks(data, most):
-                    yield pa.RecordBatch.from_pydict({"block": [number], "lang": [lang], "own": [own], "data": [block]}, schema=pa.schema([("block", pa.int64()), ("lang", pa.string()), ("own", pa.int32()), ("data", pa.binary())]))
+                    yield pa.RecordBatch.from_pydict({"block": [number], "lang": [lang], "own": [own], "data": [zstandard.ZstdCompressor(level=3).compress(block)]}, schema=pa.schema([("block", pa.int64()), ("lang", pa.string()), ("own", pa.int32()), ("data", pa.binary())]))
                     number += 1
 
     return run
@@ -145,6 +145,10 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), dtype=np.int64), planes[4]
 
 
+def plain(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def found_phrases(hashes: Hashes, lang: str, block: bytes, own: int) -> list[tuple]:
     return list(phrases(hashes, lang, block, own)) or [(n, *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64)) for n in range(1, MOST + 1)]
 
@@ -162,7 +166,7 @@ def sketched(least: int, width: int, cells: int):
         hashes = Hashes()
         for batch in batches:
             for block, lang, own, data in zip(*(pylist(batch, c) for c in ("block", "lang", "own", "data"))):
-                found, numbers, parts = found_phrases(hashes, lang, data, own), [], []
+                found, numbers, parts = found_phrases(hashes, lang, plain(data), own), [], []
                 for row in range(ROWS):
                     at, _, n, ends = sliced(found, row, width, cells)
                     for k in np.flatnonzero(np.diff(ends)).tolist():
@@ -203,6 +207,7 @@ def counted(width: int, cells: int):
         if not block.num_rows:
             return COUNTED.empty_table()
         lang, own, data = (block[c][0].as_py() for c in ("lang", "own", "data"))
+        data = plain(data)
         bits = dict(zip(answers["slice"].to_pylist(), answers["bits"].to_pylist()))
         found = found_phrases(hashes[0], lang, data, own)
         left = np.ones(sum(len(x[1]) for x in found), bool)
@@ -234,7 +239,7 @@ def phrase_counts(docs: DataFrame, least: int, block: int, cells: int) -> DataFr
         raise ValueError("counters of a byte are added: the least count is 127 at most")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     cut = written(texts.mapInArrow(cut_texts(block), "block long, lang string, own int, data binary"), "collocation-blocks")
-    width = max(cells, 1 << ((cut.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0] // 4).bit_length()))
+    width = max(cells, 1 << ((cut.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0] // 16).bit_length()))
     answers = cut.mapInArrow(sketched(least, width, cells), "slice long, block long, cells binary").groupBy("slice").applyInArrow(merged(least, cells), "block long, slice long, bits binary")
     found = cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(counted(width, cells), "lang string, phrase string, n long")
     found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
@@ -248,16 +253,19 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, share: int =
     part = counts.where("words between 1 and 2").select("lang", "phrase", "n")
     some = counts.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"))
     cuts = some.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "words", "a", "k", F.call_function("substring_index", "phrase", F.lit(" "), F.col("k")).alias("left"), F.call_function("substring_index", "phrase", F.lit(" "), F.col("k") - F.col("words")).alias("right"))
-    both = cuts.join(part.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l")), ["lang", "left"]).join(part.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"])
+    # sides are taken from the phrase where they are asked for, so that rows stay short
+    left, right = (F.call_function("substring_index", "phrase", F.lit(" "), F.col("k") - back) for back in (F.lit(0), F.col("words")))
+    both = cuts
+    for side, n in ((left, "l"), (right, "r")):
+        both = both.join(part.select(F.col("lang").alias("side_lang"), F.col("phrase").alias("side"), F.col("n").alias(n)), (F.col("lang") == F.col("side_lang")) & (side == F.col("side"))).drop("side_lang", "side")
     wide = lambda c: F.col(c).cast("decimal(15,0)")
     # a is at most l and r, so that a score is at most a million
     score = F.call_function("div", wide("a") * wide("a") * F.lit(1_000_000).cast("decimal(7,0)"), wide("l") * wide("r"))
     lowest = both.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-    inside = cuts.where("words = 3").select("lang", F.when(F.col("k") == 1, F.col("right")).otherwise(F.col("left")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    left = lowest.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
+    inside = cuts.where("words = 3").select("lang", F.when(F.col("k") == 1, right).otherwise(left).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
+    whole = lowest.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    best = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = whole.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     total = counts.where("words = 0").select("lang", "n")
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 

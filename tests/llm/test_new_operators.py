@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.compute  # noqa: F401
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from strandlog.llm import collocations, divergence, url_filter
@@ -164,7 +165,7 @@ def test_answers_never_miss_a_frequent_phrase():
     import pyarrow as pa
 
     width = 1 << 12
-    texts = pa.RecordBatch.from_pydict({"block": [0, 1], "lang": ["en"] * 2, "own": [11, 11], "data": [b"a b c a b c", b"a b\na b c z"]})
+    texts = pa.RecordBatch.from_pydict({"block": [0, 1], "lang": ["en"] * 2, "own": [11, 11], "data": [zstandard.ZstdCompressor().compress(t) for t in (b"a b c a b c", b"a b\na b c z")]})
     sketches = pa.Table.from_batches(list(collocations.sketched(3, width, 1 << 8)(iter([texts]))))
     answers = [collocations.merged(3, 1 << 8)(sketches.filter(pa.compute.equal(sketches["slice"], s))) for s in sorted(set(sketches["slice"].to_pylist()))]
     answers = pa.concat_tables(answers)
