@@ -34,6 +34,8 @@ from .common import pylist, slices, table, written
 FOLD = bytes(32 if c == 9 else 10 if c in b".,;:!?" or 10 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 TWO_MORE = re.compile(rb"(?: [^ \n]+){0,2}")
 BLOCK = 1 << 21
+#: Bytes of text of a task of the second pass: it holds their distinct phrases, and sends each once.
+SHARE = 1 << 26
 #: Cells of a slice.
 CELLS = 1 << 20
 ROWS = 2
@@ -239,9 +241,11 @@ def phrase_counts(docs: DataFrame, least: int, block: int, cells: int) -> DataFr
         raise ValueError("counters of a byte are added: the least count is 127 at most")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     cut = written(texts.mapInArrow(cut_texts(block), "block long, lang string, own int, data binary"), "collocation-blocks")
-    width = max(cells, 1 << ((cut.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0] // 16).bit_length()))
+    size = cut.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
+    width = max(cells, 1 << (size // 16).bit_length())
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // SHARE)
     answers = cut.mapInArrow(sketched(least, width, cells), "slice long, block long, cells binary").groupBy("slice").applyInArrow(merged(least, cells), "block long, slice long, bits binary")
-    found = cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(counted(width, cells), "lang string, phrase string, n long")
+    found = cut.repartition(tasks, "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(counted(width, cells), "lang string, phrase string, n long")
     found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
     return written(found.withColumn("words", words).where((F.col("words") == 0) | (F.col("n") >= least)), "collocations")

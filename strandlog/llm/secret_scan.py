@@ -6,7 +6,7 @@ they found. A scan takes the distinct blobs of its input, leaves out the pairs o
 that the ledger has, runs the others, appends them, and joins findings back to all paths.
 
 Defined results: null counts as empty. Rows are paths, so repeated rows and null ids each get their findings. An empty
-table gives an empty result and appends nothing. Other columns are carried along. Findings of different rules may overlap.
+table gives an empty result and appends nothing. Texts of any length are scanned whole; every rule's time is in proportion to the text. Other columns are carried along. Findings of different rules may overlap.
 """
 
 from __future__ import annotations
@@ -32,13 +32,15 @@ class Rule:
     least: int = 0
     group: int = 0
     any_case: bool = False
+    #: The group that is the secret; what stands before it in a match only places it.
+    span: int = 0
 
     @property
     def version(self) -> str:
         return f"{self.kind}@{hashlib.sha256(repr(self).encode()).hexdigest()[:12]}"
 
     def spans(self, text: str, compiled: re.Pattern) -> list[tuple[int, int]]:
-        return [m.span() for m in compiled.finditer(text) if m.end(self.group) - m.start(self.group) >= self.least]
+        return [m.span(self.span) for m in compiled.finditer(text) if m.end(self.group) - m.start(self.group) >= self.least]
 
     def compiled(self) -> re.Pattern:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.any_case else 0))
@@ -55,7 +57,8 @@ ADDED = (
     Rule("pem", r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1-----|(?:(?:\s|\\[rn])*(?:(?:Proc-Type|DEK-Info):[^\n]*|[A-Za-z0-9+/]{16,}={0,2}))*(?:\s*\n[A-Za-z0-9+/]{1,15}={0,2}(?=\s*(?:\n|\Z)))?)"),
     Rule("vcs", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # Tried once a run of letters, from its first eyJ: a later one in the run has the same dots after it.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", span=1),
     Rule("cloud", "AIza[A-Za-z0-9_-]{35}"),
 )
 RULES = BASE + ADDED

@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from strandlog.llm import collocations, divergence, url_filter
+from strandlog.llm import collocations, divergence, secret_scan, url_filter
 
 UPPER = str.maketrans(divergence.UPPER, divergence.LOWER)
 
@@ -182,3 +182,41 @@ def test_packed_cells_come_back():
 
 def test_collocations_without_rows(nothing):
     assert collocations.collocations(groups(nothing)).count() == 0
+
+
+# 8 secret scans: rules on texts made to be slow
+
+
+HARD = {
+    "assign": ["password ", "password  =", "token=" + "a", "api_key' ", "secret:" + " " * 50],
+    "access": ["AKIA", "AKIAA ", "AKI"],
+    "hex": ["0123456789abcdef0123456", "a" * 23 + "g", "f"],
+    "pem": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN ", "-----BEGIN A PRIVATE KEY-----\n" + "A" * 15 + "\n", "-----BEGIN PRIVATE KEY-----\n" + "A" * 64 + "\n", "-----END ", "PRIVATE KEY", "-----BEGIN PRIVATE KEY-----" + "\\n" * 9],
+    "vcs": ["ghp_", "ghp_" + "a" * 35 + "_", "gh"],
+    "chat": ["xoxa-", "xoxa-aaaaaaaaa ", "xox"],
+    "jwt": ["eyJ", "eyJaaaaaaaa.", "eyJaaaaaaaa.aaaaaaaa.a.", "eyJaaaaaaaa.eyJ.", "-"],
+    "cloud": ["AIza", "AIza" + "a" * 34 + " ", "A"],
+}
+
+
+@pytest.mark.parametrize("rule", secret_scan.RULES, ids=lambda r: r.kind)
+def test_rules_take_a_megabyte_of_any_kind_in_little_time(rule):
+    import time
+
+    compiled = rule.compiled()
+    for unit in HARD[rule.kind]:
+        text = "" + unit * (1_000_000 // len(unit))
+        for x in (text, text + " end", "-----BEGIN PRIVATE KEY-----\n" + text, "eyJ" + text):
+            began = time.process_time()
+            rule.spans(x, compiled)
+            assert time.process_time() - began < 3, unit
+
+
+def test_jwt_spans_are_those_of_the_plain_expression():
+    rule = next(r for r in secret_scan.RULES if r.kind == "jwt")
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    dice = random.Random(3)
+    units = ["eyJ", "a" * 8, "b" * 7, ".", ".", "-", " ", "ey", "J_x", "é"]
+    for _ in range(5000):
+        text = "".join(dice.choice(units) for _ in range(dice.randint(1, 24)))
+        assert rule.spans(text, rule.compiled()) == [m.span() for m in plain.finditer(text)], text
