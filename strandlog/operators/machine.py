@@ -1,23 +1,33 @@
 """The exact transaction machine, for traces that are not well-formed: a stack of open acquisitions for each context.
 
 An acquisition opens a transaction on top of its context's stack. A release closes transactions down to the matching one and reopens
-those above it under new identities; one without a match in its own context takes the acquisition from any context that holds it,
-and one without any restarts its context's whole stack.
+those above it under new identities; one without a match in its own context takes the acquisition from the lowest other context that holds it,
+and one without any restarts its context's whole stack. A writer ends all readers of its lock and, unless it may recurse, the writer before it; a reader ends all writers.
 
-State is shared by contexts that use a common lock, and is empty where none of their locks is held. So a trace is cut into the groups of
-contexts that locks connect, and a group's events where the count of its open acquisitions is zero; each segment is a machine of its own. A
-lock that is never released keeps its group's later events in one segment.
+`Machine` does this event by event. `run_machine` doesn't: which acquisition an operation ends depends on the operations on its lock alone, and
+what an access sees on its context's acquisitions and their ends alone. So ends are found by lock, in closed form:
+
+1. an operation that ends all of a side's acquisitions begins an era of that side;
+2. in an era, releases are counted against acquisitions of all contexts: one that finds none is lost, and where none is left a stretch ends;
+3. in a stretch, releases are counted against the acquisitions of their own context: at each depth they take turns, so that an acquisition ends
+   at the next release of its depth;
+4. stretches in which a release finds none of its own context's (a stolen lock) are run event by event. They are cut into blocks of a fixed number of
+   operations; a block in which nothing is stolen leaves what was open before it as it was, so that states are carried over such blocks without running
+   them again.
+
+Then accesses meet acquisitions in range joins by context. Running sums and counters go by blocks of the order, so that no lock, context or trace is one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions import checkpoints
-from strandlog.functions.running import running
+from strandlog.functions.intervals import points_in_intervals
+from strandlog.functions.running import floor_walk, running
 
 STEPS = "trace long, seq long, txn_id long, locks string"
 
@@ -86,49 +96,130 @@ class Machine:
         return None
 
 
-def connected_contexts(events: DataFrame) -> DataFrame:
-    """trace, ctx, component: the least context that is reachable over common locks. Links are between contexts, far fewer than events; each round of them is checkpointed."""
-    checkpoints.prepared(events.sparkSession)
-    users = events.where("lock is not null").select("trace", "ctx", "lock").distinct()
-    pairs = users.join(users.groupBy("trace", "lock").agg(F.min("ctx").alias("other")), ["trace", "lock"]).where("ctx <> other").select("trace", "ctx", "other").distinct()
-    links = pairs.unionByName(pairs.select("trace", F.col("other").alias("ctx"), F.col("ctx").alias("other"))).checkpoint()
-    labels, before = events.select("trace", "ctx").distinct().withColumn("component", F.col("ctx")).checkpoint(), None
-    while (now := labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]) != before:
-        before = now
-        offered = links.join(labels.withColumnRenamed("ctx", "other"), ["trace", "other"]).select("trace", "ctx", "component")
-        labels = labels.unionByName(offered).groupBy("trace", "ctx").agg(F.min("component").alias("component")).checkpoint()
-    return labels
-
-
-def segmented(events: DataFrame) -> DataFrame:
-    """`events` with component and segment: the number of the acquisition before which nothing was held in the component, -1 before the first."""
-    events = events.join(connected_contexts(events), ["trace", "ctx"])
-    lock = ["trace", "lock", "side"]
-    ops = events.where("kind in ('P', 'V')").select(*lock, "seq", "kind")
-    again = events.where("kind in ('P', 'V')").groupBy(*lock).agg(F.max("recursive").alias("again"))
-    ops = running(ops, lock, "seq", F.expr("if(kind = 'P', 1, -1)"), "sum", "balance")
-    ops = running(ops, lock, "seq", F.col("balance"), "min", "least").join(again, lock)
-    # The most acquisitions that may be open: one for a writer that ends the one before it, else those that no release has taken.
-    ops = ops.withColumn("open", F.expr("if(side = 'w' and not again, if(kind = 'P', 1, 0), balance - least(least, 0))"))
-    ops = running(ops, lock, "seq", F.struct("seq", "open"), "max", "last", before=True)
-    change = ops.select("trace", "seq", (F.col("open") - F.coalesce("last.open", F.lit(0))).alias("change"))
-    found = events.join(change, ["trace", "seq"], "left").fillna(0, ["change"])
-    group = ["trace", "component"]
-    found = running(found, group, "seq", F.col("change"), "sum", "held")
-    start = F.when((F.col("kind") == "P") & (F.col("held") == F.col("change")), F.col("seq"))
-    return running(found, group, "seq", start, "max", "segment").fillna(-1, ["segment"]).drop("change", "held")
+QUEUE = ["trace", "lock", "side"]
+ERA = [*QUEUE, "era"]
+STRETCH = [*ERA, "stretch"]
+BUCKET = 256
+#: Operations of a block of a stretch with stolen locks.
+BLOCK = 1 << 12
+
+
+def eras(events: DataFrame) -> DataFrame:
+    """Operations with the era of their lock's side, and that era's end: the operation that ends all that is open, null if there is none."""
+    ops = events.where("kind in ('P', 'V') and lock is not null and side is not null").select(*QUEUE, "seq", "ctx", "kind", F.coalesce("recursive", F.lit(False)).alias("recursive"))
+    own = ops.select(*QUEUE, "seq", "ctx", "kind", F.expr("kind = 'P' and side = 'w' and not recursive").alias("clears"))
+    other = ops.where("kind = 'P'").select("trace", "lock", F.when(F.col("side") == "w", "r").otherwise("w").alias("side"), "seq", "ctx", F.lit("clear").alias("kind"), F.lit(True).alias("clears"))
+    found = checkpoints.kept(running(own.unionByName(other), QUEUE, "seq", F.col("clears").cast("int"), "sum", "era"), "machine-eras")
+    ends = found.where("clears").select(*QUEUE, (F.col("era") - 1).alias("era"), F.col("seq").alias("era_end"))
+    return found.where("kind <> 'clear'").drop("clears").join(ends, ERA, "left")
+
+
+def stretches(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Operations with their stretch, depth and whether the lock is stolen; and lost releases."""
+    counted = floor_walk(ops, ERA, "seq", F.col("kind") == "P", "open_before", "open_after")
+    lost = counted.where("kind = 'V' and open_before = 0").select("trace", "ctx", "seq")
+    kept = counted.where("kind = 'P' or open_before > 0")
+    found = running(kept, ERA, "seq", F.expr("if(open_before = 0, 1, 0)"), "sum", "stretch")
+    own = floor_walk(found, [*STRETCH, "ctx"], "seq", F.col("kind") == "P", "own_before", "own_after")
+    return own.withColumn("stolen", F.expr("kind = 'V' and own_before = 0")).withColumn("depth", F.expr("if(kind = 'P', own_after, own_before)")), lost
+
+
+def run_block(ops: list[tuple[int, int, str]], state: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]], bool]:
+    """(ctx, acquisition, release) of what a block ends, what is open after it, in order, and whether a release found none of its own context's."""
+    stacks: dict[int, list[int]] = {}
+    for ctx, a in state:
+        stacks.setdefault(ctx, []).append(a)
+    ended, stolen = [], False
+    for seq, ctx, kind in ops:
+        if kind == "P":
+            stacks.setdefault(ctx, []).append(seq)
+            continue
+        holder = ctx if stacks.get(ctx) else min((c for c, s in stacks.items() if s), default=None)
+        stolen |= holder != ctx
+        if holder is not None:
+            ended.append((holder, stacks[holder].pop(), seq))
+    return ended, sorted(((c, a) for c, s in stacks.items() for a in s), key=lambda x: x[1]), stolen
 
 
-def run_machine(events: DataFrame) -> DataFrame:
-    """trace, seq, txn_id, locks of each access. `events` has trace, seq, ctx, kind (P, V or an access), lock, side, recursive; a seq is one event of its trace."""
+STATE = "array<struct<ctx:long,a:long>>"
+BLOCKS = f"trace long, lock long, side string, era long, stretch long, block long, ended array<struct<ctx:long,a:long,e:long>>, before {STATE}, after {STATE}, stolen boolean"
+
+
+def stolen_ends(ops: DataFrame, size: int = BLOCK) -> DataFrame:
+    """trace, lock, side, ctx, a, e of the acquisitions in stretches with stolen locks that a release ends.
+
+    All blocks are run from an empty state first. One in which nothing was stolen adds its open acquisitions to whatever was open before; the others are run again
+    from what is carried to them, until what they were run from is what they are carried: a round for each block with stolen locks in a row of one stretch at most.
+    """
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        machine, out = Machine(), []
-        for trace, seq, ctx, kind, lock, side, again in pdf.sort_values("seq")[["trace", "seq", "ctx", "kind", "lock", "side", "recursive"]].itertuples(index=False):
-            found = machine.step(int(seq), int(ctx), kind, None if pd.isna(lock) else int(lock), side, bool(again))
-            if found:
-                out.append((trace, seq, *found))
-        return pd.DataFrame(out, columns=["trace", "seq", "txn_id", "locks"]).astype({"txn_id": "Int64"})
+    numbered = running(ops, STRETCH, "seq", F.lit(1).cast("long"), "sum", "number")
+    blocks = numbered.withColumn("block", F.floor((F.col("number") - 1) / size))
+    blocks = checkpoints.kept(blocks.groupBy(*STRETCH, "block").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("ctx").cast("long").alias("ctx"), "kind"))).alias("ops")), "machine-blocks")
+    keys = [*STRETCH, "block"]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                before = [(int(x["ctx"]), int(x["a"])) for x in r.before]
+                ended, after, stolen = run_block([(int(o["seq"]), int(o["ctx"]), o["kind"]) for o in r.ops], before)
+                shown = lambda state: [{"ctx": c, "a": a} for c, a in state]
+                rows.append((r.trace, r.lock, r.side, r.era, r.stretch, r.block, [{"ctx": c, "a": a, "e": e} for c, a, e in ended], shown(before), shown(after), stolen))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in BLOCKS.split(", ")])
+
+    empty = F.array().cast(STATE)
+    now = checkpoints.kept(blocks.withColumn("before", empty).mapInPandas(run, BLOCKS), "machine-states")
+    by_block = Window.partitionBy(*STRETCH).orderBy("block")
+    while True:
+        # What a block is carried: the state after the last one with stolen locks, and what each of the blocks since then has left open.
+        parts = now.select(*keys, "after", (F.coalesce(F.sum(F.col("stolen").cast("int")).over(by_block.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).alias("since"))
+        up_to = Window.partitionBy(*STRETCH, "since").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+        state = parts.withColumn("carried", F.flatten(F.collect_list("after").over(up_to)))
+        arrived = state.select(*keys, F.coalesce(F.lag("carried").over(by_block), empty).alias("carried"))
+        wrong = now.where("stolen").select(*keys, "before").join(arrived, keys).where("not (before <=> carried)")
+        again = checkpoints.kept(wrong.select(*keys, F.col("carried").alias("before")), "machine-again")
+        if again.isEmpty():
+            break
+        rerun = blocks.join(again, keys).mapInPandas(run, BLOCKS).withColumn("stolen", F.lit(True))
+        now = checkpoints.kept(now.join(again.select(*keys), keys, "left_anti").unionByName(rerun), "machine-states")
+    return now.select(*QUEUE, F.explode("ended").alias("x")).select(*QUEUE, "x.ctx", "x.a", "x.e")
+
+
+def lifetimes(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """trace, ctx, lock, a, e of each acquisition (a null e stays open), and trace, ctx, seq of the releases that end nothing."""
+    ops, lost = stretches(eras(events))
+    ops = checkpoints.kept(ops, "machine-operations")
+    contested = ops.where("stolen").select(*STRETCH).distinct()
+    plain = ops.join(contested, STRETCH, "left_anti")
+    # At one depth acquisitions and releases take turns; the next release is the least one from the end.
+    turned = running(plain.withColumn("back", -F.col("seq")), [*STRETCH, "ctx", "depth"], "back", F.when(F.col("kind") == "V", F.col("seq")), "min", "e")
+    own = turned.where("kind = 'P'").select("trace", "ctx", "lock", F.col("seq").alias("a"), "era_end", "e")
+    odd = ops.join(contested, STRETCH, "left_semi")
+    taken = stolen_ends(odd) if not contested.isEmpty() else None
+    odd = odd.where("kind = 'P'").select(*QUEUE, "ctx", F.col("seq").alias("a"), "era_end")
+    ends = odd.join(taken.select(*QUEUE, "a", "e"), [*QUEUE, "a"], "left") if taken is not None else odd.withColumn("e", F.lit(None).cast("long"))
+    both = own.unionByName(ends.select("trace", "ctx", "lock", "a", "era_end", "e"))
+    return checkpoints.kept(both.select("trace", "ctx", "lock", "a", F.coalesce("e", "era_end").alias("e")), "machine-lifetimes"), lost
 
-    return segmented(events).groupBy("trace", "component", "segment").applyInPandas(run, STEPS)
+
+def run_machine(events: DataFrame) -> DataFrame:
+    """trace, seq, txn_id, locks of each access. `events` has trace, seq, ctx, kind (P, V or an access), lock, side, recursive; a seq is one event of its trace.
+
+    A transaction is named by the event that opened it and its top acquisition, as `opened:acquired`; locks are joined by commas in the order of their latest acquisition.
+    """
+    acquired, lost = lifetimes(events)
+    place = F.struct("trace", "ctx").alias("place")
+    accesses = events.where("kind not in ('P', 'V')").select(place, "trace", "seq")
+    spans = acquired.select(place, "lock", "a", "e")
+    held = points_in_intervals(accesses.select("place", "seq"), "seq", spans, "a", "e", "place", BUCKET)
+    latest = held.groupBy("place", "seq", "lock").agg(F.max("a").alias("a"))
+    seen = latest.groupBy("place", "seq").agg(F.max("a").alias("top"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "lock"))), lambda x: x["lock"].cast("string")), ",").alias("locks"))
+    # A cut reopens the acquisitions above: an end of an older one, or a lost release.
+    cuts = spans.where("e is not null").select("place", F.col("a").alias("older"), F.col("e").alias("cut")).unionByName(lost.select(place, F.lit(None).cast("long").alias("older"), F.col("seq").alias("cut")))
+    above = points_in_intervals(cuts, "cut", spans.select("place", F.col("a").alias("top"), "e"), "top", "e", "place", BUCKET).where("older is null or older < top")
+    both = seen.select("place", "top", "seq", "locks").unionByName(above.select("place", "top", F.col("cut").alias("seq"), F.lit(None).cast("string").alias("locks")).distinct())
+    opened = running(both.withColumn("is_cut", F.col("locks").isNull()), ["place", "top"], "seq", F.when(F.col("is_cut"), F.col("seq")), "max", "opened").where("not is_cut")
+    txn = F.concat_ws(":", F.coalesce("opened", "top"), "top")
+    found = accesses.join(opened.select("place", "seq", txn.alias("txn_id"), "locks"), ["place", "seq"], "left")
+    return found.select("trace", "seq", "txn_id", F.coalesce("locks", F.lit("")).alias("locks"))

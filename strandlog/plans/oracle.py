@@ -390,6 +390,36 @@ longest AS (
   FROM (SELECT *, max(len(locks)) OVER (PARTITION BY type_name, access, member) AS most FROM placed) WHERE len(locks) = most)""",
 )
 
+def simulated(events: str) -> str:
+    """A machine of each lock, an operation a step: `open` are acquisitions {ctx, side, a}, the newest last. `events` is a CTE mev (seq, ctx, kind, lock, side, again). CTEs m_op to m_txn."""
+    return f"""{events},
+m_op AS (SELECT *, row_number() OVER (PARTITION BY lock ORDER BY seq) AS k FROM mev WHERE kind IN ('P', 'V')),
+m_sim AS (
+  SELECT lock, 0::BIGINT AS k, 0::BIGINT AS seq, -1::BIGINT AS ctx, CAST([] AS STRUCT(ctx BIGINT, side VARCHAR, a BIGINT)[]) AS open, CAST([] AS BIGINT[]) AS ended, false AS lost FROM m_op WHERE k = 1
+  UNION ALL
+  SELECT lock, k, seq, ctx, CASE WHEN kind = 'P' THEN list_append(list_filter(open, lambda x: NOT list_contains(gone, x.a)), {{'ctx': ctx, 'side': side, 'a': seq}}) ELSE list_filter(open, lambda x: NOT list_contains(gone, x.a)) END,
+    gone, kind = 'V' AND len(gone) = 0
+  FROM (
+    SELECT o.*, s.open, CASE
+      WHEN o.kind = 'P' THEN list_transform(list_filter(s.open, lambda x: x.side <> o.side OR (o.side = 'w' AND NOT o.again)), lambda x: x.a)
+      WHEN len(list_filter(s.open, lambda x: x.side = o.side)) = 0 THEN []
+      WHEN len(list_filter(s.open, lambda x: x.side = o.side AND x.ctx = o.ctx)) > 0 THEN [list_max(list_transform(list_filter(s.open, lambda x: x.side = o.side AND x.ctx = o.ctx), lambda x: x.a))]
+      ELSE [list_max(list_transform(list_filter(s.open, lambda x: x.side = o.side AND x.ctx = list_min(list_transform(list_filter(s.open, lambda y: y.side = o.side), lambda y: y.ctx))), lambda x: x.a))] END AS gone
+    FROM m_sim s JOIN m_op o ON o.lock = s.lock AND o.k = s.k + 1)),
+m_life AS (SELECT p.ctx, p.lock, p.seq AS a, e.seq AS e FROM m_op p LEFT JOIN (SELECT seq, unnest(ended) AS a FROM m_sim) e ON e.a = p.seq WHERE p.kind = 'P'),
+m_hold AS (SELECT m.seq, m.ctx, l.lock, l.a FROM mev m JOIN m_life l ON l.ctx = m.ctx AND l.a < m.seq AND (l.e IS NULL OR m.seq < l.e) WHERE m.kind NOT IN ('P', 'V')),
+m_top AS (SELECT seq, ctx, max(a) AS top FROM m_hold GROUP BY ALL),
+m_seen AS (SELECT seq, string_agg(lock, ',' ORDER BY a, lock) AS locks FROM (SELECT seq, lock, max(a) AS a FROM m_hold GROUP BY ALL) GROUP BY seq),
+m_cut AS (SELECT ctx, a AS older, e AS cut FROM m_life WHERE e IS NOT NULL UNION ALL SELECT ctx, -1, seq FROM m_sim WHERE lost),
+m_txn AS (SELECT t.seq, coalesce(max(c.cut), t.top) || ':' || t.top AS txn_id FROM m_top t LEFT JOIN m_cut c ON c.ctx = t.ctx AND c.older < t.top AND c.cut > t.top AND c.cut < t.seq GROUP BY t.seq, t.top)"""
+
+
+STEPS = "SELECT m.seq, txn.txn_id, coalesce(seen.locks, '') AS locks FROM mev m LEFT JOIN m_txn txn ON txn.seq = m.seq LEFT JOIN m_seen seen ON seen.seq = m.seq WHERE m.kind NOT IN ('P', 'V')"
+RAW_EVENTS = """
+mev AS (
+  SELECT seq, ctx::BIGINT AS ctx, kind, (ctx * 4 + k % 4 + 1)::BIGINT AS lock, CASE WHEN (k % 4) % 2 = 1 THEN 'r' ELSE 'w' END AS side, (k % 4) % 2 = 1 AS again FROM ev WHERE kind IN ('P', 'V')
+  UNION ALL SELECT id, ctx, type, NULL, NULL, false FROM raw)"""
+SQL["machine_raw"] = base(STEPS, simulated(RAW_EVENTS)).replace("WITH ", "WITH RECURSIVE ", 1)
 SQL["machine_locks"] = base("SELECT raw.id AS seq, coalesce(string_agg(held.lock_id, ',' ORDER BY held.a), '') AS locks FROM raw LEFT JOIN held ON held.id = raw.id GROUP BY raw.id")
 SQL["prefix_hits"] = base(
     """SELECT r.type_name, count(*) FILTER (regexp_matches(b.locks, '^(?:' || r.rule || ')')) AS positive, count(*) FILTER (NOT regexp_matches(b.locks, '^(?:' || r.rule || ')')) AS negative, count(*) FILTER (b.locks IS NULL) AS not_found

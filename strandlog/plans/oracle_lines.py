@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from strandlog.plans.oracle import STEPS, simulated
+
 LINES = r"""
 raw AS (SELECT event_id + 1 AS seq, event_type AS e, user_id AS u, user_id % 16 AS n, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events),
 ev AS (
@@ -57,3 +59,10 @@ SQL = {
     "lines_stacktraces": lines("SELECT row_number() OVER (ORDER BY first) AS id, 4096 + u10 AS instruction_ptr, u3 || ',20' AS stacktrace FROM (SELECT u % 10 AS u10, u % 3 AS u3, min(seq) AS first FROM acc GROUP BY 1, 2)"),
     "lines_rejected": lines("SELECT reason, count(*) AS n FROM rejected GROUP BY 1"),
 }
+
+# The machine's operations and accesses; the read and the write side of a lock are locks of their own here.
+EVENTS = """
+mev AS (
+  SELECT seq, ctx::BIGINT AS ctx, kind, lock_id AS lock, side, recursive AS again FROM ops
+  UNION ALL SELECT seq, ctx, type, NULL, NULL, false FROM acc)"""
+SQL["lines_transactions"] = f"WITH RECURSIVE {LINES.strip()},{simulated(EVENTS)}\n{STEPS}"

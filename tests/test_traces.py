@@ -131,26 +131,91 @@ def same_but_for_numbers(found, want):
     assert len({(a[1], b[1]) for a, b in zip(found, want)}) == len({a[1] for a in found}) == len({b[1] for b in want})
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_segments_equal_one_machine_on_malformed_traces(spark, seed):
+def malformed(spark, seed, n=1500):
+    """Contexts of a group share its locks; some locks are acquired by one context and released by another, or never."""
     import random
 
     rng, rows = random.Random(seed), []
-    for seq in range(1, 1500):
+    for seq in range(1, n):
         kind, group = rng.choice("PPVVVrw"), rng.randrange(3)
         op = kind in "PV"
-        # Contexts of a group share its locks; some locks are acquired by one context and released by another, or never.
-        rows.append((0, 90_000 * (seq // 700) + seq, 2 * group + rng.randrange(2), kind, 10 * group + rng.randrange(2) if op else None, rng.choice("rw") if op else None, op and group == 1 and rng.random() < 0.5))
+        rows.append((0, 90_000 * (seq // 700) + seq, 3 * group + rng.randrange(3), kind, 10 * group + rng.randrange(2) if op else None, rng.choice("rrw") if op else None, op and group == 1 and rng.random() < 0.5))
+    return spark.createDataFrame(rows, "trace long, seq long, ctx int, kind string, lock long, side string, recursive boolean")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_closed_form_equals_one_machine_on_malformed_traces(spark, seed):
+    events = malformed(spark, seed)
+    same_but_for_numbers(sorted(map(tuple, run_machine(events).select("seq", "txn_id", "locks").collect())), whole(events))
+
+
+@pytest.mark.parametrize("size", [7, 64])
+def test_stolen_locks_in_blocks_equal_one_machine(spark, monkeypatch, size):
+    """One read-side lock that is never flushed, with leaked acquisitions: a single stretch of many blocks."""
+    import random
+
+    from strandlog.operators import machine
+
+    rng = random.Random(size)
+    kinds = [(c, "P") for c in (0, 0, 1, 1, 2)] + [(rng.randrange(3), rng.choice("PPPVVV")) for _ in range(60 * size if size < 64 else 700)]
+    rows = [(0, k, c, kind, 1, "r", True) for k, (c, kind) in enumerate(kinds, 1)]
+    rows += [(0, 10_000 + k, c, "r", None, None, False) for k, c in enumerate(range(3))]
     events = spark.createDataFrame(rows, "trace long, seq long, ctx int, kind string, lock long, side string, recursive boolean")
+    monkeypatch.setattr(machine.stolen_ends, "__defaults__", (size,))
+    got = {(r["ctx"], r["a"]): r["e"] for r in machine.lifetimes(events)[0].collect()}
+    ended, after, _ = machine.run_block([(s, c, k) for _, s, c, k, *_ in rows if k in "PV"], [])
+    assert got == {(c, a): e for c, a, e in ended} | {x: None for x in after}
     same_but_for_numbers(sorted(map(tuple, run_machine(events).select("seq", "txn_id", "locks").collect())), whole(events))
 
 
 def test_raw_machine_equals_one_machine(spark):
-    from strandlog.operators.machine import segmented
     from strandlog.plans import registry
     from strandlog.sources.events import Trace
 
     sf = "/root/testdata/sf0.001"
     events = registry.raw_machine_events(Trace(spark, sf))
     same_but_for_numbers(sorted(map(tuple, registry.queries()["machine_raw"](spark, sf).collect())), whole(events))
-    assert segmented(events).select("component").distinct().count() == 4
+
+
+def test_machine_without_rows(spark):
+    assert run_machine(malformed(spark, 0, 2).where("false")).count() == 0
+
+
+def test_points_meet_intervals_by_nodes(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strandlog.functions.intervals import covering_nodes, points_in_intervals
+
+    rng = random.Random(4)
+    spans = [(k % 3, a := rng.randrange(-500, 100_000), rng.choice([None, a + rng.randrange(0, 10), a + rng.randrange(0, 90_000)]), k) for k in range(60)]
+    at = [(rng.randrange(4), rng.randrange(-600, 110_000), k) for k in range(400)]
+    points, intervals = spark.createDataFrame(at, "key int, at long, p int"), spark.createDataFrame(spans, "key int, low long, high long, i int")
+    for width in (1, 16, 1 << 20):
+        got = sorted((r["p"], r["i"]) for r in points_in_intervals(points, "at", intervals, "low", "high", "key", width).collect())
+        assert got == sorted((p, i) for key, x, p in at for k, a, b, i in spans if k == key and a < x and (b is None or x < b))
+    ranges = [(a, a + n) for a in (0, 1, 5, 1023, -7) for n in (0, 1, 2, 63, 1000, 10**12)]
+    for r in spark.createDataFrame(ranges, "a long, b long").select("a", "b", covering_nodes(F.col("a"), F.col("b")).alias("n")).collect():
+        blocks = sorted((x["node"] << x["level"], (x["node"] + 1) << x["level"]) for x in r["n"])
+        assert blocks[0][0] == r["a"] and blocks[-1][1] == r["b"] + 1 and all(x[1] == y[0] for x, y in zip(blocks, blocks[1:]))
+        assert len(blocks) <= max(1, 2 * (r["b"] - r["a"] + 1).bit_length())
+
+
+def test_floor_walk(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strandlog.functions.running import floor_walk
+
+    rng, want, count = random.Random(2), [], {0: 0, 1: 0}
+    for k in range(300):
+        key, up = rng.randrange(2), rng.random() < 0.45
+        before = count[key]
+        count[key] = before + 1 if up else max(before - 1, 0)
+        want.append((k, key, up, before, count[key]))
+    rows = spark.createDataFrame([x[:3] for x in want], "k long, key int, up boolean")
+    for width in (1, 5, 64, 1000):
+        got = floor_walk(rows, ["key"], "k", F.col("up"), "before", "after", width).select("k", "key", "up", "before", "after")
+        assert sorted(map(tuple, got.collect())) == want
