@@ -1,7 +1,8 @@
 """Mining of locking rules: hypotheses with support by order, winners under four strategies, and report rows.
 
 The hypotheses of a member are the subsets of the lock sets observed with it, and an observation supports all subsets of its own
-locks; so support is a sum over exploded subsets, without comparing hypotheses with observations.
+locks; so support is a sum over subsets, without comparing hypotheses with observations. All subsets are made as rows, by masks; where
+only those over a share are asked for, they are grown lock by lock, and what falls short is never extended.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlog.functions import checkpoints
+
 
 @dataclass(frozen=True)
 class Mining:
@@ -49,14 +52,68 @@ def member_totals(combos: DataFrame) -> DataFrame:
     return combos.groupBy(*MEMBER).agg(F.sum("occurrences").alias("total"), F.sum(F.when(F.size("locks") > 0, F.col("occurrences")).otherwise(0)).alias("with_locks"), F.count(F.lit(1)).alias("combinations"))
 
 
-def hypotheses(combos: DataFrame, length: int = 0) -> DataFrame:
-    """type_name, access, member, lock_set (sorted), locks (in order of first acquisition), occurrences of that order."""
-    extend = lambda sets, x: F.concat(sets, F.transform(F.filter(sets, lambda s: F.size(s) < (length or 1_000)), lambda s: F.concat(s, F.array(x))))
-    start = F.array(F.array().cast("array<string>"))
-    subsets = combos.select(*MEMBER, F.explode(F.aggregate(F.array_distinct("locks"), start, extend)).alias("locks"), "occurrences")
+#: Locks whose subsets one array of masks stands for.
+LOW_BITS = 10
+
+
+def every_subset(combos: DataFrame, length: int) -> DataFrame:
+    """The subsets of each combination's locks, in their order, as rows: by masks of two halves, so that no row holds all of them."""
+    n = F.size("locks")
+    masks = lambda bits: F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+    low = combos.select("*", F.explode(masks(F.least(n, F.lit(LOW_BITS)))).alias("low"))
+    both = low.select("*", F.explode(masks(F.greatest(n - LOW_BITS, F.lit(0)))).alias("high")).withColumn("mask", F.shiftleft("high", LOW_BITS).bitwiseOR(F.col("low")))
+    kept = both.where(F.bit_count("mask") <= length) if length else both
+    return kept.withColumn("locks", F.filter("locks", lambda x, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1)).drop("low", "high", "mask")
+
+
+def frequent_subsets(combos: DataFrame, least: float, length: int) -> DataFrame:
+    """The subsets that at least a share `least` of their member's observations hold, with each combination that holds them: one lock more a level.
+
+    A row is a set and a combination. `rest` are the locks that may still be added: larger ones than the set's, whose addition to the set without its
+    last lock reached the share. They are counted within tasks first; a set without enough of them ends there, whatever its combinations hold. A level is written, as
+    the next one reads it twice, and the sets of the largest size end the loop.
+    """
+    totals = combos.groupBy(*MEMBER).agg(F.sum("occurrences").alias("total"))
+    now = combos.select(*MEMBER, F.array().cast("array<string>").alias("set"), F.array_sort("locks").alias("rest"), "locks", "occurrences")
+    now, levels = checkpoints.kept(now, "mining-level"), []
+    while True:
+        levels.append(now)
+        if length and len(levels) > length:
+            break
+        counts = now.select(*MEMBER, "set", F.explode("rest").alias("lock"), "occurrences").groupBy(*MEMBER, "set", "lock").agg(F.sum("occurrences").alias("n"))
+        enough = counts.join(totals, MEMBER).where(F.col("n") / F.col("total") >= least)
+        more = enough.groupBy(*MEMBER, "set").agg(F.collect_set("lock").alias("more"))
+        grown = now.join(more, [*MEMBER, "set"]).withColumn("rest", F.array_sort(F.array_intersect("rest", "more"))).where(F.size("rest") > 0)
+        grown = grown.select("*", F.explode("rest").alias("lock")).select(*MEMBER, F.array_append("set", F.col("lock")).alias("set"), F.filter("rest", lambda x: x > F.col("lock")).alias("rest"), "locks", "occurrences")
+        now = checkpoints.kept(grown, "mining-level")
+        if now.isEmpty():
+            break
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    return found.select(*MEMBER, F.filter("locks", lambda x: F.array_contains("set", x)).alias("locks"), "occurrences")
+
+
+def hypotheses(combos: DataFrame, length: int = 0, least: float = 0.0) -> DataFrame:
+    """type_name, access, member, lock_set (sorted), locks (in order of first acquisition), occurrences of that order.
+
+    `length` bounds the locks of a hypothesis (0: any); with `least` only sets that reach this share of their member's observations are made.
+    """
+    first = combos.withColumn("locks", F.array_distinct("locks"))
+    subsets = frequent_subsets(first, least, length) if least > 0 else every_subset(first, length)
     return subsets.groupBy(*MEMBER, "locks").agg(F.sum("occurrences").alias("occurrences")).withColumn("lock_set", F.array_sort("locks"))
 
 
+def least_share(grid: list[Mining], combos: DataFrame) -> float:
+    """A share of a member's observations that no set falls short of which a search with one of the settings could take.
+
+    A winner starts from all observations and either reaches the accepted share, or, by sharpen, loses at most the reduction with each lock more.
+    """
+    most = combos.agg(F.max(F.size(F.array_distinct("locks")))).first()[0] or 0
+    # a little less, as a share may be rounded
+    return 0.999_999 * min((1.0 - how.reduction) ** most if how.strategy == "sharpen" else 1.0 if how.strategy == "lockset" else how.accept for how in grid)
+
+
 def support(found: DataFrame, totals: DataFrame, how: Mining = Mining()) -> DataFrame:
     """Hypotheses with the support of their set and order, and confidence."""
     sets = found.groupBy(*MEMBER, "lock_set").agg(F.sum("occurrences").alias("set_occurrences"))
@@ -169,7 +226,9 @@ def swept(found: DataFrame, totals: DataFrame, numbers: DataFrame, grid: list[Mi
     # The numbers of all locks: a dimension as small as the set of labels, joined by each hypothesis's locks.
     flat = found.select(*MEMBER, "locks", "occurrences", F.posexplode_outer("locks").alias("pos", "lock")).join(numbers, "lock", "left")
     numbered = flat.groupBy(*MEMBER, "locks", "occurrences").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "number"))), lambda x: x["number"]).alias("order"))
-    full = numbered.join(totals.select(*MEMBER, "total", "with_locks"), MEMBER)
+    # A set is judged by its most frequent order, the smallest of equals: Python sees one row a set.
+    best = numbered.withColumn("set", F.array_sort("order")).groupBy(*MEMBER, "set").agg(F.min(F.struct(F.negative("occurrences").alias("fewer"), "order", "locks")).alias("best"))
+    full = best.select(*MEMBER, "best.locks", "best.order", F.negative("best.fewer").alias("occurrences")).join(totals.select(*MEMBER, "total", "with_locks"), MEMBER)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         orders, text = {}, {}

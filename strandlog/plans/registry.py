@@ -16,29 +16,31 @@ def on_trace(build):
     return lambda spark, sf_dir: build(Trace(spark, sf_dir))
 
 
-def mined(db, length: int = 0):
-    combos = mining.combinations(observations.txn_members_locks(db))
-    return mining.support(mining.hypotheses(combos, length), mining.member_totals(combos))
+def mined(db, length: int = 0, least: float = 0.0):
+    return mining.support(mining.hypotheses(db.combinations, length, least), mining.member_totals(db.combinations))
+
+
+def over_cutoff(db):
+    return mining.reported(mined(db, least=mining.Mining().cutoff))
 
 
 def winners(strategy: str):
     def build(db):
-        seen = observations.txn_members_locks(db)
-        combos = mining.combinations(seen)
-        return mining.winners(mining.hypotheses(combos), mining.member_totals(combos), mining.lock_numbers(seen), mining.Mining(strategy))
+        how = mining.Mining(strategy)
+        found = mining.hypotheses(db.combinations, least=mining.least_share([how], db.combinations))
+        return mining.winners(found, mining.member_totals(db.combinations), mining.lock_numbers(db.observed), how)
 
     return build
 
 
 def rules(db, winners_only: bool = False):
-    supported = mining.reported(mined(db))
-    return mining.report_rows(supported, winners("lockset")(db), winners_only)
+    return mining.report_rows(over_cutoff(db), winners("lockset")(db), winners_only)
 
 
 def sweep(db):
-    seen = observations.txn_members_locks(db)
-    combos = mining.combinations(seen)
-    return mining.swept(mining.hypotheses(combos), mining.member_totals(combos), mining.lock_numbers(seen), mining.strategy_grid())
+    grid = mining.strategy_grid()
+    found = mining.hypotheses(db.combinations, least=mining.least_share(grid, db.combinations))
+    return mining.swept(found, mining.member_totals(db.combinations), mining.lock_numbers(db.observed), grid)
 
 
 TRACE = {
@@ -72,13 +74,13 @@ TRACE = {
     "totals": observations.totals,
     "event_histogram": observations.event_histogram,
     "context_distribution": observations.context_distribution,
-    "lock_combinations": lambda db: mining.combinations(observations.txn_members_locks(db)).withColumn("locks", F.array_join("locks", ",")),
-    "member_totals": lambda db: mining.member_totals(mining.combinations(observations.txn_members_locks(db))),
+    "lock_combinations": lambda db: db.combinations.withColumn("locks", F.array_join("locks", ",")),
+    "member_totals": lambda db: mining.member_totals(db.combinations),
     "hypotheses": mined,
-    "hypotheses_over_cutoff": lambda db: mining.reported(mined(db)),
+    "hypotheses_over_cutoff": over_cutoff,
     "hypotheses_to_two_locks": lambda db: mined(db, 2).select("type_name", "access", "member", "lock_set", "locks", "occurrences"),
-    "hypothesis_lattice": lambda db: mining.lattice(mining.hypotheses(mining.combinations(observations.txn_members_locks(db)))),
-    "lock_numbers": lambda db: mining.lock_numbers(observations.txn_members_locks(db)),
+    "hypothesis_lattice": lambda db: mining.lattice(mining.hypotheses(db.combinations)),
+    "lock_numbers": lambda db: mining.lock_numbers(db.observed),
     **{f"winners_{s}": winners(s) for s in mining.STRATEGIES},
 }
 

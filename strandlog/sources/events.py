@@ -11,7 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.operators import flat, layout, transactions
+from strandlog.functions import checkpoints
+from strandlog.operators import flat, layout, mining, observations, transactions
 from strandlog.functions.intervals import points_in_intervals
 
 
@@ -127,3 +128,12 @@ class Trace:
     @cached_property
     def locks_embedded_flat(self) -> DataFrame:
         return flat.locks_embedded_flat(self)
+
+    @cached_property
+    def observed(self) -> DataFrame:
+        """The observations that rules are mined from, written once for all that read them."""
+        return checkpoints.kept(observations.txn_members_locks(self), "trace-observations")
+
+    @cached_property
+    def combinations(self) -> DataFrame:
+        return checkpoints.kept(mining.combinations(self.observed), "trace-combinations")

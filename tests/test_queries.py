@@ -32,7 +32,7 @@ def test_pairs_of_all_maps_are_brute_forces(spark):
         blocks.setdefault(r["map"], set()).add(r["bb"])
     want = {(a, b): len(blocks[a] & blocks[b]) for a in blocks for b in blocks if a != b and blocks[a] & blocks[b]}
     assert any(a >= 20 for a, _ in want)
-    rows = registry.queries()["coverage_pairs_all"](spark, sf).collect()
+    rows = registry.queries()["coverage_pairs"](spark, sf).collect()
     assert len(rows) == len(want) and {(r["map_a"], r["map_b"]): r["n"] for r in rows} == want
 
 
@@ -73,3 +73,46 @@ def test_winners_follow_their_strategy(spark):
     # {1, 3} isn't a parent of {1, 2, 3}, which is reached through {1, 2} and {2, 3}.
     chain = {(): {(): 9}, (1,): {(1,): 9}, (2,): {(2,): 1}, (3,): {(3,): 1}, (1, 3): {(1, 3): 1}, (1, 2): {(1, 2): 9}, (1, 2, 3): {(1, 2, 3): 9}}
     assert searched(chain, 9, 9, Mining("sharpen")) == [(1, 2, 3)]
+
+
+def observed_locks(spark, rows):
+    schema = "type_name string, access string, member string, locks array<string>, occurrences long"
+    return spark.createDataFrame([("t", "r", m, locks, n) for m, locks, n in rows], schema)
+
+
+def subsets_by_hand(rows, least, length):
+    from collections import Counter
+    from itertools import combinations
+
+    orders, totals = Counter(), Counter()
+    for m, locks, n in rows:
+        totals[m] += n
+        first = list(dict.fromkeys(locks))
+        for k in range(min(len(first), length or 99) + 1):
+            for s in combinations(first, k):
+                orders[m, s] += n
+    sets = Counter()
+    for (m, s), n in orders.items():
+        sets[m, tuple(sorted(s))] += n
+    return {(m, s): n for (m, s), n in orders.items() if sets[m, tuple(sorted(s))] / totals[m] >= least}
+
+
+@pytest.mark.parametrize("least,length", [(0.0, 0), (0.0, 2), (0.1, 0), (0.3, 2), (0.6, 0), (1.0, 0)])
+def test_subsets_by_masks_and_by_levels(spark, least, length):
+    import random
+
+    from strandlog.operators.mining import hypotheses
+
+    rng = random.Random(7)
+    rows = [(f"m{k % 3}", rng.sample("abcdefghijkl", rng.randrange(13 if k == 1 else 6)) + (["a"] if k % 4 == 0 else []), rng.randrange(1, 30)) for k in range(40)] + [("m0", [], 5)]
+    got = {(r["member"], tuple(r["locks"])): r["occurrences"] for r in hypotheses(observed_locks(spark, rows), length, least).collect()}
+    assert got == subsets_by_hand(rows, least, length)
+
+
+def test_forty_locks_in_one_observation(spark):
+    from strandlog.operators.mining import hypotheses
+
+    many = [f"l{k:02}" for k in range(40)]
+    rows = [("m", many, 9), ("m", ["l01", "l03"], 60), ("m", ["l03", "l01"], 31)]
+    got = {tuple(r["locks"]): r["occurrences"] for r in hypotheses(observed_locks(spark, rows), least=0.1).collect()}
+    assert got == {(): 100, ("l01",): 100, ("l03",): 100, ("l01", "l03"): 69, ("l03", "l01"): 31}
