@@ -39,8 +39,8 @@ def points_in_intervals(points: DataFrame, at: str, intervals: DataFrame, low: s
     end = F.least(F.coalesce(F.col(high), F.col("last point")), F.col("last point"))
     cut = intervals.join(last, key).where(F.col(low) < F.col("last point")).withColumns({"first bucket": bucket(F.col(low)), "last bucket": bucket(end)})
     cut = cut.where(F.col("last bucket") >= F.col("first bucket"))
-    laid = cut.withColumn("tree", F.explode(covering_nodes(F.col("first bucket"), F.col("last bucket")))).withColumns({"level": F.col("tree.level"), "node": F.col("tree.node")}).drop("tree", "first bucket", "last bucket", "last point")
-    levels = laid.groupBy(key).agg(F.collect_set("level").alias("levels"))
-    climbed = points.join(levels, key).withColumn("level", F.explode("levels")).withColumn("node", right(bucket(F.col(at)), F.col("level"))).drop("levels")
+    laid = cut.withColumn("tree", F.explode(covering_nodes(F.col("first bucket"), F.col("last bucket")))).withColumns({"tree level": F.col("tree.level"), "tree node": F.col("tree.node")}).drop("tree", "first bucket", "last bucket", "last point")
+    levels = laid.groupBy(key).agg(F.collect_set("tree level").alias("levels"))
+    climbed = points.join(levels, key).withColumn("tree level", F.explode("levels")).withColumn("tree node", right(bucket(F.col(at)), F.col("tree level"))).drop("levels")
     inside: Column = (F.col(at) > F.col(low)) & (F.col(high).isNull() | (F.col(at) < F.col(high)))
-    return climbed.join(laid, [key, "level", "node"]).where(inside).drop("level", "node")
+    return climbed.join(laid, [key, "tree level", "tree node"]).where(inside).drop("tree level", "tree node")

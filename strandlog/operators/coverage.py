@@ -116,11 +116,37 @@ def blocks_after_calls(instructions: DataFrame) -> DataFrame:
 def block_of_line(hits: DataFrame, blocks: DataFrame) -> DataFrame:
     """file, line, start: the block with the greatest start up to the line, null before the first. `hits` has file and line, `blocks` file and start.
 
-    Both are put in one order per file, and the last start is carried forward: no join on a range.
+    Lines of both are put in one order per file, and the last start is carried forward by blocks of lines: no join on a range, no file in one task.
     """
-    both = hits.select("file", "line", F.lit(1).alias("is_hit"), F.lit(None).cast("int").alias("start")).unionByName(blocks.select("file", F.col("start").alias("line"), F.lit(0).alias("is_hit"), "start").distinct())
-    carried = F.last("start", ignorenulls=True).over(Window.partitionBy("file").orderBy("line", "is_hit").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("start", carried).where("is_hit = 1").select("file", "line", "start")
+    both = hits.select("file", "line", F.lit(False).alias("begins")).unionByName(blocks.select("file", F.col("start").alias("line"), F.lit(True).alias("begins"))).where("file is not null and line is not null")
+    lines = both.groupBy("file", "line").agg(F.max("begins").alias("begins"))
+    floors = running(lines, ["file"], "line", F.when(F.col("begins"), F.col("line")), "max", "start").select("file", "line", "start")
+    return hits.select("file", "line").join(floors, ["file", "line"], "left")
+
+
+def blocks_of_lines(hits: DataFrame, blocks: DataFrame, pattern: str) -> DataFrame:
+    """file, line, block_file, block_start, found: the block of each hit, and how it was found.
+
+    `blocks` has file, start and lines (array<struct<file, line>>: the source lines that it holds, of other files too). A hit is in the block of its file with the greatest start
+    up to its line (found: start, where it is that line, or floor). Before the first start of its file, and where its file has no blocks but matches `pattern`, it is in the first block,
+    by file and start, that holds its line (inside). Other hits, and those that no block holds, are in none (found is null).
+    """
+    at = block_of_line(hits, blocks)
+    files = blocks.select("file").distinct().withColumn("known", F.lit(True))
+    held = blocks.select(F.col("file").alias("block_file"), "start", F.explode("lines").alias("x")).groupBy(F.col("x.file").alias("file"), F.col("x.line").alias("line")).agg(F.min(F.struct("block_file", "start")).alias("holder"))
+    both = at.join(files, "file", "left").join(held, ["file", "line"], "left")
+    searched = F.col("start").isNull() & (F.coalesce("known", F.lit(False)) | F.col("file").rlike(pattern))
+    how = F.when(F.col("start") == F.col("line"), "start").when(F.col("start").isNotNull(), "floor").when(searched & F.col("holder").isNotNull(), "inside")
+    block_file = F.when(F.col("start").isNotNull(), F.col("file")).when(searched, F.col("holder.block_file"))
+    block_start = F.coalesce("start", F.when(searched, F.col("holder.start")))
+    return both.select("file", "line", block_file.alias("block_file"), block_start.alias("block_start"), how.alias("found"))
+
+
+def lines_of_found(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """file, covered, total, percentage: lines of the found blocks among all lines that blocks hold, by the lines' files."""
+    hit = found.where("found is not null").select(F.col("block_file").alias("file"), F.col("block_start").alias("start")).distinct().withColumn("hit", F.lit(1))
+    each = blocks.join(hit, ["file", "start"], "left").select(F.explode("lines").alias("x"), "hit").groupBy("x.file", "x.line").agg(F.max("hit").alias("hit"))
+    return each.groupBy("file").agg(F.count("hit").alias("covered"), F.count(F.lit(1)).alias("total")).withColumn("percentage", 100.0 * F.col("covered") / F.col("total"))
 
 
 def directory(file: Column) -> Column:
@@ -153,15 +179,30 @@ def share_covered(covered: DataFrame, coverable: DataFrame) -> DataFrame:
     return hit.groupBy("file").agg(F.count(F.lit(1)).alias("coverable"), F.sum(F.coalesce("hit", F.lit(0))).alias("covered")).withColumn("percentage", 100.0 * F.col("covered") / F.col("coverable"))
 
 
-def lcov_summary(lines: DataFrame) -> DataFrame:
-    """By source file of lcov records (n, value): lines, covered lines, functions, covered functions; records belong to the last SF before them. `lines` has source and n, its order."""
-    at = F.last(F.when(F.col("value").startswith("SF:"), F.expr("substring(value, 4)")), ignorenulls=True).over(Window.partitionBy("source").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    r = lines.withColumn("file", at).withColumn("kind", F.substring_index("value", ":", 1)).withColumn("rest", F.expr("substring(value, instr(value, ':') + 1)")).withColumn("x", F.split("rest", ","))
-    da = r.where("kind = 'DA'").groupBy("file", F.col("x")[0].alias("k")).agg(F.max(F.col("x")[1].cast("long")).alias("hits")).withColumn("what", F.lit("line"))
-    fn = r.where("kind = 'FNDA'").groupBy("file", F.col("x")[1].alias("k")).agg(F.max(F.col("x")[0].cast("long")).alias("hits")).withColumn("what", F.lit("function"))
-    n = lambda c: F.count(F.when(c, 1))
-    both = da.unionByName(fn)
-    return both.groupBy("file").agg(n(F.col("what") == "line").alias("lines"), n((F.col("what") == "line") & (F.col("hits") > 0)).alias("covered"), n(F.col("what") == "function").alias("functions"), n((F.col("what") == "function") & (F.col("hits") > 0)).alias("covered_functions"))
+def lcov_summary(lines: DataFrame, sums: bool = False, by_directory: bool = False, pattern: str | None = None, prefix: str = "") -> DataFrame:
+    """By source file of lcov records, or by directory: name, lines, covered, percentage, functions, covered_functions, function_percentage.
+
+    `lines` has source, n (its order) and value; records belong to the last SF before them. Lines are the distinct ones of DA records, or with `sums` what LF and LH records say, added up.
+    A function is known by an FN or FNDA record, and covered by any execution; in a directory functions of one name are one. `prefix` is cut from files, those without it are left out; only names in which `pattern`
+    is found are kept. A share of nothing is null for lines, and 0 for functions.
+    """
+    is_file = F.col("value").startswith("SF:")
+    at = running(lines, ["source"], "n", F.when(is_file, F.struct("n", F.expr("substring(value, 4)").alias("file"))), "max", "last")
+    r = at.select(F.col("last.file").alias("file"), "value").where(F.col("file").isNotNull() & F.col("file").startswith(prefix)).withColumn("file", F.expr(f"substring(file, {len(prefix) + 1})"))
+    r = r.withColumns({"kind": F.substring_index("value", ":", 1), "rest": F.expr("substring(value, instr(value, ':') + 1)")}).withColumn("x", F.split("rest", ",", 2))
+    name = directory(F.col("file")) if by_directory else F.col("file")
+    number = lambda i: F.try_element_at("x", F.lit(i)).try_cast("long")
+    if sums:
+        counted = r.groupBy(name.alias("name")).agg(F.coalesce(F.sum(F.when(F.col("kind") == "LF", number(1))), F.lit(0)).alias("lines"), F.coalesce(F.sum(F.when(F.col("kind") == "LH", number(1))), F.lit(0)).alias("covered"))
+    else:
+        each = r.groupBy(name.alias("name"), "file", F.when(F.col("kind") == "DA", number(1)).alias("line")).agg(F.max(F.when(F.col("kind") == "DA", number(2))).alias("hits"))
+        counted = each.groupBy("name").agg(F.count("line").alias("lines"), F.count(F.when(F.col("line").isNotNull() & (F.col("hits") > 0), 1)).alias("covered"))
+    functions = r.where("kind in ('FN', 'FNDA')").groupBy(name.alias("name"), F.col("x")[1].alias("function")).agg(F.sum(F.when(F.col("kind") == "FNDA", number(1)).otherwise(0)).alias("hits"))
+    of_name = functions.groupBy("name").agg(F.count(F.lit(1)).alias("functions"), F.count(F.when(F.col("hits") > 0, 1)).alias("covered_functions"))
+    both = counted.join(of_name, "name", "left").fillna(0, ["functions", "covered_functions"])
+    both = both.where(F.col("name").rlike(pattern)) if pattern else both
+    share = lambda a, b: F.try_divide(100.0 * F.col(a), F.col(b))
+    return both.select("name", "lines", "covered", share("covered", "lines").alias("percentage"), "functions", "covered_functions", F.coalesce(share("covered_functions", "functions"), F.lit(0.0)).alias("function_percentage"))
 
 
 def curve_points(cells: DataFrame, side: int, curve: str = "hilbert") -> DataFrame:

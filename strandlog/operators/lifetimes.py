@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.functions.intervals import points_in_intervals
+from strandlog.functions.running import running
+
 
 def paired_allocations(events: DataFrame) -> DataFrame:
     """source, base, start, end, type, subclass, size, alloc_size: each allocation with the free that ends it.
@@ -58,6 +61,33 @@ def unrolled_stacks(traces: DataFrame, symbols: DataFrame) -> DataFrame:
     return found.select("stacktrace_id", order.alias("sequence"), F.col("ip").alias("instruction_ptr"), "function", "file", "line")
 
 
+def symbols_at(addresses: DataFrame, scopes: DataFrame, line_table: DataFrame, bucket: int = 256) -> DataFrame:
+    """instruction_ptr, depth, function, file, line: what stands at each address, the innermost inlined function first.
+
+    `addresses` has module and instruction_ptr. `scopes` are nested address ranges: module, low, high (exclusive), level (0 for a function's own range, one more for each range inlined in it),
+    function, call_file and call_line (the place in the enclosing function that an inlined range stands for). `line_table` has module, address, file, line; a row holds up to the module's
+    next address. The innermost function is at the line table's place, each outer one at the call that the range within it stands for. Addresses in no range have a row with a null function.
+    """
+    asked = addresses.select("module", F.col("instruction_ptr").cast("long").alias("at")).distinct()
+    # the join takes what lies between its ends, both left out
+    inside = points_in_intervals(asked, "at", scopes.withColumn("before", F.col("low") - 1), "before", "high", "module", bucket)
+    inner = Window.partitionBy("module", "at").orderBy(F.desc("level"))
+    nested = inside.select("module", "at", "function", (F.row_number().over(inner) - 1).alias("depth"), F.lag("call_file").over(inner).alias("call_file"), F.lag("call_line").over(inner).alias("call_line"))
+    starts = line_table.groupBy("module", "address").agg(F.min(F.struct("file", "line")).alias("place"))
+    ends = running(starts.withColumn("back", -F.col("address")), ["module"], "back", F.col("address"), "min", "next", before=True)
+    lines = points_in_intervals(asked, "at", ends.select("module", (F.col("address") - 1).alias("before"), "next", "place"), "before", "next", "module", bucket).select("module", "at", "place")
+    found = asked.join(nested, ["module", "at"], "left").join(lines, ["module", "at"], "left")
+    own = F.coalesce("depth", F.lit(0)) == 0
+    return found.select("module", F.col("at").alias("instruction_ptr"), F.coalesce("depth", F.lit(0)).alias("depth"), "function", F.when(own, F.col("place.file")).otherwise(F.col("call_file")).alias("file"), F.when(own, F.col("place.line")).otherwise(F.col("call_line")).alias("line"))
+
+
+def stack_pointers(traces: DataFrame) -> DataFrame:
+    """instruction_ptr of all frames of `traces`, those after the first one byte back, as unrolled_stacks looks them up."""
+    pointers = F.concat(F.array(F.col("instruction_ptr").cast("decimal(20,0)")), F.transform(F.filter(F.split("stacktrace", ","), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("decimal(20,0)")))
+    frames = traces.select(F.posexplode(pointers).alias("frame", "ip"))
+    return frames.select((F.col("ip") - F.when(F.col("frame") > 0, 1).otherwise(0)).cast("long").alias("instruction_ptr")).distinct()
+
+
 def expanded_blacklist(rules: DataFrame, subclasses: DataFrame, members: DataFrame) -> DataFrame:
     """subclass_id, member_name_id, fn, sequence: a type stands for all its subclasses, type:subclass for one, null for any; unknown names are left out."""
     named = subclasses.select(F.col("id").alias("subclass_id"), "type_name", F.concat_ws(":", "type_name", "name").alias("full_name"))

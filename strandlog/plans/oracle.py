@@ -448,3 +448,62 @@ FROM (SELECT *, unnest(range(1, len(fr) + 1)) AS i FROM (SELECT list_reverse(str
     "coverage_convert": inputs("SELECT '0x' || lower(hex(m.number)) AS basic_block, s.file, s.line FROM maps m JOIN src s ON s.p_partkey = m.number"),
     "coverage_preprocess": inputs("SELECT DISTINCT 'runs/' || (map % 3) || '/' || map || '.map' AS path, map || '.map' AS map, bb FROM maps"),
 }
+
+#: Blocks with their lines, and the lines that are looked for.
+BLOCKS = """,
+blk0 AS (SELECT file, line AS start, list(DISTINCT '/fs/inc/h' || (p_partkey % 50) || '.h') AS headers FROM src WHERE p_partkey % 3 = 0 GROUP BY ALL),
+blk AS (SELECT file, start, unnest(list_concat([{'file': file, 'line': start - 2}, {'file': file, 'line': start}, {'file': file, 'line': start + 1}], list_transform(headers, lambda h: {'file': h, 'line': start % 9}))) AS x FROM blk0),
+hits AS (
+  SELECT file, line FROM src WHERE covered
+  UNION SELECT CASE WHEN p_partkey % 2 = 0 THEN '/fs/inc/h' ELSE '/lib/h' END || (p_partkey % 70) || '.h', line % 11 FROM src WHERE covered),
+floors AS (SELECT h.file, h.line, (SELECT max(b.start) FROM blk0 b WHERE b.file = h.file AND b.start <= h.line) AS start, h.file IN (SELECT file FROM blk0) AS known FROM hits h),
+holders AS (SELECT x.file AS file, x.line AS line, min({'f': file, 's': start}) AS holder FROM blk GROUP BY ALL),
+fnd AS (
+  SELECT f.file, f.line, CASE WHEN start IS NOT NULL THEN f.file WHEN known OR f.file LIKE '/fs/inc/%' THEN holder.f END AS block_file, CASE WHEN start IS NOT NULL THEN start WHEN known OR f.file LIKE '/fs/inc/%' THEN holder.s END AS block_start,
+    CASE WHEN start = f.line THEN 'start' WHEN start IS NOT NULL THEN 'floor' WHEN (known OR f.file LIKE '/fs/inc/%') AND holder IS NOT NULL THEN 'inside' END AS found
+  FROM floors f LEFT JOIN holders h ON h.file = f.file AND h.line = f.line)"""
+SQL |= {
+    "coverage_blocks_of_hits": inputs("SELECT * FROM fnd", BLOCKS),
+    "coverage_lines_of_hits": inputs(
+        """SELECT file, sum(hit)::BIGINT AS covered, count(*) AS total, 100.0 * sum(hit) / count(*) AS percentage FROM (
+  SELECT x.file AS file, x.line AS line, max(CASE WHEN EXISTS (SELECT 1 FROM fnd WHERE fnd.block_file = blk.file AND fnd.block_start = blk.start) THEN 1 ELSE 0 END) AS hit FROM blk GROUP BY ALL) GROUP BY 1""",
+        BLOCKS,
+    ),
+}
+
+
+def lcov_twin(name: str, lines: str, where: str = "true") -> str:
+    return inputs(
+        f"""SELECT l.name, l.lines, l.covered, 100.0 * l.covered / l.lines AS percentage, f.functions, f.covered_functions, 100.0 * f.covered_functions / f.functions AS function_percentage FROM ({lines}) l
+JOIN (SELECT name, count(*) AS functions, count(*) FILTER (hits > 0) AS covered_functions FROM (
+  SELECT name, fn, max(hits) AS hits FROM (SELECT {name} AS name, 'g' || (p_partkey % 7) AS fn, 0 AS hits FROM src UNION ALL SELECT {name}, 'f' || (p_partkey % 20), covered::INT FROM src) GROUP BY ALL) GROUP BY 1) f ON f.name = l.name
+WHERE {where}"""
+    )
+
+
+def lcov_lines(name: str) -> str:
+    return f"""SELECT name, count(*) AS lines, count(*) FILTER (hits > 0) AS covered FROM (
+  SELECT {name} AS name, file, line, max(hits) AS hits FROM (SELECT file, line, covered::INT AS hits FROM src UNION ALL SELECT file, line + 1, 0 FROM src UNION ALL SELECT file, 0, p_partkey FROM src) GROUP BY ALL) GROUP BY 1"""
+
+
+SQL |= {
+    "lcov_by_file": lcov_twin("substr(file, 5)", lcov_lines("substr(file, 5)")),
+    "lcov_by_directory": lcov_twin("regexp_replace(file, '/[^/]*$', '')", lcov_lines("regexp_replace(file, '/[^/]*$', '')")),
+    "lcov_sums_of_files": lcov_twin("file", "SELECT file AS name, sum(3)::BIGINT AS lines, sum(covered::INT + 1)::BIGINT AS covered FROM src GROUP BY 1", "regexp_matches(l.name, 'Brand#[12]')"),
+    # The scope of an address's length 64 is its part; the narrowest one that holds it comes first.
+    "inlined_frames": inputs(
+        """SELECT id AS stacktrace_id, row_number() OVER (PARTITION BY id ORDER BY frame, level DESC) - 1 AS sequence, ip AS instruction_ptr, function,
+  CASE WHEN inner_file IS NULL THEN (SELECT p_brand || '.c' FROM part q WHERE q.p_partkey = pc // 64) ELSE inner_file END AS file,
+  CASE WHEN inner_file IS NULL THEN (SELECT q.p_size * 4 + (pc % 64) // 16 FROM part q WHERE q.p_partkey = pc // 64) ELSE inner_line END AS line
+FROM (SELECT f.*, s.function, s.level, lead(s.call_file) OVER w AS inner_file, lead(s.call_line) OVER w AS inner_line FROM frames f LEFT JOIN scopes s ON f.pc >= s.low AND f.pc < s.high WINDOW w AS (PARTITION BY f.id, f.frame ORDER BY s.level))""",
+        """,
+scopes AS (
+  SELECT p_partkey * 64 AS low, p_partkey * 64 + 64 AS high, 0 AS level, 'f' || p_partkey AS function, NULL AS call_file, NULL AS call_line FROM part
+  UNION ALL SELECT p_partkey * 64 + 8, p_partkey * 64 + 40, 1, 'in' || p_brand, 'c' || p_partkey, p_size FROM part WHERE p_size % 2 = 0
+  UNION ALL SELECT p_partkey * 64 + 16, p_partkey * 64 + 24, 2, 'deep' || p_brand, 'd' || p_partkey, p_size + 1 FROM part WHERE p_size % 6 = 0),
+frames AS (
+  SELECT seq AS id, frame, ip, CASE WHEN frame = 0 THEN ip ELSE ip - 1 END AS pc
+  FROM (SELECT seq, unnest([(user_id * 64 + k * 5) % 12000 + 32, (user_id * 37 + k * 64) % 12000 + 32, (user_id * 211 + k * 8) % 12000 + 32]) AS ip, unnest([0, 1, 2]) AS frame FROM ev))""",
+    ),
+}
+

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandlog.operators import blacklists, coverage, evaluation, flat, machine, mining, observations, transactions, validation, violations
+from strandlog.operators import blacklists, coverage, evaluation, flat, lifetimes, machine, mining, observations, transactions, validation, violations
 from strandlog.plans import oracle, oracle_lines
 from strandlog.sources import documented
 from strandlog.sources import lines as trace_lines
@@ -157,6 +157,12 @@ COVERAGE = {
     "coverage_walks": lambda c: coverage.covered_by_walks(c.instructions, c.instructions.where("is_pc")),
     "coverage_share": lambda c: coverage.share_covered(coverage.covered_by_walks(c.instructions, c.instructions.where("is_pc")), c.instructions),
     "coverage_block_of_line": lambda c: coverage.block_of_line(c.lines.where("covered").select("file", "line"), c.lines.where("p_partkey % 3 = 0").select("file", F.col("line").alias("start"))),
+    "coverage_blocks_of_hits": lambda c: coverage.blocks_of_lines(c.hits, c.blocks, "^/fs/inc/"),
+    "coverage_lines_of_hits": lambda c: coverage.lines_of_found(coverage.blocks_of_lines(c.hits, c.blocks, "^/fs/inc/"), c.blocks),
+    "lcov_by_file": lambda c: coverage.lcov_summary(c.lcov, prefix="/fs/"),
+    "lcov_by_directory": lambda c: coverage.lcov_summary(c.lcov, by_directory=True),
+    "lcov_sums_of_files": lambda c: coverage.lcov_summary(c.lcov, sums=True, pattern="Brand#[12]"),
+    "inlined_frames": lambda c: lifetimes.unrolled_stacks(c.traces, lifetimes.symbols_at(lifetimes.stack_pointers(c.traces).withColumn("module", F.lit("k")), c.scopes, c.line_table).drop("module")).withColumn("instruction_ptr", F.col("instruction_ptr").cast("long")),
     "coverage_by_file": lambda c: coverage.line_coverage(c.lines, F.col("file")),
     "coverage_by_directory": lambda c: coverage.line_coverage(c.lines, coverage.directory(F.col("file"))),
     "coverage_compose": lambda c: coverage.composed_suite(c.maps.select("map").distinct().withColumn("command", F.concat(F.lit("run "), F.col("map").cast("string"))), c.maps.where("number < 3").select("map").distinct()),

@@ -112,8 +112,41 @@ def test_lcov(spark):
     from strandlog.operators.coverage import lcov_summary
 
     text = ["SF:/a/b.c", "FN:1,f", "FNDA:3,f", "DA:1,3", "DA:2,0", "end_of_record", "SF:/a/c.c", "DA:1,1"]
-    rows = {r["file"]: r for r in lcov_summary(spark.createDataFrame([("t", k, v) for k, v in enumerate(text)], "source string, n int, value string")).collect()}
+    rows = {r["name"]: r for r in lcov_summary(spark.createDataFrame([("t", k, v) for k, v in enumerate(text)], "source string, n int, value string")).collect()}
     assert (rows["/a/b.c"]["lines"], rows["/a/b.c"]["covered"], rows["/a/b.c"]["covered_functions"]) == (2, 1, 1) and rows["/a/c.c"]["functions"] == 0
+    more = ["SF:/a/b.c", "FN:9,g", "LF:4", "LH:1", "FNDA:0,f", "SF:/a/b.c", "LF:2", "LH:2", "SF:/x/d.c", "DA:bad", "SF:/a/e.c"]
+    lines = spark.createDataFrame([("t", k, v) for k, v in enumerate(text + more)] + [("u", 0, "DA:7,7")], "source string, n int, value string")
+    shown = lambda **how: sorted(tuple(r)[:-1] for r in lcov_summary(lines, **how).collect())
+    assert shown(sums=True, prefix="/a/") == [("b.c", 6, 3, 50.0, 2, 1), ("c.c", 0, 0, None, 0, 0), ("e.c", 0, 0, None, 0, 0)]
+    assert shown(by_directory=True) == [("/a", 3, 2, 200 / 3, 2, 1), ("/x", 0, 0, None, 0, 0)]
+    assert shown(pattern="c.c$") == [("/a/c.c", 1, 1, 100.0, 0, 0)]
+
+
+def test_inlined_frames_from_ranges(spark):
+    scopes = spark.createDataFrame(
+        [("k", 0, 100, 0, "f", None, None), ("k", 10, 50, 1, "g", "f.c", 7), ("k", 20, 30, 2, "h", "g.c", 8), ("k", 100, 120, 0, "p", None, None), ("m", 0, 10, 0, "other", None, None)],
+        "module string, low long, high long, level int, function string, call_file string, call_line int",
+    )
+    table = spark.createDataFrame([("k", 0, "f.c", 1), ("k", 10, "g.c", 2), ("k", 20, "h.c", 3), ("k", 30, "g.c", 4), ("k", 90, "f.c", 5)], "module string, address long, file string, line int")
+    asked = spark.createDataFrame([("k", a) for a in (0, 9, 10, 25, 29, 30, 49, 50, 99, 110, 120)], "module string, instruction_ptr long")
+    found = {}
+    for r in lifetimes.symbols_at(asked, scopes, table, 8).orderBy("instruction_ptr", "depth").collect():
+        found.setdefault(r["instruction_ptr"], []).append((r["function"], r["file"], r["line"]))
+    deep = [("h", "h.c", 3), ("g", "g.c", 8), ("f", "f.c", 7)]
+    assert found == {0: [("f", "f.c", 1)], 9: [("f", "f.c", 1)], 10: [("g", "g.c", 2), ("f", "f.c", 7)], 25: deep, 29: deep, 30: [("g", "g.c", 4), ("f", "f.c", 7)], 49: [("g", "g.c", 4), ("f", "f.c", 7)], 50: [("f", "g.c", 4)], 99: [("f", "f.c", 5)], 110: [("p", "f.c", 5)], 120: [(None, "f.c", 5)]}
+
+
+def test_blocks_of_lines_with_fallbacks(spark):
+    from strandlog.operators.coverage import blocks_of_lines, lines_of_found
+
+    blocks = spark.createDataFrame([("a.c", 10, [("a.c", 10), ("a.c", 3), ("in/x.h", 5)]), ("a.c", 20, [("a.c", 20)]), ("b.c", 4, [("a.c", 2), ("in/x.h", 5), ("y.h", 1)])], "file string, start int, lines array<struct<file:string,line:int>>")
+    hits = [("a.c", 10), ("a.c", 19), ("a.c", 3), ("a.c", 2), ("a.c", 1), ("in/x.h", 5), ("in/x.h", 6), ("y.h", 1), ("z.c", 1)]
+    found = blocks_of_lines(spark.createDataFrame(hits, "file string, line int"), blocks, "^in/")
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in found.collect()} == {
+        ("a.c", 10): ("a.c", 10, "start"), ("a.c", 19): ("a.c", 10, "floor"), ("a.c", 3): ("a.c", 10, "inside"), ("a.c", 2): ("b.c", 4, "inside"), ("a.c", 1): (None, None, None),
+        ("in/x.h", 5): ("a.c", 10, "inside"), ("in/x.h", 6): (None, None, None), ("y.h", 1): (None, None, None), ("z.c", 1): (None, None, None),
+    }
+    assert sorted(tuple(r)[:3] for r in lines_of_found(found, blocks).collect()) == [("a.c", 3, 4), ("in/x.h", 1, 1), ("y.h", 1, 1)]
 
 
 def whole(events):
