@@ -507,3 +507,85 @@ frames AS (
     ),
 }
 
+
+
+def searches(settings: str) -> str:
+    """A breadth-first search of each member under each setting, a node a step. `settings` are rows (setting, strategy, accept, reduction). CTEs num to won."""
+    return f""",
+setting AS (SELECT * FROM ({settings}) t(setting, strategy, accept, reduction)),
+num AS (SELECT lock, row_number() OVER (ORDER BY seen) AS number FROM (
+  SELECT lock, min({{'a': type_id, 'b': occurrences, 'c': members_accessed, 'd': locks_held, 'e': pos}}) AS seen
+  FROM (SELECT *, unnest(string_split(locks_held, ',')) AS lock, generate_subscripts(string_split(locks_held, ','), 1) AS pos FROM obs WHERE locks_held <> '') GROUP BY lock)),
+mem AS (SELECT row_number() OVER (ORDER BY type_name, access, member) AS m, * FROM tot),
+ords AS (
+  SELECT h.type_name, h.access, h.member, h.locks, h.occurrences, coalesce(list(n.number ORDER BY h.pos) FILTER (n.number IS NOT NULL), []) AS ord
+  FROM (SELECT *, unnest(CASE WHEN len(locks) = 0 THEN [''] ELSE locks END) AS lock, generate_subscripts(CASE WHEN len(locks) = 0 THEN [''] ELSE locks END, 1) AS pos FROM hyp) h LEFT JOIN num n ON n.lock = h.lock GROUP BY ALL),
+rep AS (SELECT * FROM (SELECT *, list_sort(ord) AS s, row_number() OVER (PARTITION BY type_name, access, member, list_sort(ord) ORDER BY occurrences DESC, ord) AS k FROM ords) WHERE k = 1),
+node AS (
+  SELECT m.m, row_number() OVER (PARTITION BY m.m ORDER BY s) AS id, s, len(s) AS size, occurrences / total AS share, array_to_string(r.locks, ' -> ') AS locks, m.total, m.with_locks
+  FROM rep r JOIN mem m ON m.type_name = r.type_name AND m.access = r.access AND m.member = r.member),
+kid AS (SELECT p.m, p.id, list(c.id ORDER BY c.id) AS kids FROM node c JOIN node p ON p.m = c.m AND p.size = c.size - 1 AND (p.s = c.s[:-2] OR p.s = c.s[2:]) GROUP BY ALL),
+fam AS (SELECT n.*, coalesce(k.kids, []) AS kids FROM node n LEFT JOIN kid k ON k.m = n.m AND k.id = n.id),
+hunt AS (
+  SELECT t.setting, t.strategy, t.accept, t.reduction, f.m, 0::BIGINT AS best_size, CASE WHEN strategy = 'topdown' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS best,
+    CASE WHEN strategy = 'topdown' AND (total - with_locks) / total < 0.05 THEN [] ELSE [f.id] END AS found, CASE WHEN strategy = 'topdown' AND (total - with_locks) / total >= 0.05 THEN [] ELSE f.kids END AS queue
+  FROM setting t, fam f WHERE f.size = 0
+  UNION ALL
+  SELECT setting, strategy, accept, reduction, m, CASE WHEN wins THEN size ELSE best_size END, CASE WHEN wins THEN share ELSE best END,
+    CASE WHEN wins THEN [id] WHEN same AND NOT list_contains(found, id) THEN list_append(found, id) ELSE found END, CASE WHEN wins OR same THEN list_concat(queue[2:], kids) ELSE queue[2:] END
+  FROM (
+    SELECT *, same0 AND len(found) > 0 AS same, better OR (same0 AND len(found) = 0) AS wins FROM (
+      SELECT h.*, f.id, f.size, f.share, f.kids,
+        CASE strategy WHEN 'lockset' THEN share >= 1.0 AND size = best_size ELSE size = best_size AND share = best END AS same0,
+        CASE strategy
+          WHEN 'bottomup' THEN NOT (size = best_size AND share = best) AND ((accept <= share AND share < best) OR (size > best_size AND share = best))
+          WHEN 'sharpen' THEN (size = best_size AND share > best) OR (size > best_size AND (share = best OR 1.0 - share / best <= reduction))
+          WHEN 'lockset' THEN share >= 1.0 AND size > best_size
+          ELSE NOT (size = best_size AND share = best) AND share >= accept AND share >= best AND size >= best_size END AS better
+      FROM hunt h JOIN fam f ON f.m = h.m AND f.id = h.queue[1] WHERE len(h.queue) > 0))),
+done AS (SELECT setting, m, unnest(found) AS id, generate_subscripts(found, 1) AS k, found FROM hunt WHERE len(queue) = 0),
+won AS (
+  SELECT d.setting, mem.type_name, mem.access, mem.member, f.locks, CASE WHEN d.k = 1 THEN 1 ELSE 2 END AS accepted,
+    coalesce((SELECT string_agg(o.locks, ',' ORDER BY x.k) FROM done x JOIN fam o ON o.m = x.m AND o.id = x.id WHERE x.setting = d.setting AND x.m = d.m AND x.k <> d.k), '') AS conflicts
+  FROM done d JOIN fam f ON f.m = d.m AND f.id = d.id JOIN mem ON mem.m = d.m)"""
+
+
+def hunted(select: str, settings: str, before: str = MINED) -> str:
+    return base(select, before + searches(settings)).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ONE = {s: f"VALUES (0, '{s}', 0.9::DOUBLE, 0.05::DOUBLE)" for s in ("bottomup", "sharpen", "topdown")}
+GRID = """SELECT 10 - k, 'sharpen', 0.9::DOUBLE, k / 100.0 FROM range(0, 11) a(k) UNION ALL SELECT 11 + k, 'bottomup', (100 - k / 2.0) / 100.0, 0.05::DOUBLE FROM range(0, 21) b(k)
+UNION ALL SELECT 32 + k, 'topdown', (100 - k / 2.0) / 100.0, 0.05::DOUBLE FROM range(0, 21) c(k) UNION ALL SELECT 53, 'lockset', 0.9::DOUBLE, 0.05::DOUBLE"""
+HITS = "EXISTS (SELECT 1 FROM won w WHERE w.type_name = r.type_name AND w.access = r.access AND w.member = r.member AND regexp_full_match(w.locks, r.rule))"
+SQL |= {f"winners_{s}": hunted("SELECT type_name, access, member, locks, accepted, conflicts FROM won", rows) for s, rows in ONE.items()}
+SQL |= {
+    "winner_check_sharpen": hunted(
+        f"""SELECT coalesce(type_name, 'total') AS type_name, count(*) AS observed, sum(hit)::BIGINT AS matched, 100.0 * sum(hit) / count(*) AS percentage, count(*) FILTER (access = 'r') AS observed_r, coalesce(sum(hit) FILTER (access = 'r'), 0)::BIGINT AS matched_r,
+  count(*) FILTER (access = 'w') AS observed_w, coalesce(sum(hit) FILTER (access = 'w'), 0)::BIGINT AS matched_w
+FROM (SELECT r.*, CASE WHEN {HITS} THEN 1 ELSE 0 END AS hit FROM rules r JOIN tot t ON t.type_name = r.type_name AND t.access = r.access AND t.member = r.member) GROUP BY ROLLUP (type_name)""",
+        ONE["sharpen"],
+        CHECKED,
+    ),
+    "strategy_sweep": hunted(
+        """SELECT setting, observed, matched, 100.0 * matched / observed AS percentage FROM (
+  SELECT s.setting, count(*) AS observed, count(*) FILTER (EXISTS (SELECT 1 FROM won w WHERE w.setting = s.setting AND w.type_name = r.type_name AND w.access = r.access AND w.member = r.member AND regexp_full_match(w.locks, r.rule))) AS matched
+  FROM (SELECT DISTINCT setting FROM won) s, rules r JOIN tot t ON t.type_name = r.type_name AND t.access = r.access AND t.member = r.member GROUP BY 1)""",
+        GRID,
+        CHECKED,
+    ),
+    "mining_stats": hunted(
+        """SELECT dt.name AS type_name, l.members, coalesce(b.observed, 0) AS observed, coalesce(b.rules_r, 0) AS rules_r, coalesce(b.rules_w, 0) AS rules_w, coalesce(b.no_lock_r, 0) AS no_lock_r, coalesce(b.no_lock_w, 0) AS no_lock_w
+FROM data_types dt JOIN (SELECT data_type_id, count(DISTINCT member_name_id) AS members FROM structs_layout GROUP BY 1) l ON l.data_type_id = dt.id LEFT JOIN (
+  SELECT type_name, count(DISTINCT member) AS observed, count(*) FILTER (access = 'r') AS rules_r, count(*) FILTER (access = 'w') AS rules_w, count(*) FILTER (access = 'r' AND locks = '') AS no_lock_r, count(*) FILTER (access = 'w' AND locks = '') AS no_lock_w
+  FROM won WHERE accepted = 1 GROUP BY 1) b ON b.type_name = dt.name""",
+        ONE["sharpen"],
+    ),
+    "protected_members": hunted("SELECT type_name, locks, string_agg(access || ':' || member, ',' ORDER BY access || ':' || member) AS members FROM won WHERE accepted = 1 GROUP BY ALL", ONE["sharpen"]),
+    "atomic_evaluation": hunted(
+        """SELECT a.type_name, count(DISTINCT a.member) AS atomics, count(w.locks) AS found, count(*) FILTER (w.locks <> '') AS locked, count(*) FILTER (w.locks = '') AS not_locked
+FROM (SELECT dt.name AS type_name, mn.name AS member FROM structs_layout l JOIN data_types dt ON dt.id = l.data_type_id JOIN member_names mn ON mn.id = l.member_name_id WHERE l.data_type_name LIKE 'atomic%') a
+LEFT JOIN (SELECT * FROM won WHERE accepted = 1) w ON w.type_name = a.type_name AND w.member = a.member GROUP BY 1""",
+        ONE["topdown"],
+    ),
+}
