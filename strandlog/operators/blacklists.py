@@ -14,8 +14,8 @@ def subclass_ids(db, data_type: str, subclass: str | None) -> DataFrame:
 
 def with_members(db, data_type: str, subclass: str | None, members: list[str]) -> DataFrame:
     """The member blacklist (subclass_id, member_name_id) with members of a subclass; a member that is there already stays once."""
-    names = db.member_names.where(F.col("name").isin(members)).select(F.col("id").alias("member_name_id"))
-    added = subclass_ids(db, data_type, subclass).select("subclass_id", F.lit(0).alias("all")).join(names.withColumn("all", F.lit(0)), "all").drop("all")
+    asked = subclass_ids(db, data_type, subclass).select("subclass_id", F.explode(F.array(*map(F.lit, members))).alias("name"))
+    added = asked.join(db.member_names.select(F.col("id").alias("member_name_id"), "name"), "name").select("subclass_id", "member_name_id")
     return db.member_blacklist.select("subclass_id", "member_name_id").unionByName(added).distinct()
 
 
@@ -23,5 +23,5 @@ def with_functions(db, data_type: str, subclass: str | None, functions: list[str
     """The function blacklist (subclass_id, member_name_id, fn, sequence) with functions for a subclass, or for all accesses where the type is `any`."""
     spark = db.function_blacklist.sparkSession
     known = spark.range(1).select(F.lit(None).cast("int").alias("subclass_id")) if data_type == "any" else subclass_ids(db, data_type, subclass)
-    added = known.select("subclass_id", F.lit(None).cast("int").alias("member_name_id"), F.explode(F.array(*map(F.lit, functions))).alias("fn"), F.lit(None).cast("int").alias("sequence"))
+    added = known.select("subclass_id", F.lit(None).cast(dict(db.function_blacklist.dtypes)["member_name_id"]).alias("member_name_id"), F.explode(F.array(*map(F.lit, functions))).alias("fn"), F.lit(None).cast("int").alias("sequence"))
     return db.function_blacklist.select("subclass_id", "member_name_id", "fn", "sequence").unionByName(added)

@@ -92,6 +92,8 @@ def expanded_blacklist(rules: DataFrame, subclasses: DataFrame, members: DataFra
     """subclass_id, member_name_id, fn, sequence: a type stands for all its subclasses, type:subclass for one, null for any; unknown names are left out."""
     named = subclasses.select(F.col("id").alias("subclass_id"), "type_name", F.concat_ws(":", "type_name", "name").alias("full_name"))
     for_all = rules.where("datatype is null").withColumn("subclass_id", F.lit(None).cast("int"))
-    for_some = rules.where("datatype is not null").join(named, (F.col("datatype") == F.col("type_name")) | (F.col("datatype") == F.col("full_name"))).drop("type_name", "full_name")
+    # a subclass goes by its type's name and by its own: one equal key
+    names = named.select("subclass_id", F.explode(F.array_distinct(F.array("type_name", "full_name"))).alias("datatype"))
+    for_some = rules.where("datatype is not null").join(names, "datatype")
     both = for_all.unionByName(for_some).join(members.select(F.col("id").alias("member_name_id"), F.col("name").alias("datatype_member")), "datatype_member", "left")
     return both.where("datatype_member is null or member_name_id is not null").select("subclass_id", "member_name_id", "fn", "sequence")

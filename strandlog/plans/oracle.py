@@ -589,3 +589,39 @@ LEFT JOIN (SELECT * FROM won WHERE accepted = 1) w ON w.type_name = a.type_name
         ONE["topdown"],
     ),
 }
+
+#: The catalog from parts, suppliers and line items.
+CATALOG = r"""
+prt AS (SELECT p_partkey::BIGINT AS k, p_size, lower(p_type) || '_' || substr(p_brand, 7) AS type_name FROM part),
+typ AS (SELECT row_number() OVER (ORDER BY type_name) AS id, type_name AS name FROM (SELECT DISTINCT type_name FROM prt)),
+mbr AS (SELECT prt.*, typ.id AS data_type_id FROM prt JOIN typ ON typ.name = prt.type_name),
+sub AS (SELECT id * 10 AS id, id AS data_type_id, NULL AS name FROM typ WHERE id % 3 = 0 UNION ALL SELECT id * 10 + 1, id, 'a' FROM typ WHERE id % 3 > 0 UNION ALL SELECT id * 10 + 2, id, 'b' FROM typ WHERE id % 3 > 0),
+lay AS (SELECT data_type_id, CASE p_size % 10 WHEN 0 THEN 'atomic_t' WHEN 1 THEN 'atomic64_t' WHEN 2 THEN 'atomic_long_t' ELSE 'int' END AS data_type_name, k AS member_name_id, 16 * k AS byte_offset, p_size % 13 + 4 AS size FROM mbr),
+layf AS (SELECT data_type_id, member_name_id, byte_offset, unnest(range(byte_offset, byte_offset + size)) AS helper_offset FROM lay),
+alc AS (SELECT s_suppkey::BIGINT AS id, CASE WHEN (s_suppkey % 20 + 1) % 3 = 0 THEN (s_suppkey % 20 + 1) * 10 ELSE (s_suppkey % 20 + 1) * 10 + 1 + s_suppkey % 2 END AS subclass_id, (s_suppkey::BIGINT + 1) * 4294967296 AS base FROM supplier),
+lck AS (SELECT s * 4294967296 + p AS id, (s + 1) * 4294967296 + 16 * p + p % 3 * 2 AS address, s AS alloc_id, CASE WHEN p % 2 = 0 THEN 'w' ELSE 'r' END AS sub_lock FROM (SELECT DISTINCT l_suppkey::BIGINT AS s, l_partkey::BIGINT AS p FROM lineitem)),
+mbl AS (SELECT CASE WHEN data_type_id % 3 = 0 THEN data_type_id * 10 ELSE data_type_id * 10 + 1 END AS subclass_id, k AS member_name_id FROM mbr WHERE p_size = 7),
+fbl AS (SELECT CASE WHEN data_type_id % 3 = 0 THEN data_type_id * 10 ELSE data_type_id * 10 + 2 END AS subclass_id, CASE WHEN k % 2 = 0 THEN k END AS member_name_id, 'fn' || (k % 50) AS fn, CASE WHEN k % 3 > 0 THEN k % 4 END AS sequence FROM mbr WHERE p_size = 9)"""
+
+
+def catalog(select: str) -> str:
+    return f"WITH {CATALOG.strip()}\n{select}"
+
+
+SQL |= {
+    "layout_flat": catalog("SELECT * FROM layf"),
+    "locks_embedded_flat": catalog("SELECT l.id AS lock_id, l.sub_lock, l.alloc_id, a.subclass_id, s.data_type_id, f.member_name_id FROM lck l JOIN alc a ON a.id = l.alloc_id JOIN sub s ON s.id = a.subclass_id JOIN layf f ON f.data_type_id = s.data_type_id AND f.helper_offset = l.address - a.base"),
+    "type_members": catalog("SELECT CASE WHEN s.name IS NULL THEN t.name ELSE t.name || ':' || s.name END AS type_name, count(DISTINCT l.member_name_id) AS members FROM sub s JOIN typ t ON t.id = s.data_type_id JOIN lay l ON l.data_type_id = t.id GROUP BY 1"),
+    "blacklisted_members": catalog("SELECT subclass_id, count(*) AS n FROM mbl GROUP BY 1"),
+    "atomic_members": catalog("SELECT t.name AS type_name, 'm' || l.member_name_id AS member, l.byte_offset FROM lay l JOIN typ t ON t.id = l.data_type_id WHERE l.data_type_name <> 'int'"),
+    "lock_addresses": catalog("SELECT id AS lock_id, hex(address) AS address_hex, hex(address >> 8) AS page_hex FROM lck"),
+    "member_blacklist_added": catalog("SELECT * FROM mbl UNION SELECT s.id, k FROM sub s JOIN typ t ON t.id = s.data_type_id, prt WHERE t.name = 'economy_11' AND s.name = 'a' AND k IN (2, 4, 9)"),
+    "function_blacklist_added": catalog("SELECT * FROM fbl UNION ALL SELECT s.id, NULL, 'fn2', NULL FROM sub s JOIN typ t ON t.id = s.data_type_id WHERE t.name = 'economy_12' AND s.name = 'b'"),
+    "function_blacklist_for_any": catalog("SELECT * FROM fbl UNION ALL SELECT NULL, NULL, f, NULL FROM (VALUES ('fn2'), ('fn4')) t(f)"),
+    "blacklists_expanded": catalog(
+        """SELECT CASE WHEN k % 4 = 3 THEN NULL ELSE s.id END AS subclass_id, CASE WHEN k % 5 = 0 THEN k END AS member_name_id, 'fn' || (k % 50) AS fn, k % 4 AS sequence
+FROM mbr m LEFT JOIN sub s ON s.data_type_id = m.data_type_id AND (k % 4 = 0 OR (k % 4 = 1 AND s.name = 'a'))
+WHERE p_size = 11 AND k % 5 <> 1 AND (k % 4 = 3 OR s.id IS NOT NULL)"""
+    ),
+}
+

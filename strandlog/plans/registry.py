@@ -8,6 +8,7 @@ from strandlog.operators import blacklists, coverage, evaluation, flat, lifetime
 from strandlog.plans import oracle, oracle_lines
 from strandlog.sources import documented
 from strandlog.sources import lines as trace_lines
+from strandlog.sources.catalog import Catalog
 from strandlog.sources.coverage import Coverage
 from strandlog.sources.events import Trace
 
@@ -49,9 +50,7 @@ TRACE = {
     "accesses": lambda db: db.accesses.select("id", "alloc_id", "txn_id", "type", "address", "stacktrace_id"),
     "locks_held": lambda db: db.locks_held,
     "transactions": lambda db: db.txns,
-    "layout_flat": lambda db: db.layout_flat.select("data_type_id", "member_name_id", "byte_offset", "helper_offset"),
     "accesses_flat": lambda db: db.accesses_flat,
-    "locks_embedded_flat": lambda db: db.locks_embedded_flat,
     "broken_accesses": flat.broken_accesses,
     "without_atomics": lambda db: flat.without_atomics(db).select("id", "alloc_id", "txn_id", "type"),
     "ignored_accesses": flat.ignored_accesses,
@@ -65,12 +64,8 @@ TRACE = {
     "txn_members": observations.txn_members,
     "lock_free_accesses": observations.lock_free_accesses,
     "lock_distribution": observations.lock_distribution,
-    "type_members": observations.type_members,
-    "blacklisted_members": observations.blacklisted_members,
-    "atomic_members": observations.atomic_members,
     "callgraph_traces": observations.callgraph_traces,
     "call_edges": observations.call_edges,
-    "lock_addresses": observations.lock_addresses,
     "totals": observations.totals,
     "event_histogram": observations.event_histogram,
     "context_distribution": observations.context_distribution,
@@ -131,9 +126,6 @@ TRACE |= {
     "validation": validation.violated,
     "rule_rows": rules,
     "rule_rows_of_winners": lambda db: rules(db, winners_only=True),
-    "member_blacklist_added": lambda db: blacklists.with_members(db, "node", "proc", ["m2", "m4", "none"]),
-    "function_blacklist_added": lambda db: blacklists.with_functions(db, "buf", None, ["fn2"]),
-    "function_blacklist_for_any": lambda db: blacklists.with_functions(db, "any", None, ["fn2", "fn4"]),
     "counterexamples_of_types": lambda db: violations.sliced(two_rules(db), "no"),
     "counterexample_tree": lambda db: violations.call_tree(violations.examples(db, *RULE)),
     "machine_locks": lambda db: machine.run_machine(machine_events(db)).select("seq", "locks"),
@@ -173,6 +165,32 @@ COVERAGE = {
     "coverage_curve_spiral": lambda c: coverage.curve_points(c.maps.select(F.col("number").alias("i")).distinct(), 16, "spiral"),
 }
 
+CATALOG = {
+    "layout_flat": lambda db: db.layout_flat.select("data_type_id", "member_name_id", "byte_offset", "helper_offset"),
+    "locks_embedded_flat": lambda db: db.locks_embedded_flat,
+    "type_members": observations.type_members,
+    "blacklisted_members": observations.blacklisted_members,
+    "atomic_members": observations.atomic_members,
+    "lock_addresses": observations.lock_addresses,
+    "member_blacklist_added": lambda db: blacklists.with_members(db, "economy_11", "a", ["m2", "m4", "m9", "none"]),
+    "function_blacklist_added": lambda db: blacklists.with_functions(db, "economy_12", "b", ["fn2"]),
+    "function_blacklist_for_any": lambda db: blacklists.with_functions(db, "any", None, ["fn2", "fn4"]),
+    "blacklists_expanded": lambda db: lifetimes.expanded_blacklist(rules_of_types(db), named_subclasses(db), db.member_names),
+}
+
+
+def named_subclasses(db):
+    return db.subclasses.join(db.data_types.select(F.col("id").alias("data_type_id"), F.col("name").alias("type_name")), "data_type_id").select("id", "type_name", "name")
+
+
+def rules_of_types(db):
+    """Blacklist rules as text: for a type, for a subclass, for anything, and for a member that isn't known."""
+    k = F.col("k")
+    datatype = F.when(k % 4 == 0, F.col("type_name")).when(k % 4 == 1, F.concat("type_name", F.lit(":a"))).when(k % 4 == 2, F.concat("type_name", F.lit(":none")))
+    member = F.when(k % 5 == 0, F.concat(F.lit("m"), k.cast("string"))).when(k % 5 == 1, "unknown")
+    return db.parts.where("p_size = 11").select(datatype.alias("datatype"), member.alias("datatype_member"), F.concat(F.lit("fn"), (k % 50).cast("string")).alias("fn"), (k % 4).cast("int").alias("sequence"))
+
+
 LINES = {
     "lines_subclasses": lambda c: c.subclasses.drop("source"),
     "lines_allocations": lambda c: c.allocations.select("id", "subclass_id", F.col("base_address").cast("long").alias("base_address"), "size", F.col("start").alias("start_ts"), F.col("end").alias("end_ts")),
@@ -188,6 +206,7 @@ LINES = {
 def queries():
     found = {name: on_trace(build) for name, build in TRACE.items()}
     found |= {name: lambda spark, sf_dir, build=build: build(Coverage(spark, sf_dir)) for name, build in COVERAGE.items()}
+    found |= {name: lambda spark, sf_dir, build=build: build(Catalog(spark, sf_dir)) for name, build in CATALOG.items()}
     found |= {name: lambda spark, sf_dir, build=build: build(trace_lines.converted(spark, sf_dir)) for name, build in LINES.items()}
     return found
 
