@@ -29,9 +29,6 @@ from strandlog.functions import checkpoints
 from strandlog.functions.intervals import points_in_intervals
 from strandlog.functions.running import floor_walk, running
 
-STEPS = "trace long, seq long, txn_id long, locks string"
-
-
 @dataclass
 class Machine:
     """Feed events in order; an access gets its transaction and the locks held, oldest first."""
