@@ -69,10 +69,32 @@ def suite_overlaps(suites: DataFrame) -> DataFrame:
     return sets.select(F.explode(subsets).alias("s")).where(F.size("s") > 0).groupBy(F.array_join("s", "&").alias("suites")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Maps of a round of set_cover: what the driver gets of them has at most 2^TOP rows.
+TOP = 14
+
+
+def picked(masks: dict[int, int], names: list, after: tuple | None) -> list[tuple[int, int]]:
+    """(place, gain) of greedy picks among the top maps, as far as no other map can come before them. `masks` counts blocks by the top maps that have them.
+
+    `names` are the top maps' in the order of their names; `after` is the gain and name of the next map, an upper bound for all that aren't here.
+    """
+    left, picks = dict(masks), []
+    while left:
+        gains = [sum(n for mask, n in left.items() if mask >> k & 1) for k in range(len(names))]
+        best = max(range(len(names)), key=lambda k: (gains[k], -k))
+        if not gains[best] or after is not None and (gains[best] < after[0] or gains[best] == after[0] and names[best] > after[1]):
+            break
+        picks.append((best, gains[best]))
+        left = {mask: n for mask, n in left.items() if not mask >> best & 1}
+    return picks
+
+
 def set_cover(maps: DataFrame, restrict: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """step, map, gain, total: greedily the map that adds most, the smallest name of equals, until nothing is left (or `most` steps are taken).
 
-    A step needs the one before it. Blocks that are taken go from all maps by one anti join, and the rest is checkpointed.
+    Gains only fall, so that those of the last round are upper bounds. A round takes the maps with the largest ones and counts the blocks left by which of these maps have
+    them; from these counts the driver makes all picks that no map outside can come before, one at least. Their blocks then go from all maps by one anti join. The driver holds a
+    row for each step, as the result does.
     """
     spark = maps.sparkSession
     left = unique_blocks(maps) if restrict is None else unique_blocks(maps).join(restrict.select("bb"), "bb", "left_semi")
@@ -80,26 +102,41 @@ def set_cover(maps: DataFrame, restrict: DataFrame | None = None, most: int | No
     steps, total = [], 0
     left = left.checkpoint()
     while most is None or len(steps) < most:
-        best = left.groupBy("map").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "map").first()
-        if best is None:
+        best = left.groupBy("map").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "map").limit(TOP + 1).collect()
+        if not best:
             break
-        total += best["n"]
-        steps.append((len(steps) + 1, best["map"], best["n"], total))
-        left = left.join(left.where(F.col("map") == best["map"]).select("bb"), "bb", "left_anti").checkpoint()
+        names = sorted(r["map"] for r in best[:TOP])
+        place = F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, 1 << k)])
+        shared = left.where(F.col("map").isin(names)).groupBy("bb").agg(F.bit_or(place[F.col("map")]).alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+        found = picked({r["mask"]: r["n"] for r in shared.collect()}, names, (best[TOP]["n"], best[TOP]["map"]) if len(best) > TOP else None)
+        for k, gain in found[: None if most is None else most - len(steps)]:
+            total += gain
+            steps.append((len(steps) + 1, names[k], gain, total))
+        taken = [names[k] for k, _ in found]
+        left = left.join(left.where(F.col("map").isin(taken)).select("bb"), "bb", "left_anti").checkpoint()
     return spark.createDataFrame(steps, f"step int, map {dict(maps.dtypes)['map']}, gain long, total long")
 
 
-def cumulative(maps: DataFrame, subset: Column) -> DataFrame:
-    """map, t, current, current_subset, aggregate, aggregate_subset: maps in the order of their first time; t from the first."""
+def cumulative(maps: DataFrame, subset: Column, baseline: DataFrame | None = None) -> DataFrame:
+    """map, t, current, current_subset, aggregate, aggregate_subset: maps in the order of their first time; t from the first. With `baseline` (bb) also aggregate_beyond: the subset's blocks that the baseline lacks."""
     u = maps.groupBy("map", "bb").agg(F.min("t").alias("t")).withColumn("inside", subset.cast("int"))
+    known = baseline.select("bb").distinct().withColumn("known", F.lit(1)) if baseline is not None else None
+    u = u.withColumn("beyond", F.col("inside")) if known is None else u.join(known, "bb", "left").withColumn("beyond", F.when(F.col("known").isNull(), F.col("inside")).otherwise(0)).drop("known")
     per_map = u.groupBy("map").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("current"), F.sum("inside").alias("current_subset"))
     # A block counts as new in the map that first has it, in the order of the maps.
-    placed = u.select("map", "bb", "inside").join(per_map.select("map", "t"), "map")
-    first = placed.groupBy("bb", "inside").agg(F.min(F.struct("t", "map")).alias("f"))
-    new = first.groupBy(F.col("f.map").alias("map")).agg(F.count(F.lit(1)).alias("new"), F.sum("inside").alias("new_subset"))
-    running = Window.orderBy("t", "map").rowsBetween(Window.unboundedPreceding, 0)  # one row for each map
-    rows = per_map.join(new, "map", "left").fillna(0, ["new", "new_subset"])
-    return rows.select("map", (F.col("t") - F.min("t").over(Window.partitionBy())).alias("t"), "current", "current_subset", F.sum("new").over(running).alias("aggregate"), F.sum("new_subset").over(running).alias("aggregate_subset"))
+    placed = u.select("map", "bb", "inside", "beyond").join(per_map.select("map", "t"), "map")
+    first = placed.groupBy("bb", "inside", "beyond").agg(F.min(F.struct("t", "map")).alias("f"))
+    new = first.groupBy(F.col("f.map").alias("map")).agg(F.count(F.lit(1)).alias("new"), F.sum("inside").alias("new_subset"), F.sum("beyond").alias("new_beyond"))
+    up_to = Window.orderBy("t", "map").rowsBetween(Window.unboundedPreceding, 0)  # one row for each map
+    rows = per_map.join(new, "map", "left").fillna(0, ["new", "new_subset", "new_beyond"])
+    beyond = [] if known is None else [F.sum("new_beyond").over(up_to).alias("aggregate_beyond")]
+    return rows.select("map", (F.col("t") - F.min("t").over(Window.partitionBy())).alias("t"), "current", "current_subset", F.sum("new").over(up_to).alias("aggregate"), F.sum("new_subset").over(up_to).alias("aggregate_subset"), *beyond)
+
+
+def unknown_pcs(instructions: DataFrame, pcs: DataFrame) -> DataFrame:
+    """By part: pcs, and those at which there is no instruction, from which no walk starts."""
+    known = instructions.select("part", "addr").distinct().withColumn("known", F.lit(1))
+    return pcs.select("part", "addr").join(known, ["part", "addr"], "left").groupBy("part").agg(F.count(F.lit(1)).alias("pcs"), F.count(F.when(F.col("known").isNull(), 1)).alias("unknown"))
 
 
 def composed_suite(tests: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -624,4 +624,20 @@ FROM mbr m LEFT JOIN sub s ON s.data_type_id = m.data_type_id AND (k % 4 = 0 OR
 WHERE p_size = 11 AND k % 5 <> 1 AND (k % 4 = 3 OR s.id IS NOT NULL)"""
     ),
 }
-
+SQL["run_statistics"] = base(
+    """SELECT 'events' AS topic, p AS param, count(*) FILTER (q = kind OR q = '') AS value FROM ev, (VALUES ('acquire', 'P'), ('release', 'V'), ('read', 'r'), ('write', 'w'), ('total', '')) t(p, q) GROUP BY 1, 2
+UNION ALL SELECT 'locks', p, count(*) FILTER (q IS NULL OR q = (embedded_in IS NULL)) FROM locks, (VALUES ('static', true), ('dynamic', false), ('total', NULL)) t(p, q) GROUP BY 1, 2
+UNION ALL SELECT 'accesses', 'total', count(*) FROM accesses"""
+)
+SQL["coverage_series_beyond"] = inputs(
+    """SELECT p.map, p.t - min(p.t) OVER () AS t, p.current, p.current_subset, sum(coalesce(n.new, 0)) OVER w AS aggregate, sum(coalesce(n.new_subset, 0)) OVER w AS aggregate_subset, sum(coalesce(n.beyond, 0)) OVER w AS aggregate_beyond
+FROM p LEFT JOIN n ON n.map = p.map WINDOW w AS (ORDER BY p.t, p.map ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    """,
+u AS (SELECT map, bb, min(t) AS t, (number < 100)::INT AS inside, (number < 100 AND bb NOT IN (SELECT bb FROM maps WHERE map % 7 = 0))::INT AS beyond FROM maps GROUP BY map, bb, number),
+p AS (SELECT map, min(t) AS t, count(*) AS current, sum(inside) AS current_subset FROM u GROUP BY map),
+f AS (SELECT u.bb, u.inside, u.beyond, first(u.map ORDER BY p.t, p.map) AS map FROM u JOIN p ON p.map = u.map GROUP BY ALL),
+n AS (SELECT map, count(*) AS new, sum(inside) AS new_subset, sum(beyond) AS beyond FROM f GROUP BY map)""",
+)
+SQL["coverage_unknown_pcs"] = inputs("SELECT part, count(*) AS pcs, count(*) FILTER (addr NOT IN (SELECT addr FROM ins WHERE k3 > 0)) AS unknown FROM (SELECT part, addr FROM ins WHERE is_pc) GROUP BY 1".replace("ins WHERE k3 > 0", "ins WHERE line % 3 > 0"))
+SQL["hypotheses_of_chosen"] = base("SELECT * FROM sup WHERE type_name LIKE 'no%' AND (member = 'm0' OR (access = 'w' AND member = 'm1'))", MINED)
+SQL["read_only_ratio"] = hunted("SELECT r.type_name, count(*) AS read_only, count(*) FILTER (w.locks = '') AS no_lock FROM rules r LEFT JOIN (SELECT * FROM won WHERE accepted = 1) w ON w.type_name = r.type_name AND w.access = r.access AND w.member = r.member WHERE r.access = 'r' AND r.member <> 'm2' GROUP BY 1", ONE["bottomup"], CHECKED)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandlog.operators import blacklists, coverage, evaluation, flat, lifetimes, machine, mining, observations, transactions, validation, violations
 from strandlog.plans import oracle, oracle_lines
+from strandlog.sinks.statistics import Statistics
+from strandlog.sinks.tables import Tables
 from strandlog.sources import documented
 from strandlog.sources import lines as trace_lines
 from strandlog.sources.catalog import Catalog
@@ -165,6 +169,31 @@ COVERAGE = {
     "coverage_curve_spiral": lambda c: coverage.curve_points(c.maps.select(F.col("number").alias("i")).distinct(), 16, "spiral"),
 }
 
+def run_statistics(db):
+    """The trace's tables are written as one batch, and counted as they are."""
+    from strandlog.functions import checkpoints
+
+    checkpoints.prepared(db.spark)
+    run = Statistics(db.spark)
+    always = F.lit(True)
+    kinds = {"acquire": F.col("kind") == "P", "release": F.col("kind") == "V", "read": F.col("kind") == "r", "write": F.col("kind") == "w", "total": always}
+    static = F.col("embedded_in").isNull()
+    tables = {
+        "events": run.observed(db.events, "events", **kinds),
+        "locks": run.observed(db.locks, "locks", static=static, dynamic=~static, total=always),
+        "accesses": run.observed(db.accesses, "accesses", total=always),
+    }
+    with run.timed("import", "tables"):
+        Tables(db.spark, f"{db.spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}").write(tables)
+    return run.counts()
+
+
+TRACE["run_statistics"] = run_statistics
+TRACE["hypotheses_of_chosen"] = lambda db: mining.chosen_members(mined(db), ["no"], ["m0", "w:m1"])
+TRACE["read_only_ratio"] = lambda db: evaluation.read_only_ratio(documented.rules(db.spark).withColumn("comment", F.when(F.col("member") != "m2", "ro-member")), winners("bottomup")(db))
+COVERAGE["coverage_series_beyond"] = lambda c: coverage.cumulative(c.maps, F.col("bb") < "0000000000000064", c.maps.where("map % 7 = 0").select("bb"))
+COVERAGE["coverage_unknown_pcs"] = lambda c: coverage.unknown_pcs(c.instructions.where("line % 3 > 0"), c.instructions.where("is_pc"))
+
 CATALOG = {
     "layout_flat": lambda db: db.layout_flat.select("data_type_id", "member_name_id", "byte_offset", "helper_offset"),
     "locks_embedded_flat": lambda db: db.locks_embedded_flat,

@@ -25,10 +25,11 @@ def unhexed(c: Column) -> Column:
 def decoded(lines: DataFrame, separator: str = ";", limit: int = -1) -> tuple[DataFrame, DataFrame]:
     """Events, and the lines that aren't: the wrong number of columns, or an unknown action. A header, whose first character is no digit, is neither.
 
-    Allocations and frees have their base address in the address column, accesses in the base column. `limit` keeps lines up to that seq.
+    Allocations and frees have their base address in the address column, accesses in the base column. `limit` keeps the first lines of each source, a header among them.
     """
+    if limit >= 0:
+        lines = running(lines, ["source"], "seq", F.lit(1).cast("long"), "sum", "number", width=1 << 22).where(F.col("number") <= limit).drop("number")
     rows = lines.where(F.col("value").rlike("^[0-9]"))
-    rows = rows if limit < 0 else rows.where(F.col("seq") < limit)
     parts = rows.withColumn("x", F.split("value", rf"\Q{separator}\E", -1))
     good = (F.size("x") == len(COLUMNS)) & F.get("x", F.lit(1)).isin("a", "f", "l", "r", "w")
     named = parts.where(good).select("source", "seq", *[F.col("x")[k].alias(c) for k, c in enumerate(COLUMNS)])
@@ -93,14 +94,6 @@ def coverage_maps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_extract("_metadata.file_name", r"([^/]+)$", 1).alias("map"), F.trim("value").alias("bb")).where("bb <> ''")
 
 
-def write_table(df: DataFrame, path: str, separator: str | None = None) -> None:
-    """Parquet, or a separated text table with a header."""
-    if separator is None:
-        df.write.mode("overwrite").parquet(path)
-    else:
-        df.write.mode("overwrite").csv(path, sep=separator, header=True, nullValue=r"\N")
-
-
 def type_list(spark: SparkSession, path: str) -> DataFrame:
     """id and type_name: one name a line, numbered in the order of the lines."""
     lines = numbered_lines(spark, path).where("value <> ''").withColumn("all", F.lit(0))

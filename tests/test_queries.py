@@ -116,3 +116,28 @@ def test_forty_locks_in_one_observation(spark):
     rows = [("m", many, 9), ("m", ["l01", "l03"], 60), ("m", ["l03", "l01"], 31)]
     got = {tuple(r["locks"]): r["occurrences"] for r in hypotheses(observed_locks(spark, rows), least=0.1).collect()}
     assert got == {(): 100, ("l01",): 100, ("l03",): 100, ("l01", "l03"): 69, ("l03", "l01"): 31}
+
+
+def test_lazy_cover_picks_as_a_plain_one(spark):
+    import random
+
+    from strandlog.operators import coverage
+
+    rng = random.Random(11)
+    blocks = {m: set(rng.sample(range(120), rng.choice([3, 3, 8, 20]))) for m in range(60)}
+    left, want = {m: set(b) for m, b in blocks.items()}, []
+    while any(left.values()):
+        m = max(left, key=lambda m: (len(left[m]), -m))
+        want.append((m, len(left[m])))
+        gone = set(left[m])
+        left = {k: b - gone for k, b in left.items()}
+    maps = spark.createDataFrame([(m, f"{b:03}") for m, bs in blocks.items() for b in bs], "map long, bb string")
+    calls = []
+    plain = coverage.picked
+    coverage.picked = lambda *a: calls.append(1) or plain(*a)
+    try:
+        got = [(r["map"], r["gain"]) for r in coverage.set_cover(maps).orderBy("step").collect()]
+    finally:
+        coverage.picked = plain
+    assert got == want and len(calls) < len(want) / 2
+    assert [r["map"] for r in coverage.set_cover(maps, most=3).collect()] == [m for m, _ in want[:3]]
