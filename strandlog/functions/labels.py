@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +35,11 @@ def joined_in_order(order: list[str], value: Column, separator: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, value.alias("v")))), lambda x: x["v"]), separator)
 
 
+def is_word(text: str) -> bool:
+    """Letters, digits and underscores, one at least."""
+    return text.isascii() and text.replace("_", "a").isalnum()
+
+
 @dataclass(frozen=True)
 class LockRef:
     """A parsed label. kind: same, other or id."""
@@ -49,10 +53,20 @@ class LockRef:
 
     @staticmethod
     def parse(text: str) -> "LockRef":
-        if m := re.fullmatch(r"EMB(SAME|OTHER)\(([A-Za-z0-9_]+)(?::([A-Za-z0-9_]+))?\.(.*)\[([rw])\]\)", text):
-            if "?" in m[4]:
+        """Reads `head(place[side])`: the head ends at the first bracket, the place at the last square one; an embedded lock's place is type.member, the type up to the first dot."""
+        head, opened, rest = text.partition("(")
+        place, bracket, side = rest.rpartition("[")
+        if not (opened and bracket and side in ("r])", "w])")):
+            raise ValueError(f"not a lock label: {text}")
+        if head in ("EMBSAME", "EMBOTHER"):
+            owner, dot, member = place.partition(".")
+            data_type, colon, subclass = owner.partition(":")
+            if not dot or not is_word(data_type) or (colon and not is_word(subclass)):
+                raise ValueError(f"not a lock label: {text}")
+            if "?" in member:
                 raise ValueError(f"the lock of {text} has no exact place")
-            return LockRef("same" if m[1] == "SAME" else "other", m[5], m[2], m[3], m[4])
-        if m := re.fullmatch(r"(?:EMB:|[A-Za-z0-9_]+:)?([0-9]+)\(.*\[([rw])\]\)", text):
-            return LockRef("id", m[2], lock_id=int(m[1]))
-        raise ValueError(f"not a lock label: {text}")
+            return LockRef("same" if head == "EMBSAME" else "other", side[0], data_type, subclass if colon else None, member)
+        name, colon, number = head.rpartition(":")
+        if not (number.isascii() and number.isdigit()) or (colon and not is_word(name)):
+            raise ValueError(f"not a lock label: {text}")
+        return LockRef("id", side[0], lock_id=int(number))

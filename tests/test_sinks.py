@@ -75,3 +75,63 @@ def test_a_limit_counts_lines(spark, tmp_path):
         (tmp_path / name).write_text("\n".join(["header", *[line(k) for k in range(n)]]) + "\n")
     events, _ = decoded(numbered_lines(spark, str(tmp_path)), limit=4)
     assert sorted((r["source"][-1], r["ts"]) for r in events.collect()) == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)]
+
+
+def note_file(order, version, functions, tail=b""):
+    """A .gcno file of (name, [lines of a block: (file, line)...])."""
+    import struct
+
+    word = lambda n: struct.pack(order + "I", n)
+
+    def text(s):
+        data = s.encode() + b"\0" if s else b""
+        data += b"\0" * (-len(data) % 4)
+        return word(len(data) // 4) + data
+
+    wide = version[0] >= "A"
+    out = word(0x67636E6F) + struct.pack(order + "I", int.from_bytes(version.encode(), "big")) + word(7) + (text("/cwd") + word(1) if wide else b"")
+    record = lambda tag, data: word(tag) + word(len(data) // 4) + data
+    for k, (name, blocks) in enumerate(functions):
+        out += record(0x01000000, word(k) + word(1) + word(2) + text(name) + (word(0) if wide else b"") + text("x.c") + word(3)) + record(0x01410000, word(9))
+        for n, lines in enumerate(blocks):
+            data, now = word(n), None
+            for file, line in lines:
+                data += (word(0) + text(file) if file != now else b"") + word(line)
+                now = file
+            out += record(0x01450000, data + word(0) + text(""))
+    return out + tail
+
+
+def test_note_files_come_back(spark, tmp_path):
+    from strandlog.sources.gcno import basic_blocks, note_records
+
+    functions = [("f", [[("a.c", 3), ("a.c", 4), ("in/h.h", 9)], [("a.c", 8)]]), ("gé", [[("a.c", 3), ("a.c", 5)], []])]
+    (tmp_path / "sub").mkdir()
+    for name, data in {
+        "little.gcno": note_file("<", "A93*", functions),
+        "sub/big.gcno": note_file(">", "408*", functions),
+        "cut.gcno": note_file("<", "A93*", functions)[:-30],
+        "long.gcno": note_file("<", "407*", functions[:1], b"\0\0\x45\x01\xff\0\0\0"),
+        "other.gcno": b"not notes",
+        "ignored.txt": b"x",
+    }.items():
+        (tmp_path / name).write_bytes(data)
+    records = note_records(spark, str(tmp_path)).collect()
+    of = lambda name: [(r["function"], [tuple(x) for x in r["lines"]]) for r in records if r["source"].endswith(name) and r["reason"] is None]
+    want = [(f, lines) for f, blocks in functions for lines in blocks if lines]
+    assert of("little.gcno") == of("big.gcno") == want and of("cut.gcno") == want[:2] and of("long.gcno") == want[:2]
+    reasons = {r["source"].rsplit("/", 1)[1]: r["reason"] for r in records if r["reason"]}
+    assert set(reasons) == {"cut.gcno", "long.gcno", "other.gcno"}
+    blocks = basic_blocks(note_records(spark, str(tmp_path / "little.gcno")))
+    assert sorted((r["file"], r["start"], [tuple(x) for x in r["lines"]]) for r in blocks.collect()) == [("a.c", 3, [("a.c", 3), ("a.c", 4), ("a.c", 5), ("in/h.h", 9)]), ("a.c", 8, [("a.c", 8)])]
+
+
+def test_lock_labels():
+    from strandlog.functions.labels import LockRef
+
+    assert LockRef.parse("EMBSAME(node:ext.m.x[w])") == LockRef("same", "w", "node", "ext", "m.x")
+    assert LockRef.parse("EMBOTHER(node.a[3][r])") == LockRef("other", "r", "node", None, "a[3]")
+    assert [LockRef.parse(x) for x in ("EMB:12(node.m[r])", "g_l:7(mutex[w])", "2(rcu[r])")] == [LockRef("id", s, lock_id=n) for n, s in ((12, "r"), (7, "w"), (2, "r"))]
+    for bad in ("", "x", "EMBSAME(node.m)", "EMBSAME(node[w])", "EMBSAME(no de.m[w])", "EMBSAME(node.m?[w])", "a-b:3(x[w])", "a:b(x[w])", "3(x[w]) ", "3(x[q])"):
+        with pytest.raises(ValueError):
+            LockRef.parse(bad)
