@@ -30,10 +30,11 @@ class Trace:
 
     @cached_property
     def events(self) -> DataFrame:
+        """Written once: the range joins read their points and the acquisitions among them several times."""
         kind = F.expr("case event_type when 'signup' then 'P' when 'error' then 'V' when 'purchase' then 'w' when 'click' then 'r' when 'view' then 'r' end")
         e = self.table("events").select((F.col("event_id") + 1).alias("seq"), F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"), "user_id", "event_type", kind.alias("kind"))
         e = e.withColumn("ctx", (F.col("user_id") % 4).cast("int")).withColumn("slot", F.col("k") % 4)
-        return e.withColumn("lock_id", F.col("ctx") * 4 + F.col("slot") + 1)
+        return checkpoints.kept(e.withColumn("lock_id", F.col("ctx") * 4 + F.col("slot") + 1), "trace-events")
 
     @cached_property
     def data_types(self) -> DataFrame:
@@ -91,7 +92,7 @@ class Trace:
 
     @cached_property
     def acquisitions(self) -> DataFrame:
-        return transactions.acquisitions(self.events.where("kind in ('P', 'V')"))
+        return checkpoints.kept(transactions.acquisitions(self.events.where("kind in ('P', 'V')")), "trace-acquisitions")
 
     @cached_property
     def raw_accesses(self) -> DataFrame:
@@ -106,12 +107,13 @@ class Trace:
 
     @cached_property
     def accesses(self) -> DataFrame:
-        return self._attributed[0].select("id", "alloc_id", "txn_id", "ts", "type", "size", "address", "stacktrace_id", "context")
+        """Written once, as most tables and queries read them, and more than once."""
+        return checkpoints.kept(self._attributed[0].select("id", "alloc_id", "txn_id", "ts", "type", "size", "address", "stacktrace_id", "context"), "trace-accesses")
 
     @cached_property
     def locks_held(self) -> DataFrame:
         slot = (F.col("lock_id") - 1) % 4
-        return self._attributed[1].select("txn_id", "lock_id", "start", F.concat(F.lit("l"), slot.cast("string"), F.lit(".c")).alias("last_file"), (slot + 1).alias("last_line"))
+        return checkpoints.kept(self._attributed[1].select("txn_id", "lock_id", "start", F.concat(F.lit("l"), slot.cast("string"), F.lit(".c")).alias("last_file"), (slot + 1).alias("last_line")), "trace-locks-held")
 
     @cached_property
     def txns(self) -> DataFrame:
