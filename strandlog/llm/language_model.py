@@ -4,16 +4,19 @@ Words are counted over all training texts. The vocabulary follows the counts: al
 `words` of them where there are more (a bound on memory), and one entry for all others. The model predicts a word's vector from those of
 the two words before, each scaled by a vector of its place, and scores in two levels, by inner products and biases: first the word's
 class, a run of words of about equal frequency, then the word within its class. There are about as many classes as the root of the
-vocabulary. Every training text is learned from once, in `rounds` rounds of texts: in each, every task trains on its own texts from one
-common start, and parameters are averaged in Spark, weighted by tokens. Scores are normalised: softmax over the classes, for each
+vocabulary. Every training text is learned from once, in `rounds` rounds of shards of texts. Hashes deal texts to shards, whose number follows the count of training tokens
+(about `shard_tokens` each, at most `shards` a round), and order them, so that the result doesn't depend on partitions. In a round every shard trains from one common start and
+sends the rows that it changed; a row's changes are averaged in Spark, weighted by how often each shard changed it. Scores are normalised: softmax over the classes, for each
 distinct context once, times softmax over the words of the class, both from matrix products. Another word has the entry of others'
 probability times its share of it by counts plus one, where unseen words are one more word; so that probabilities sum to one over all words.
 
 Counts of about the `broadcast_words` most frequent words, and of the end, go to all tasks; those of the others are joined. The result doesn't depend on how many there are,
 as long as the model's own words are among them.
 
+Texts are split into words twice, for counting and for numbering; training and scoring read numbers.
+
 Defined results: null counts as empty; an empty text is its end token. A null id is not held out. Repeated rows are
-texts like any other. An empty table gives an empty result; where nothing is left to train on, counts are zero and the model is uniform. Other
+texts like any other. A text is numbered, learned from and scored whole, in the memory of one row, however long it is. An empty table gives an empty result; where nothing is left to train on, counts are zero and the model is uniform. Other
 columns are ignored.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, pylist, slices, table, written
+from .common import pylist, slices, table, written
 
 #: The end of a text, counted as a token; no word is empty.
 END = b""
@@ -46,10 +50,12 @@ class Bilinear:
     width: int = 32
     #: Noise classes of a batch, and noise words of a position within the class of its word.
     noise: int = 32
-    noise_words: int = 1
-    batch: int = 2048
+    noise_words: int = 8
+    batch: int = 8192
     rounds: int = 2
-    rate: float = 0.05
+    shard_tokens: int = 1 << 20
+    shards: int = 4096
+    rate: float = 0.2
     seed: int = 11
 
 
@@ -142,57 +148,53 @@ class Parameters:
     def trained(self) -> tuple[np.ndarray, ...]:
         return self.context, self.scale, self.klass, self.klass_bias, self.target, self.bias
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.trained])
-
-    def filled(self, flat: np.ndarray) -> "Parameters":
-        out, at = [], 0
-        for x in self.trained:
-            out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-        return Parameters(*out, self.starts, self.class_of)
+    def copied(self) -> "Parameters":
+        return Parameters(*(x.copy() for x in self.trained), self.starts, self.class_of)
 
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context[one] * self.scale[0] + self.context[two] * self.scale[1]
 
-    def log_probabilities(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    def log_probabilities(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, block: int = 1 << 18) -> np.ndarray:
         """Normalised natural log probability of each word after its two words; each distinct context of a block has its classes' softmax once."""
         out = np.empty(len(word))
         for i in range(0, len(word), block):
             out[i : i + block] = self._of_block(one[i : i + block], two[i : i + block], word[i : i + block])
         return out
 
-    def _of_block(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def _of_block(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, rows: int = 512) -> np.ndarray:
         k = len(self.bias)
         contexts, at = np.unique(one.astype(np.int64) * k + two, return_inverse=True)
         q, group = self.predicted(contexts // k, contexts % k), self.class_of[word]
-        out = np.empty(len(word))
-        order = np.argsort(at, kind="stable")
-        bounds = np.searchsorted(at[order], np.arange(0, len(contexts) + 8192, 8192))
-        for n, i in enumerate(range(0, len(contexts), 8192)):
-            own = order[bounds[n] : bounds[n + 1]]
-            out[own] = normalised(q[i : i + 8192] @ self.klass.T + self.klass_bias, at[own] - i, group[own])
-        order = np.argsort(group, kind="stable")
+        norms = np.empty(len(contexts))
+        for i in range(0, len(contexts), rows):  # few rows at a time stay in the processor's caches
+            norms[i : i + rows] = log_sums(q[i : i + rows] @ self.klass.T + self.klass_bias)
+        q = q[at]
+        out = np.einsum("ij,ij->i", q, self.klass[group]) + self.klass_bias[group] - norms[at]
+        order = np.argsort(group.astype(np.uint16) if len(self.starts) <= 1 << 16 else group, kind="stable")
         bounds = np.searchsorted(group[order], np.arange(len(self.starts)))
         for c in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(self.starts) > 1)):
             first, end = self.starts[c], self.starts[c + 1]
-            for i in range(bounds[c], bounds[c + 1], 8192):
-                own = order[i : min(i + 8192, bounds[c + 1])]
-                out[own] += normalised(q[at[own]] @ self.target[first:end].T + self.bias[first:end], np.arange(len(own)), word[own] - first)
+            for i in range(bounds[c], bounds[c + 1], rows):
+                own = order[i : min(i + rows, bounds[c + 1])]
+                logits = q[own] @ self.target[first:end].T + self.bias[first:end]
+                cells = logits[np.arange(len(own)), word[own] - first]
+                out[own] += cells - log_sums(logits)
         return out
 
 
-def normalised(logits: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Cells of the logarithm of the softmax of each row."""
-    top = logits.max(1, keepdims=True)
-    norm = np.log(np.exp(logits - top).sum(1)).astype(np.float64) + top[:, 0]
-    return logits[rows, columns] - norm[rows]
+def log_sums(logits: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of each row; the argument is overwritten."""
+    top = logits.max(1)
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return np.log(logits.sum(1)).astype(np.float64) + top
 
 
 class Trainer:
     """Noise-contrastive estimation by AdaGrad, of classes and of words within their class.
 
-    The noise classes of a batch are drawn by their shares and shared by its positions; each position draws its own noise words by their shares in the class, one by default, for CPU.
+    The noise classes of a batch are drawn by their shares and shared by its positions; the noise words of a class are drawn by their shares in it and
+    shared by the batch's positions of that class, so that both are matrix products.
     """
 
     def __init__(self, p: Parameters, share: np.ndarray, how: Bilinear, seed: int):
@@ -204,53 +206,93 @@ class Trainer:
         self.log_class = np.log(how.noise * of_class).astype(np.float32)
         self.log_word = np.log(how.noise_words * share / of_class[p.class_of]).astype(np.float32)
         self.squares = [np.full_like(x, 1e-5) for x in p.trained]
+        #: How often each row was changed.
+        self.changes = [np.zeros(len(x), np.int64) for x in p.trained]
 
-    def update(self, which: int, rows: np.ndarray | None, values: np.ndarray, n: int) -> None:
-        """A step of AdaGrad with the summed values of each row; all rows where none are named."""
+    def update(self, which: int, rows: np.ndarray | slice, g: np.ndarray, n: int) -> None:
+        """A step of AdaGrad with the summed values of each row, named once."""
         x, s = self.p.trained[which], self.squares[which]
-        if rows is not None:
-            order = np.argsort(rows.astype(np.uint16) if len(x) <= 1 << 16 else rows, kind="stable")  # 16 bits are sorted by radix
-            rows = rows[order]
-            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            rows, values = rows[first], np.add.reduceat(values[order], first)
-        else:
-            rows = slice(None)
-        g = values / np.float32(n**0.5)
-        s[rows] += g * g
-        x[rows] -= np.float32(self.how.rate) * g / np.sqrt(s[rows])
-
-    def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
-        p, n, draw = self.p, len(word), self.how.noise_words
-        a, b = p.context[one], p.context[two]
-        q = a * p.scale[0] + b * p.scale[1]
+        g = g * np.float32(n**-0.5)
+        square = s[rows] + g * g
+        s[rows] = square
+        g *= np.float32(self.how.rate)
+        g /= np.sqrt(square)
+        x[rows] -= g
+        self.changes[which][rows] += 1
+
+    def summed(self, which: int, rows: np.ndarray, values: np.ndarray, n: int) -> None:
+        """A step with the values of rows that may be named several times."""
+        order = np.argsort(rows.astype(np.uint16) if len(self.p.trained[which]) <= 1 << 16 else rows, kind="stable")  # 16 bits are sorted by radix
+        rows = rows[order]
+        first = firsts(rows)
+        self.update(which, rows[first], np.add.reduceat(values[order], first), n)
+
+    def step(self, run: np.ndarray, at: np.ndarray) -> None:
+        """Learns the words at the places `at` of `run`, each after the two before it; places are named once."""
+        p, n = self.p, len(at)
+        word = run[at]
+        order = np.argsort(word.astype(np.uint16) if len(p.bias) <= 1 << 16 else word, kind="stable")  # by word, so by class
+        at, word = at[order], word[order]
+        a, b = p.context[run[at - 1]], p.context[run[at - 2]]
+        q = a * p.scale[0]
+        q += b * p.scale[1]
         # Classes.
         group = p.class_of[word]
         noise = np.minimum(np.searchsorted(self.class_cumulated, self.rng.random(self.how.noise) * self.class_cumulated[-1]), len(p.klass_bias) - 1)
-        t, m = p.klass[group], p.klass[noise]
-        d_real = falling((q * t).sum(1) + p.klass_bias[group] - self.log_class[group])
-        d_fake = rising(q @ m.T + p.klass_bias[noise] - self.log_class[noise])
-        d_q = d_real[:, None] * t + d_fake @ m
-        class_rows = np.concatenate([group, noise])
-        class_values = np.concatenate([d_real[:, None] * q, d_fake.T @ q]), np.concatenate([d_real, d_fake.sum(0)])
-        # Words within their class, where it has several.
-        of = np.flatnonzero(p.starts[group + 1] - p.starts[group] > 1)
-        w, qw = word[of], q[of]
-        first, end = p.starts[group[of]], p.starts[group[of] + 1]
-        low, high = self.cumulated[first], self.cumulated[end]
-        noise = np.searchsorted(self.cumulated, low[:, None] + self.rng.random((len(of), draw)) * (high - low)[:, None], "right") - 1
-        noise = np.clip(noise, first[:, None], end[:, None] - 1)
-        t, m = p.target[w], p.target[noise]
-        e_real = falling((qw * t).sum(1) + p.bias[w] - self.log_word[w])
-        e_fake = rising(np.matmul(m, qw[:, :, None])[:, :, 0] + p.bias[noise] - self.log_word[noise])
-        d_q[of] += e_real[:, None] * t + np.matmul(e_fake[:, None, :], m)[:, 0]
-        self.update(2, class_rows, class_values[0], n)
-        self.update(3, class_rows, class_values[1], n)
-        if len(of):
-            rows = np.concatenate([w, noise.ravel()])
-            self.update(4, rows, np.concatenate([e_real[:, None] * qw, (e_fake[:, :, None] * qw[:, None, :]).reshape(-1, q.shape[1])]), n)
-            self.update(5, rows, np.concatenate([e_real, e_fake.ravel()]), n)
-        self.update(0, np.concatenate([one, two]), np.concatenate([d_q * p.scale[0], d_q * p.scale[1]]), n)
-        self.update(1, None, np.stack([(d_q * a).sum(0), (d_q * b).sum(0)]), n)
+        d_q, m = p.klass[group], p.klass[noise]
+        real = falling(np.einsum("ij,ij->i", q, d_q) + p.klass_bias[group] - self.log_class[group])
+        fake = rising(q @ m.T + (p.klass_bias[noise] - self.log_class[noise]))
+        d_q *= real[:, None]
+        d_q += fake @ m
+        first = firsts(group)
+        rows = np.concatenate([group[first], noise])
+        class_values = np.concatenate([np.add.reduceat(real[:, None] * q, first), fake.T @ q])
+        class_bias_values = np.concatenate([np.add.reduceat(real, first), fake.sum(0)])
+        # Words within their class; a word alone in its class has nothing to learn.
+        runs = list(zip(first.tolist(), [*first[1:].tolist(), n]))
+        low, high = p.starts[group[first]], p.starts[group[first] + 1]
+        draws = self.cumulated[low][:, None] + self.rng.random((len(first), self.how.noise_words)) * (self.cumulated[high] - self.cumulated[low])[:, None]
+        drawn = np.clip(np.searchsorted(self.cumulated, draws, "right") - 1, low[:, None], high[:, None] - 1)
+        m, offset = p.target[drawn], p.bias[drawn] - self.log_word[drawn]
+        t = p.target[word]
+        real = falling(np.einsum("ij,ij->i", q, t) + p.bias[word] - self.log_word[word])
+        fake = np.empty((n, self.how.noise_words), np.float32)
+        for k, (i, j) in enumerate(runs):
+            np.matmul(q[i:j], m[k].T, out=fake[i:j])
+            fake[i:j] += offset[k]
+        fake = rising(fake)
+        alone = np.repeat(high - low == 1, np.diff([*first, n]))
+        real[alone], fake[alone] = 0, 0
+        t *= real[:, None]
+        d_q += t
+        fake_values = np.empty_like(m)
+        for k, (i, j) in enumerate(runs):
+            d_q[i:j] += fake[i:j] @ m[k]
+            np.matmul(fake[i:j].T, q[i:j], out=fake_values[k])
+        several = high - low > 1
+        if several.any():
+            of_word = firsts(word)
+            of_word_kept = ~alone[of_word]
+            word_rows = np.concatenate([word[of_word][of_word_kept], drawn[several].ravel()])
+            values = np.concatenate([np.add.reduceat(real[:, None] * q, of_word)[of_word_kept], fake_values[several].reshape(-1, q.shape[1])])
+            bias_values = np.concatenate([np.add.reduceat(real, of_word)[of_word_kept], np.add.reduceat(fake, first)[several].ravel()])
+            self.summed(4, word_rows, values, n)
+            self.summed(5, word_rows, bias_values, n)
+        self.summed(2, rows, class_values, n)
+        self.summed(3, rows, class_bias_values, n)
+        # A place is the first word before one place and the second before the next, at the most.
+        start = at.min() - 2
+        g = np.zeros((at.max() - start, q.shape[1]), np.float32)
+        g[at - 1 - start] = d_q * p.scale[0]
+        g[at - 2 - start] += d_q * p.scale[1]
+        used = np.unique(np.concatenate([at - 1, at - 2])) - start
+        self.update(1, slice(None), np.stack([np.einsum("ij,ij->j", d_q, a), np.einsum("ij,ij->j", d_q, b)]), n)
+        self.summed(0, run[used + start], g[used], n)
+
+
+def firsts(rows: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
 
 
 def falling(score: np.ndarray) -> np.ndarray:
@@ -263,79 +305,111 @@ def rising(score: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
-def positions(texts: list[str | None], number: dict[bytes, int], end: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text; over all texts the numbers of the words with ends, and of the one and two before each."""
-    words = [words_of(t) for t in texts]
-    rows = [np.fromiter((number.get(w, 0) for w in ws), np.int32, len(ws)) for ws in words]
+#: Of the numbers of a text's words, as they are stored.
+NUMBER = np.dtype("<u2")
+
+
+def laid(rows: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all texts in one run, each text behind two ends, and the places of its words in it."""
     pad = np.array([end, end], np.int32)
-    run = np.concatenate([x for r in rows for x in (pad, r)] + [pad])
-    # Each text stands behind two ends; the first of the next two closes it.
+    run = np.concatenate([x for r in rows for x in (pad, r.astype(np.int32))])
     keep = np.ones(len(run), bool)
-    starts = np.cumsum([0] + [len(r) + 2 for r in rows])
-    keep[starts[:-1]] = keep[starts[:-1] + 1] = False
-    keep[starts[1:]] = True
-    keep[starts[-1] + 1] = False
-    at = np.flatnonzero(keep)
-    one, two = run[at - 1].copy(), run[at - 2].copy()
-    return words, run[at], one, two
+    starts = np.cumsum([0] + [len(r) + 2 for r in rows[:-1]])
+    keep[starts] = keep[starts + 1] = False
+    return run, np.flatnonzero(keep)
 
 
-#: Parameters of one row of the vectors that tasks send.
-PIECE = 8192
+#: Rows of parameters that one row of a shard's result holds, at the most.
+PIECE = 512
+#: Tokens that a shard lays in one run, or one text's.
+RUN = 1 << 18
 
 
-def trained(docs: DataFrame, number: dict[bytes, int], share: np.ndarray, how: Bilinear) -> Parameters:
-    start = Parameters.start(np.log(share), how)
-    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(how.rounds))
+def trained(rows: DataFrame, tokens: int, share: np.ndarray, end: int, how: Bilinear) -> Parameters:
+    """The model learned from `rows` (doc_id, numbers) of about `tokens` tokens."""
+    model = Parameters.start(np.log(share), how)
+    shards = max(1, min(how.shards, -(-tokens // (how.rounds * how.shard_tokens)))) if how.rounds else 1
+    rows = rows.select("numbers", F.xxhash64("doc_id", "numbers").alias("order"))
     for k in range(how.rounds):
-        start = averaged(docs.where(turn == k), number, share, start, how, k)
-    return start
+        turn = rows.where(F.pmod("order", F.lit(how.rounds)) == k).withColumn("shard", F.pmod(F.shiftrightunsigned("order", 20), F.lit(shards)).cast("int"))
+        model = averaged(turn, shards, share, end, model, how, k)
+    return model
 
 
-def averaged(docs: DataFrame, number: dict[bytes, int], share: np.ndarray, start: Parameters, how: Bilinear, turn: int) -> Parameters:
-    """Every task trains on its texts from one start; the mean of their parameters, weighted by tokens, or the start where there are no texts."""
+def averaged(rows: DataFrame, shards: int, share: np.ndarray, end: int, start: Parameters, how: Bilinear, turn: int) -> Parameters:
+    """Every shard of `rows` (shard, order, numbers) trains from one start; each row of parameters moves by the mean of the shards' changes, weighted by their numbers."""
     import pandas as pd
 
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((number, start))
-    groups = max(1, math.isqrt(parallelism(spark)))
-    names = ["piece", "part", "tokens", "p"]
-    schema = "piece int, part int, tokens double, p array<float>"
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(start)
+    groups = max(1, math.isqrt(shards))
+    schema = "which int, piece int, shard int, rows binary, changes binary, moved binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def learn(trainer, texts):
+        run, at = laid(texts, end)
+        for i in range(0, len(at), how.batch):
+            trainer.step(run, at[i : i + how.batch])
+
+    def result(shard, trainer, start):
+        for which, (x, old, changes) in enumerate(zip(trainer.p.trained, start.trained, trainer.changes)):
+            changed = np.flatnonzero(changes)
+            cuts = np.searchsorted(changed, np.arange(0, len(x) + PIECE, PIECE))
+            for piece in np.flatnonzero(np.diff(cuts)):
+                at = changed[cuts[piece] : cuts[piece + 1]]
+                data = (at % PIECE).astype("<i4").tobytes(), changes[at].astype("<f8").tobytes(), (x[at] - old[at]).astype("<f4").tobytes()
+                yield pa.RecordBatch.from_pylist([dict(zip(names, (which, int(piece), shard, *data)))], ARROW)
+
+    ARROW = pa.schema([("which", pa.int32()), ("piece", pa.int32()), ("shard", pa.int32()), ("rows", pa.binary()), ("changes", pa.binary()), ("moved", pa.binary())])
 
     def run(batches):
-        number, start = shared.value
-        part = TaskContext.get().partitionId()
-        trainer, tokens = Trainer(start.filled(start.flat()), share, how, turn << 32 | part), 0
-        for batch in slices(batches, "text"):
-            _, word, one, two = positions(pylist(batch, "text"), number, number[END])
-            order = trainer.rng.permutation(len(word))
-            for i in range(0, len(order), how.batch):
-                at = order[i : i + how.batch]
-                trainer.step(one[at], two[at], word[at])
-            tokens += len(word)
-        flat = trainer.p.flat()
-        for i in range(0, len(flat) if tokens else 0, PIECE):
-            columns = [pa.array([i // PIECE], pa.int32()), pa.array([part % groups], pa.int32()), pa.array([float(tokens)]), pa.array([flat[i : i + PIECE]], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        start, shard, trainer, texts, held = shared.value, None, None, [], 0
+        for batch in batches:
+            for now, numbers in zip(pylist(batch, "shard"), pylist(batch, "numbers")):
+                if now != shard or held >= RUN:
+                    if texts:
+                        learn(trainer, texts)
+                    texts, held = [], 0
+                if now != shard:
+                    if trainer is not None:
+                        yield from result(shard, trainer, start)
+                    shard, trainer = now, Trainer(start.copied(), share, how, turn << 32 | now)
+                texts.append(np.frombuffer(numbers, NUMBER))
+                held += len(texts[-1])
+        if trainer is not None:
+            learn(trainer, texts)
+            yield from result(shard, trainer, start)
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = pdf["tokens"].to_numpy()
-        total = np.zeros(len(pdf["p"].iloc[0]))
-        for n, p in zip(tokens, pdf["p"]):
-            total += n * np.asarray(p, float)
-        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "part": 0, "tokens": tokens.sum(), "p": [(total / tokens.sum()).astype(np.float32)]})
-
-    # Pieces of about the root of all tasks meet in one group, and their means in another.
-    each = docs.select("text").mapInArrow(run, schema).groupBy("piece", "part").applyInPandas(mean, schema)
-    flat = start.flat()
-    for r in each.groupBy("piece").applyInPandas(mean, schema).select("piece", "p").collect():  # the model's parameters
-        flat[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = r["p"]
+        pdf = pdf.sort_values("shard")  # sums in one order
+        which, piece = int(pdf["which"].iloc[0]), int(pdf["piece"].iloc[0])
+        changes, moved = np.zeros(PIECE), None
+        for at, n, x in zip(pdf["rows"], pdf["changes"], pdf["moved"]):
+            at, n = np.frombuffer(at, "<i4"), np.frombuffer(n, "<f8")
+            x = np.frombuffer(x, "<f4").reshape(len(at), -1)
+            moved = np.zeros((PIECE, x.shape[1])) if moved is None else moved
+            changes[at] += n
+            moved[at] += n[:, None] * x
+        at = np.flatnonzero(changes)
+        data = at.astype("<i4").tobytes(), changes[at].tobytes(), (moved[at] / changes[at][:, None]).astype("<f4").tobytes()
+        return pd.DataFrame({"which": [which], "piece": [piece], "shard": [int(pdf["shard"].iloc[0])], "rows": [data[0]], "changes": [data[1]], "moved": [data[2]]})
+
+    # A shard is a partition, its texts in the order of their hashes. About the root of all shards meet in one group, and their means in another.
+    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order")
+    each = dealt.select("shard", "numbers").mapInArrow(run, schema).groupBy("which", "piece", F.pmod("shard", F.lit(groups))).applyInPandas(mean, schema)
+    model = start.copied()
+    for r in each.groupBy("which", "piece").applyInPandas(mean, schema).collect():  # the model's parameters
+        x = model.trained[r["which"]]
+        at = np.frombuffer(r["rows"], "<i4") + PIECE * r["piece"]
+        x[at] += np.frombuffer(r["moved"], "<f4").reshape(len(at), *x.shape[1:])
     shared.unpersist()
-    return start.filled(flat)
+    return model
 
 
 def scored(docs: DataFrame, held_out, how: Bilinear = Bilinear()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. `held_out` is a condition on doc_id: rows never learned from."""
+    if not 1 <= how.words < 1 << 16:
+        raise ValueError("words are numbered in 16 bits")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     training = docs.where("not held_out")
@@ -351,30 +425,26 @@ def scored(docs: DataFrame, held_out, how: Bilinear = Bilinear()) -> DataFrame:
     known_n = np.array([top.get(w, 0) for w in known], float)
     others_n, others_v = n_all - int(known_n.sum()), v_all - sum(w in top for w in known)
     share = np.concatenate([[others_n + others_v + 1.0], known_n + 1])
-    model = trained(training, number, share / share.sum(), how)
     base_norm, others_norm = math.log10(n_all + v_all + 1), math.log10(others_n + others_v + 1)
-    shared = spark.sparkContext.broadcast((number, top, model))
-    first = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
+    shared = spark.sparkContext.broadcast((number, top))
+    first = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, other double, numbers binary, words array<binary>, times array<int>"
 
-    def run(batches):
-        number, top, model = shared.value
+    def numbered(batches):
+        number, top = shared.value
         logs = {w: math.log10(c + 1) for w, c in top.items()}
         logs.setdefault(END, 0.0)
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text", 8_000_000):
-            texts = pylist(batch, "text")
-            words, word, one, two = positions(texts, number, number[END])
-            bounds = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
-            model_score = np.add.reduceat(model.log_probabilities(one, two, word), bounds[:-1]) / math.log(10)
             out = []
-            for k, ws in enumerate(words):
+            for text in pylist(batch, "text"):
+                ws = words_of(text)
+                numbers = np.fromiter(map(number.get, ws, repeat(0)), NUMBER, len(ws))
                 n_known = base = other = 0.0
-                rest, n_rest, n_other = Counter(), 0, 0
+                rest, n_other = Counter(), 0
                 for w, c in Counter(ws).items():
                     x = logs.get(w)
                     if x is None:
                         rest[w] = c
-                        n_rest += c
                         n_other += c
                     else:
                         n_known += c
@@ -384,16 +454,34 @@ def scored(docs: DataFrame, held_out, how: Bilinear = Bilinear()) -> DataFrame:
                             n_other += c
                 base += logs[END]
                 n_known += END in top
-                out.append((row, len(ws) + 1, int(n_known), base - (len(ws) + 1) * base_norm, model_score[k] + other - n_other * others_norm, list(rest), list(rest.values())))
+                numbers = np.append(numbers, NUMBER.type(number[END])).tobytes()
+                out.append((row, len(ws) + 1, int(n_known), base - (len(ws) + 1) * base_norm, other - n_other * others_norm, numbers, list(rest), list(rest.values())))
                 row += 1
-            c = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())))]
+            types = pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())
+            c = [pa.array(x, t) for x, t in zip(zip(*out), types)]
             yield pa.RecordBatch.from_arrays([c[0], batch.column(0), batch.column(1), *c[1:]], names=[x.split()[0] for x in first.split(", ")])
 
-    rows = written(docs.select("doc_id", "held_out", "text").mapInArrow(run, first), "language-rows")
+    rows = written(docs.select("doc_id", "held_out", "text").mapInArrow(numbered, first), "language-rows")
+    shared.unpersist()
+    end = number[END]
+    model = spark.sparkContext.broadcast(trained(rows.where("not held_out"), n_all, share / share.sum(), end, how))
+    second = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+    def judged(batches):
+        p = model.value
+        for batch in slices(batches, "numbers", 4_000_000):
+            texts = [np.frombuffer(x, NUMBER) for x in pylist(batch, "numbers")]
+            run, at = laid(texts, end)
+            bounds = np.cumsum([0] + [len(t) for t in texts[:-1]])
+            found = np.add.reduceat(p.log_probabilities(run[at - 1], run[at - 2], run[at]), bounds) / math.log(10)
+            score = found + batch.column("other").to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score)], names=[x.split()[0] for x in second.split(", ")])
+
+    scores = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "other", "numbers").mapInArrow(judged, second)
     rest = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     found = rest.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"))
     more = F.coalesce("more", F.lit(0.0))
-    return rows.drop("words", "times").join(found, "row", "left").select(
+    return scores.join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

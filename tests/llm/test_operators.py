@@ -317,6 +317,11 @@ def test_commonest_words(spark):
         assert len(found) == most or most in (2, 100, 500) and len(found) > 0.9 * min(most, 804) - 2 or most == 9999
 
 
+def step(trainer, one, two, word):
+    """Learns words after two others, each three in a run of their own."""
+    trainer.step(np.stack([two, one, word], 1).ravel().astype(np.int32), np.arange(2, 3 * len(word), 3))
+
+
 def test_probabilities_sum_to_one_and_training_helps():
     rng = np.random.default_rng(0)
     share = np.full(6, 1 / 6)
@@ -328,7 +333,7 @@ def test_probabilities_sum_to_one_and_training_helps():
     before = p.log_probabilities(one, two, word).mean()
     for _ in range(30):
         for i in range(0, 4096, 256):
-            trainer.step(one[i : i + 256], two[i : i + 256], word[i : i + 256])
+            step(trainer, one[i : i + 256], two[i : i + 256], word[i : i + 256])
     assert p.log_probabilities(one, two, word).mean() > before + 0.5
     total = sum(np.exp(p.log_probabilities(np.array([3]), np.array([1]), np.array([k])))[0] for k in range(6))
     assert abs(total - 1) < 1e-5
@@ -353,7 +358,7 @@ def test_two_levels_equal_the_naive_model_and_sum_to_one(entries):
     assert p.starts[0] == 0 and p.starts[-1] == entries and (np.diff(p.starts) > 0).all()
     trainer = language_model.Trainer(p, share, how, 0)
     for _ in range(20):
-        trainer.step(*(rng.integers(0, entries, 64) for _ in range(3)))
+        step(trainer, *(rng.integers(0, entries, 64) for _ in range(3)))
     one, two, word = (rng.integers(0, entries, 200) for _ in range(3))
     found = p.log_probabilities(one, two, word, block=64)
     assert np.allclose(found, [naive_log_probability(p, *x) for x in zip(one, two, word)], atol=1e-4)
@@ -387,6 +392,69 @@ def test_score_is_brute_forces(spark):
         assert abs(r["score"] - want) < 1e-3
 
 
+def test_overlapping_places_equal_places_apart():
+    """A run of words teaches what the same places learned from copies do."""
+    rng = np.random.default_rng(4)
+    share, how = rng.dirichlet(np.ones(90)), language_model.Bilinear(width=8)
+    run, at = language_model.laid([rng.integers(0, 90, n) for n in (0, 1, 5, 40, 0, 200)], 3)
+    start = language_model.Parameters.start(np.log(share), how)
+    one, other = (language_model.Trainer(start.copied(), share, how, 0) for _ in range(2))
+    for i in range(0, len(at), 50):
+        places = at[i : i + 50]
+        one.step(run, places)
+        step(other, run[places - 1], run[places - 2], run[places])
+    for x, y, before in zip(one.p.trained, other.p.trained, start.trained):
+        assert np.allclose(x, y, atol=1e-4) and not np.allclose(x, before)
+
+
+def test_trained_score_is_brute_forces_whatever_the_partitions(spark):
+    """Shards, their order, training and means redone in this process; every token scored entry by entry."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{min(k, 40)}" for k in rng.geometric(0.08, n)) for n in rng.integers(0, 60, 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    how = language_model.Bilinear(width=4, least=12, batch=64, shard_tokens=150)
+    counts = Counter(w.encode() for t in texts for w in [*t.split(), ""])
+    known = sorted((w for w, n in counts.items() if n >= 12), key=lambda w: (-counts[w], w))
+    others, unknown = sum(n for w, n in counts.items() if w not in known), len(counts) - len(known)
+    share = np.array([others + unknown + 1, *[counts[w] + 1 for w in known]], float)
+    share /= share.sum()
+    number = {w: k + 1 for k, w in enumerate(known)}
+    rows = [np.array([number.get(w.encode(), 0) for w in [*t.split(), ""]], "<u2") for t in texts]
+    numbers = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(rows)], "doc_id long, numbers binary")
+    order = {r[0]: r[1] for r in numbers.select("doc_id", F.xxhash64("doc_id", "numbers")).collect()}
+    tokens = sum(map(len, rows))
+    shards = -(-tokens // (how.rounds * how.shard_tokens))
+    assert shards > 2 and unknown
+    model = language_model.Parameters.start(np.log(share), how)
+    for turn in range(how.rounds):
+        trainers = []
+        for shard in range(shards):
+            own = sorted((h, k) for k, h in order.items() if h % how.rounds == turn and ((h % 2**64) >> 20) % shards == shard)
+            if own:
+                trainers.append(language_model.Trainer(model.copied(), share, how, turn << 32 | shard))
+                run, at = language_model.laid([rows[k] for _, k in own], number[b""])
+                for i in range(0, len(at), how.batch):
+                    trainers[-1].step(run, at[i : i + how.batch])
+        after = model.copied()
+        for which, x in enumerate(after.trained):
+            for row in range(len(x)):
+                weights = [t.changes[which][row] for t in trainers]
+                if sum(weights):
+                    x[row] += sum(w * (t.p.trained[which][row] - model.trained[which][row]) for w, t in zip(weights, trainers)) / sum(weights)
+        model = after
+    want = {}
+    for k, t in enumerate(texts):
+        run, at = language_model.laid([rows[k]], number[b""])
+        want[k] = sum(naive_log_probability(model, run[i - 1], run[i - 2], run[i]) for i in at) / math.log(10)
+        want[k] += sum(math.log10((counts[w.encode()] + 1) / (others + unknown + 1)) for w in t.split() if w.encode() not in number)
+    first = None
+    for parts in (1, 5):
+        found = {r["doc_id"]: r["score"] for r in language_model.scored(docs.repartition(parts), F.lit(False), how).collect()}
+        assert all(abs(found[k] - want[k]) < 2e-3 for k in want)
+        first = first or found
+        assert all(abs(found[k] - first[k]) < 1e-6 for k in want)
+
+
 # 7 quality model
 
 
