@@ -6,7 +6,7 @@ the two words before, each scaled by a vector of its place, and scores in two le
 class, a run of words of about equal frequency, then the word within its class. There are about as many classes as the root of the
 vocabulary. Every training text is learned from once, in `rounds` rounds of shards of texts. Hashes deal texts to shards, whose number follows the count of training tokens
 (about `shard_tokens` each, at most `shards` a round), and order them, so that the result doesn't depend on partitions. In a round every shard trains from one common start and
-sends the rows that it changed; a row's changes are averaged in Spark, weighted by how often each shard changed it. Scores are normalised: softmax over the classes, for each
+sends the rows that it changed; a row's changes, and what was added to its squared gradients, are averaged in Spark, weighted by how often each shard changed it, and the next round goes on from both. Scores are normalised: softmax over the classes, for each
 distinct context once, times softmax over the words of the class, both from matrix products. Another word has the entry of others'
 probability times its share of it by counts plus one, where unseen words are one more word; so that probabilities sum to one over all words.
 
@@ -191,13 +191,13 @@ def log_sums(logits: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad, of classes and of words within their class.
+    """Noise-contrastive estimation by AdaGrad with one step size a row, of classes and of words within their class.
 
     The noise classes of a batch are drawn by their shares and shared by its positions; the noise words of a class are drawn by their shares in it and
     shared by the batch's positions of that class, so that both are matrix products.
     """
 
-    def __init__(self, p: Parameters, share: np.ndarray, how: Bilinear, seed: int):
+    def __init__(self, p: Parameters, share: np.ndarray, how: Bilinear, seed: int, squares: list[np.ndarray] | None = None):
         self.p, self.how = p, how
         self.rng = np.random.default_rng([how.seed, seed])
         self.cumulated = np.concatenate([[0.0], np.cumsum(share)])
@@ -205,7 +205,8 @@ class Trainer:
         self.class_cumulated = np.cumsum(of_class)
         self.log_class = np.log(how.noise * of_class).astype(np.float32)
         self.log_word = np.log(how.noise_words * share / of_class[p.class_of]).astype(np.float32)
-        self.squares = [np.full_like(x, 1e-5) for x in p.trained]
+        #: Mean squared gradients of each row, added up.
+        self.squares = [x.copy() for x in squares] if squares else first_squares(p)
         #: How often each row was changed.
         self.changes = [np.zeros(len(x), np.int64) for x in p.trained]
 
@@ -213,10 +214,10 @@ class Trainer:
         """A step of AdaGrad with the summed values of each row, named once."""
         x, s = self.p.trained[which], self.squares[which]
         g = g * np.float32(n**-0.5)
-        square = s[rows] + g * g
+        square = s[rows] + (g * g if g.ndim == 1 else np.einsum("ij,ij->i", g, g) / g.shape[1])
         s[rows] = square
-        g *= np.float32(self.how.rate)
-        g /= np.sqrt(square)
+        rate = np.float32(self.how.rate) / np.sqrt(square)
+        g *= rate if g.ndim == 1 else rate[:, None]
         x[rows] -= g
         self.changes[which][rows] += 1
 
@@ -290,6 +291,10 @@ class Trainer:
         self.summed(0, run[used + start], g[used], n)
 
 
+def first_squares(p: Parameters) -> list[np.ndarray]:
+    return [np.full(len(x), 1e-5, np.float32) for x in p.trained]
+
+
 def firsts(rows: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     return np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
@@ -328,20 +333,21 @@ RUN = 1 << 18
 def trained(rows: DataFrame, tokens: int, share: np.ndarray, end: int, how: Bilinear) -> Parameters:
     """The model learned from `rows` (doc_id, numbers) of about `tokens` tokens."""
     model = Parameters.start(np.log(share), how)
+    squares = first_squares(model)
     shards = max(1, min(how.shards, -(-tokens // (how.rounds * how.shard_tokens)))) if how.rounds else 1
     rows = rows.select("numbers", F.xxhash64("doc_id", "numbers").alias("order"))
     for k in range(how.rounds):
         turn = rows.where(F.pmod("order", F.lit(how.rounds)) == k).withColumn("shard", F.pmod(F.shiftrightunsigned("order", 20), F.lit(shards)).cast("int"))
-        model = averaged(turn, shards, share, end, model, how, k)
+        model, squares = averaged(turn, shards, share, end, model, squares, how, k)
     return model
 
 
-def averaged(rows: DataFrame, shards: int, share: np.ndarray, end: int, start: Parameters, how: Bilinear, turn: int) -> Parameters:
-    """Every shard of `rows` (shard, order, numbers) trains from one start; each row of parameters moves by the mean of the shards' changes, weighted by their numbers."""
+def averaged(rows: DataFrame, shards: int, share: np.ndarray, end: int, start: Parameters, squares: list[np.ndarray], how: Bilinear, turn: int) -> tuple[Parameters, list[np.ndarray]]:
+    """Every shard of `rows` (shard, order, numbers) trains from one start; each row of parameters, with its squares, moves by the mean of the shards' changes, weighted by their numbers."""
     import pandas as pd
 
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(start)
+    shared = spark.sparkContext.broadcast((start, squares))
     groups = max(1, math.isqrt(shards))
     schema = "which int, piece int, shard int, rows binary, changes binary, moved binary"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -351,19 +357,20 @@ def averaged(rows: DataFrame, shards: int, share: np.ndarray, end: int, start: P
         for i in range(0, len(at), how.batch):
             trainer.step(run, at[i : i + how.batch])
 
-    def result(shard, trainer, start):
+    def result(shard, trainer, start, squares):
         for which, (x, old, changes) in enumerate(zip(trainer.p.trained, start.trained, trainer.changes)):
+            more = trainer.squares[which] - squares[which]
             changed = np.flatnonzero(changes)
             cuts = np.searchsorted(changed, np.arange(0, len(x) + PIECE, PIECE))
             for piece in np.flatnonzero(np.diff(cuts)):
                 at = changed[cuts[piece] : cuts[piece + 1]]
-                data = (at % PIECE).astype("<i4").tobytes(), changes[at].astype("<f8").tobytes(), (x[at] - old[at]).astype("<f4").tobytes()
+                data = (at % PIECE).astype("<i4").tobytes(), changes[at].astype("<f8").tobytes(), np.column_stack([x[at] - old[at], more[at]]).astype("<f4").tobytes()
                 yield pa.RecordBatch.from_pylist([dict(zip(names, (which, int(piece), shard, *data)))], ARROW)
 
     ARROW = pa.schema([("which", pa.int32()), ("piece", pa.int32()), ("shard", pa.int32()), ("rows", pa.binary()), ("changes", pa.binary()), ("moved", pa.binary())])
 
     def run(batches):
-        start, shard, trainer, texts, held = shared.value, None, None, [], 0
+        (start, squares), shard, trainer, texts, held = shared.value, None, None, [], 0
         for batch in batches:
             for now, numbers in zip(pylist(batch, "shard"), pylist(batch, "numbers")):
                 if now != shard or held >= RUN:
@@ -372,13 +379,13 @@ def averaged(rows: DataFrame, shards: int, share: np.ndarray, end: int, start: P
                     texts, held = [], 0
                 if now != shard:
                     if trainer is not None:
-                        yield from result(shard, trainer, start)
-                    shard, trainer = now, Trainer(start.copied(), share, how, turn << 32 | now)
+                        yield from result(shard, trainer, start, squares)
+                    shard, trainer = now, Trainer(start.copied(), share, how, turn << 32 | now, squares)
                 texts.append(np.frombuffer(numbers, NUMBER))
                 held += len(texts[-1])
         if trainer is not None:
             learn(trainer, texts)
-            yield from result(shard, trainer, start)
+            yield from result(shard, trainer, start, squares)
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")  # sums in one order
@@ -397,13 +404,15 @@ def averaged(rows: DataFrame, shards: int, share: np.ndarray, end: int, start: P
     # A shard is a partition, its texts in the order of their hashes. About the root of all shards meet in one group, and their means in another.
     dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order")
     each = dealt.select("shard", "numbers").mapInArrow(run, schema).groupBy("which", "piece", F.pmod("shard", F.lit(groups))).applyInPandas(mean, schema)
-    model = start.copied()
+    model, squares = start.copied(), [x.copy() for x in squares]
     for r in each.groupBy("which", "piece").applyInPandas(mean, schema).collect():  # the model's parameters
         x = model.trained[r["which"]]
         at = np.frombuffer(r["rows"], "<i4") + PIECE * r["piece"]
-        x[at] += np.frombuffer(r["moved"], "<f4").reshape(len(at), *x.shape[1:])
+        moved = np.frombuffer(r["moved"], "<f4").reshape(len(at), -1)
+        x[at] += moved[:, :-1].reshape(len(at), *x.shape[1:])
+        squares[r["which"]][at] += moved[:, -1]
     shared.unpersist()
-    return model
+    return model, squares
 
 
 def scored(docs: DataFrame, held_out, how: Bilinear = Bilinear()) -> DataFrame:

@@ -426,21 +426,24 @@ def test_trained_score_is_brute_forces_whatever_the_partitions(spark):
     shards = -(-tokens // (how.rounds * how.shard_tokens))
     assert shards > 2 and unknown
     model = language_model.Parameters.start(np.log(share), how)
+    squares = language_model.first_squares(model)
     for turn in range(how.rounds):
         trainers = []
         for shard in range(shards):
             own = sorted((h, k) for k, h in order.items() if h % how.rounds == turn and ((h % 2**64) >> 20) % shards == shard)
             if own:
-                trainers.append(language_model.Trainer(model.copied(), share, how, turn << 32 | shard))
+                trainers.append(language_model.Trainer(model.copied(), share, how, turn << 32 | shard, squares))
                 run, at = language_model.laid([rows[k] for _, k in own], number[b""])
                 for i in range(0, len(at), how.batch):
                     trainers[-1].step(run, at[i : i + how.batch])
-        after = model.copied()
+        after, squares = model.copied(), [x.copy() for x in squares]
         for which, x in enumerate(after.trained):
             for row in range(len(x)):
                 weights = [t.changes[which][row] for t in trainers]
                 if sum(weights):
                     x[row] += sum(w * (t.p.trained[which][row] - model.trained[which][row]) for w, t in zip(weights, trainers)) / sum(weights)
+                    before = squares[which][row]
+                    squares[which][row] += sum(w * (t.squares[which][row] - before) for w, t in zip(weights, trainers)) / sum(weights)
         model = after
     want = {}
     for k, t in enumerate(texts):
