@@ -166,8 +166,10 @@ class Parameters:
         contexts, at = np.unique(one.astype(np.int64) * k + two, return_inverse=True)
         q, group = self.predicted(contexts // k, contexts % k), self.class_of[word]
         norms = np.empty(len(contexts))
+        length = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
+        small = length(q) * max(length(self.klass), length(self.target)) + float(max(np.abs(self.klass_bias).max(), np.abs(self.bias).max())) < 60  # bounds every logit
         for i in range(0, len(contexts), rows):  # few rows at a time stay in the processor's caches
-            norms[i : i + rows] = log_sums(q[i : i + rows] @ self.klass.T + self.klass_bias)
+            norms[i : i + rows] = log_sums(q[i : i + rows] @ self.klass.T + self.klass_bias, small)
         q = q[at]
         out = np.einsum("ij,ij->i", q, self.klass[group]) + self.klass_bias[group] - norms[at]
         order = np.argsort(group.astype(np.uint16) if len(self.starts) <= 1 << 16 else group, kind="stable")
@@ -178,12 +180,14 @@ class Parameters:
                 own = order[i : min(i + rows, bounds[c + 1])]
                 logits = q[own] @ self.target[first:end].T + self.bias[first:end]
                 cells = logits[np.arange(len(own)), word[own] - first]
-                out[own] += cells - log_sums(logits)
+                out[own] += cells - log_sums(logits, small)
         return out
 
 
-def log_sums(logits: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of the exponentials of each row; the argument is overwritten."""
+def log_sums(logits: np.ndarray, small: bool = False) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of each row; the argument is overwritten. Small logits need no shift to stay in range."""
+    if small:
+        return np.log(np.exp(logits, out=logits).sum(1)).astype(np.float64)
     top = logits.max(1)
     logits -= top[:, None]
     np.exp(logits, out=logits)
@@ -440,31 +444,26 @@ def scored(docs: DataFrame, held_out, how: Bilinear = Bilinear()) -> DataFrame:
 
     def numbered(batches):
         number, top = shared.value
-        logs = {w: math.log10(c + 1) for w, c in top.items()}
-        logs.setdefault(END, 0.0)
+        logs = {w: math.log10(c + 1) for w, c in top.items() if w not in number}
+        of_number = np.array([0.0, *(math.log10(top.get(w, 0) + 1) for w in number)])
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text", 8_000_000):
             out = []
             for text in pylist(batch, "text"):
                 ws = words_of(text)
                 numbers = np.fromiter(map(number.get, ws, repeat(0)), NUMBER, len(ws))
-                n_known = base = other = 0.0
-                rest, n_other = Counter(), 0
-                for w, c in Counter(ws).items():
+                unknown = np.flatnonzero(numbers == 0).tolist()
+                n_known, other, rest = len(ws) - len(unknown) + (END in top), 0.0, Counter()
+                for w, c in Counter([ws[i] for i in unknown]).items():
                     x = logs.get(w)
                     if x is None:
                         rest[w] = c
-                        n_other += c
                     else:
                         n_known += c
-                        base += c * x
-                        if w not in number:
-                            other += c * x
-                            n_other += c
-                base += logs[END]
-                n_known += END in top
+                        other += c * x
+                base = float(of_number[numbers].sum()) + of_number[number[END]] + other
                 numbers = np.append(numbers, NUMBER.type(number[END])).tobytes()
-                out.append((row, len(ws) + 1, int(n_known), base - (len(ws) + 1) * base_norm, other - n_other * others_norm, numbers, list(rest), list(rest.values())))
+                out.append((row, len(ws) + 1, n_known, base - (len(ws) + 1) * base_norm, other - len(unknown) * others_norm, numbers, list(rest), list(rest.values())))
                 row += 1
             types = pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())
             c = [pa.array(x, t) for x, t in zip(zip(*out), types)]

@@ -349,6 +349,14 @@ def naive_log_probability(p, one, two, word):
     return math.log(of_class) + math.log(softmax(np.array([q @ p.target[w] + p.bias[w] for w in words], float))[word - p.starts[group]])
 
 
+def test_log_sums_of_small_and_large_logits():
+    rng = np.random.default_rng(8)
+    for scale, small in ((3, True), (3, False), (4000, False)):
+        logits = (rng.normal(0, 1, (20, 9)) * scale).astype(np.float32)
+        want = [float(np.logaddexp.reduce(x)) for x in logits.astype(float)]
+        assert np.allclose(language_model.log_sums(logits, small), want, rtol=1e-5)
+
+
 @pytest.mark.parametrize("entries", [1, 2, 3, 40, 700])
 def test_two_levels_equal_the_naive_model_and_sum_to_one(entries):
     rng = np.random.default_rng(entries)
