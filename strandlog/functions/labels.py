@@ -70,3 +70,27 @@ class LockRef:
         if not (number.isascii() and number.isdigit()) or (colon and not is_word(name)):
             raise ValueError(f"not a lock label: {text}")
         return LockRef("id", side[0], lock_id=int(number))
+
+
+def parsed(text: Column) -> Column:
+    """kind, side, type, subclass, member, lock_id: what `LockRef.parse` reads of a label, as columns; kind is null where that raises an error."""
+    after = lambda c, n: F.substring(c, n + 1, F.length(c))
+    head = F.substring_index(text, "(", 1)
+    rest = after(text, F.length(head) + 1)
+    side = F.substring_index(rest, "[", -1)
+    place = F.left(rest, F.length(rest) - F.length(side) - 1)
+    owner = F.substring_index(place, ".", 1)
+    member = after(place, F.length(owner) + 1)
+    embedded = head.isin("EMBSAME", "EMBOTHER")
+    known = (F.instr(text, "(") > 0) & (F.instr(rest, "[") > 0) & side.isin("r])", "w])")
+    inside = known & embedded & owner.rlike(r"^\w+(:\w+)?$") & (F.instr(place, ".") > 0) & (F.instr(member, "?") == 0)
+    alone = known & ~embedded & head.rlike(r"^(\w+:)?[0-9]+$")
+    subclass = F.when(F.instr(owner, ":") > 0, F.substring_index(owner, ":", -1))
+    return F.struct(
+        F.when(inside, F.when(head == "EMBSAME", "same").otherwise("other")).when(alone, "id").alias("kind"),
+        F.left(side, F.lit(1)).alias("side"),
+        F.when(inside, F.substring_index(owner, ":", 1)).alias("type"),
+        F.when(inside, subclass).alias("subclass"),
+        F.when(inside, member).alias("member"),
+        F.when(alone, F.substring_index(head, ":", -1).try_cast("int")).alias("lock_id"),
+    )

@@ -45,21 +45,42 @@ def of_subsystem(maps: DataFrame, lines: DataFrame, pattern: str) -> DataFrame:
     return maps.select("bb").distinct().join(lines.where(F.col("file").rlike(pattern)), "bb", "left_semi")
 
 
-#: Maps that one row pairs with all maps of their block.
-PART = 64
-
-
-def pairwise_intersections(maps: DataFrame) -> DataFrame:
-    """Sizes of the intersections of all ordered pairs of maps that share a block. Blocks with the same set of maps are one, with their count as weight."""
-    sets = unique_blocks(maps).where("bb is not null").groupBy("bb").agg(F.array_sort(F.collect_set("map")).alias("maps"))
-    weighted = sets.groupBy("maps").agg(F.count(F.lit(1)).alias("weight"))
-    # A part of a set's maps against all of them is a row: the pairs of a block that many maps share are made by many tasks.
-    parts = F.transform(F.sequence(F.lit(1), F.size("maps"), F.lit(PART)), lambda i: F.slice("maps", i, PART))
-    session = maps.sparkSession
-    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    dealt = weighted.select("maps", "weight", F.explode(parts).alias("part")).repartition(n, "maps", "part")
-    pairs = dealt.select("maps", "weight", F.explode("part").alias("map_a")).select("map_a", F.explode("maps").alias("map_b"), "weight")
-    return pairs.where("map_a <> map_b").groupBy("map_a", "map_b").agg(F.sum("weight").alias("n"))
+#: Words of 64 blocks in a row of a map's bitmap, and about how many maps a task pairs with all maps of a bucket.
+WORDS, PART = 16, 1024
+
+
+def bitmaps(maps: DataFrame, words: int = WORDS) -> DataFrame:
+    """map, bucket, piece, w0, w1, ..: the blocks of each map as bits of 64-bit words, a row for each piece of a bucket in which it has any.
+
+    Blocks are dealt to buckets by their hash and numbered within them; as many buckets are made as half fill a piece, one that is overfull has more pieces. Blocks of a single map
+    have no bit: they are in no intersection.
+    """
+    u = unique_blocks(maps).where("bb is not null and map is not null")
+    shared = u.groupBy("bb").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bb")
+    room = 64 * words
+    buckets = shared.count() * 2 // room + 1
+    dealt = shared.withColumn("bucket", F.pmod(F.xxhash64("bb"), F.lit(buckets)))
+    at = F.row_number().over(Window.partitionBy("bucket").orderBy("bb")) - 1
+    slots = dealt.withColumn("at", at).select("bb", "bucket", F.floor(F.col("at") / room).cast("int").alias("piece"), (F.col("at") % room).alias("at"))
+    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    columns = [F.coalesce(F.bit_or(F.when(F.floor(F.col("at") / 64) == k, bit)), F.lit(0).cast("long")).alias(f"w{k}") for k in range(words)]
+    return u.join(slots, "bb").groupBy("map", "bucket", "piece").agg(*columns)
+
+
+def pairwise_intersections(maps: DataFrame, words: int = WORDS, part: int = PART) -> DataFrame:
+    """Sizes of the intersections of all ordered pairs of maps that share a block, by bitmaps: a row for two maps and a piece of up to 64 * words blocks, not for two maps and a block.
+
+    Each map of a piece meets the later ones. Maps are dealt by their hash, so that a piece of many maps is paired by many tasks.
+    """
+    rows = checkpoints.kept(bitmaps(maps, words), "coverage-bitmaps")
+    parts = maps.agg(F.approx_count_distinct("map").alias("n")).first()["n"] // part + 1
+    one = rows.withColumnRenamed("map", "map_a").withColumn("part", F.pmod(F.xxhash64("map_a"), F.lit(parts)))
+    other = rows.select(F.col("map").alias("map_b"), "bucket", "piece", *[F.col(f"w{k}").alias(f"v{k}") for k in range(words)], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    both = sum((F.bit_count(F.col(f"w{k}").bitwiseAND(F.col(f"v{k}"))) for k in range(1, words)), F.bit_count(F.col("w0").bitwiseAND(F.col("v0"))))
+    met = one.join(other, ["bucket", "piece", "part"]).where("map_a < map_b").select("map_a", "map_b", both.cast("long").alias("n")).where("n > 0")
+    sizes = met.groupBy("map_a", "map_b").agg(F.sum("n").alias("n"))
+    ways = F.array(F.struct(F.col("map_a").alias("a"), F.col("map_b").alias("b")), F.struct(F.col("map_b").alias("a"), F.col("map_a").alias("b")))
+    return sizes.select(F.explode(ways).alias("p"), "n").select(F.col("p.a").alias("map_a"), F.col("p.b").alias("map_b"), "n")
 
 
 def suite_overlaps(suites: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.functions.labels import LockRef, described_locks, joined_in_order, label
+from strandlog.functions import checkpoints
+from strandlog.functions.labels import LockRef, described_locks, joined_in_order, label, parsed
 
 
 def rule_accesses(db, data_type: str, member: str, access: str, subclass: str | None = None) -> DataFrame:
@@ -70,19 +69,95 @@ def examples(db, data_type: str, member: str, access: str, rule: list[str], in_o
     accesses = rule_accesses(db, data_type, member, access, subclass)
     good = confirming(db, accesses, rule, in_order)
     chosen = accesses.join(good, "ac_id", "left_anti" if counter else "left_semi")
+    name = data_type if subclass is None else f"{data_type}:{subclass}"
+    return listed(db, chosen, [], other).select(F.lit(name).alias("data_type"), F.lit(member).alias("member"), F.lit(access).alias("accesstype"), "stacktrace_id", "stacktrace", "locks_held")
+
+
+def listed(db, chosen: DataFrame, keys: list[str], other: str) -> DataFrame:
+    """keys, stacktrace_id, stacktrace, locks_held of chosen accesses (keys, ac_id, alloc_id, txn_id, stacktrace_id); the locks of an access are joined once, whatever the number of its keys."""
     site = F.concat_ws("", label(F.col("alloc_id"), other), F.lit("@"), "last_file", F.lit(":"), F.col("last_line").cast("string"))
-    held = chosen.select("ac_id", "alloc_id", "txn_id").join(db.locks_held, "txn_id").join(described_locks(db, True), "lock_id").groupBy("ac_id").agg(joined_in_order(["start", "lock_id"], site, ",").alias("locks"))
-    with_locks = chosen.select("ac_id", "stacktrace_id").join(held, "ac_id", "left").select("stacktrace_id", F.coalesce("locks", F.lit("nolocks")).alias("locks"))
-    counts = with_locks.groupBy("stacktrace_id", "locks").agg(F.count(F.lit(1)).alias("n"))
+    each = chosen.select("ac_id", "alloc_id", "txn_id")
+    each = each.distinct() if keys else each
+    held = each.join(db.locks_held, "txn_id").join(described_locks(db, True), "lock_id").groupBy("ac_id").agg(joined_in_order(["start", "lock_id"], site, ",").alias("locks"))
+    with_locks = chosen.select(*keys, "ac_id", "stacktrace_id").join(held, "ac_id", "left").select(*keys, "stacktrace_id", F.coalesce("locks", F.lit("nolocks")).alias("locks"))
+    counts = with_locks.groupBy(*keys, "stacktrace_id", "locks").agg(F.count(F.lit(1)).alias("n"))
     # Most frequent first, then the larger text: sorted upwards and reversed.
-    listed = F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("n", "locks")))), lambda x: F.concat_ws("#", x["locks"], x["n"].cast("string"))), "+")
-    name = data_type if subclass is None else f"{data_type}:{subclass}"
-    return counts.groupBy("stacktrace_id").agg(listed.alias("locks_held")).join(traces(db), "stacktrace_id").select(F.lit(name).alias("data_type"), F.lit(member).alias("member"), F.lit(access).alias("accesstype"), "stacktrace_id", "stacktrace", "locks_held")
+    texts = F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("n", "locks")))), lambda x: F.concat_ws("#", x["locks"], x["n"].cast("string"))), "+")
+    return counts.groupBy(*keys, "stacktrace_id").agg(texts.alias("locks_held")).join(traces(db), "stacktrace_id")
+
+
+RULE = "type_name string, member string, access string, locks array<string>"
+
+
+def rule_parts(rules: DataFrame) -> DataFrame:
+    """rule, k (from 0), and the parts of each lock of the rules. `rules` has rule and locks."""
+    return rules.select("rule", F.posexplode("locks").alias("k", "lock")).select("rule", "k", parsed(F.col("lock")).alias("p")).select("rule", "k", "p.*")
+
+
+def unread_rules(rules: DataFrame) -> DataFrame:
+    """Rules with a lock that isn't a label, or has no exact place: no access can be held against them."""
+    read = F.forall("locks", lambda x: parsed(x)["kind"].isNotNull())
+    return rules.where(~read)
+
+
+def stand_ins(db, parts: DataFrame) -> DataFrame:
+    """rule, k, kind, lock_id, owner: the locks that may stand for each part, as `candidates` has them for one."""
+    sides = parts.withColumn("sub_lock", F.explode(F.when(F.col("side") == "r", F.array(F.lit("r"), F.lit("w"))).otherwise(F.array(F.lit("w")))))
+    by_name = sides.where("kind <> 'id'").drop("lock_id").join(db.data_types.select(F.col("id").alias("data_type_id"), F.col("name").alias("type")), "type").join(db.member_names.select(F.col("id").alias("member_name_id"), F.col("name").alias("member")), "member")
+    names = db.subclasses.select(F.col("id").alias("subclass_id"), F.col("name").alias("of"))
+    found = by_name.join(db.locks_embedded_flat, ["data_type_id", "member_name_id", "sub_lock"]).join(names, "subclass_id").where(F.col("subclass").isNull() | (F.col("subclass") == F.col("of")))
+    embedded = found.select("rule", "k", "kind", "lock_id", F.col("alloc_id").alias("owner"))
+    # A read lock is satisfied by both sides, which have ids of their own at one address.
+    named = parts.where("kind = 'id'").join(db.locks.select(F.col("id").alias("named"), "address"), F.col("named") == F.col("lock_id")).drop("lock_id")
+    locks = db.locks.select(F.col("id").alias("lock_id"), "address")
+    by_id = named.join(locks, "address").where((F.col("side") == "r") | (F.col("lock_id") == F.col("named")))
+    return embedded.unionByName(by_id.select("rule", "k", "kind", "lock_id", F.lit(None).cast("int").alias("owner")))
+
+
+def examples_of_rules(db, rules: DataFrame, in_order: bool = True, counter: bool = True, other: str = "EMB") -> DataFrame:
+    """What `examples` gives for one rule, for a table of them, with the rule's locks as `rule`: one plan, whatever the number of rules.
+
+    `rules` has type_name (type or type:subclass), member, access and locks (labels in the rule's order); repeated ones count once. Rules that `unread_rules` names have no rows, those
+    without locks are confirmed by every access. An access meets the locks that its transaction holds in the order of their acquisition and takes each that is next in the rule; taking the
+    earliest never closes a way. Where the order doesn't count it holds for locks in other allocations alone, and the rest must only be there.
+    """
+    own = rules.select(*[f.split()[0] for f in RULE.split(", ")]).distinct()
+    rules = checkpoints.kept(own.where(F.forall("locks", lambda x: parsed(x)["kind"].isNotNull())).withColumn("rule", F.monotonically_increasing_id()), "violations-rules")
+    parts = rule_parts(rules)
+    # The place of a part in the sequence that must grow; null where it only has to be there.
+    place = F.col("k") if in_order else F.when(F.col("kind") == "other", F.count(F.when(F.col("kind") == "other", 1)).over(Window.partitionBy("rule").orderBy("k")) - 1)
+    parts = parts.withColumn("place", place.cast("int"))
+    needs = parts.groupBy("rule").agg(F.count("place").alias("steps"), F.count(F.when(F.col("place").isNull(), 1)).alias("others"))
+    data_type, subclass = F.substring_index("type_name", ":", 1), F.when(F.instr("type_name", ":") > 0, F.expr("substring(type_name, instr(type_name, ':') + 1)"))
+    asked = rules.select("rule", data_type.alias("t"), subclass.alias("s"), F.col("member").alias("m"), F.col("access").alias("ac_type"))
+    asked = asked.join(db.data_types.select(F.col("id").alias("data_type_id"), F.col("name").alias("t")), "t").join(db.member_names.select(F.col("id").alias("member_name_id"), F.col("name").alias("m")), "m")
+    names = db.subclasses.select(F.col("id").alias("subclass_id"), F.col("name").alias("of"))
+    flat = db.accesses_flat.select("ac_id", "alloc_id", "txn_id", "stacktrace_id", "ac_type", "data_type_id", "member_name_id", "subclass_id")
+    accesses = flat.join(asked, ["ac_type", "data_type_id", "member_name_id"]).join(names, "subclass_id").where(F.col("s").isNull() | (F.col("s") == F.col("of"))).select("rule", "ac_id", "alloc_id", "txn_id", "stacktrace_id")
+    may = stand_ins(db, parts).join(parts.select("rule", "k", "place"), ["rule", "k"])
+    where = F.when(F.col("kind") == "same", F.col("owner") == F.col("alloc_id")).when(F.col("kind") == "other", F.col("owner") != F.col("alloc_id")).otherwise(True)
+    met = accesses.where("txn_id is not null").join(db.locks_held.select("txn_id", "lock_id", "start"), "txn_id").join(may, ["rule", "lock_id"]).where(where)
+    step = lambda acc, x: F.when((x["place"] == acc["next"]) & (x["start"] > acc["last"]), F.struct((acc["next"] + 1).alias("next"), x["start"].alias("last"))).otherwise(acc)
+    taken = F.aggregate(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("start", "place")))), F.struct(F.lit(0).alias("next"), F.lit(-1).cast("long").alias("last")), step)
+    walked = met.withColumn("start", F.col("start").cast("long")).groupBy("rule", "ac_id").agg(taken["next"].alias("taken"), F.count_distinct(F.when(F.col("place").isNull(), F.col("k"))).alias("there"))
+    good = walked.join(needs, "rule").where("taken = steps and there = others").select("rule", "ac_id")
+    without = rules.where(F.size("locks") == 0).select("rule")
+    if counter:
+        chosen = accesses.join(good, ["rule", "ac_id"], "left_anti").join(without, "rule", "left_anti")
+    else:
+        chosen = accesses.join(good, ["rule", "ac_id"], "left_semi").unionByName(accesses.join(without, "rule", "left_semi"))
+    names = rules.select("rule", F.col("type_name").alias("data_type"), "member", F.col("access").alias("accesstype"), F.array_join("locks", " -> ").alias("locks"))
+    return listed(db, chosen, ["rule"], other).join(names, "rule").select("data_type", "member", "accesstype", F.col("locks").alias("rule"), "stacktrace_id", "stacktrace", "locks_held")
 
 
 def all_counterexamples(db, rules: list[tuple[str, str, str, list[str]]], in_order: bool = True) -> DataFrame:
     """Counterexamples of several rules (type, member, access, locks)."""
-    return reduce(DataFrame.unionByName, [examples(db, t, m, a, locks, in_order) for t, m, a, locks in rules])
+    return examples_of_rules(db, db.spark.createDataFrame(rules, RULE), in_order).drop("rule")
+
+
+def rules_of(supported: DataFrame) -> DataFrame:
+    """Hypotheses with locks (texts joined by arrows), as a table of rules."""
+    return supported.where("locks <> ''").select("type_name", "member", "access", F.split("locks", " -> ").alias("locks"))
 
 
 def by_lock_member_function(db, data_type: str | None = None, member: str | None = None) -> DataFrame:
@@ -143,3 +218,48 @@ def call_tree(found: DataFrame) -> DataFrame:
     ends = F.col("depth") == F.size("frames")
     nodes = steps.select(way(F.col("depth")).alias("path"), way(F.col("depth") - 1).alias("parent"), "depth", F.when(ends, F.regexp_replace("held", "#[0-9]+$", "")).alias("locks"), F.when(ends, F.regexp_extract("held", "#([0-9]+)$", 1).cast("long")).otherwise(0).alias("k"))
     return nodes.groupBy("path", "parent", "depth", "locks").agg(F.sum("k").alias("n"))
+
+
+HYPOTHESIS = ["data_type", "member", "accesstype"]
+
+#: Fixed value: a tree with more leaves is shown as a graph.
+LEAVES = 7
+
+
+def frame_steps(found: DataFrame) -> DataFrame:
+    """The frames of each example from the outermost on (frames), and each of its texts of held locks with their count (locks, n). A trace of one frame has no call, and no row."""
+    rows = found.select(*HYPOTHESIS, F.reverse(F.split("stacktrace", ",")).alias("frames"), F.explode(F.split("locks_held", r"\+")).alias("held")).where(F.size("frames") > 1)
+    return rows.select(*HYPOTHESIS, "frames", F.regexp_replace("held", "#[0-9]+$", "").alias("locks"), F.regexp_extract("held", "#([0-9]+)$", 1).cast("long").alias("n"))
+
+
+def called_at(frame: Column) -> Column:
+    """Function and line of a frame, which make it a node."""
+    return F.concat_ws("_", F.get(F.split(frame, "@"), F.lit(1)), F.substring_index(frame, ":", -1))
+
+
+def call_graph(found: DataFrame) -> DataFrame:
+    """Nodes and edges of each hypothesis's counterexamples, as edges: caller (empty for the entry from outside), callee, locks, n.
+
+    An edge has a row, with null locks and 0, and the innermost frame of accesses one for each text of locks that were held there, with the sum of its counts: null as its caller.
+    """
+    steps = frame_steps(found).withColumn("nodes", F.transform("frames", called_at))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("nodes")), lambda i: F.struct(F.when(i == 1, "").otherwise(F.get("nodes", i - 2)).alias("caller"), F.get("nodes", i - 1).alias("callee")))
+    edges = steps.select(*HYPOTHESIS, "nodes").distinct().select(*HYPOTHESIS, F.explode(pairs).alias("e")).select(*HYPOTHESIS, "e.*").distinct()
+    leaves = steps.groupBy(*HYPOTHESIS, F.element_at("nodes", -1).alias("callee"), "locks").agg(F.sum("n").alias("n"))
+    none = F.lit(None).cast("string")
+    return edges.select(*HYPOTHESIS, "caller", "callee", none.alias("locks"), F.lit(0).cast("long").alias("n")).unionByName(leaves.select(*HYPOTHESIS, none.alias("caller"), "callee", "locks", "n"))
+
+
+def report_headings(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """A row for each hypothesis with counterexamples: the rule's locks, occurrences, total and percentage, the counterexamples' traces and accesses, leaves of their tree, and the form they are shown in.
+
+    `rules` has a rule for each type_name, access and member; hypotheses without one are left out. A leaf is a way from the outermost frame to an access with none on the way there.
+    """
+    ways = frame_steps(found).select(*HYPOTHESIS, F.transform("frames", called_at).alias("way")).distinct()
+    shorter = F.transform(F.sequence(F.lit(1), F.size("way") - 1), lambda n: F.slice("way", F.lit(1), n))
+    beyond = ways.select(*HYPOTHESIS, "way", F.explode(shorter).alias("short")).join(ways.withColumnRenamed("way", "short"), [*HYPOTHESIS, "short"], "left_semi")
+    leaves = ways.join(beyond, [*HYPOTHESIS, "way"], "left_anti").groupBy(*HYPOTHESIS).agg(F.count(F.lit(1)).alias("leaves"))
+    traces_ = found.groupBy(*HYPOTHESIS).agg(F.count_distinct("stacktrace").alias("traces"), F.sum(F.aggregate(F.transform(F.split("locks_held", r"\+"), lambda x: F.regexp_extract(x, "#([0-9]+)$", 1).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)).alias("violations"))
+    rule = rules.select(F.col("type_name").alias("data_type"), "member", F.col("access").alias("accesstype"), F.col("locks").alias("rule"), "occurrences", "total", (100 * F.col("percentage")).alias("percentage"))
+    rows = rule.join(traces_, HYPOTHESIS).join(leaves, HYPOTHESIS, "left").withColumn("leaves", F.coalesce("leaves", F.lit(0)))
+    return rows.withColumn("form", F.when(F.col("leaves") > LEAVES, "graph").otherwise("tree"))

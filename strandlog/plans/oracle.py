@@ -641,3 +641,60 @@ n AS (SELECT map, count(*) AS new, sum(inside) AS new_subset, sum(beyond) AS bey
 SQL["coverage_unknown_pcs"] = inputs("SELECT part, count(*) AS pcs, count(*) FILTER (addr NOT IN (SELECT addr FROM ins WHERE k3 > 0)) AS unknown FROM (SELECT part, addr FROM ins WHERE is_pc) GROUP BY 1".replace("ins WHERE k3 > 0", "ins WHERE line % 3 > 0"))
 SQL["hypotheses_of_chosen"] = base("SELECT * FROM sup WHERE type_name LIKE 'no%' AND (member = 'm0' OR (access = 'w' AND member = 'm1'))", MINED)
 SQL["read_only_ratio"] = hunted("SELECT r.type_name, count(*) AS read_only, count(*) FILTER (w.locks = '') AS no_lock FROM rules r LEFT JOIN (SELECT * FROM won WHERE accepted = 1) w ON w.type_name = r.type_name AND w.access = r.access AND w.member = r.member WHERE r.access = 'r' AND r.member <> 'm2' GROUP BY 1", ONE["bottomup"], CHECKED)
+
+#: Counterexamples of the rules of a table (rls): every way to place a rule's locks on those that a transaction holds, lock by lock.
+OF_RULES = "," + described(True).replace("lk AS", "lks AS") + r""",
+rl AS (SELECT row_number() OVER (ORDER BY type_name, member, access, locks) AS r, type_name, member, access, locks, string_split(locks, ' -> ') AS ls FROM rls WHERE locks NOT LIKE '%?%'),
+pt AS (
+  SELECT r, k, CASE WHEN l LIKE 'EMBSAME(%' THEN 'same' WHEN l LIKE 'EMBOTHER(%' THEN 'other' ELSE 'id' END AS kind, regexp_extract(l, '\[([rw])\]', 1) AS side,
+    regexp_extract(l, '^EMB[A-Z]+\((\w+)\.(\w+)\[', 1) AS t, regexp_extract(l, '^EMB[A-Z]+\((\w+)\.(\w+)\[', 2) AS m, TRY_CAST(regexp_extract(l, '^(\w+:)?([0-9]+)\(', 2) AS INT) AS id
+  FROM (SELECT r, unnest(ls) AS l, generate_subscripts(ls, 1) AS k FROM rl)),
+ca AS (
+  SELECT p.r, p.k, p.kind, b.id AS lock_id, NULL::BIGINT AS owner FROM pt p JOIN locks a ON a.id = p.id JOIN locks b ON b.address = a.address AND (p.side = 'r' OR b.id = a.id) WHERE p.kind = 'id'
+  UNION ALL SELECT p.r, p.k, p.kind, e.lock_id, e.alloc_id FROM pt p JOIN data_types d ON d.name = p.t JOIN member_names m ON m.name = p.m JOIN emb e ON e.data_type_id = d.id AND e.member_name_id = m.id AND (e.sub_lock = 'w' OR p.side = 'r')),
+fr AS (SELECT rl.r, f.ac_id, f.txn_id, f.alloc_id, f.stacktrace_id FROM flat f JOIN data_types d ON d.id = f.data_type_id JOIN member_names m ON m.id = f.member_name_id JOIN rl ON rl.type_name = d.name AND rl.member = m.name AND rl.access = f.ac_type),
+wk AS (
+  SELECT r, ac_id, txn_id, alloc_id, 0::BIGINT AS k, -1::BIGINT AS start FROM fr
+  UNION ALL SELECT w.r, w.ac_id, w.txn_id, w.alloc_id, w.k + 1, h.start FROM wk w JOIN ca ON ca.r = w.r AND ca.k = w.k + 1 JOIN locks_held h ON h.txn_id = w.txn_id AND h.lock_id = ca.lock_id AND (h.start > w.start OR NOT ORDERED)
+  WHERE ca.kind = 'id' OR (ca.kind = 'same' AND ca.owner = w.alloc_id) OR (ca.kind = 'other' AND ca.owner <> w.alloc_id)),
+bad AS (SELECT * FROM fr WHERE NOT EXISTS (SELECT 1 FROM wk JOIN rl ON rl.r = wk.r AND wk.k = len(rl.ls) WHERE wk.r = fr.r AND wk.ac_id = fr.ac_id)),
+plc AS (
+  SELECT b.r, b.ac_id, b.stacktrace_id, coalesce(string_agg(CASE WHEN q.embedded_in IS NULL THEN q.own WHEN q.embedded_in = b.alloc_id THEN 'EMBSAME' || q.place ELSE 'EMB:' || q.lock_id || q.place END || '@' || lh.last_file || ':' || lh.last_line, ',' ORDER BY lh.start, lh.lock_id), 'nolocks') AS locks
+  FROM bad b LEFT JOIN locks_held lh ON lh.txn_id = b.txn_id LEFT JOIN lks q ON q.lock_id = lh.lock_id GROUP BY b.r, b.ac_id, b.stacktrace_id),
+tr AS (SELECT id, string_agg('0x' || hex(instruction_ptr) || '@' || function || '@' || file || ':' || line, ',' ORDER BY sequence) AS stacktrace FROM stacktraces GROUP BY id),
+cex AS (
+  SELECT rl.type_name AS data_type, rl.member, rl.access AS accesstype, rl.locks AS rule, c.stacktrace_id, tr.stacktrace, string_agg(c.locks || '#' || c.n, '+' ORDER BY c.n DESC, c.locks DESC) AS locks_held, sum(c.n)::BIGINT AS n
+  FROM (SELECT r, stacktrace_id, locks, count(*) AS n FROM plc GROUP BY ALL) c JOIN tr ON tr.id = c.stacktrace_id JOIN rl ON rl.r = c.r GROUP BY ALL),
+nod AS (
+  SELECT *, list_transform(list_reverse(string_split(stacktrace, ',')), lambda x: string_split(x, '@')[2] || '_' || string_split(x, ':')[-1]) AS fr FROM cex),
+way AS (SELECT DISTINCT data_type, member, accesstype, fr FROM nod WHERE len(fr) > 1),
+lea AS (SELECT data_type, member, accesstype, count(*) AS leaves FROM way w WHERE NOT EXISTS (SELECT 1 FROM way s WHERE s.data_type = w.data_type AND s.member = w.member AND s.accesstype = w.accesstype AND len(s.fr) < len(w.fr) AND w.fr[1:len(s.fr)] = s.fr) GROUP BY ALL)"""
+
+
+
+def of_rules(select: str, rows: str = "top") -> str:
+    """In order: each lock later than the one before it."""
+    more = OF_RULES.replace(" OR NOT ORDERED", "")
+    return base(select, TOP + f", rls AS (SELECT type_name, member, access, locks, occurrences, total, percentage FROM {rows})" + more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+REPORTED = "(SELECT * FROM sup WHERE n_locks > 0 AND set_occurrences / total >= 0.1)"
+CEX = "SELECT data_type, member, accesstype, rule, stacktrace_id, stacktrace, locks_held FROM cex"
+SQL |= {
+    "counterexamples_of_top_rules": of_rules(CEX),
+    "counterexamples_of_all_rules": of_rules(CEX, REPORTED),
+    # Only locks in other allocations must come one after the other; the walk carries the start of the last of these.
+    "examples_of_all_rules_any_order": of_rules(CEX, REPORTED)
+    .replace("w.k + 1, h.start FROM", "w.k + 1, CASE WHEN ca.kind = 'other' THEN h.start ELSE w.start END FROM")
+    .replace("AND (h.start > w.start)", "AND (h.start > w.start OR ca.kind <> 'other')")
+    .replace("bad AS (SELECT * FROM fr WHERE NOT EXISTS", "bad AS (SELECT * FROM fr WHERE EXISTS"),
+    "counterexample_graph": of_rules(
+        """SELECT DISTINCT data_type, member, accesstype, CASE WHEN i = 1 THEN '' ELSE fr[i - 1] END AS caller, fr[i] AS callee, NULL::VARCHAR AS locks, 0::BIGINT AS n FROM (SELECT *, unnest(range(1, len(fr) + 1)) AS i FROM way)
+UNION ALL SELECT data_type, member, accesstype, NULL, fr[-1], regexp_replace(h, '#[0-9]+$', ''), sum(CAST(regexp_extract(h, '#([0-9]+)$', 1) AS BIGINT))::BIGINT FROM (SELECT *, unnest(string_split(locks_held, '+')) AS h FROM nod WHERE len(fr) > 1) GROUP BY ALL"""
+    ),
+    "counterexample_report": of_rules(
+        """SELECT c.data_type, c.member, c.accesstype, w.locks AS rule, w.occurrences, w.total, 100 * w.percentage AS percentage, c.traces, c.violations, coalesce(l.leaves, 0) AS leaves, CASE WHEN l.leaves > 7 THEN 'graph' ELSE 'tree' END AS form
+FROM (SELECT data_type, member, accesstype, count(DISTINCT stacktrace) AS traces, sum(n)::BIGINT AS violations FROM cex GROUP BY ALL) c
+JOIN rls w ON w.type_name = c.data_type AND w.member = c.member AND w.access = c.accesstype LEFT JOIN lea l ON l.data_type = c.data_type AND l.member = c.member AND l.accesstype = c.accesstype"""
+    ),
+}

@@ -191,6 +191,17 @@ def run_statistics(db):
 TRACE["run_statistics"] = run_statistics
 TRACE["hypotheses_of_chosen"] = lambda db: mining.chosen_members(mined(db), ["no"], ["m0", "w:m1"])
 TRACE["read_only_ratio"] = lambda db: evaluation.read_only_ratio(documented.rules(db.spark).withColumn("comment", F.when(F.col("member") != "m2", "ro-member")), winners("bottomup")(db))
+
+
+def of_top_rules(db):
+    return violations.examples_of_rules(db, violations.rules_of(mining.top_rules(mined(db))))
+
+
+TRACE["counterexamples_of_top_rules"] = of_top_rules
+TRACE["counterexamples_of_all_rules"] = lambda db: violations.examples_of_rules(db, violations.rules_of(over_cutoff(db)))
+TRACE["examples_of_all_rules_any_order"] = lambda db: violations.examples_of_rules(db, violations.rules_of(over_cutoff(db)), in_order=False, counter=False)
+TRACE["counterexample_graph"] = lambda db: violations.call_graph(of_top_rules(db))
+TRACE["counterexample_report"] = lambda db: violations.report_headings(of_top_rules(db), mining.top_rules(mined(db)))
 COVERAGE["coverage_series_beyond"] = lambda c: coverage.cumulative(c.maps, F.col("bb") < "0000000000000064", c.maps.where("map % 7 = 0").select("bb"))
 COVERAGE["coverage_unknown_pcs"] = lambda c: coverage.unknown_pcs(c.instructions.where("line % 3 > 0"), c.instructions.where("is_pc"))
 

@@ -141,3 +141,66 @@ def test_lazy_cover_picks_as_a_plain_one(spark):
         coverage.picked = plain
     assert got == want and len(calls) < len(want) / 2
     assert [r["map"] for r in coverage.set_cover(maps, most=3).collect()] == [m for m, _ in want[:3]]
+
+
+@pytest.mark.parametrize("words,part", [(16, 1024), (1, 7), (2, 40)])
+def test_pairs_by_small_bitmaps(spark, words, part):
+    import random
+
+    from strandlog.operators import coverage
+
+    rng = random.Random(3)
+    blocks = {f"m{m}": set(rng.sample(range(500), rng.choice([0, 1, 9, 200]))) for m in range(50)}
+    maps = spark.createDataFrame([(m, str(b)) for m, bs in blocks.items() for b in bs for _ in range(1 + b % 2)], "map string, bb string")
+    found = {(r["map_a"], r["map_b"]): r["n"] for r in coverage.pairwise_intersections(maps, words, part).collect()}
+    assert found == {(a, b): len(x & y) for a, x in blocks.items() for b, y in blocks.items() if a != b and x & y}
+    assert coverage.pairwise_intersections(maps.where("false")).collect() == []
+
+
+def test_labels_as_columns_are_read_as_by_the_parser(spark):
+    from pyspark.sql import functions as F
+
+    from strandlog.functions.labels import LockRef, parsed
+
+    texts = ["EMBSAME(node.m_lock[w])", "EMBOTHER(node:ext.m_lock[r])", "EMBSAME(node.m_lock?[w])", "glock0:1(mutex[w])", "2(rcu[r])", "2(rcu[x])", "x(rcu[r])", "EMB:4(node.m[w])", "EMBSAME(node[w])", "EMBSAME(no-de.m[w])", "", "(", "a:b:3(m[w])", "EMBOTHER(a.b.c[w])", "17(odd[name[w])", "EMBSAME(a:.b[r])", ":3(m[w])"]
+    got = {r["t"]: r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", parsed(F.col("t")).alias("p")).collect()}
+    for t in texts:
+        try:
+            want = LockRef.parse(t)
+        except ValueError:
+            assert got[t]["kind"] is None, t
+            continue
+        assert tuple(got[t][c] for c in ("kind", "side", "type", "subclass", "member", "lock_id")) == (want.kind, want.side, want.type, want.subclass, want.member, want.lock_id), t
+
+
+def test_a_table_of_rules_is_as_rule_by_rule(spark):
+    from strandlog.operators import violations
+    from strandlog.sources.events import Trace
+
+    db = Trace(spark, SF)
+    rules = [("node", "m0", "r", ["EMBSAME(node.m_lock[w])"]), ("node:ext", "m1", "w", ["EMBSAME(node:ext.m_lock[w])"]), ("node", "m1", "r", ["glock0:1(mutex[w])", "EMBOTHER(node.m_lock[w])"])]
+    odd = [rules[0], ("node", "m1", "w", []), ("node", "m1", "w", ["EMBSAME(node.m_lock?[w])"]), ("none", "m1", "w", ["1(mutex[w])"])]
+    table = spark.createDataFrame(rules + odd, violations.RULE)
+    assert [r["locks"] for r in violations.unread_rules(table).collect()] == [["EMBSAME(node.m_lock?[w])"]]
+    for in_order, counter in ((True, True), (False, False)):
+        got = violations.examples_of_rules(db, table, in_order, counter)
+        want = [(*r, " -> ".join(locks)) for t, m, a, locks in rules for r in violations.examples(db, t.partition(":")[0], m, a, locks, in_order, counter, t.partition(":")[2] or None).collect()]
+        of_none = 0 if counter else db.accesses_flat.where("ac_type = 'w' and data_type_id = 1 and member_name_id = 2").select("stacktrace_id").distinct().count()
+        rows = got.select("data_type", "member", "accesstype", "stacktrace_id", "stacktrace", "locks_held", "rule").collect()
+        assert sorted(tuple(r) for r in rows if r["rule"]) == sorted(want) and len(want) > 3
+        assert sum(not r["rule"] for r in rows) == of_none
+
+
+def test_leaves_and_nodes_of_a_report(spark):
+    from strandlog.operators import violations
+
+    f = lambda name: f"0x1@{name}@{name}.c:7"
+    traces = [("c", "b", "a"), ("d", "c", "b", "a"), ("e", "a"), ("a",), *[(f"x{k}", "y") for k in range(6)]]
+    rows = [("t", "m", "r", ",".join(map(f, t)), "l#2+nolocks#1") for t in traces] + [("u", "m", "w", f("a"), "l#1"), ("v", "m", "w", f("a"), "l#1")]
+    found = spark.createDataFrame(rows, "data_type string, member string, accesstype string, stacktrace string, locks_held string")
+    rules = spark.createDataFrame([("t", "m", "r", "l", 3, 4, 0.75), ("u", "m", "w", "l", 1, 2, 0.5)], "type_name string, member string, access string, locks string, occurrences long, total long, percentage double")
+    got = {r["data_type"]: (r["traces"], r["violations"], r["leaves"], r["form"], r["percentage"]) for r in violations.report_headings(found, rules).collect()}
+    # d is called below c, which has accesses of its own: the way ends there.
+    assert got == {"t": (10, 30, 8, "graph", 75.0), "u": (1, 1, 0, "tree", 50.0)}
+    edges = {(r["caller"], r["callee"], r["locks"], r["n"]) for r in violations.call_graph(found).collect()}
+    assert {("", "a_7", None, 0), ("a_7", "b_7", None, 0), ("c_7", "d_7", None, 0), (None, "c_7", "l", 2), (None, "c_7", "nolocks", 1)} <= edges and not any(e[0] is None and e[1] == "a_7" for e in edges)
