@@ -191,6 +191,50 @@ def test_accepted_keeps_columns(docs, nothing):
     assert quality_rules.accepted(nothing).count() == 0
 
 
+def brute_verdict(text):
+    """Whether the base measures and the bands of compression keep a text, with the limits as they are documented."""
+    import zstandard
+
+    data = (text or "").encode()
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(zip(words, words[1:], words[2:]))
+    repeated = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
+        return False
+    compressor = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    ratio = lambda x: len(compressor.compress(x)) / len(x)
+    limits = {256: (0.45, 1.10), 512: (0.42, 0.95), 1024: (0.38, 0.90), 4096: (0.32, 0.85), 16384: (0.26, 0.80)}
+    least, most = next((b for n, b in limits.items() if len(data) <= n), (0.20, 0.80))
+    if not least <= ratio(data) <= most:
+        return False
+    if len(data) < 2048:
+        return True
+    chunks = [data[i : i + 2048] for i in range(0, len(data) - 2047, 2048)] + ([data[-2048:]] if len(data) % 2048 else [])
+    return sum(not 0.28 <= ratio(c) <= 0.85 for c in chunks) <= 0.25 * len(chunks)
+
+
+def random_prose(rng, words, n):
+    return " ".join(rng.choice(words, n))
+
+
+def random_words(rng, n=2000):
+    return ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(n)]
+
+
+def test_verdicts_are_brute_forces(spark, docs):
+    rng = np.random.default_rng(17)
+    words = random_words(rng)
+    texts = [random_prose(rng, words, n) for n in (40, 50, 60, 90, 150, 400, 900, 3000)]
+    texts += [t + " " + x for t in texts[2:] for x in ("again " * 60, "ab " * 900, "".join(chr(k) for k in rng.integers(33, 0x2000, 3000)), "x" * 2048)]
+    texts += [random_prose(rng, words[:k], 700) for k in (3, 10, 40, 100, 300)] + [random_prose(rng, words, 1)[:3] + "y" * k for k in (2047, 2048, 2049)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for df in (rows, docs):
+        found = quality_rules.measured(df).select("text", "quality.kept").collect()
+        assert all(r["kept"] == brute_verdict(r["text"]) for r in found)
+    kept = [r["kept"] for r in quality_rules.measured(rows).select("quality.kept").collect()]
+    assert sum(kept) > 5 and sum(not k for k in kept) > 5
+
+
 # 2 near-dedup and 10 line dedup
 
 
@@ -244,7 +288,7 @@ def line_shingles(line, w=12):
 def test_lines_are_brute_forces(docs):
     seen = sorted({((d is not None, d or 0), t) for d, t in all_rows(docs) if t is not None})
     lines = [(d[1] if d[0] else None, k, x) for d, t in seen for k, x in enumerate(t.split("\n")) if re.search(r"\S", x, re.ASCII)]
-    sets = [line_shingles(x) for _, _, x in lines]
+    sets = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for _, _, x in lines]
     root = closed(len(lines), lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
     found = {(r["doc_id"], r["line_no"]): (r["rep_doc_id"], r["rep_line_no"], r["kept"]) for r in line_dedup.decided(docs).collect()}
     assert found == {(d, k): (*lines[root[i]][:2], root[i] == i) for i, (d, k, _) in enumerate(lines)}
@@ -486,6 +530,33 @@ def test_quality_model_tells_classes_apart(spark, docs, nothing):
     assert quality_model.scored(nothing, labels, held_out).count() == 0
 
 
+def test_quality_scores_are_the_closed_form(spark):
+    """Class means and shrunk covariances from the rows themselves, and densities by determinant and inverse, in one process."""
+    rng = np.random.default_rng(4)
+    words = random_words(rng, 300)
+    texts = [random_prose(rng, words, rng.integers(20, 200)) + (". " if k % 2 else " | ") * int(rng.integers(1, 30)) for k in range(160)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2 if k % 11 else None) for k in range(150)], "doc_id long, quality int")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    x = np.array([quality_model.statistics(t or "", quality_rules.ratio_of(3)) for t in texts])
+    learned = [k for k in range(150) if k % 11 and zlib.crc32(str(k).encode()) % 4 != 2]
+    groups = [x[[k for k in learned if k % 2 == c]] for c in (0, 1)]
+    pooled = sum(len(g) * np.cov(g.T, bias=True) for g in groups) / len(learned)
+    unit = np.diag(1 / np.sqrt(np.maximum(np.diag(pooled), 1e-9)))
+    logs = []
+    for g in groups:
+        c = unit @ (0.8 * np.cov(g.T, bias=True) + 0.2 * pooled) @ unit
+        c = 0.95 * c + 0.05 * np.trace(c) / len(c) * np.eye(len(c)) + 1e-9 * np.eye(len(c))
+        d = (x - g.mean(0)) @ unit
+        logs.append(np.log(len(g)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (d * np.linalg.solve(c, d.T).T).sum(1))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    found = {r["doc_id"]: r for r in quality_model.scored(docs, labels, held_out).collect()}
+    assert len(found) == len(texts) and 0.01 < np.std(want)
+    for k, w in enumerate(want):
+        assert abs(found[k]["score"] - w) < 1e-7 and found[k]["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2)
+        assert found[k]["predicted"] == int(found[k]["score"] >= 0.7)
+
+
 # 8 secrets
 
 
@@ -600,6 +671,53 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[0] == verdict
 
 
+def staged(spark, docs, folder):
+    import corpus_pipeline
+
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "").write.parquet(str(folder / name))
+        docs = spark.read.parquet(str(folder / name))
+        kept.append(docs)
+    return kept
+
+
+def test_pipeline_is_brute_forces(spark, tmp_path):
+    rng = np.random.default_rng(23)
+    words = random_words(rng)
+    shared = random_prose(rng, words, 14)
+    rows = [(k, "\n".join([random_prose(rng, words, 14) for _ in range(12)] + ([shared] if k % 3 == 0 else []))) for k in range(24)]
+    rows += [(100 + k, rows[k][1]) for k in range(3)]  # exact copies: all of their lines go
+    for k in range(3, 7):  # the same words in lines that are cut elsewhere: near copies whose lines aren't
+        w = rows[k][1].split()
+        w[50] = "other"
+        rows.append((100 + k, "\n".join(" ".join(w[i : i + 40]) for i in range(0, len(w), 40))))
+    rows += [(200, rows[8][1].replace("\n", "\npassword = hunter2secret\n", 1)), (201, None), (202, ""), (203, "too short"), (204, "again and again " * 90)]
+    docs = spark.createDataFrame([(k, t, "x", 7) for k, t in rows], "doc_id long, text string, found string, row int").repartition(3)
+    left = [(k, t) for k, t in rows if brute_verdict(t)]
+    lines = sorted((k, i, x) for k, t in left for i, x in enumerate(t.split("\n")) if re.search(r"\S", x))
+    sets = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for _, _, x in lines]
+    root = closed(len(lines), lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    gone = {lines[i][:2] for i, r in enumerate(root) if r != i}
+    cut = [(k, "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone)) for k, t in left]
+    cut = sorted((k, t) for k, t in cut if re.search(r"\S", t))
+    shingles = [set(zip(*[t.lower().split()[i:] for i in range(5)])) for _, t in cut]
+    root = closed(len(cut), lambda i, j: 100 * len(shingles[i] & shingles[j]) >= 80 * len(shingles[i] | shingles[j]))
+    near = {k: t for i, (k, t) in enumerate(cut) if root[i] == i}
+    kept = staged(spark, docs, tmp_path)
+    assert [{r["doc_id"] for r in df.select("doc_id").collect()} for df in kept] == [{k for k, _ in left}, {k for k, _ in cut}, set(near), set(near), set(near)]
+    assert len(left) < len(rows) and len(cut) < len(left) and len(near) < len(cut) and gone
+    assert {r["doc_id"]: r["text"] for r in kept[2].collect()} == near and all(df.columns == docs.columns for df in kept[:4])
+    clean = {r["doc_id"]: r["text"] for r in kept[3].collect()}
+    assert all(clean[k] == t for k, t in near.items() if "hunter2" not in t) and not any("hunter2" in t for t in clean.values())
+
+
+def test_pipeline_bears_odd_rows_and_none(spark, docs, nothing, tmp_path):
+    odd, none = staged(spark, docs, tmp_path / "odd"), staged(spark, nothing, tmp_path / "none")
+    assert all(df.columns == docs.columns for df in odd[:4] + none[:4]) and [df.count() for df in none] == [0] * 5
+    assert {r["doc_id"] for r in odd[0].collect()} == {r["doc_id"] for r in docs.collect() if brute_verdict(r["text"])}
+
+
 # Queries with SQL twins, on whole tables
 
 
