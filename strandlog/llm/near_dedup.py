@@ -41,8 +41,8 @@ class Near:
     percent: int = 80
     bands: int = 25
     rows: int = 5
-    #: Standard deviations of the estimate that a link's signature may fall below the limit.
-    slack: float = 3.0
+    #: Standard deviations of the estimate that a link's signature may fall below the limit: about one link in three million, at the limit itself, falls below five.
+    slack: float = 5.0
     seed: int = 20_240_607
 
     @property
