@@ -3,8 +3,9 @@
 Equal vectors are one entry with its smallest ids, so that copies cost nothing. Directions are unit vectors; coarse centroids and
 residual codebooks are fitted with k-means on a sample of at most `sample` entries, those with the least hashes. Every entry is
 indexed: it goes to its nearest centroid's list with the code of its residual. A query, one for all its copies, probes its
-nearest lists, as many as a measurement on the sample asks for: few where vectors form clusters, many where directions are near random. In each block of a list the asymmetric tables rank the codes, the best `rerank` are scored exactly in double
-precision on the original vectors, and the best of all lists are merged.
+nearest lists, as many as a measurement asks for: some of the table's own queries are compared with all entries, and the lists of what is nearest to them tell
+how many hold enough of it; few where vectors form clusters, many where directions are near random. In each block of a list the asymmetric tables rank the codes. How far an entry is from what its code
+stands for bounds the tables' error, so that only entries that can't be among the nearest are left out, whatever the codebooks are like; the others are scored exactly in double precision on the original vectors, and the best of all lists are merged.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do those without the
 commonest length. Rows with a null id take no part. Rows that repeat an id and a vector are one candidate; an id with
@@ -33,12 +34,11 @@ class IVFPQ:
     most_lists: int = 1024
     parts: int = 16
     codes: int = 256
-    #: A query probes as many lists as hold this share of the sample's own nearest neighbours, at least this many.
+    #: A query probes as many lists as hold this share of the measured queries' nearest neighbours, at least this many.
     share: float = 0.97
     least_probes: int = 8
-    #: Entries of the sample that this is measured with, at most.
+    #: Queries that this is measured with, at most, each against all entries.
     probe_sample: int = 256
-    rerank: int = 64
     #: Entries that the probed lists of a query hold together at least, as far as there are as many.
     least_probed: int = 256
     #: Entries of a list that one task searches.
@@ -78,6 +78,13 @@ class Index:
         codes = np.stack([nearest_of(rest[:, a:b], book) for (a, b), book in zip(self.cuts, self.codebooks)], 1).astype(np.uint8)
         return at, codes
 
+    def errors(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
+        """Distance of each unit vector of a list from what its code stands for: the tables' inner products are wrong by no more."""
+        rest = x - self.centroids[at]
+        for (a, b), book, c in zip(self.cuts, self.codebooks, codes):
+            rest[:, a:b] -= book[c]
+        return np.sqrt((rest * rest).sum(1))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """parts x codes: inner products of the query's parts with the codewords."""
         out = np.zeros((len(self.cuts), 256))
@@ -95,24 +102,24 @@ def fitted(x: np.ndarray, lists: int, how: IVFPQ) -> Index:
     return Index(centroids, cuts, tuple(kmeans(rest[:, a:b], how.codes, how.rounds, rng) for a, b in cuts))
 
 
-def probes_for(x: np.ndarray, index: Index, how: IVFPQ) -> int:
-    """Lists to probe: the rank, among a query's lists, below which the given share of true neighbours within the sample lie.
-
-    The sample is sparser than the table, its neighbours are farther, so that the table's lie in nearer lists than these.
-    """
-    at = nearest_of(x, index.centroids)
+def probes_for(x: np.ndarray, lists: list[list[int]], index: Index, how: IVFPQ) -> int:
+    """Lists to probe: the rank, among a query's lists, below which the given share of the true neighbours lie. `lists` holds those of each query's neighbours."""
     ranks = []
-    for j in range(0, len(x), max(1, len(x) // how.probe_sample)):
-        s = x @ x[j]
-        s[j] = -np.inf
-        true = np.argsort(-s, kind="stable")[: min(how.k, len(x) - 1)]
-        d = ((index.centroids - x[j]) ** 2).sum(1)
-        order = np.empty(len(d), int)
-        order[np.argsort(d, kind="stable")] = np.arange(len(d))
-        ranks += order[at[true]].tolist()
+    for q, own in zip(x, lists):
+        order = np.empty(len(index.centroids), int)
+        order[np.argsort(((index.centroids - q) ** 2).sum(1), kind="stable")] = np.arange(len(order))
+        ranks += order[own].tolist()
     return max(how.least_probes, int(np.quantile(ranks, how.share, method="higher")) + 1) if ranks else how.least_probes
 
 
+def candidates(near: np.ndarray, error: np.ndarray, k: int) -> np.ndarray:
+    """Places of all entries that can be among the k nearest, by inner products that are wrong by no more than `error`."""
+    if len(near) <= k:
+        return np.arange(len(near))
+    sure = np.partition(near - error, -k)[-k]
+    return np.flatnonzero(near + error >= sure - 1e-9)
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     """Rows over their lengths; scaled by the largest component first, so that no square over- or underflows."""
     v = v / np.abs(v).max(1, keepdims=True)
@@ -126,6 +133,46 @@ def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (v * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum(1)))
 
 
+def drawn(entries: DataFrame, n: int, most: int) -> list:
+    """Rows of entries (place, entry, vector), `most` or all: of those with small hashes, a little more than asked for, the smallest, so that no partition sends a sample of its own to the driver."""
+    place, space = F.pmod(F.xxhash64("entry"), F.lit(1 << 40)), 1 << 40
+    found = entries.where(place < min(space, math.ceil((1.05 * most + 64) / n * space))).select(place.alias("place"), "entry", "vector").collect()
+    return sorted(found, key=lambda r: (r["place"], bytes(r["entry"])))[:most]
+
+
+def rows_of(vectors) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
+
+
+def neighbours_of(asked: list, coded: DataFrame, k: int) -> list[list[int]]:
+    """Lists of the k nearest entries of each of some queries, of all entries: a task keeps the k best of its own."""
+    spark = coded.sparkSession
+    sent = spark.sparkContext.broadcast((unit(rows_of([r["vector"] for r in asked])), {bytes(r["entry"]): j for j, r in enumerate(asked)}))
+
+    def run(batches):
+        q, place = sent.value
+        score, at = np.empty((len(q), 0)), np.empty((len(q), 0), int)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                s = q @ unit(rows_of(pylist(part, "vector"))).T
+                for row, entry in enumerate(pylist(part, "entry")):
+                    if (own := place.get(bytes(entry))) is not None:
+                        s[own, row] = -np.inf
+                score = np.concatenate([score, s], 1)
+                at = np.concatenate([at, np.broadcast_to(np.array(pylist(part, "list"), int), s.shape)], 1)
+                if score.shape[1] > k:
+                    best = np.argpartition(-score, k - 1, 1)[:, :k]
+                    score, at = np.take_along_axis(score, best, 1), np.take_along_axis(at, best, 1)
+        if score.shape[1]:
+            j = np.repeat(np.arange(len(q)), score.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(-score.ravel()), pa.array(at.ravel(), pa.int32())], names=["query", "far", "list"])
+
+    found = coded.select("entry", "vector", "list").mapInArrow(run, "query int, far double, list int").where("far < double('infinity')")
+    best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "list"))), 1, k).alias("best"))
+    return [[x["list"] for x in r["best"]] for r in best.orderBy("query").collect()]
+
+
 ENTRY = "entry binary, vector binary, ids array<long>"
 
 
@@ -167,14 +214,10 @@ def searched(vectors: DataFrame, is_query, how: IVFPQ = IVFPQ()) -> DataFrame:
     n = entries.count()
     if not n:
         return spark.createDataFrame([], schema)
-    # Of the entries with small hashes, a little more than the sample, the smallest are taken: no partition sends a sample of its own to the driver.
-    place, space = F.pmod(F.xxhash64("entry"), F.lit(1 << 40)), 1 << 40
-    drawn = entries.where(place < min(space, math.ceil(1.05 * how.sample / n * space))).select(place.alias("place"), "entry", "vector").collect()
-    drawn = sorted(drawn, key=lambda r: (r["place"], bytes(r["entry"])))[: how.sample]
-    x = unit(np.frombuffer(b"".join(r["vector"] for r in drawn), "<f8").reshape(len(drawn), -1))
+    sample = drawn(entries, n, how.sample)
+    x = unit(rows_of([r["vector"] for r in sample]))
     lists = max(1, min(how.most_lists, round(n**0.5), len(x) // 16))
     index = spark.sparkContext.broadcast(fitted(x, lists, how))
-    probed = probes_for(x, index.value, how)
 
     def encode(batches):
         for batch in batches:
@@ -198,6 +241,11 @@ def searched(vectors: DataFrame, is_query, how: IVFPQ = IVFPQ()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if d is None else xxhash.xxh3_128_digest(d) for d in data], pa.binary())], names=["query_id", "entry"])
 
     queries = written(asked.mapInArrow(hashed, "query_id long, entry binary").distinct().join(entries.select("entry"), "entry", "left_semi"), "nearest-queries")
+    sought = written(entries.join(queries.select("entry").distinct(), "entry", "left_semi").select("entry", "vector"), "nearest-sought")
+    if not (m := sought.count()):
+        return spark.createDataFrame([], schema)
+    measured = drawn(sought, m, how.probe_sample)
+    probed = probes_for(unit(rows_of([r["vector"] for r in measured])), neighbours_of(measured, coded, k), index.value, how)
 
     def probe(batches):
         own = index.value
@@ -211,7 +259,7 @@ def searched(vectors: DataFrame, is_query, how: IVFPQ = IVFPQ()) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["list", "block", "query", "vector"])
 
-    probes = entries.join(queries.select("entry").distinct(), "entry", "left_semi").select("entry", "vector").mapInArrow(probe, "list int, block int, query binary, vector binary")
+    probes = sought.mapInArrow(probe, "list int, block int, query binary, vector binary")
     per_list = F.array(*[F.lit(int(b)) for b in blocks])
     placed = coded.withColumn("block", F.pmod(F.xxhash64("entry"), F.element_at(per_list, F.col("list") + 1)).cast("int"))
 
@@ -221,14 +269,19 @@ def searched(vectors: DataFrame, is_query, how: IVFPQ = IVFPQ()) -> DataFrame:
         out = []
         if len(left) and len(right):
             own, centroid = index.value, index.value.centroids[key[0]]
-            v = np.frombuffer(b"".join(left["vector"]), "<f8").reshape(len(left), -1)
+            v = rows_of(left["vector"].to_list())
             codes = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1).T
             ids = left["ids"].to_list()
+            x = unit(v)
+            error = own.errors(x, key[0], codes)
             for query, data in zip(right["query"], right["vector"]):
                 q = np.frombuffer(data, "<f8")
                 u = unit(q[None])[0]
                 near = u @ centroid + sum(t[c] for t, c in zip(own.tables(u), codes))
-                best = np.argpartition(-near, how.rerank)[: how.rerank] if len(near) > how.rerank else np.arange(len(near))
+                best = candidates(near, error, k + 1)
+                # of these the nearest by whole vectors, with all that rounding may put among them
+                close = x[best] @ u
+                best = best[candidates(close, np.full(len(best), 1e-12), k + 1)]
                 score = cosines(q, v[best])
                 top = sorted((-s, i) for s, b in zip(score.tolist(), best) for i in ids[b])[: k + 1]
                 out += [(query, s, i) for s, i in top]

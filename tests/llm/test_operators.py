@@ -644,6 +644,25 @@ def test_nearest_neighbours(spark):
     assert [i for i, _ in found[50]] == [100, 101, 102, 103, 104]
 
 
+@pytest.mark.parametrize("kind", ["half near one point", "queries elsewhere"])
+def test_nearest_neighbours_of_uneven_tables(spark, kind):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4000, 24))
+    if kind == "queries elsewhere":
+        v[::50] += 5
+    else:
+        v[::2] = v[1] + 1e-3 * rng.normal(size=(2000, 24))
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = defaultdict(set)
+    for r in nearest.searched(table, F.col("vec_id") % 50 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    s = unit[::50] @ unit.T
+    s[np.arange(80), np.arange(0, 4000, 50)] = -9
+    want = np.argsort(-s, 1)[:, :5]
+    assert sum(len(found[50 * k] & set(w.tolist())) for k, w in enumerate(want)) >= 0.9 * 400
+
+
 def test_few_and_no_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 4.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     rows = nearest.searched(table, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
