@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 MOST_OFFSET = 1_048_576
 
 
-def flattened(structs_layout: DataFrame, most: int | DataFrame = MOST_OFFSET) -> DataFrame:
+def flattened(structs_layout: DataFrame, most: int | DataFrame | None = MOST_OFFSET) -> DataFrame:
     """A row for each byte of each member, with helper_offset: so that an address finds its member by equality.
 
     `most` caps the offsets, as a number or by type (data_type_id, most): the largest offset that accesses have, say, so that a
-    flexible array of a megabyte doesn't become a million rows.
+    flexible array of a megabyte doesn't become a million rows. With None there is no cap.
     """
-    if isinstance(most, int):
+    if most is None:
+        cut = structs_layout.withColumn("most", F.col("byte_offset") + F.col("size"))
+    elif isinstance(most, int):
         cut = structs_layout.withColumn("most", F.lit(most))
     else:
         cut = structs_layout.join(most, "data_type_id")

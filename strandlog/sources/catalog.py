@@ -58,7 +58,8 @@ class Catalog:
 
     @cached_property
     def layout_flat(self) -> DataFrame:
-        return layout.flattened(self.structs_layout)
+        """Offsets grow with the parts and members are short, so that none is capped."""
+        return layout.flattened(self.structs_layout, None)
 
     @cached_property
     def allocations(self) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every registered trace and coverage query against its DuckDB twin."""
 
+import duckdb
 import pytest
 
 from strandlog.plans import registry
@@ -204,3 +205,17 @@ def test_leaves_and_nodes_of_a_report(spark):
     assert got == {"t": (10, 30, 8, "graph", 75.0), "u": (1, 1, 0, "tree", 50.0)}
     edges = {(r["caller"], r["callee"], r["locks"], r["n"]) for r in violations.call_graph(found).collect()}
     assert {("", "a_7", None, 0), ("a_7", "b_7", None, 0), ("c_7", "d_7", None, 0), (None, "c_7", "l", 2), (None, "c_7", "nolocks", 1)} <= edges and not any(e[0] is None and e[1] == "a_7" for e in edges)
+
+
+def test_catalog_with_offsets_beyond_a_megabyte(spark, tmp_path):
+    con = duckdb.connect()
+    for t, rows in {
+        "part": "SELECT 40000 * i AS p_partkey, 'Brand#1' || i % 2 AS p_brand, 'ECONOMY' AS p_type, (i * 7)::INT AS p_size FROM range(1, 9) t(i)",
+        "supplier": "SELECT i AS s_suppkey FROM range(1, 5) t(i)",
+        "lineitem": "SELECT i % 4 + 1 AS l_suppkey, 40000 * (i % 8 + 1) AS l_partkey FROM range(64) t(i)",
+    }.items():
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    for name in ("layout_flat", "locks_embedded_flat"):
+        rows = spark_rows(registry.queries()[name](spark, str(tmp_path)))
+        assert rows and rows == duck_rows(con, registry.oracle_sql()[name])[1]
