@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions.checkpoints import kept as written
-from strandlog.functions.intervals import points_in_intervals
-from strandlog.functions.running import running
+from strandlog.functions.running import last_before, running
 from strandlog.operators.lifetimes import in_live_allocation, lock_kinds, paired_allocations
 
 #: The addresses that stand for the pseudo-locks, and the member name they come with.
 PSEUDO_LOCKS, PSEUDO_MEMBER = (0x42, 0x44, 0x45), "static"
-#: Width, in the order's units, of a block of a count and of a time bucket.
-BLOCK, BUCKET = 1 << 22, 1 << 18
+#: Width, in the order's units, of a block of a count.
+BLOCK = 1 << 18
 PAGE = 4096
 
 
@@ -110,9 +109,8 @@ class Converted:
     def _placed(self) -> DataFrame:
         """Reads and writes with the allocation that lives at their base, null where there is none."""
         accesses = self.events.where("action in ('r', 'w')")
-        keyed = lambda df: df.withColumn("place", F.struct("source", "base"))
-        lives = keyed(self._lives).select("place", F.col("id").alias("alloc_id"), "start_seq", "end_seq", "alloc_size", F.col("base").alias("low"))
-        found = points_in_intervals(keyed(accesses).select("source", "seq", "place"), "seq", lives, "start_seq", "end_seq", "place", BUCKET).select("source", "seq", "alloc_id", "alloc_size", "low")
+        lives = self._lives.select("source", "base", F.col("id").alias("alloc_id"), "start_seq", "end_seq", "alloc_size", F.col("base").alias("low"))
+        found = last_before(accesses.where("base is not null").select("source", "base", "seq"), lives, ["source", "base"], "seq", "start_seq").where("end_seq is null or seq < end_seq").select("source", "seq", "alloc_id", "alloc_size", "low")
         inside = (F.col("address") >= F.col("low")) & (F.col("address") + F.col("size") <= F.col("low") + F.col("alloc_size"))
         return written(accesses.join(found, ["source", "seq"], "left").withColumn("inside", inside), "trace-accesses")
 

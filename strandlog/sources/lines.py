@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlog.functions import checkpoints
 from strandlog.operators.conversion import Converted
 from strandlog.sources.traces import decoded
 
@@ -47,7 +48,8 @@ def trace_lines(events: DataFrame) -> DataFrame:
 
 
 def converted(spark: SparkSession, sf_dir: str) -> Converted:
-    events, _ = decoded(trace_lines(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    # written once, else the reader's filters and columns each put the lines together anew
+    events, _ = decoded(checkpoints.kept(trace_lines(spark.read.parquet(f"{sf_dir}/events.parquet")), "trace-lines"))
     variables = spark.createDataFrame([(1, 4096, 20, "table"), (2, 4096, 8, "first"), (3, 4128, 4, "third")], "position int, address long, size int, name string")
     symbols = spark.createDataFrame([(4144, "fourth"), (4128, "hidden")], "address long, name string")
     return Converted(events, spark.createDataFrame([(t,) for t in TYPES], "type_name string"), SECTIONS, variables, symbols, BASE_DIR)

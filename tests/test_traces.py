@@ -1,6 +1,7 @@
 """Hand-made traces: readers, lifetimes, the exact machine, streaming."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlog.operators import lifetimes
 from strandlog.operators.machine import Machine, run_machine
@@ -73,6 +74,20 @@ def test_allocations_pair_with_frees(spark, trace_file):
     assert [r["base"] for r in inside.collect()] == [0x1000, 0x1000]
 
 
+def test_allocations_that_share_a_page_are_told_apart_by_time(spark):
+    events = [(1, "a", 4096, 64), (3, "f", 4096, 0), (4, "a", 4096, 16), (5, "a", 4160, 5000), (9, "f", 4160, 0), (10, "a", 4160, 8)]
+    frame = spark.createDataFrame([("s", base, t, t, action, "node", None, size) for t, action, base, size in events], "source string, base long, seq long, ts long, action string, type string, subclass string, size int")
+    asked = [(2, 4100), (2, 4200), (6, 4100), (6, 4130), (7, 4161), (8, 9000), (11, 4161), (11, 9000), (12, None)]
+    points = spark.createDataFrame([("s", 10 * t + k % 2 + 1, x) for k, (t, x) in enumerate(asked)], "source string, seq long, address long")
+    lives = lifetimes.paired_allocations(frame.withColumn("seq", F.col("seq") * 10))
+    found = lifetimes.in_live_allocation(points, lives)
+    assert sorted((r["seq"] // 10, r["address"], r["base"]) for r in found.where("base is not null").collect()) == [(2, 4100, 4096), (6, 4100, 4096), (7, 4161, 4160), (8, 9000, 4160), (11, 4161, 4160)]
+    assert found.count() == len(asked)
+    # no join compares every point of a page with every allocation that it ever had
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and not any("start_seq" in x and " > " in x for x in joins)
+
+
 def streamed(spark, tmp_path, batches, schema):
     """Writes a file a batch, with the query stopped and started again between them."""
     from strandlog.streaming import ingest
