@@ -207,6 +207,19 @@ def test_leaves_and_nodes_of_a_report(spark):
     assert {("", "a_7", None, 0), ("a_7", "b_7", None, 0), ("c_7", "d_7", None, 0), (None, "c_7", "l", 2), (None, "c_7", "nolocks", 1)} <= edges and not any(e[0] is None and e[1] == "a_7" for e in edges)
 
 
+def test_pairs_of_maps_by_parts_send_nothing_by_way_of_the_driver(spark):
+    from strandlog.operators import coverage
+
+    maps = [(f"m{m}", f"b{b}") for m in range(40) for b in range(300) if (m * 7 + b * b) % 5 < m % 4]
+    found = coverage.pairwise_intersections(spark.createDataFrame(maps, "map string, bb string"), words=1, part=8)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    blocks = {}
+    for m, b in maps:
+        blocks.setdefault(m, set()).add(b)
+    want = {(a, b): len(blocks[a] & blocks[b]) for a in blocks for b in blocks if a != b and blocks[a] & blocks[b]}
+    assert {(r["map_a"], r["map_b"]): r["n"] for r in found.collect()} == want
+
+
 def test_catalog_with_offsets_beyond_a_megabyte(spark, tmp_path):
     con = duckdb.connect()
     for t, rows in {
