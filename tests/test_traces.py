@@ -302,3 +302,51 @@ def test_floor_walk(spark):
     for width in (1, 5, 64, 1000):
         got = floor_walk(rows, ["key"], "k", F.col("up"), "before", "after", width).select("k", "key", "up", "before", "after")
         assert sorted(map(tuple, got.collect())) == want
+
+
+def shuffled_rows(spark):
+    """Rows that all stages of the session have written to shuffles so far."""
+    stages = spark._jsc.sc().statusStore().store().view(spark._jvm.java.lang.Class.forName("org.apache.spark.status.StageDataWrapper")).iterator()
+    rows = 0
+    while stages.hasNext():
+        rows += stages.next().info().shuffleWriteRecords()
+    return rows
+
+
+def test_cuts_and_accesses_dont_meet_all_open_acquisitions(spark):
+    """400 locks that are released below 400 acquisitions of another lock, with accesses in between: neither meets each of the other."""
+    n = 400
+    steps = [(0, "P", lock) for lock in range(2, n + 2)] + [(0, "P", 1)] * n
+    for lock in range(2, n + 2):
+        steps += [(0, "V", lock), (0, "r", None)]
+    steps += [(0, kind, lock) for _ in range(n) for kind, lock in (("V", 1), ("w", None))]
+    rows = [(0, 100 * k, c, kind, lock, "r" if lock else None, True) for k, (c, kind, lock) in enumerate(steps, 1)]
+    events = spark.createDataFrame(rows, "trace long, seq long, ctx int, kind string, lock long, side string, recursive boolean")
+    before = shuffled_rows(spark)
+    found = sorted(map(tuple, run_machine(events).select("seq", "txn_id", "locks").collect()))
+    assert shuffled_rows(spark) - before < n * n
+    same_but_for_numbers(found, whole(events))
+
+
+def test_blocks_of_counts_compose_as_they_run():
+    """The count of each context after a block, by its clamp, for all counts before it."""
+    import random
+
+    from strandlog.operators.machine import clamped_block, counted_block
+
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randrange(2, 5)
+        counts = {c: rng.randrange(3) for c in range(n)}
+        total, ctxs, acquires = sum(counts.values()), [], []
+        for _ in range(rng.randrange(1, 12)):
+            acquired = not total or rng.random() < 0.45
+            total += 1 if acquired else -1
+            ctxs.append(rng.randrange(n)), acquires.append(acquired)
+        after = dict(counts)
+        for (c, depth), acquired in zip(counted_block(ctxs, acquires, counts), acquires):
+            after[c] = depth if acquired else depth - 1
+        for asked in range(1, n):
+            step, low, high = clamped_block(ctxs, acquires, sum(counts.values()), {c: k for c, k in counts.items() if c > asked}, asked)
+            got = max(counts[asked] + step, low)
+            assert after[asked] == (got if high is None else min(got, high))
