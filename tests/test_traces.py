@@ -350,3 +350,22 @@ def test_blocks_of_counts_compose_as_they_run():
             step, low, high = clamped_block(ctxs, acquires, sum(counts.values()), {c: k for c, k in counts.items() if c > asked}, asked)
             got = max(counts[asked] + step, low)
             assert after[asked] == (got if high is None else min(got, high))
+
+
+def test_rounds_of_stolen_locks_dont_grow_with_the_trace(spark, monkeypatch):
+    """Three contexts that steal one lock all the time: as many tables are written for a trace four times as long."""
+    import random
+
+    from strandlog.functions import checkpoints
+    from strandlog.operators import machine
+
+    rng, kept, names = random.Random(3), checkpoints.kept, []
+    monkeypatch.setattr(checkpoints, "kept", lambda df, name: names.append(name) or kept(df, name))
+    monkeypatch.setattr(machine.stolen_ends, "__defaults__", (7,))
+    rows = [(0, k, rng.randrange(3), "P" if k < 8 else rng.choice("PPVV"), 1, "r", True) for k in range(1, 281)]
+    written = []
+    for part in (rows[:70], rows):
+        names.clear()
+        machine.lifetimes(spark.createDataFrame(part, "trace long, seq long, ctx int, kind string, lock long, side string, recursive boolean"))
+        written.append(len(names))
+    assert written[0] == written[1]
