@@ -192,6 +192,35 @@ def test_a_table_of_rules_is_as_rule_by_rule(spark):
         assert sum(not r["rule"] for r in rows) == of_none
 
 
+def test_accesses_of_one_situation_are_decided_once(spark):
+    from pyspark.sql import functions as F
+
+    from strandlog.operators import violations
+    from strandlog.sources.events import Trace
+
+    db = Trace(spark, SF)
+    found, counts = violations.situations(db)
+    assert counts.agg(F.sum("n")).first()[0] == db.accesses_flat.count()
+    rows = [(r["alloc_id"], tuple(map(tuple, r["held"]))) for r in found.collect()]
+    assert len(rows) == len(set(rows)) < db.accesses_flat.count()
+    assert any(len(held) > 1 for _, held in rows) and all([x[0] for x in held] == list(range(1, len(held) + 1)) for _, held in rows)
+
+
+def test_examples_are_made_once_for_a_report_and_a_graph(spark):
+    from pyspark.sql import functions as F
+
+    from strandlog.operators import violations
+
+    frame = lambda name: f"0x1@{name}@{name}.c:7"
+    found = spark.createDataFrame([("t", "m", "r", ",".join(map(frame, x)), "l#2") for x in ("ba", "ca", "dba")], "data_type string, member string, accesstype string, stacktrace string, locks_held string")
+    rules = spark.createDataFrame([("t", "m", "r", "l", 3, 4, 0.75)], "type_name string, member string, access string, locks string, occurrences long, total long, percentage double")
+    for read in (lambda x: violations.report_headings(x, rules), violations.call_graph):
+        made = spark.sparkContext.accumulator(0)
+        mark = F.udf(lambda x: (made.add(1), x)[1], "string").asNondeterministic()
+        assert read(found.withColumn("stacktrace", mark("stacktrace"))).count() > 0
+        assert made.value == 3
+
+
 def test_leaves_and_nodes_of_a_report(spark):
     from strandlog.operators import violations
 
