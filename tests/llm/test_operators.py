@@ -749,3 +749,19 @@ def test_query_equals_its_twin(spark, name):
     df = registry.queries()[name](spark, sf_dir)
     names, rows = duck_rows(connection(sf_dir), registry.oracle_sql()[name])
     assert sorted(df.columns) == names and spark_rows(df) == rows
+
+
+def test_shards_of_one_task_are_sent_together_with_one_result(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    how = language_model.Bilinear(width=4, batch=64, shard_tokens=150)
+    share = rng.dirichlet(np.ones(30))
+    texts = [rng.integers(0, 30, n).astype(language_model.NUMBER) for n in rng.integers(1, 60, 60)]
+    rows = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(texts)], "doc_id long, numbers binary")
+    models = []
+    for together in (1, 2, 5):
+        monkeypatch.setattr(language_model, "TOGETHER", together)
+        models.append(language_model.trained(rows, sum(map(len, texts)), share, 1, how).trained)
+    start = language_model.Parameters.start(np.log(share), how).trained
+    assert all(np.abs(x - y).max() > 1e-3 for x, y in zip(models[0], start))
+    for other in models[1:]:
+        assert all(np.allclose(x, y, rtol=1e-4, atol=1e-5) for x, y in zip(models[0], other))
