@@ -313,6 +313,19 @@ def test_lines_are_compared_by_the_shingles_at_every_character(spark):
     assert {r["doc_id"]: r["rep_doc_id"] for r in line_dedup.decided(docs).collect()} == dict(enumerate(root))
 
 
+def test_bitmaps_tell_long_lines_apart_that_share_much(spark):
+    rng = np.random.default_rng(23)
+    how, base = line_dedup.Lines(), "".join(rng.choice(list("etaoinshrdlu "), 900))
+    lines = [base, base[:700] + "".join(rng.choice(list("ETAOINSHRDLU "), 200)), base[:880] + "x" * 20, base + base]
+    every = [{x[i : i + 12] for i in range(len(x) - 11)} for x in lines]
+    keyed = spark.createDataFrame(list(enumerate(lines)), "line_key long, line string")
+    own = line_dedup.bitmaps(keyed, how).select("line_key", F.struct("size", "bits").alias("x"))
+    pairs = own.alias("a").join(own.alias("b"), F.col("a.line_key") == 0)
+    found = {r["k"]: (r["n"], r["p"]) for r in pairs.select(F.col("b.line_key").alias("k"), F.col("b.x.size").alias("n"), line_dedup.possible(F.col("a.x"), F.col("b.x"), how).alias("p")).collect()}
+    assert [found[k][0] for k in range(4)] == [len(s) for s in every]
+    assert [found[k][1] for k in range(4)] == [100 * len(every[0] & s) >= 80 * len(every[0] | s) for s in every] == [True, False, True, True]
+
+
 def test_cleaned_lines(docs, nothing):
     found = line_dedup.cleaned(docs)
     texts = {r["doc_id"]: r["text"] for r in found.collect()}
