@@ -23,18 +23,20 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pylist, slices, table, written
 
+#: Words that a task holds before it counts them, about, or one text's.
+WORDS_HELD = 4_000_000
 #: The end of a text, counted as a token; no word is empty.
 END = b""
 
@@ -59,27 +61,31 @@ class Bilinear:
     seed: int = 11
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in order, as binaries, and the number of each text's."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = cut.flatten().cast(pa.binary())
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty piece
+    of_text = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))[full.to_numpy(zero_copy_only=False)]
+    return words.filter(full), np.bincount(of_text, minlength=len(texts))
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """word, n over all texts, ends included."""
 
     def run(batches):
-        counts: Counter = Counter()
+        held, n = [], 0
         for batch in slices(batches, "text"):
-            for text in pylist(batch, "text"):
-                counts.update(words_of(text))
-            counts[END] += batch.num_rows
-            if len(counts) > 300_000:
-                yield flush(counts)
-                counts.clear()
-        if counts:
-            yield flush(counts)
-
-    def flush(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            held += [words_of(batch.column(0))[0], pa.array([END] * batch.num_rows, pa.binary())]
+            n += len(held[-2])
+            if n > WORDS_HELD:
+                yield flush(held)
+                held, n = [], 0
+        if held:
+            yield flush(held)
+
+    def flush(held):
+        return pa.RecordBatch.from_arrays(list(pa.chunked_array(held).value_counts().flatten()), names=["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -463,26 +469,43 @@ def scored(docs: DataFrame, held_out, how: Bilinear = Bilinear()) -> DataFrame:
         of_number = np.array([0.0, *(math.log10(top.get(w, 0) + 1) for w in number)])
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text", 8_000_000):
-            out = []
-            for text in pylist(batch, "text"):
-                ws = words_of(text)
-                numbers = np.fromiter(map(number.get, ws, repeat(0)), NUMBER, len(ws))
-                unknown = np.flatnonzero(numbers == 0).tolist()
-                n_known, other, rest = len(ws) - len(unknown) + (END in top), 0.0, Counter()
-                for w, c in Counter([ws[i] for i in unknown]).items():
-                    x = logs.get(w)
-                    if x is None:
-                        rest[w] = c
-                    else:
-                        n_known += c
-                        other += c * x
-                base = float(of_number[numbers].sum()) + of_number[number[END]] + other
-                numbers = np.append(numbers, NUMBER.type(number[END])).tobytes()
-                out.append((row, len(ws) + 1, n_known, base - (len(ws) + 1) * base_norm, other - len(unknown) * others_norm, numbers, list(rest), list(rest.values())))
-                row += 1
-            types = pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())
-            c = [pa.array(x, t) for x, t in zip(zip(*out), types)]
-            yield pa.RecordBatch.from_arrays([c[0], batch.column(0), batch.column(1), *c[1:]], names=[x.split()[0] for x in first.split(", ")])
+            words, sizes = words_of(batch.column(2))
+            coded, n = words.dictionary_encode(), batch.num_rows
+            distinct = coded.dictionary.to_pylist()
+            # Of each distinct word, and behind them of the end: its number, the logarithm of its count if it isn't numbered, and whether that is to be joined.
+            numbers = np.fromiter(map(number.get, [*distinct, END], repeat(0)), NUMBER, len(distinct) + 1)
+            log = np.fromiter(map(logs.get, [*distinct, END], repeat(math.nan)), float, len(distinct) + 1)
+            rest = np.isnan(log) & (numbers == 0)
+            log[np.isnan(log)] = 0
+            # Each text and its end.
+            stops = np.cumsum(sizes + 1)
+            starts = stops - sizes - 1
+            run = np.full(len(words) + n, len(distinct), np.int32)
+            is_word = np.ones(len(run), bool)
+            is_word[stops - 1] = False
+            run[is_word] = coded.indices.to_numpy()
+            sums = lambda x: np.add.reduceat(x[run], starts)
+            other = sums(log)
+            n_known = sums((~rest).astype(np.int64)) - (END not in top)
+            base = sums(of_number[numbers]) + other - (sizes + 1) * base_norm
+            at = np.flatnonzero(rest[run])
+            pairs, times = np.unique((np.searchsorted(stops, at, "right") << 32) | run[at], return_counts=True)
+            cuts = pa.array(np.searchsorted(pairs, np.arange(n + 1) << 32), pa.int32())
+            bytes_to = pa.py_buffer((NUMBER.itemsize * np.concatenate([[0], stops])).astype(np.int32))
+            columns = [
+                pa.array(np.arange(row, row + n)),
+                batch.column(0),
+                batch.column(1),
+                pa.array(sizes + 1),
+                pa.array(n_known),
+                pa.array(base),
+                pa.array(other - sums((numbers == 0).astype(np.int64)) * others_norm),
+                pa.Array.from_buffers(pa.binary(), n, [None, bytes_to, pa.py_buffer(numbers[run])]),
+                pa.ListArray.from_arrays(cuts, coded.dictionary.take(pa.array(pairs & 0xFFFFFFFF))),
+                pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())),
+            ]
+            row += n
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in first.split(", ")])
 
     rows = written(docs.select("doc_id", "held_out", "text").mapInArrow(numbered, first), "language-rows")
     shared.unpersist()

@@ -337,6 +337,18 @@ def test_cleaned_lines(docs, nothing):
 # 6 language model
 
 
+def test_words_are_cut_without_a_python_object_each():
+    import pyarrow as pa
+
+    texts = ["", None, " \t a  B\x0bc\x0c\r\nÄ\x1cd\u00a0e ", "\n", "X", "x\x85y É"]
+    want = [(t or "").encode().lower().split() for t in texts]
+    for array in (pa.array(texts), pa.array(["skipped", *texts])[1:]):
+        words, sizes = language_model.words_of(array)
+        assert words.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+    words, sizes = language_model.words_of(pa.array([], pa.string()))
+    assert not len(words) and not len(sizes)
+
+
 def test_language_model(docs, nothing):
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     rows = all_rows(docs)
