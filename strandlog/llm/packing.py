@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import struct
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,12 +32,13 @@ from .common import Recent, parallelism, pylist, slices, written
 CAPACITY = 2048
 END_ID = 1
 #: Distinct words whose ids a Python worker keeps at a time, twice over.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 400_000
 #: Normalised Latin letters; runs of these and runs of other characters that aren't white space are tokenised apart, but for
 #: texts with an apostrophe (contractions), the marks of special tokens, or characters that normalisation may change.
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
 RUNS = re.compile("[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ \t-\r]+")
-UNUSUAL = re.compile("['\x1c-\x1f\x7f-\xa0]|[ªµº]|[^\x00-ÿ–—‘’“”…]|<\\|")
+#: All characters but those that normalisation leaves, apostrophes aside: one class, which is searched several times faster than alternatives.
+UNUSUAL = re.compile("[^\x00-\x1b\x20-&(-~¡-©«-´¶-¹»-ÿ–—‘’“”…]")
 #: Separators that str.split() takes for white space and the tokenizer doesn't.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -61,6 +63,14 @@ def byte_characters() -> str:
     return "".join(chr(b if b in own else next(rest)) for b in range(256))
 
 
+def unusual(text: str) -> bool:
+    return UNUSUAL.search(text) is not None or "<|" in text
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(Recent):
     """Stretch without white space -> its ids as little-endian unsigned 32-bit integers; such stretches are tokenised apart from each other."""
 
@@ -75,14 +85,14 @@ class WordIds(Recent):
         out = self.older.get(word)
         if out is None and LETTERS.fullmatch(word):  # normalised already, and a pre-token as a whole
             tokens = self.model.tokenize(codecs.charmap_decode(word.encode(), "strict", self.BYTES)[0])
-            out = np.array([t.id for t in tokens], "<u4").tobytes()
+            out = packed_ids([t.id for t in tokens])
         elif out is None:
-            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            out = packed_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self.put(word, out)
         return out
 
     def text(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
+        if unusual(text):
             words = re.split("[ \t\n\r]+", text) if NOT_SPACE.search(text) else text.split()
         else:
             words = RUNS.findall(text.lower())

@@ -39,6 +39,13 @@ def closed(n, linked):
 # 1 packing
 
 
+def test_unusual_characters_are_one_class():
+    alternatives = re.compile("['\x1c-\x1f\x7f-\xa0]|[ªµº]|[^\x00-ÿ–—‘’“”…]|<\\|")
+    assert all((alternatives.search(chr(c)) is not None) == packing.unusual(chr(c)) for c in range(0x110000))
+    assert packing.unusual("a <|end") and not packing.unusual("a < | b ‘c’")
+    assert "|" not in packing.UNUSUAL.pattern
+
+
 def test_packing_covers_every_id_once(docs):
     found = packing.packed(docs, capacity=64).collect()
     ids = packing.word_ids(packing.word_vocabulary())
