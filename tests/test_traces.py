@@ -260,6 +260,25 @@ def test_raw_machine_equals_one_machine(spark):
     same_but_for_numbers(sorted(map(tuple, registry.queries()["machine_raw"](spark, sf).collect())), whole(events))
 
 
+def test_locks_held_over_a_gap_have_a_row_for_each_block_with_an_access(spark):
+    """Numbers that jump by thousands of blocks, as in traces put one behind the other: locks that stay open aren't repeated for the blocks between."""
+    from strandlog.operators import machine
+
+    jump, rows = 3000 * machine.WIDTH, []
+    for part in range(3):
+        rows += [(0, part * jump + k, k % 2, "P", 10 * part + k, "r", True) for k in range(1, 9)]
+        rows += [(0, part * jump + 20 + c, c, "r", None, None, False) for c in range(2)]
+        rows += [(0, part * jump + 30, 0, "V", 2, "r", True), (0, part * jump + 31, 0, "r", None, None, False)]
+        rows += [(0, part * jump + machine.WIDTH + 5, 1, "w", None, None, False)]
+    events = spark.createDataFrame(rows, "trace long, seq long, ctx int, kind string, lock long, side string, recursive boolean")
+    acquired = machine.lifetimes(events)[0]
+    held = machine.locks_held(acquired, events.where("kind in ('r', 'w')").select("trace", "ctx", "seq")).collect()
+    begins = {(r[2], r[1] // machine.WIDTH) for r in rows if r[3] in "rw"}
+    open_at = lambda c, b: {(r["lock"], r["a"]) for r in acquired.collect() if r["ctx"] == c and r["a"] < b * machine.WIDTH and (r["e"] is None or r["e"] >= b * machine.WIDTH)}
+    assert sorted((r["ctx"], r["block"], r["lock"], r["under"]) for r in held) == sorted((c, b, lock, a) for c, b in begins for lock, a in open_at(c, b))
+    same_but_for_numbers(sorted(map(tuple, machine.run_machine(events).select("seq", "txn_id", "locks").collect())), whole(events))
+
+
 def test_machine_without_rows(spark):
     assert run_machine(malformed(spark, 0, 2).where("false")).count() == 0
 
