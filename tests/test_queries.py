@@ -249,6 +249,44 @@ def test_pairs_of_maps_by_parts_send_nothing_by_way_of_the_driver(spark):
     assert {(r["map_a"], r["map_b"]): r["n"] for r in found.collect()} == want
 
 
+def test_bitmaps_are_sent_in_proportion_to_the_maps(spark):
+    """Four times the maps: some four times the rows that move, not sixteen times; and the pairs are whole."""
+    from strandlog.operators import coverage
+
+    from .test_traces import shuffled_rows
+
+    sent = []
+    for n in (120, 480):
+        blocks = {m: {(m * k * k + 3 * k) % 97 for k in range(m % 9)} for m in range(n)}
+        maps = spark.createDataFrame([(m, str(b)) for m, bs in blocks.items() for b in bs], "map long, bb string")
+        before = shuffled_rows(spark)
+        found = {(r["map_a"], r["map_b"]): r["n"] for r in coverage.pairwise_intersections(maps, part=4).collect()}
+        sent.append(shuffled_rows(spark) - before)
+        assert found == {(a, b): len(x & y) for a, x in blocks.items() for b, y in blocks.items() if a != b and x & y}
+    assert sent[1] < 6 * sent[0]
+
+
+def test_pairs_of_two_parts_go_out_tile_by_tile(monkeypatch):
+    import pyarrow as pa
+
+    from strandlog.operators import coverage
+
+    monkeypatch.setattr(coverage, "PAIRS", 5)
+    rows = [(m, 0, p, 1 << p | 1 << m, m % 2, g, alone) for g, alone, own in ((0, True, (0,)), (1, False, (0, 1)), (2, False, (1,))) for m in range(20) if m % 2 in own for p in range(1 + m % 3)]
+    kinds = [("map", pa.int64()), ("bucket", pa.int64()), ("piece", pa.int32()), ("w0", pa.int64()), ("own", pa.int32()), ("group", pa.int64()), ("alone", pa.bool_())]
+    whole = pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
+    read = []
+    batches = (read.append(k) or whole.slice(k, 7) for k in range(0, whole.num_rows, 7))
+    out = coverage.paired(batches, 3)
+    found = [next(out)]
+    assert len(read) < len(range(0, whole.num_rows, 7))
+    found += list(out)
+    assert max(x.num_rows for x in found) <= 5
+    got = sorted(r for x in found for r in zip(*x.to_pydict().values()))
+    bits = {m: {(p, b) for p in range(1 + m % 3) for b in (p, m)} for m in range(20)}
+    assert got == sorted((a, b, len(bits[a] & bits[b])) for a in bits for b in bits if a != b and (a % 2 == 0 or b % 2 == 0) and bits[a] & bits[b])
+
+
 def test_catalog_with_offsets_beyond_a_megabyte(spark, tmp_path):
     con = duckdb.connect()
     for t, rows in {
